@@ -77,6 +77,11 @@ def pack_bits(bits: list[Column]) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), terms)
 
 
+def _shl1(bits: Column) -> Column:
+    """``1L << bits`` for a column shift amount."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int"))
+
+
 def average_hash_array(c, size: int = 8) -> Column:
     """FPR-1 on a row-major grey grid stored as an array of ``size*size`` numbers.
 
@@ -87,7 +92,7 @@ def average_hash_array(c, size: int = 8) -> Column:
     n = size * size
     total = F.aggregate(c, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double"))
     mean = total / F.lit(float(n))
-    flags = F.transform(c, lambda x, i: F.when(x.cast("double") > mean, F.shiftleft(F.lit(1).cast("long"), F.lit(n - 1) - i))
+    flags = F.transform(c, lambda x, i: F.when(x.cast("double") > mean, _shl1(F.lit(n - 1) - i))
                         .otherwise(F.lit(0).cast("long")))
     return F.when(F.size(c) == n, F.aggregate(flags, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
@@ -108,7 +113,7 @@ def difference_hash_array(c, size: int = 8) -> Column:
         col = k - row * per_row
         left = F.element_at(c, row * size + col + 1).cast("double")
         right = F.element_at(c, row * size + col + 2).cast("double")
-        return F.when(right > left, F.shiftleft(F.lit(1).cast("long"), F.lit(nbits - 1) - k)).otherwise(F.lit(0).cast("long"))
+        return F.when(right > left, _shl1(F.lit(nbits - 1) - k)).otherwise(F.lit(0).cast("long"))
 
     return F.when(F.size(c) == size * size,
                   F.aggregate(F.transform(idx, bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))

@@ -44,6 +44,8 @@ ROUTE = {ACTION_UNIQUE: "unique_stored", ACTION_DUPLICATE: "duplicate_skipped",
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the session's shared checkpoint folder (survives
+    executor loss; never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -123,8 +125,10 @@ def greedy_dedup(items: DataFrame, threshold: int = DEFAULT_THRESHOLD, registry:
 
     Returns ``seq, fp, is_duplicate, action`` for every input row.
     ``registry`` rows (``seq, fp``) count as registered before every batch row.
+    The narrow ``(seq, fp)`` input is checkpointed once, so fingerprinting runs
+    once however many jobs follow.
     """
-    rows = _std(items, seq, fp)
+    rows = _cut(_std(items, seq, fp))
     ok = rows.filter(F.col("fp").isNotNull())
     pre_dup = None
     if registry is not None:

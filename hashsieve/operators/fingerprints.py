@@ -21,25 +21,28 @@ def tokens(text_col: str = "text"):
     return F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0))
 
 
-def simhash(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "fp") -> DataFrame:
+def simhash(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "fp",
+            keep: list[str] | None = None) -> DataFrame:
     """FPR-8: 64-bit SimHash of each row's text.
 
     Token hash = first 64 bits of md5(token).  Bit i of the fingerprint is set
     when more than half of the row's distinct tokens have bit i set.  A text
     without tokens gets fingerprint 0; a NULL text gets NULL (an error row
-    downstream).
+    downstream).  ``keep`` columns must be functionally dependent on ``key``
+    (they ride along in the grouping key).
 
     Plan: explode (narrow) -> 64 partial sums per key in a codegen'd hash
     aggregate -> one exchange of one small row per key and map task.  All JVM
     side; the text itself never crosses a shuffle.
     """
-    toks = df.select(F.col(key), F.col(text).isNull().alias("_missing"), F.explode_outer(tokens(text)).alias("_tok"))
-    hashed = toks.select(key, "_missing", md5_prefix_long("_tok").alias("_h"))
+    keys = [key] + list(keep or [])
+    toks = df.select(*keys, F.col(text).isNull().alias("_missing"), F.explode_outer(tokens(text)).alias("_tok"))
+    hashed = toks.select(*keys, "_missing", md5_prefix_long("_tok").alias("_h"))
     sums = [F.sum(F.shiftright("_h", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"_b{i}") for i in range(64)]
-    agg = hashed.groupBy(key).agg(F.max("_missing").alias("_missing"), F.count("_h").alias("n_tokens"), *sums)
+    agg = hashed.groupBy(*keys).agg(F.max("_missing").alias("_missing"), F.count("_h").alias("n_tokens"), *sums)
     bits = [F.when(F.col(f"_b{i}") * 2 > F.col("n_tokens"), 1).otherwise(0) for i in range(64)]
     fp = F.when(~F.col("_missing"), pack_bits(bits))
-    return agg.select(key, fp.alias(out), "n_tokens")
+    return agg.select(*keys, fp.alias(out), "n_tokens")
 
 
 def array_hashes(df: DataFrame, grid: str = "embedding", size: int = 8) -> DataFrame:
