@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 from ..functions.hashing import (average_hash_array, content_digest, difference_hash_array, long_to_hex,
                                  md5_prefix_long, pack_bits)
 
@@ -36,6 +38,7 @@ def simhash(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "
     side; the text itself never crosses a shuffle.
     """
     keys = [key] + list(keep or [])
+    df = spread(df.select(*keys, text))
     toks = df.select(*keys, F.col(text).isNull().alias("_missing"), F.explode_outer(tokens(text)).alias("_tok"))
     hashed = toks.select(*keys, "_missing", md5_prefix_long("_tok").alias("_h"))
     sums = [F.sum(F.shiftright("_h", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"_b{i}") for i in range(64)]

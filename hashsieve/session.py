@@ -66,3 +66,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder for intermediate tables, next to the checkpoints (shared storage)."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Rebalance ``df`` before heavy per-row work when its scan is under-split.
+
+    A large unsplittable file (one Parquet row group, a gzip file) is read by a
+    single task.  When the frame has fewer partitions than the cluster's default
+    parallelism it is round-robin repartitioned to that parallelism; otherwise
+    (the normal case at scale: many files, many splits) it is returned as is and
+    no shuffle is added.  The partition count is known at planning time.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
