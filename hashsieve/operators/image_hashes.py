@@ -127,5 +127,8 @@ def image_fingerprints(images: DataFrame, sizes: DataFrame | None = None) -> Dat
     """
     out = spread(images.select("image")).mapInPandas(_hash_batches, HASH_SCHEMA)
     if sizes is not None:
-        out = out.join(sizes.select(F.col("path").alias("origin"), F.col("length").alias("file_size")), "origin", "left")
+        # the two sources spell local URIs differently (file:/ vs file:///)
+        norm = lambda c: F.regexp_replace(c, "^file:/+", "/")
+        s = sizes.select(norm(F.col("path")).alias("_p"), F.col("length").alias("file_size"))
+        out = out.join(s, norm(F.col("origin")) == F.col("_p"), "left").drop("_p")
     return out

@@ -123,8 +123,8 @@ def import_registry_json(spark: SparkSession, path: str) -> DataFrame:
     """SRC-2: read the map-shaped interchange JSON into registry rows.
 
     A map-shaped document is one JSON value, so each file is parsed by one task;
-    many files are read in parallel.  Registration order follows the map order
-    is not recorded, so ``seq`` is the position in the map.
+    many files are read in parallel.  The document records no registration
+    order, so ``seq`` is the entry's position in the map.
     """
     raw = spark.read.schema(REGISTRY_JSON).option("multiLine", True).json(path)
     e = raw.select(F.posexplode("hashes").alias("pos", "key", "info"))
@@ -165,8 +165,9 @@ def binary_scan(spark: SparkSession, path: str, glob: str | None = None, allowed
                 recursive: bool = True) -> tuple[DataFrame, DataFrame]:
     """SRC-3: whole files as rows ``path, modificationTime, length, content``.
 
-    Returns (accepted, rejected); empty files and disallowed extensions are
-    rejected with a reason.  Selecting only ``path``/``length`` later prunes the
+    Returns (accepted, rejected); disallowed extensions are rejected with a
+    reason.  Zero-byte files are skipped by Spark's file sources themselves; the
+    ``length`` guard stays for sources that do list them.  Selecting only ``path``/``length`` later prunes the
     content column, so listings stay cheap.
     """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
