@@ -142,7 +142,13 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: int = DEFAULT_
     hot = None
     table_rows = sum(1 << b.width for b in layout)
     if hot_bucket_pairs is not None and threshold + 1 < HASH_BITS and table_rows <= MAX_BUCKET_TABLE:
-        hot = _hot_buckets(_keys(l, "l_fp", layout, threshold, None), _keys(r, "r_fp", layout, threshold, None), hot_bucket_pairs)
+        if left is right and left_id == right_id:
+            # self-join: one count per bucket serves both sides (n * n pairs)
+            c = _keys(l, "l_fp", layout, threshold, None).groupBy("band", "bkey").agg(F.count(F.lit(1)).alias("n"))
+            hot = c.filter(F.col("n") * F.col("n") > F.lit(hot_bucket_pairs)).select("band", "bkey")
+        else:
+            hot = _hot_buckets(_keys(l, "l_fp", layout, threshold, None), _keys(r, "r_fp", layout, threshold, None),
+                               hot_bucket_pairs)
 
     lk = _keys(l, "l_fp", layout, threshold, hot)
     rk = _keys(r, "r_fp", layout, threshold, hot)
