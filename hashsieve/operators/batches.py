@@ -10,9 +10,10 @@ task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running_within
 from ..functions.numeric import (compression_ratio, estimate_bytes, format_extension, low_quality_target, py_round,
                                  subsampling)
 
@@ -59,14 +60,15 @@ def batch_report(results: DataFrame, batch: str = "batch_id") -> DataFrame:
 
 
 def batch_progress(results: DataFrame, batch: str = "batch_id", order: list[str] | None = None) -> DataFrame:
-    """WIN-1: progress before file i (i/n*100) and after it ((i+1)/n*100)."""
-    w = Window.partitionBy(batch).orderBy(*(order or ["position"]))
-    n = F.count(F.lit(1)).over(Window.partitionBy(batch))
-    i = F.row_number().over(w) - 1
-    return (results.withColumn("_i", i).withColumn("_n", n)
-            .withColumn("progress_before", F.col("_i") / F.col("_n") * F.lit(100.0))
-            .withColumn("progress_after", (F.col("_i") + 1) / F.col("_n") * F.lit(100.0))
-            .drop("_i", "_n"))
+    """WIN-1: progress before file i (i/n*100) and after it ((i+1)/n*100).
+
+    Positions come from ``running_within`` (no window over a whole batch)."""
+    r = running_within(results, [batch], order or ["position"], {"_cnt": F.lit(1)})
+    i = F.col("_cnt") - 1
+    n = F.col("_cnt_total")
+    return (r.withColumn("progress_before", i / n * F.lit(100.0))
+            .withColumn("progress_after", (i + 1) / n * F.lit(100.0))
+            .drop("_cnt", "_cnt_total"))
 
 
 def eta(updates: DataFrame, key: str, ts: str, order: list[str], increment: str | None = None,
@@ -76,22 +78,23 @@ def eta(updates: DataFrame, key: str, ts: str, order: list[str], increment: str
     ``current = min(running sum of increments, total)``; percentage (2 places),
     elapsed seconds since the key's first update, remaining = elapsed/fraction -
     elapsed (0 while nothing is done), and ``is_complete``.  ``total`` defaults
-    to the number of updates of the key.
+    to the number of updates of the key.  Running sums come from
+    ``running_within`` (no window over a whole key).
     """
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inc = F.col(increment) if increment else F.lit(1)
-    tot = F.col(total) if total else F.count(F.lit(1)).over(Window.partitionBy(key))
-    u = (updates.withColumn("_total", tot)
-         .withColumn("current", F.least(F.sum(inc).over(w), F.col("_total")))
-         .withColumn("_pct", F.when(F.col("_total") > 0, F.col("current") / F.col("_total") * F.lit(100.0)).otherwise(F.lit(0.0)))
-         .withColumn("_elapsed", F.col(ts).cast("timestamp").cast("double") - F.min(F.col(ts).cast("timestamp").cast("double")).over(w)))
+    secs = updates.withColumn("_t", F.col(ts).cast("timestamp").cast("double"))
+    r = running_within(secs, [key], order, {"_inc": inc.cast("long"), "_one": F.lit(1).cast("long")}, firsts=["_t"])
+    tot = F.col(total) if total else F.col("_one_total")
+    u = (r.withColumn("total", tot)
+         .withColumn("current", F.least(F.col("_inc"), F.col("total")))
+         .withColumn("_pct", F.when(F.col("total") > 0, F.col("current") / F.col("total") * F.lit(100.0)).otherwise(F.lit(0.0)))
+         .withColumn("_elapsed", F.col("_t") - F.col("_t_first")))
     remaining = F.when(F.col("_pct") > 0, F.col("_elapsed") / (F.col("_pct") / F.lit(100.0)) - F.col("_elapsed")).otherwise(F.lit(0.0))
     return (u.withColumn("percentage", py_round(F.col("_pct"), 2))
             .withColumn("elapsed_seconds", py_round(F.col("_elapsed"), 2))
             .withColumn("remaining_seconds", py_round(remaining, 2))
-            .withColumn("is_complete", F.col("current") >= F.col("_total"))
-            .withColumnRenamed("_total", "total")
-            .drop("_pct", "_elapsed"))
+            .withColumn("is_complete", F.col("current") >= F.col("total"))
+            .drop("_pct", "_elapsed", "_t", "_t_first", "_inc", "_inc_total", "_one", "_one_total"))
 
 
 def rendition_plan(assets: DataFrame, grid: list[tuple[int, str]] = RENDITION_GRID) -> DataFrame:

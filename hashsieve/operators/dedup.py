@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import DEFAULT_THRESHOLD
-from ..session import checkpoint_dir
+from ..session import cut_lineage
 from .similarity import DEFAULT_HOT_BUCKET_PAIRS, match_struct, similarity_join
 
 # Outcome labels of a duplicate check.
@@ -43,11 +43,7 @@ ACTION_ERROR = "store_with_error"
 ROUTE = {ACTION_UNIQUE: "unique_stored", ACTION_DUPLICATE: "duplicate_skipped", ACTION_ERROR: "error"}
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's shared checkpoint folder (survives
-    executor loss; never a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_cut = cut_lineage
 
 
 def _std(df: DataFrame, seq: str, fp: str) -> DataFrame:

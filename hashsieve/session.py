@@ -82,3 +82,14 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def cut_lineage(df):
+    """Reliable, eager checkpoint in the session's shared checkpoint folder.
+
+    Used where later steps read the same rows several times and must see the
+    same values (or to keep iterative plans short).  Never a local checkpoint,
+    so the result survives the loss of the executor that computed it.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
