@@ -227,7 +227,11 @@ filled AS (SELECT p_partkey,
 
 # ------------------------------------------------------------------ events
 def job_updates(spark, sf_dir) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    return job_updates_from(table(spark, sf_dir, "events"))
+
+
+def job_updates_from(ev: DataFrame) -> DataFrame:
+    """Job updates from event rows (batch or streaming frame)."""
     return ev.select(F.col("user_id").alias("job_id"), "ts", "event_id",
                      F.col("event_type").alias("status"), F.col("value").alias("progress"),
                      F.col("props").alias("message"),
