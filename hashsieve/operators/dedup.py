@@ -128,7 +128,7 @@ def greedy_dedup(items: DataFrame, threshold: int = DEFAULT_THRESHOLD, registry:
     ok = rows.filter(F.col("fp").isNotNull())
     pre_dup = None
     if registry is not None:
-        pre_dup = registry_matches(ok, registry, threshold, hot_bucket_pairs=hot_bucket_pairs).select("fp").distinct()
+        pre_dup = _cut(registry_matches(ok, registry, threshold, hot_bucket_pairs=hot_bucket_pairs).select("fp").distinct())
         ok = ok.join(pre_dup, "fp", "left_anti")
     reps = _cut(ok.groupBy("fp").agg(F.min("seq").alias("rep_seq")))
     edges = (similarity_join(reps, reps, threshold, left_id="rep_seq", right_id="rep_seq", order="lt",
@@ -147,7 +147,9 @@ def greedy_dedup(items: DataFrame, threshold: int = DEFAULT_THRESHOLD, registry:
     action = (F.when(F.col("fp").isNull(), F.lit(ACTION_ERROR))
               .when(unique, F.lit(ACTION_UNIQUE))
               .otherwise(F.lit(ACTION_DUPLICATE)))
-    return out.select("seq", "fp", (F.col("fp").isNotNull() & ~unique).alias("is_duplicate"), action.alias("action"))
+    # the labels feed several consumers (matches, reports, the next registry):
+    # materialise them once instead of re-running the label join for each
+    return _cut(out.select("seq", "fp", (F.col("fp").isNotNull() & ~unique).alias("is_duplicate"), action.alias("action")))
 
 
 def duplicate_matches(result: DataFrame, threshold: int = DEFAULT_THRESHOLD, registry: DataFrame | None = None,

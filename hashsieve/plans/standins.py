@@ -8,7 +8,7 @@ SQL fragment (what the DuckDB oracle runs).  Both read whole tables.
 | asset, arrival order, job    | ``documents``: text = content, doc_id = order, source = job |
 | existing registry / incoming | ``documents`` with / without a row in ``labels`` (reviewed vs new) |
 | pixel grid                   | ``embeddings.embedding`` as an 8x8 grid |
-| uploaded file, batch         | ``pages``: name = last URL path piece, size = bytes of html, batch = page_id div 10 |
+| uploaded file, batch         | ``pages``: name = last URL path piece, size = bytes of html, batch = page_id div 2 |
 | conversion result            | ``lineitem``: original = cents of l_extendedprice, converted = original x (1 - l_discount), batch = l_orderkey, success = l_returnflag <> 'R', quality = 2 x l_quantity |
 | image size                   | width = whole part of l_extendedprice, height = l_partkey |
 | catalogue                    | ``lineitem`` join ``part``: id = orderkey-linenumber, type = normalised p_type, time = l_shipdate |
@@ -28,7 +28,7 @@ from ..operators.fingerprints import simhash
 BATCH_TIME = "2024-01-01 00:00:00"          # time used in hash-based names
 RETENTION_NOW = "2024-02-14 00:00:00"       # "now" of the retention run
 UPLOAD_ALLOWED = ["html"]                   # accepted extension of the page uploads
-UPLOAD_MAX_BYTES = 60_000                   # per-file limit of the page uploads
+UPLOAD_MAX_BYTES = 8_000                    # per-file limit of the page uploads
 CATALOGUE_TYPE = "standard"                 # type used by the catalogue filters
 LOOKUP_JOB = 42
 
@@ -110,13 +110,13 @@ def upload_files(spark, sf_dir) -> DataFrame:
     """``batch_id, position, filename, size`` from pages."""
     p = table(spark, sf_dir, "pages")
     path = F.regexp_replace(F.col("url"), r"[?#].*$", "")
-    return p.select(F.floor(F.col("page_id") / 10).cast("long").alias("batch_id"), F.col("page_id").alias("position"),
+    return p.select(F.floor(F.col("page_id") / 2).cast("long").alias("batch_id"), F.col("page_id").alias("position"),
                     F.regexp_extract(path, r"[^/]*$", 0).alias("filename"),
                     F.octet_length("html").cast("long").alias("size"), "page_id", "url")
 
 
 UPLOAD_FILES_SQL = r"""
-files AS (SELECT (page_id // 10)::BIGINT AS batch_id, page_id AS position,
+files AS (SELECT (page_id // 2)::BIGINT AS batch_id, page_id AS position,
                  regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$', 0) AS filename,
                  strlen(html)::BIGINT AS size, page_id, url FROM pages)
 """

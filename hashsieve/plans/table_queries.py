@@ -231,7 +231,10 @@ pb AS (SELECT batch_id, count(*) AS n_files, sum(size)::BIGINT AS total_size,
               arg_min(st, (prio, position)) FILTER (WHERE prio IS NOT NULL) AS fst,
               arg_min(msg, (prio, position)) FILTER (WHERE prio IS NOT NULL) AS fmsg
        FROM fe2 GROUP BY batch_id),
-req AS (SELECT DISTINCT batch_id, 'metal_cards' AS product_type, 75 AS quality, 'jpeg' AS format FROM files),
+req AS (SELECT batch_id,
+               CASE WHEN starts_with(arg_min(url, position), 'https') THEN 'metal_cards' ELSE 'Metal_Cards' END AS product_type,
+               CASE WHEN contains(arg_min(url, position), '/fr/') THEN 0 ELSE 75 END AS quality, 'jpeg' AS format
+        FROM files GROUP BY batch_id),
 j AS (SELECT req.*, coalesce(pb.n_files, 0) AS n_files, coalesce(pb.total_size, 0) AS total_size, pb.fst, pb.fmsg FROM req LEFT JOIN pb USING (batch_id)),
 e AS (SELECT *,
         CASE WHEN n_files = 0 THEN 400 WHEN fst IS NOT NULL THEN fst WHEN total_size > {mb * 5} THEN 413
@@ -248,8 +251,11 @@ SELECT batch_id, product_type, quality, format, n_files, total_size, status IS N
 @query("flt2_batch_admission", _admission_sql())
 def flt2_batch_admission(spark, sf):
     files = SI.upload_files(spark, sf)
-    req = files.select("batch_id").distinct().select("batch_id", F.lit("metal_cards").alias("product_type"),
-                                                     F.lit(75).alias("quality"), F.lit("jpeg").alias("format"))
+    first = files.groupBy("batch_id").agg(F.min_by("url", "position").alias("_u"))
+    req = first.select("batch_id",
+                       F.when(F.col("_u").startswith("https"), F.lit("metal_cards")).otherwise(F.lit("Metal_Cards")).alias("product_type"),
+                       F.when(F.col("_u").contains("/fr/"), F.lit(0)).otherwise(F.lit(75)).alias("quality"),
+                       F.lit("jpeg").alias("format"))
     types = product_types.base_types(spark)
     return validation.batch_admission(files, req, types, allowed=SI.UPLOAD_ALLOWED, max_bytes=SI.UPLOAD_MAX_BYTES)
 
