@@ -24,8 +24,6 @@ nested loop.  It is rewritten as an *exact* equi-join:
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,23 +66,21 @@ def _field(fp: Column, offset: int, width: int) -> Column:
     return v.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def _remainder(fp: Column, band: Band) -> Column:
-    """The ``64 - w`` bits outside ``band``, packed from bit 0."""
-    hi_off = band.offset + band.width
-    parts = []
-    if hi_off < 64:
-        parts.append(F.shiftrightunsigned(fp, hi_off))  # bits above the band, now at the bottom
-    if band.offset > 0:
-        low = fp.bitwiseAND(F.lit((1 << band.offset) - 1).cast("long"))
-        parts.append(F.shiftleft(low, 64 - hi_off) if hi_off < 64 else low)
-    if not parts:
-        return F.lit(0).cast("long")
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+def _shr(v: Column, n: Column) -> Column:
+    return F.call_function("shiftrightunsigned", v, n)
+
+
+def _shl(v: Column, n: Column) -> Column:
+    return F.call_function("shiftleft", v, n)
 
 
-def _first_equal(pieces_a: list[Column], pieces_b: list[Column]) -> Column:
-    """Index of the first position where the two piece lists agree (NULL if none)."""
-    return F.coalesce(*[F.when(a == b, F.lit(i)) for i, (a, b) in enumerate(zip(pieces_a, pieces_b))], F.lit(None).cast("int"))
+def _mask(width: Column) -> Column:
+    # (1 << w) - 1 for 0 < w < 64
+    return _shl(F.lit(1).cast("long"), width) - F.lit(1).cast("long")
+
+
+def _lookup(values: list[int], idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), idx + 1)
 
 
 def _sub_layout(band: Band, threshold: int) -> list[Band]:
@@ -92,27 +88,54 @@ def _sub_layout(band: Band, threshold: int) -> list[Band]:
     return band_layout(min(threshold + 1, rest), rest) if rest > 0 else []
 
 
-def _keys(df: DataFrame, fp: str, layout: list[Band], threshold: int, hot: DataFrame | None) -> DataFrame:
+class _Plan:
+    """Band and sub-band geometry as small literal tables indexed by band number,
+    so per-row expressions stay compact (one formula, not one per band)."""
+
+    def __init__(self, threshold: int):
+        self.layout = band_layout(threshold + 1)
+        self.n_sub = min(threshold + 1, HASH_BITS - max(b.width for b in self.layout))
+        self.off = [b.offset for b in self.layout]
+        self.width = [b.width for b in self.layout]
+        subs = [_sub_layout(b, threshold) for b in self.layout]
+        # sub-bands must exist for every band; only near t = 63 would one be empty,
+        # and then buckets are not split a second time
+        self.splittable = all(len(sl) == self.n_sub for sl in subs)
+        self.sub_off = [[s.offset for s in sl] + [0] * (self.n_sub - len(sl)) for sl in subs]
+        self.sub_w = [[s.width for s in sl] + [0] * (self.n_sub - len(sl)) for sl in subs]
+
+    def remainder(self, fp: Column, band: Column) -> Column:
+        """The 64 - w bits outside the row's band, packed from bit 0."""
+        off, w = _lookup(self.off, band), _lookup(self.width, band)
+        hi = off + w
+        upper = F.when(hi < 64, _shr(fp, hi)).otherwise(F.lit(0).cast("long"))
+        low = fp.bitwiseAND(F.when(off > 0, _mask(off)).otherwise(F.lit(0).cast("long")))
+        return upper.bitwiseOR(F.when(hi < 64, _shl(low, F.lit(64) - hi)).otherwise(low))
+
+    def sub_fields(self, rem: Column, band: Column) -> Column:
+        """Array of the remainder's sub-band values (index = sub-band number)."""
+        offs = F.element_at(F.array(*[F.array(*[F.lit(o) for o in row]) for row in self.sub_off]), band + 1)
+        ws = F.element_at(F.array(*[F.array(*[F.lit(w) for w in row]) for row in self.sub_w]), band + 1)
+        return F.transform(F.sequence(F.lit(0), F.lit(self.n_sub - 1)),
+                           lambda i: _shr(rem, F.element_at(offs, i + 1)).bitwiseAND(_mask(F.element_at(ws, i + 1))))
+
+
+def _keys(df: DataFrame, fp: str, plan: _Plan, hot: DataFrame | None) -> DataFrame:
     """Explode each row into its bucket keys ``(band, bkey, sub, skey)``.
 
     Rows in a hot bucket get second-level keys (``sub >= 0``) instead of the
     plain band key (``sub = -1``).
     """
     fpc = F.col(fp)
-    entries = [F.struct(F.lit(b.index).alias("band"), _field(fpc, b.offset, b.width).alias("bkey")) for b in layout]
+    entries = [F.struct(F.lit(b.index).alias("band"), _field(fpc, b.offset, b.width).alias("bkey")) for b in plan.layout]
     k = df.withColumn("_k", F.explode(F.array(*entries))).select("*", "_k.band", "_k.bkey").drop("_k")
     if hot is None:
         return k.withColumn("sub", F.lit(-1)).withColumn("skey", F.lit(0).cast("long"))
     k = k.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), ["band", "bkey"], "left")
-    # second-level keys for each band, chosen by the row's band number
-    sub_arrays = []
-    for b in layout:
-        rest = _remainder(fpc, b)
-        subs = _sub_layout(b, threshold)
-        sub_arrays.append(F.array(*[F.struct(F.lit(s.index).alias("sub"), _field(rest, s.offset, s.width).alias("skey")) for s in subs]))
-    chosen = F.coalesce(*[F.when(F.col("band") == b.index, arr) for b, arr in zip(layout, sub_arrays)])
+    subs = F.transform(plan.sub_fields(plan.remainder(fpc, F.col("band")), F.col("band")),
+                       lambda v, i: F.struct(i.alias("sub"), v.alias("skey")))
     plain = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("skey")))
-    k = k.withColumn("_s", F.explode(F.when(F.col("_hot"), chosen).otherwise(plain)))
+    k = k.withColumn("_s", F.explode(F.when(F.col("_hot"), subs).otherwise(plain)))
     return k.select("*", "_s.sub", "_s.skey").drop("_s", "_hot")
 
 
@@ -135,40 +158,38 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: int = DEFAULT_
     """
     if not 0 <= threshold < HASH_BITS:
         raise ValueError("threshold must be in 0..63")
-    layout = band_layout(threshold + 1)
+    plan = _Plan(threshold)
+    layout = plan.layout
     l = left.select(F.col(left_id).alias("l_id"), F.col(fp).alias("l_fp")).filter(F.col("l_fp").isNotNull())
     r = right.select(F.col(right_id).alias("r_id"), F.col(fp).alias("r_fp")).filter(F.col("r_fp").isNotNull())
 
     hot = None
     table_rows = sum(1 << b.width for b in layout)
-    if hot_bucket_pairs is not None and threshold + 1 < HASH_BITS and table_rows <= MAX_BUCKET_TABLE:
+    if hot_bucket_pairs is not None and plan.splittable and table_rows <= MAX_BUCKET_TABLE:
         if left is right and left_id == right_id:
             # self-join: one count per bucket serves both sides (n * n pairs)
-            c = _keys(l, "l_fp", layout, threshold, None).groupBy("band", "bkey").agg(F.count(F.lit(1)).alias("n"))
+            c = _keys(l, "l_fp", plan, None).groupBy("band", "bkey").agg(F.count(F.lit(1)).alias("n"))
             hot = c.filter(F.col("n") * F.col("n") > F.lit(hot_bucket_pairs)).select("band", "bkey")
         else:
-            hot = _hot_buckets(_keys(l, "l_fp", layout, threshold, None), _keys(r, "r_fp", layout, threshold, None),
-                               hot_bucket_pairs)
+            hot = _hot_buckets(_keys(l, "l_fp", plan, None), _keys(r, "r_fp", plan, None), hot_bucket_pairs)
 
-    lk = _keys(l, "l_fp", layout, threshold, hot)
-    rk = _keys(r, "r_fp", layout, threshold, hot)
+    lk = _keys(l, "l_fp", plan, hot)
+    rk = _keys(r, "r_fp", plan, hot)
     pairs = lk.join(rk, ["band", "bkey", "sub", "skey"])
     if order == "lt":
         pairs = pairs.filter(F.col("l_id") < F.col("r_id"))
-
-    lf, rf = F.col("l_fp"), F.col("r_fp")
-    first_band = _first_equal([_field(lf, b.offset, b.width) for b in layout], [_field(rf, b.offset, b.width) for b in layout])
-    keep = (F.col("band") == first_band)
-    # inside a split bucket: also the first equal sub-band of that band's remainder
-    first_sub = F.coalesce(*[
-        F.when(F.col("band") == b.index,
-               _first_equal([_field(_remainder(lf, b), s.offset, s.width) for s in _sub_layout(b, threshold)],
-                            [_field(_remainder(rf, b), s.offset, s.width) for s in _sub_layout(b, threshold)]))
-        for b in layout])
-    keep = keep & ((F.col("sub") < 0) | (F.col("sub") == first_sub))
-    dist = F.bit_count(lf.bitwiseXOR(rf))
-    return (pairs.filter(keep & (dist <= threshold))
-            .select("l_id", "l_fp", "r_id", "r_fp", dist.cast("int").alias("distance")))
+    # verify on x = l ^ r: the distance, then "this is the first band (and, in a
+    # split bucket, the first sub-band) where the pair agrees", so each pair is
+    # produced exactly once without a distinct
+    x = F.col("_x")
+    pairs = pairs.withColumn("_x", F.col("l_fp").bitwiseXOR(F.col("r_fp")))
+    pairs = pairs.withColumn("distance", F.bit_count(x).cast("int")).filter(F.col("distance") <= threshold)
+    zero_bands = F.array(*[_field(x, b.offset, b.width) == 0 for b in layout])
+    first_band = F.array_position(zero_bands, F.lit(True)) - 1
+    rem_x = plan.remainder(x, F.col("band"))
+    first_sub = F.array_position(F.transform(plan.sub_fields(rem_x, F.col("band")), lambda v: v == 0), F.lit(True)) - 1
+    keep = (F.col("band") == first_band) & ((F.col("sub") < 0) | (F.col("sub") == first_sub))
+    return pairs.filter(keep).select("l_id", "l_fp", "r_id", "r_fp", "distance")
 
 
 def brute_force_join(left: DataFrame, right: DataFrame, threshold: int = DEFAULT_THRESHOLD,
