@@ -27,6 +27,17 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 
+# Executors may not have this package on their path: ship this module's
+# functions with the task (pickled by value) instead of by import name.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # pragma: no cover - older pickler
+    pass
+
 HASH_SCHEMA = ("origin STRING, width INT, height INT, n_channels INT, image_mode STRING, "
                "phash STRING, ahash STRING, dhash STRING, whash STRING, fp LONG, error STRING")
 
@@ -132,3 +143,28 @@ def image_fingerprints(images: DataFrame, sizes: DataFrame | None = None) -> Dat
         s = sizes.select(norm(F.col("path")).alias("_p"), F.col("length").alias("file_size"))
         out = out.join(s, norm(F.col("origin")) == F.col("_p"), "left").drop("_p")
     return out
+
+
+GRID_SCHEMA = "id LONG, phash STRING, ahash STRING, dhash STRING, whash STRING, fp LONG, error STRING"
+
+
+def _grid_batches(size: int):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for i, cells in zip(pdf["id"], pdf["grid"]):
+                row = {"id": int(i), "phash": None, "ahash": None, "dhash": None, "whash": None, "fp": None, "error": None}
+                if cells is None or len(cells) != size * size:
+                    row["error"] = "grid must hold size*size values"
+                else:
+                    row.update(hashes_of(np.asarray(cells, dtype=np.float64).reshape(size, size)))
+                out.append(row)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in GRID_SCHEMA.split(", ")])
+    return run
+
+
+def grid_fingerprints(df: DataFrame, key: str, grid: str, size: int = 8) -> DataFrame:
+    """FPR-3..5 on grey grids stored as arrays (row-major ``size x size``): the same
+    hashes as ``image_fingerprints``, the grid standing for a decoded image."""
+    src = spread(df.select(F.col(key).cast("long").alias("id"), F.col(grid).alias("grid")))
+    return src.mapInPandas(_grid_batches(size), GRID_SCHEMA).withColumnRenamed("id", key)

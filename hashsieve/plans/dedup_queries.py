@@ -58,6 +58,15 @@ def ded1_hamming(spark, sf):
                     hamming_hex(long_to_hex("ahash"), F.lit("zz")).cast("int").alias("malformed_distance"))
 
 
+@query("fpr3_perceptual_hash")
+def fpr3_perceptual_hash(spark, sf):
+    """pHash and wHash of each 8x8 embedding grid (rows-only check: the DCT and
+    median split are floating-point work a SQL engine would sum in another order)."""
+    from ..operators.image_hashes import grid_fingerprints
+    g = grid_fingerprints(SI.table(spark, sf, "embeddings"), "vec_id", "embedding", 8)
+    return g.select("vec_id", F.col("phash").alias("phash_hex"), F.col("whash").alias("whash_hex"), "error")
+
+
 @query("fpr7_content_digest", """SELECT doc_id, coalesce(sha256(text), '') AS sha256, coalesce(md5(text), '') AS md5,
        coalesce(sha1(text), '') AS sha1 FROM documents""")
 def fpr7_content_digest(spark, sf):

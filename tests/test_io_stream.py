@@ -152,3 +152,17 @@ def test_job_state_stream_equals_batch(spark, tmp_dir):
     got = {(r.job_id, r.status, r.progress, r.n_updates) for r in last.collect()}
     want = {(r.job_id, r.status, r.progress, r.n_updates) for r in jobs.fold_state(ev, seq=["ts", "event_id"]).collect()}
     assert got == want
+
+
+def test_grid_equals_image(spark, tmp_dir):
+    from hashsieve.operators.image_hashes import grid_fingerprints
+    rng = np.random.default_rng(5)
+    cells = rng.integers(0, 256, (8, 8)).astype(np.uint8)
+    d = os.path.join(tmp_dir, "grid")
+    os.makedirs(d)
+    write_png(os.path.join(d, "g.png"), cells)
+    img = image_fingerprints(stores.image_scan(spark, d)).collect()[0]
+    grid = spark.createDataFrame([(1, [float(v) for v in cells.ravel()]), (2, [1.0, 2.0])], "k long, cells array<double>")
+    out = {r.k: r for r in grid_fingerprints(grid, "k", "cells", 8).collect()}
+    assert (out[1].phash, out[1].ahash, out[1].dhash, out[1].whash) == (img.phash, img.ahash, img.dhash, img.whash)
+    assert out[2].error is not None
