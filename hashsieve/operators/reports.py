@@ -34,10 +34,12 @@ def batch_summary(result: DataFrame) -> DataFrame:
     )
 
 
-def registry_statistics(result: DataFrame, registry_size: DataFrame, threshold: int) -> DataFrame:
+def registry_statistics(result: DataFrame, registry_size: DataFrame, threshold: int,
+                        size_mb: float | None = None) -> DataFrame:
     """AGG-2: runtime counters of a run plus registry size and rate over max(processed, 1).
 
-    ``registry_size`` is a one-row frame with ``total_hashes``.
+    ``registry_size`` is a one-row frame with ``total_hashes``; ``size_mb`` (from
+    ``stores.size_mb`` on the stored registry) adds ``database_size_mb``.
     """
     n = F.count(F.lit(1))
     dups = F.count_if(F.col("action") == ACTION_DUPLICATE)
@@ -46,7 +48,8 @@ def registry_statistics(result: DataFrame, registry_size: DataFrame, threshold:
     return (stats.withColumn("total_hashes", registry_size.select("total_hashes").scalar())
             .withColumn("threshold", F.lit(threshold))
             .withColumn("duplicate_rate", F.col("duplicates_found") / F.greatest(F.col("total_processed"), F.lit(1)) * F.lit(100.0))
-            .withColumn("storage_saved", F.col("duplicates_found")))
+            .withColumn("storage_saved", F.col("duplicates_found"))
+            .transform(lambda d: d if size_mb is None else d.withColumn("database_size_mb", F.lit(float(size_mb)))))
 
 
 def recommendations(rate, total_hashes):

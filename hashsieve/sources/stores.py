@@ -194,10 +194,68 @@ def catalogue_append(docs: DataFrame, root: str) -> None:
     docs.select(*[f.name for f in CATALOGUE.fields]).write.mode("append").partitionBy("product_type").parquet(root)
 
 
+DELETED_DIR = "_deleted"  # tombstones; Spark's listing skips folders starting with '_'
+
+
 def catalogue_read(spark: SparkSession, root: str) -> DataFrame:
+    """The live catalogue: appended documents minus tombstoned ids."""
     if not path_exists(spark, root):
         return spark.createDataFrame([], CATALOGUE)
-    return spark.read.schema(CATALOGUE).parquet(root)
+    docs = spark.read.schema(CATALOGUE).parquet(root)
+    dead = f"{root.rstrip('/')}/{DELETED_DIR}"
+    if path_exists(spark, dead):
+        docs = docs.join(spark.read.schema("document_id STRING").parquet(dead), "document_id", "left_anti")
+    return docs
+
+
+def catalogue_delete(spark: SparkSession, root: str, deletes: DataFrame) -> DataFrame:
+    """SNK-4, persisted: report each requested id as deleted / not_found and
+    append the found ones to the tombstone set.
+
+    Deleting never rewrites the catalogue (an append-only id list, applied with
+    an anti join on read), so its cost follows the delete set, not the table.
+    The report is materialised before the tombstones are written, so it
+    reflects the catalogue as it was.
+    """
+    from ..operators.catalog import delete_documents
+    from ..session import cut_lineage
+
+    _, report = delete_documents(catalogue_read(spark, root), deletes)
+    report = cut_lineage(report)
+    (report.filter(F.col("outcome") == "deleted").select("document_id").distinct()
+     .write.mode("append").parquet(f"{root.rstrip('/')}/{DELETED_DIR}"))
+    return report
+
+
+def write_routed(routed: DataFrame, path: str) -> None:
+    """DED-8 sink: rows partitioned by storage outcome (``route=unique_stored`` ...)."""
+    routed.write.mode("overwrite").partitionBy("route").parquet(path)
+
+
+def size_mb(spark: SparkSession, path: str) -> float:
+    """Bytes under ``path`` in MB, from file-system metadata (0 when missing)."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return 0.0
+    return fs.getContentSummary(p).getLength() / 1024 / 1024
+
+
+def cleanup_registry(spark: SparkSession, root: str, now, max_age_days: int = 30) -> int:
+    """FLT-1 on the stored registry: keep entries created on/after the cut-off
+    (missing times are kept), write a new version only when something was
+    removed, and return the number removed."""
+    from ..operators.validation import retention
+
+    vs = versions(spark, root)
+    if not vs:
+        return 0
+    current = load_registry(spark, root, vs[-1])
+    kept = retention(current, "created_at", now, max_age_days)
+    counts = current.agg(F.count(F.lit(1)).alias("n")).withColumn("kept", kept.agg(F.count(F.lit(1))).scalar()).collect()[0]
+    removed = int(counts["n"] - counts["kept"])
+    if removed > 0:
+        save_registry(kept, root, vs[-1] + 1)
+    return removed
 
 
 # ---------------------------------------------------------------- product types

@@ -166,3 +166,34 @@ def test_grid_equals_image(spark, tmp_dir):
     out = {r.k: r for r in grid_fingerprints(grid, "k", "cells", 8).collect()}
     assert (out[1].phash, out[1].ahash, out[1].dhash, out[1].whash) == (img.phash, img.ahash, img.dhash, img.whash)
     assert out[2].error is not None
+
+
+def test_catalogue_tombstones_and_routing(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "cat2")
+    docs = spark.createDataFrame([("1", "a", "u", "f.jpeg"), ("2", "b", "u", "g.jpeg"), ("3", "b", "u", "h.jpeg")],
+                                 "document_id string, product_type string, image_url string, filename string")
+    stores.catalogue_append(docs.withColumn("uploaded_at", F.current_timestamp()), root)
+    rep = stores.catalogue_delete(spark, root, spark.createDataFrame([("2",), ("9",)], "document_id string"))
+    assert {r.document_id: r.outcome for r in rep.collect()} == {"2": "deleted", "9": "not_found"}
+    assert sorted(r.document_id for r in stores.catalogue_read(spark, root).collect()) == ["1", "3"]
+    again = stores.catalogue_delete(spark, root, spark.createDataFrame([("2",)], "document_id string"))
+    assert again.collect()[0].outcome == "not_found"
+    res = dedup.greedy_dedup(spark.createDataFrame([(1, 0), (2, 1), (3, None)], "seq long, fp long"))
+    out = os.path.join(tmp_dir, "routed")
+    stores.write_routed(dedup.route(res), out)
+    assert {"route=unique_stored", "route=duplicate_skipped", "route=error"} <= set(os.listdir(out))
+
+
+def test_registry_cleanup(spark, tmp_dir):
+    import datetime as dt
+    root = os.path.join(tmp_dir, "reg2")
+    rows = spark.createDataFrame([(1, 10, dt.datetime(2024, 1, 1)), (2, 20, dt.datetime(2024, 3, 1)), (3, 30, None)],
+                                 "seq long, fp long, created_at timestamp")
+    full = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in stores.REGISTRY.fields])
+    stores.save_registry(full, root, 1)
+    assert stores.size_mb(spark, root) > 0
+    assert stores.cleanup_registry(spark, root, "2024-03-15 00:00:00", 30) == 1
+    assert stores.versions(spark, root) == [1, 2]
+    assert sorted(r.seq for r in stores.load_registry(spark, root).collect()) == [2, 3]
+    assert stores.cleanup_registry(spark, root, "2024-03-15 00:00:00", 30) == 0 and stores.versions(spark, root) == [1, 2]
