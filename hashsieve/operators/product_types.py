@@ -25,13 +25,13 @@ DESCRIPTION_PREFIX = "Custom "
 
 def base_types(spark) -> DataFrame:
     return spark.createDataFrame([(i, t, SOURCE_BASE) for i, t in enumerate(BASE_PRODUCT_TYPES)],
-                                 "position INT, product_type STRING, source STRING")
+                                 "position LONG, product_type STRING, source STRING")
 
 
 def all_types(spark, dynamic: DataFrame) -> DataFrame:
     """SET-1: base types followed by the dynamic ones (``position, product_type``)."""
     n = len(BASE_PRODUCT_TYPES)
-    dyn = dynamic.select((F.col("position") + F.lit(n)).cast("int").alias("position"), "product_type",
+    dyn = dynamic.select((F.col("position") + F.lit(n)).cast("long").alias("position"), "product_type",
                          F.lit(SOURCE_DYNAMIC).alias("source"))
     return base_types(spark).unionByName(dyn)
 
@@ -82,7 +82,7 @@ def types_after_add(types: DataFrame, added: DataFrame) -> DataFrame:
     """
     top = types.agg(F.max("position")).scalar()
     created = added.filter(F.col("outcome") == "created")
-    return types.unionByName(created.select((top + 1 + F.col("position")).cast("int").alias("position"),
+    return types.unionByName(created.select((top + 1 + F.col("position")).cast("long").alias("position"),
                                             "product_type", F.lit(SOURCE_DYNAMIC).alias("source")))
 
 

@@ -118,7 +118,7 @@ FROM inc LEFT JOIN agg USING (doc_id)""")
 def ded5_check_against_registry(spark, sf):
     c = _checked(spark, sf)
     return c.select(F.col("seq").alias("doc_id"), "is_duplicate", "action", F.col("closest.seq").alias("closest_doc"),
-                    F.col("closest.distance").alias("closest_distance"), "n_similar")
+                    F.col("closest.distance").alias("closest_distance"), F.col("n_similar").cast("long").alias("n_similar"))
 
 
 @query("ded3_closest_match", _MATCH_SQL + f"""
@@ -134,7 +134,7 @@ SELECT doc_id, similar_list, n_similar FROM agg""")
 def ded4_similar_list(spark, sf):
     c = _checked(spark, sf).filter("is_duplicate")
     lst = F.array_join(F.transform("similar", lambda x: F.concat(x["distance"].cast("string"), F.lit(":"), x["seq"].cast("string"))), ",")
-    return c.select(F.col("seq").alias("doc_id"), lst.alias("similar_list"), "n_similar")
+    return c.select(F.col("seq").alias("doc_id"), lst.alias("similar_list"), F.col("n_similar").cast("long").alias("n_similar"))
 
 
 # ------------------------------------------------------------------ DED-6 and friends
@@ -265,7 +265,7 @@ def agg2_registry_statistics(spark, sf):
 @query("agg3_dedup_report", _STATS_SQL + """
 SELECT st2.*, (SELECT count(*) FROM rres WHERE action = 'store_unique') AS unique_files,
        (SELECT count(DISTINCT inc.source) FROM rres JOIN inc USING (doc_id) WHERE rres.is_duplicate) AS duplicate_records,
-       storage_saved * 2.5 AS total_storage_saved_mb,
+       (storage_saved * 2.5)::DOUBLE AS total_storage_saved_mb,
        array_to_string(list_filter([
            CASE WHEN duplicate_rate > 20 THEN 'High duplicate rate detected - consider reviewing source data' END,
            CASE WHEN duplicate_rate < 5 THEN 'Low duplicate rate - deduplication is working efficiently' END,

@@ -79,7 +79,7 @@ def hex_sql(x: str) -> str:
 
 
 def dist_sql(a: str, b: str) -> str:
-    return f"bit_count(xor({a}, {b}))"
+    return f"bit_count(xor({a}, {b}))::INTEGER"
 
 
 def greedy_walk_sql(rows: str, name: str, threshold: int = 5, initial: str = "[]::UBIGINT[]") -> str:
