@@ -33,7 +33,12 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import DEFAULT_THRESHOLD
 from ..session import cut_lineage
-from .similarity import DEFAULT_HOT_BUCKET_PAIRS, match_struct, similarity_join
+from .similarity import (BUCKET, DEFAULT_HOT_BUCKET_PAIRS, bucket_keys, first_shared_bucket, match_struct,
+                         similarity_join)
+
+# Candidate pairs per representative above which the edge rounds give way to
+# pivot rounds (dense groups of distinct near-copies).
+EDGE_CANDIDATES_PER_ROW = 200
 
 # Outcome labels of a duplicate check.
 ACTION_DUPLICATE = "skip_duplicate"
@@ -114,11 +119,83 @@ def leader_rounds(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame
     return state, rounds
 
 
+def pivot_rounds(reps: DataFrame, threshold: int = DEFAULT_THRESHOLD,
+                 hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS, max_rounds: int = 10_000) -> tuple[DataFrame, int]:
+    """First-seen decisions without materialising the near-duplicate graph.
+
+    ``reps``: ``rep_seq, fp`` (distinct fingerprints).  Each round works on the
+    undecided set X (nobody in X has an earlier unique neighbour):
+
+    1. a *pivot* is a node of X with no earlier neighbour in X; it is unique;
+    2. "has an earlier neighbour" is settled for most members of a dense group
+       by one comparison with the first member of each of its buckets (an
+       aggregation per bucket); only the rest are compared with the earlier
+       members of their buckets;
+    3. the later neighbours of pivots are duplicates (pivots are pairwise more
+       than t apart, so a bucket holds few of them).
+
+    The first node of X is always a pivot, so every round makes progress.  In a
+    group of near-copies the work per round is linear in the group size, where
+    the edge table would be quadratic.  Returns ``(state, rounds)``.
+    """
+    t = threshold
+    x = _cut(reps.select(F.col("rep_seq").alias("seq"), "fp"))
+    parts, rounds = [], 0
+
+    def pairs(a: DataFrame, b: DataFrame, cond) -> DataFrame:
+        j = a.join(b, BUCKET)
+        return j.filter(cond & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= t)
+                        & first_shared_bucket(F.col("a_fp"), F.col("b_fp"), t))
+
+    while rounds < max_rounds and not x.isEmpty():
+        rounds += 1
+        k = _cut(bucket_keys(x, t, "seq", "fp", hot_bucket_pairs))
+        side_b = k.select(*BUCKET, F.col("seq").alias("b_seq"), F.col("fp").alias("b_fp"))
+        first = k.groupBy(*BUCKET).agg(F.min(F.struct("seq", "fp")).alias("m"))
+        near = (k.join(first, BUCKET)
+                .filter((F.col("seq") != F.col("m.seq"))
+                        & (F.bit_count(F.col("fp").bitwiseXOR(F.col("m.fp"))) <= t))
+                .select("seq").distinct())
+        open_k = k.join(near, "seq", "left_anti")
+        side_a = open_k.select(*BUCKET, F.col("seq").alias("a_seq"), F.col("fp").alias("a_fp"))
+        hit = pairs(side_a, side_b, F.col("b_seq") < F.col("a_seq")).select(F.col("a_seq").alias("seq")).distinct()
+        pivots = _cut(open_k.select("seq").distinct().join(hit, "seq", "left_anti"))
+        side_p = (k.join(pivots, "seq", "left_semi")
+                  .select(*BUCKET, F.col("seq").alias("a_seq"), F.col("fp").alias("a_fp")))
+        dups = pairs(side_p, side_b, F.col("b_seq") > F.col("a_seq")).select(F.col("b_seq").alias("seq")).distinct()
+        step = _cut(pivots.withColumn("unique", F.lit(True)).unionByName(dups.withColumn("unique", F.lit(False))))
+        parts.append(step)
+        x = _cut(x.join(step.select("seq"), "seq", "left_anti"))
+    if rounds >= max_rounds:
+        raise RuntimeError("pivot rounds did not converge")
+    spark = reps.sparkSession
+    state = spark.createDataFrame([], "seq LONG, unique BOOLEAN")
+    for p in parts:
+        state = state.unionByName(p)
+    return state.withColumnRenamed("seq", "node"), rounds
+
+
+def edge_candidates(reps: DataFrame, threshold: int = DEFAULT_THRESHOLD,
+                    hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS) -> tuple[int, int]:
+    """(rows, candidate pairs of the banded self-join): the size of the work the
+    edge rounds would do, from bucket counts alone."""
+    k = bucket_keys(reps, threshold, "rep_seq", "fp", hot_bucket_pairs)
+    c = k.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"))
+    r = c.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"),
+              F.sum("n").alias("keys")).collect()[0]
+    return int(r["keys"] or 0), int(r["pairs"] or 0)
+
+
 def greedy_dedup(items: DataFrame, threshold: int = DEFAULT_THRESHOLD, registry: DataFrame | None = None,
                  seq: str = "seq", fp: str = "fp", hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS,
-                 stats: dict | None = None) -> DataFrame:
+                 stats: dict | None = None, strategy: str = "auto") -> DataFrame:
     """DED-6: first-seen dedup of a whole batch, optionally against a registry.
 
+    ``strategy``: ``edges`` (rounds over the near-duplicate edge table),
+    ``pivot`` (rounds without the edge table, for dense near-copy groups) or
+    ``auto``, which picks ``pivot`` when the banded self-join would produce more
+    than ``EDGE_CANDIDATES_PER_ROW`` candidate pairs per bucket key.
+
     Returns ``seq, fp, is_duplicate, action`` for every input row.
     ``registry`` rows (``seq, fp``) count as registered before every batch row.
     The narrow ``(seq, fp)`` input is checkpointed once, so fingerprinting runs
@@ -131,12 +208,19 @@ def greedy_dedup(items: DataFrame, threshold: int = DEFAULT_THRESHOLD, registry:
         pre_dup = _cut(registry_matches(ok, registry, threshold, hot_bucket_pairs=hot_bucket_pairs).select("fp").distinct())
         ok = ok.join(pre_dup, "fp", "left_anti")
     reps = _cut(ok.groupBy("fp").agg(F.min("seq").alias("rep_seq")))
-    edges = (similarity_join(reps, reps, threshold, left_id="rep_seq", right_id="rep_seq", order="lt",
-                             hot_bucket_pairs=hot_bucket_pairs)
-             .select(F.col("l_id").alias("i"), F.col("r_id").alias("j")))
-    state, rounds = leader_rounds(edges)
+    if strategy == "auto":
+        keys, cand = edge_candidates(reps, threshold, hot_bucket_pairs)
+        strategy = "pivot" if cand > EDGE_CANDIDATES_PER_ROW * max(keys, 1) else "edges"
+    if strategy == "pivot":
+        state, rounds = pivot_rounds(reps, threshold, hot_bucket_pairs)
+    else:
+        edges = (similarity_join(reps, reps, threshold, left_id="rep_seq", right_id="rep_seq", order="lt",
+                                 hot_bucket_pairs=hot_bucket_pairs)
+                 .select(F.col("l_id").alias("i"), F.col("r_id").alias("j")))
+        state, rounds = leader_rounds(edges)
     if stats is not None:
         stats["rounds"] = rounds
+        stats["strategy"] = strategy
     fp_status = (reps.join(state.withColumnRenamed("node", "rep_seq"), "rep_seq", "left")
                  .select("fp", "rep_seq", F.coalesce(F.col("unique"), F.lit(True)).alias("rep_unique")))
     if pre_dup is not None:

@@ -147,6 +147,34 @@ def _hot_buckets(lk: DataFrame, rk: DataFrame, hot_bucket_pairs: int) -> DataFra
             .select("band", "bkey"))
 
 
+def bucket_keys(df: DataFrame, threshold: int = DEFAULT_THRESHOLD, id_col: str = "seq", fp: str = "fp",
+                hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS) -> DataFrame:
+    """Bucket keys of a self-join: ``seq, fp, band, bkey, sub, skey`` (hot buckets
+    split a second time).  Two rows within ``threshold`` share at least one
+    key, and ``first_shared_bucket`` names exactly one of them."""
+    plan = _Plan(threshold)
+    d = df.select(F.col(id_col).alias("seq"), F.col(fp).alias("fp")).filter(F.col("fp").isNotNull())
+    hot = None
+    if hot_bucket_pairs is not None and plan.splittable and sum(1 << b.width for b in plan.layout) <= MAX_BUCKET_TABLE:
+        c = _keys(d, "fp", plan, None).groupBy("band", "bkey").agg(F.count(F.lit(1)).alias("n"))
+        hot = c.filter(F.col("n") * F.col("n") > F.lit(hot_bucket_pairs)).select("band", "bkey")
+    return _keys(d, "fp", plan, hot)
+
+
+def first_shared_bucket(a_fp: Column, b_fp: Column, threshold: int = DEFAULT_THRESHOLD) -> Column:
+    """True on the one bucket row where a verified pair is counted (needs the
+    ``band`` and ``sub`` columns of that row)."""
+    plan = _Plan(threshold)
+    x = a_fp.bitwiseXOR(b_fp)
+    first_band = F.array_position(F.array(*[_field(x, b.offset, b.width) == 0 for b in plan.layout]), F.lit(True)) - 1
+    rem_x = plan.remainder(x, F.col("band"))
+    first_sub = F.array_position(F.transform(plan.sub_fields(rem_x, F.col("band")), lambda v: v == 0), F.lit(True)) - 1
+    return (F.col("band") == first_band) & ((F.col("sub") < 0) | (F.col("sub") == first_sub))
+
+
+BUCKET = ["band", "bkey", "sub", "skey"]
+
+
 def similarity_join(left: DataFrame, right: DataFrame, threshold: int = DEFAULT_THRESHOLD,
                     left_id: str = "id", right_id: str = "id", fp: str = "fp",
                     order: str | None = None, hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS) -> DataFrame:

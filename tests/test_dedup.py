@@ -108,3 +108,41 @@ def test_summary_of_nothing(spark):
     rep = reports.dedup_report(st, empty.withColumn("job_id", F.lit("j"))).collect()[0]
     assert rep.duplicate_rate == 0.0
     assert rep.recommendations == ["Low duplicate rate - deduplication is working efficiently"]
+
+
+def _dense(n_groups, size, seed, flips=2):
+    """Groups of distinct near-copies (each within `flips` bits of its centre)."""
+    rnd = random.Random(seed)
+    rows, seq = [], 0
+    for _ in range(n_groups):
+        centre = rnd.getrandbits(64)
+        for _ in range(size):
+            v = centre
+            for _ in range(rnd.randint(0, flips)):
+                v ^= 1 << rnd.randrange(64)
+            rows.append((seq, _signed(v)))
+            seq += rnd.randint(1, 3)
+    rnd.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_pivot_rounds_equal_sequential(spark, seed):
+    rows = _chains(250, seed) + _dense(3, 60, seed, flips=4) + [(99_999, None)]
+    rows = list({s: (s, f) for s, f in rows}.values())
+    df = spark.createDataFrame(rows, "seq long, fp long")
+    st = {}
+    got = {r.seq: r.action for r in dedup.greedy_dedup(df, 5, strategy="pivot", stats=st, hot_bucket_pairs=50).collect()}
+    assert got == _sequential(rows, 5) and st["strategy"] == "pivot"
+
+
+def test_auto_picks_pivot_for_dense_group(spark):
+    rows = _dense(1, 1500, 8, flips=3)
+    rows = list({s: (s, f) for s, f in rows}.values())
+    df = spark.createDataFrame(rows, "seq long, fp long")
+    st = {}
+    got = {r.seq: r.action for r in dedup.greedy_dedup(df, 5, stats=st).collect()}
+    assert st["strategy"] == "pivot" and got == _sequential(rows, 5)
+    st2 = {}
+    dedup.greedy_dedup(spark.createDataFrame(_chains(100, 1), "seq long, fp long"), 5, stats=st2).count()
+    assert st2["strategy"] == "edges"
