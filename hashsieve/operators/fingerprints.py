@@ -16,11 +16,17 @@ from ..functions.hashing import (average_hash_array, content_digest, difference_
 # Fixed value: a token is a maximal run of Unicode letters and digits, matched
 # after lower-casing the text.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
+SEPARATOR_PATTERN = r"[^\p{L}\p{N}]+"
 
 
 def tokens(text_col: str = "text"):
-    """Distinct lower-cased word tokens of a text column, as an array."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0))
+    """Distinct lower-cased word tokens of a text column, as an array.
+
+    Splitting on separator runs gives the same tokens as extracting letter/digit
+    runs (after dropping the empty edge pieces) and is cheaper.
+    """
+    pieces = F.split(F.lower(F.col(text_col)), SEPARATOR_PATTERN)
+    return F.array_distinct(F.array_remove(pieces, ""))
 
 
 def simhash(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "fp",

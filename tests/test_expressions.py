@@ -110,3 +110,13 @@ def test_subsampling_and_extension(spark):
     df = spark.createDataFrame([(95, "jpeg"), (80, "jpeg"), (10, "jpeg"), (95, "webp"), (95, "gif")], "q int, f string")
     got = [(r.s, r.e) for r in df.select(N.subsampling("q", "f").alias("s"), N.format_extension("f").alias("e")).collect()]
     assert got == [(0, "jpg"), (1, "jpg"), (2, "jpg"), (None, "webp"), (None, None)]
+
+
+def test_tokens_equal_letter_digit_runs(spark):
+    from hashsieve.operators.fingerprints import TOKEN_PATTERN, tokens
+    texts = ["", "   ", "--Hello, World!! hello", "Straße 12ab ÉCOLE école", "日本語テキスト and 中文", "a_b-c.d", None, "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_PATTERN), 0))
+    rows = df.select(F.sort_array(tokens("text")).alias("a"), F.sort_array(want).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+    assert rows[2].a == ["hello", "world"]
