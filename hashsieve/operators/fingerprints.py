@@ -39,17 +39,27 @@ def simhash(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "
     downstream).  ``keep`` columns must be functionally dependent on ``key``
     (they ride along in the grouping key).
 
-    Plan: explode (narrow) -> 64 partial sums per key in a codegen'd hash
-    aggregate -> one exchange of one small row per key and map task.  All JVM
+    Plan: explode (narrow) -> 32 partial sums per key (two bit counters per sum)
+    in a codegen'd hash aggregate -> one exchange of one small row per key and
+    map task.  All JVM
     side; the text itself never crosses a shuffle.
     """
     keys = [key] + list(keep or [])
     df = spread(df.select(*keys, text))
     toks = df.select(*keys, F.col(text).isNull().alias("_missing"), F.explode_outer(tokens(text)).alias("_tok"))
     hashed = toks.select(*keys, "_missing", md5_prefix_long("_tok").alias("_h"))
-    sums = [F.sum(F.shiftright("_h", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"_b{i}") for i in range(64)]
+    # Two counters per sum ("lanes"): (h >>> i) & (1 | 1 << 32) puts bit i in the
+    # low half and bit i + 32 in the high half, so 32 sums count all 64 bits.  A
+    # Spark string is < 2 GB, so a row has < 2^30 tokens: no lane can overflow.
+    lanes = F.lit((1 << 32) | 1).cast("long")
+    sums = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(lanes)).alias(f"_s{i}") for i in range(32)]
     agg = hashed.groupBy(*keys).agg(F.max("_missing").alias("_missing"), F.count("_h").alias("n_tokens"), *sums)
-    bits = [F.when(F.col(f"_b{i}") * 2 > F.col("n_tokens"), 1).otherwise(0) for i in range(64)]
+
+    def ones(bit: int):
+        v = F.col(f"_s{bit % 32}")
+        return F.shiftrightunsigned(v, 32) if bit >= 32 else v.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+
+    bits = [F.when(F.coalesce(ones(i), F.lit(0)) * 2 > F.col("n_tokens"), 1).otherwise(0) for i in range(64)]
     fp = F.when(~F.col("_missing"), pack_bits(bits))
     return agg.select(*keys, fp.alias(out), "n_tokens")
 
