@@ -120,7 +120,8 @@ def leader_rounds(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame
 
 
 def pivot_rounds(reps: DataFrame, threshold: int = DEFAULT_THRESHOLD,
-                 hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS, max_rounds: int = 10_000) -> tuple[DataFrame, int]:
+                 hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS, max_rounds: int = 10_000,
+                 references: int = 2) -> tuple[DataFrame, int]:
     """First-seen decisions without materialising the near-duplicate graph.
 
     ``reps``: ``rep_seq, fp`` (distinct fingerprints).  Each round works on the
@@ -128,9 +129,10 @@ def pivot_rounds(reps: DataFrame, threshold: int = DEFAULT_THRESHOLD,
 
     1. a *pivot* is a node of X with no earlier neighbour in X; it is unique;
     2. "has an earlier neighbour" is settled for most members of a dense group
-       by one comparison with the first member of each of its buckets (an
-       aggregation per bucket); only the rest are compared with the earlier
-       members of their buckets;
+       by comparing each member with the first member of each of its buckets
+       (an aggregation per bucket), then, for those still open, with the first
+       *open* member of the bucket (``references`` passes in all); only the
+       rest are compared with the earlier members of their buckets;
     3. the later neighbours of pivots are duplicates (pivots are pairwise more
        than t apart, so a bucket holds few of them).
 
@@ -151,12 +153,15 @@ def pivot_rounds(reps: DataFrame, threshold: int = DEFAULT_THRESHOLD,
         rounds += 1
         k = _cut(bucket_keys(x, t, "seq", "fp", hot_bucket_pairs))
         side_b = k.select(*BUCKET, F.col("seq").alias("b_seq"), F.col("fp").alias("b_fp"))
-        first = k.groupBy(*BUCKET).agg(F.min(F.struct("seq", "fp")).alias("m"))
-        near = (k.join(first, BUCKET)
-                .filter((F.col("seq") != F.col("m.seq"))
-                        & (F.bit_count(F.col("fp").bitwiseXOR(F.col("m.fp"))) <= t))
-                .select("seq").distinct())
-        open_k = k.join(near, "seq", "left_anti")
+        open_k = k
+        for _ in range(max(1, references)):
+            # the earliest open member of a bucket precedes every other open member
+            first = open_k.groupBy(*BUCKET).agg(F.min(F.struct("seq", "fp")).alias("m"))
+            near = (open_k.join(first, BUCKET)
+                    .filter((F.col("seq") != F.col("m.seq"))
+                            & (F.bit_count(F.col("fp").bitwiseXOR(F.col("m.fp"))) <= t))
+                    .select("seq").distinct())
+            open_k = _cut(open_k.join(near, "seq", "left_anti"))
         side_a = open_k.select(*BUCKET, F.col("seq").alias("a_seq"), F.col("fp").alias("a_fp"))
         hit = pairs(side_a, side_b, F.col("b_seq") < F.col("a_seq")).select(F.col("a_seq").alias("seq")).distinct()
         pivots = _cut(open_k.select("seq").distinct().join(hit, "seq", "left_anti"))
