@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import DEFAULT_THRESHOLD
 from ..session import cut_lineage
-from .similarity import (BUCKET, DEFAULT_HOT_BUCKET_PAIRS, bucket_keys, first_shared_bucket, match_struct,
-                         similarity_join)
+from .similarity import (BUCKET, DEFAULT_HOT_BUCKET_PAIRS, KeyScheme, auto_join, bucket_keys, estimated_rows,
+                         match_struct)
 
 # Candidate pairs per representative above which the edge rounds give way to
 # pivot rounds (dense groups of distinct near-copies).
@@ -65,8 +65,8 @@ def registry_matches(items: DataFrame, registry: DataFrame, threshold: int = DEF
     """
     fps = _std(items, seq, fp).filter(F.col("fp").isNotNull()).select("fp").distinct()
     reg = _std(registry, seq, fp).filter(F.col("fp").isNotNull())
-    pairs = similarity_join(fps.withColumn("id", F.col("fp")), reg, threshold, left_id="id", right_id="seq",
-                            hot_bucket_pairs=hot_bucket_pairs)
+    pairs = auto_join(fps.withColumn("id", F.col("fp")), reg, threshold, left_id="id", right_id="seq",
+                      hot_bucket_pairs=hot_bucket_pairs)
     return pairs.select(F.col("l_fp").alias("fp"), F.col("r_id").alias("r_seq"), "r_fp", "distance")
 
 
@@ -121,7 +121,7 @@ def leader_rounds(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame
 
 def pivot_rounds(reps: DataFrame, threshold: int = DEFAULT_THRESHOLD,
                  hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS, max_rounds: int = 10_000,
-                 references: int = 2) -> tuple[DataFrame, int]:
+                 references: int = 2, scheme: KeyScheme | None = None) -> tuple[DataFrame, int]:
     """First-seen decisions without materialising the near-duplicate graph.
 
     ``reps``: ``rep_seq, fp`` (distinct fingerprints).  Each round works on the
@@ -142,16 +142,18 @@ def pivot_rounds(reps: DataFrame, threshold: int = DEFAULT_THRESHOLD,
     """
     t = threshold
     x = _cut(reps.select(F.col("rep_seq").alias("seq"), "fp"))
+    scheme = scheme or KeyScheme.for_rows(t, estimated_rows(x))
+    BUCKET = scheme.cols  # noqa: N806 - bucket columns of the chosen scheme
     parts, rounds = [], 0
 
     def pairs(a: DataFrame, b: DataFrame, cond) -> DataFrame:
         j = a.join(b, BUCKET)
         return j.filter(cond & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= t)
-                        & first_shared_bucket(F.col("a_fp"), F.col("b_fp"), t))
+                        & scheme.canonical(F.col("a_fp"), F.col("b_fp")))
 
     while rounds < max_rounds and not x.isEmpty():
         rounds += 1
-        k = _cut(bucket_keys(x, t, "seq", "fp", hot_bucket_pairs))
+        k = _cut(scheme.keys(x, "seq", "fp", hot_bucket_pairs))
         side_b = k.select(*BUCKET, F.col("seq").alias("b_seq"), F.col("fp").alias("b_fp"))
         open_k = k
         for _ in range(max(1, references)):
@@ -219,8 +221,8 @@ def greedy_dedup(items: DataFrame, threshold: int = DEFAULT_THRESHOLD, registry:
     if strategy == "pivot":
         state, rounds = pivot_rounds(reps, threshold, hot_bucket_pairs)
     else:
-        edges = (similarity_join(reps, reps, threshold, left_id="rep_seq", right_id="rep_seq", order="lt",
-                                 hot_bucket_pairs=hot_bucket_pairs)
+        edges = (auto_join(reps, reps, threshold, left_id="rep_seq", right_id="rep_seq", order="lt",
+                           hot_bucket_pairs=hot_bucket_pairs)
                  .select(F.col("l_id").alias("i"), F.col("r_id").alias("j")))
         state, rounds = leader_rounds(edges)
     if stats is not None:

@@ -249,3 +249,152 @@ def closest_and_similar(pairs: DataFrame) -> DataFrame:
     m = match_struct()
     return (pairs.groupBy("l_id")
             .agg(F.min(m).alias("closest"), F.sort_array(F.collect_list(m)).alias("similar")))
+
+
+# ---------------------------------------------------------------- block tables
+# For large inputs the t+1 bands are too short (11 bits for t = 5): every
+# bucket holds N / 2^11 rows.  Splitting the 64 bits into b > t+1 blocks, two
+# fingerprints within t still agree on at least k = b - t whole blocks, so one
+# table per combination of k blocks (C(b, k) tables, keys of ~64 k / b bits)
+# finds every pair.  A pair is kept only in the table of its first k agreeing
+# blocks (the lexicographically first combination), so nothing is emitted twice.
+
+def table_count(blocks: int, threshold: int) -> int:
+    from math import comb
+    return comb(blocks, blocks - threshold)
+
+
+def choose_blocks(n_left: int, n_right: int, threshold: int = DEFAULT_THRESHOLD, max_blocks: int = 16,
+                  row_cost: float = 10.0) -> int:
+    """Pick the block count from a cost model: rows written to the shuffle
+    (``tables x (n_left + n_right)``, weighted by ``row_cost``) plus expected
+    candidate pairs of random fingerprints (``tables x n_left x n_right / 2^key_bits``)."""
+    best, best_cost = threshold + 1, None
+    for b in range(threshold + 1, max(threshold + 2, max_blocks + 1)):
+        k = b - threshold
+        widths = sorted((blk.width for blk in band_layout(b)))[:k]  # shortest key of a table
+        tables = table_count(b, threshold)
+        cost = tables * (n_left + n_right) * row_cost + tables * float(n_left) * float(n_right) / 2.0 ** sum(widths)
+        if best_cost is None or cost < best_cost:
+            best, best_cost = b, cost
+    return best
+
+
+class _Tables:
+    def __init__(self, threshold: int, blocks: int):
+        from itertools import combinations
+        self.t, self.b, self.k = threshold, blocks, blocks - threshold
+        self.layout = band_layout(blocks)
+        self.combos = list(combinations(range(blocks), self.k))
+        self.combo_mask = [sum(1 << i for i in c) for c in self.combos]
+
+    def keys(self, fp: Column) -> Column:
+        """Array of (table, key) for one fingerprint: compact (lookups, not one
+        expression per table)."""
+        off = F.array(*[F.array(*[F.lit(self.layout[i].offset) for i in c]) for c in self.combos])
+        wid = F.array(*[F.array(*[F.lit(self.layout[i].width) for i in c]) for c in self.combos])
+
+        def key(ci):
+            o, w = F.element_at(off, ci + 1), F.element_at(wid, ci + 1)
+            acc, shift = None, None
+            for j in range(self.k):
+                part = _shr(fp, F.element_at(o, j + 1)).bitwiseAND(_mask_w(F.element_at(w, j + 1)))
+                term = part if shift is None else _shl(part, shift)
+                acc = term if acc is None else acc.bitwiseOR(term)
+                shift = F.element_at(w, j + 1) if shift is None else shift + F.element_at(w, j + 1)
+            return F.struct(ci.alias("tbl"), acc.alias("tkey"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(len(self.combos) - 1)), key)
+
+    def first_table_mask(self, x: Column) -> Column:
+        """Bit mask of the first k blocks on which the pair agrees (x = a ^ b)."""
+        agree = None
+        for i, blk in enumerate(self.layout):
+            bit = F.when(_field(x, blk.offset, blk.width) == 0, F.lit(1 << i)).otherwise(F.lit(0))
+            agree = bit if agree is None else agree.bitwiseOR(bit)
+        m, acc = agree, F.lit(0)
+        for _ in range(self.k):
+            low = m.bitwiseAND(-m)
+            acc, m = acc.bitwiseOR(low), m.bitwiseXOR(low)
+        return acc
+
+
+def _mask_w(width: Column) -> Column:
+    # (1 << w) - 1, also for w = 64
+    return F.when(width >= 64, F.lit(-1).cast("long")).otherwise(_shl(F.lit(1).cast("long"), width) - F.lit(1).cast("long"))
+
+
+def table_join(left: DataFrame, right: DataFrame, threshold: int, blocks: int,
+               left_id: str = "id", right_id: str = "id", fp: str = "fp", order: str | None = None) -> DataFrame:
+    """DED-2 with ``blocks`` blocks and C(blocks, blocks - t) tables (exact)."""
+    if not threshold + 1 <= blocks <= HASH_BITS:
+        raise ValueError("need threshold + 1 <= blocks <= 64")
+    tb = _Tables(threshold, blocks)
+    l = left.select(F.col(left_id).alias("l_id"), F.col(fp).alias("l_fp")).filter(F.col("l_fp").isNotNull())
+    r = right.select(F.col(right_id).alias("r_id"), F.col(fp).alias("r_fp")).filter(F.col("r_fp").isNotNull())
+    lk = l.withColumn("_k", F.explode(tb.keys(F.col("l_fp")))).select("l_id", "l_fp", "_k.tbl", "_k.tkey")
+    rk = r.withColumn("_k", F.explode(tb.keys(F.col("r_fp")))).select("r_id", "r_fp", "_k.tbl", "_k.tkey")
+    pairs = lk.join(rk, ["tbl", "tkey"])
+    if order == "lt":
+        pairs = pairs.filter(F.col("l_id") < F.col("r_id"))
+    pairs = pairs.withColumn("_x", F.col("l_fp").bitwiseXOR(F.col("r_fp")))
+    pairs = pairs.withColumn("distance", F.bit_count(F.col("_x")).cast("int")).filter(F.col("distance") <= threshold)
+    keep = tb.first_table_mask(F.col("_x")) == _lookup(tb.combo_mask, F.col("tbl"))
+    return pairs.filter(keep).select("l_id", "l_fp", "r_id", "r_fp", "distance")
+
+
+# ---------------------------------------------------------------- scheme choice
+def estimated_rows(df: DataFrame, bytes_per_row: int = 16) -> int:
+    """Row estimate from the optimizer's statistics (no job is run)."""
+    try:
+        st = df._jdf.queryExecution().optimizedPlan().stats()
+        rc = st.rowCount()
+        if rc.isDefined():
+            return int(rc.get().toString())
+        return max(1, int(st.sizeInBytes().toString()) // bytes_per_row)
+    except Exception:  # noqa: BLE001 - statistics are advisory
+        return 1
+
+
+class KeyScheme:
+    """How fingerprints are keyed for an exact threshold self/cross join.
+
+    ``bands`` (b = t + 1, with hot buckets split a second time) for ordinary
+    sizes; ``tables`` (b > t + 1 blocks, one table per combination of b - t
+    blocks) when the row count makes 11-bit band keys too short.
+    """
+
+    def __init__(self, threshold: int, blocks: int | None = None):
+        self.t = threshold
+        self.blocks = blocks if blocks and blocks > threshold + 1 else threshold + 1
+        self.kind = "tables" if self.blocks > threshold + 1 else "bands"
+        self.cols = ["tbl", "tkey"] if self.kind == "tables" else list(BUCKET)
+        self._tables = _Tables(threshold, self.blocks) if self.kind == "tables" else None
+
+    @classmethod
+    def for_rows(cls, threshold: int, n_left: int, n_right: int | None = None) -> "KeyScheme":
+        return cls(threshold, choose_blocks(n_left, n_right if n_right is not None else n_left, threshold))
+
+    def keys(self, df: DataFrame, id_col: str = "seq", fp: str = "fp",
+             hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS) -> DataFrame:
+        """``seq, fp`` plus this scheme's bucket columns (one row per bucket)."""
+        if self.kind == "bands":
+            return bucket_keys(df, self.t, id_col, fp, hot_bucket_pairs)
+        d = df.select(F.col(id_col).alias("seq"), F.col(fp).alias("fp")).filter(F.col("fp").isNotNull())
+        return d.withColumn("_k", F.explode(self._tables.keys(F.col("fp")))).select("seq", "fp", "_k.tbl", "_k.tkey")
+
+    def canonical(self, a_fp: Column, b_fp: Column) -> Column:
+        """True on the one bucket row where a verified pair is counted."""
+        if self.kind == "bands":
+            return first_shared_bucket(a_fp, b_fp, self.t)
+        return self._tables.first_table_mask(a_fp.bitwiseXOR(b_fp)) == _lookup(self._tables.combo_mask, F.col("tbl"))
+
+
+def auto_join(left: DataFrame, right: DataFrame, threshold: int = DEFAULT_THRESHOLD,
+              left_id: str = "id", right_id: str = "id", fp: str = "fp", order: str | None = None,
+              hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS) -> DataFrame:
+    """DED-2 with the key scheme chosen from the estimated input sizes."""
+    scheme = KeyScheme.for_rows(threshold, estimated_rows(left), estimated_rows(right))
+    if scheme.kind == "bands":
+        return similarity_join(left, right, threshold, left_id, right_id, fp, order, hot_bucket_pairs)
+    return table_join(left, right, threshold, scheme.blocks, left_id, right_id, fp, order)

@@ -146,3 +146,17 @@ def test_auto_picks_pivot_for_dense_group(spark):
     st2 = {}
     dedup.greedy_dedup(spark.createDataFrame(_chains(100, 1), "seq long, fp long"), 5, stats=st2).count()
     assert st2["strategy"] == "edges"
+
+
+def test_pivot_rounds_with_block_tables(spark):
+    from hashsieve.operators.similarity import KeyScheme, estimated_rows
+    rows = _chains(200, 12) + _dense(2, 50, 12, flips=4)
+    rows = list({s: (s, f) for s, f in rows}.values())
+    df = spark.createDataFrame(rows, "seq long, fp long")
+    assert estimated_rows(df) >= 1
+    reps = df.groupBy("fp").agg(F.min("seq").alias("rep_seq"))
+    state, _ = dedup.pivot_rounds(reps, 5, scheme=KeyScheme(5, 8))
+    uniq = {r.node for r in state.filter("unique").collect()}
+    want = {s for s, a in _sequential(rows, 5).items() if a == "store_unique"}
+    rep_of = {r.rep_seq for r in reps.collect()}
+    assert uniq == want & rep_of

@@ -85,3 +85,20 @@ def test_two_sided_join_and_closest(spark):
 def test_null_fingerprints_never_match(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, 5)], "id long, fp long")
     assert similarity_join(df, df, 5, order="lt").count() == 0
+
+
+@pytest.mark.parametrize("threshold,blocks", [(5, 7), (5, 8), (3, 6), (1, 4), (0, 2)])
+def test_table_join_equals_brute_force(spark, threshold, blocks):
+    from hashsieve.operators.similarity import table_join
+    data = _clustered(300, seed=blocks * 10 + threshold)
+    df = spark.createDataFrame(data, "id long, fp long")
+    want = {tuple(r) for r in brute_force_join(df, df, threshold, order="lt").select("l_id", "r_id", "distance").collect()}
+    got = table_join(df, df, threshold, blocks, order="lt").select("l_id", "r_id", "distance").collect()
+    assert len(got) == len(set(map(tuple, got))), "a pair was emitted twice"
+    assert {tuple(r) for r in got} == want
+
+
+def test_choose_blocks_grows_with_rows():
+    from hashsieve.operators.similarity import choose_blocks
+    assert choose_blocks(10_000, 10_000, 5) == 6
+    assert choose_blocks(10**10, 10**10, 5) > 6
