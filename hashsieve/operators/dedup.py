@@ -142,7 +142,7 @@ def pivot_rounds(reps: DataFrame, threshold: int = DEFAULT_THRESHOLD,
     """
     t = threshold
     x = _cut(reps.select(F.col("rep_seq").alias("seq"), "fp"))
-    scheme = scheme or KeyScheme.for_rows(t, estimated_rows(x))
+    scheme = scheme or KeyScheme.for_rows(t, x.count())  # x is checkpointed
     BUCKET = scheme.cols  # noqa: N806 - bucket columns of the chosen scheme
     parts, rounds = [], 0
 
@@ -221,8 +221,9 @@ def greedy_dedup(items: DataFrame, threshold: int = DEFAULT_THRESHOLD, registry:
     if strategy == "pivot":
         state, rounds = pivot_rounds(reps, threshold, hot_bucket_pairs)
     else:
+        n = reps.count()  # reps is checkpointed: an exact, cheap count
         edges = (auto_join(reps, reps, threshold, left_id="rep_seq", right_id="rep_seq", order="lt",
-                           hot_bucket_pairs=hot_bucket_pairs)
+                           hot_bucket_pairs=hot_bucket_pairs, rows=(n, n))
                  .select(F.col("l_id").alias("i"), F.col("r_id").alias("j")))
         state, rounds = leader_rounds(edges)
     if stats is not None:

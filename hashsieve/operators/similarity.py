@@ -264,11 +264,18 @@ def table_count(blocks: int, threshold: int) -> int:
     return comb(blocks, blocks - threshold)
 
 
-def choose_blocks(n_left: int, n_right: int, threshold: int = DEFAULT_THRESHOLD, max_blocks: int = 16,
+# Below this many rows per side the t+1 bands, with hot buckets split a second
+# time, keep buckets small; block tables only pay off beyond it.
+MIN_ROWS_FOR_TABLES = 10_000_000
+
+
+def choose_blocks(n_left: int, n_right: int, threshold: int = DEFAULT_THRESHOLD, max_blocks: int = 10,
                   row_cost: float = 10.0) -> int:
     """Pick the block count from a cost model: rows written to the shuffle
     (``tables x (n_left + n_right)``, weighted by ``row_cost``) plus expected
     candidate pairs of random fingerprints (``tables x n_left x n_right / 2^key_bits``)."""
+    if max(n_left, n_right) < MIN_ROWS_FOR_TABLES:
+        return threshold + 1
     best, best_cost = threshold + 1, None
     for b in range(threshold + 1, max(threshold + 2, max_blocks + 1)):
         k = b - threshold
@@ -289,22 +296,13 @@ class _Tables:
         self.combo_mask = [sum(1 << i for i in c) for c in self.combos]
 
     def keys(self, fp: Column) -> Column:
-        """Array of (table, key) for one fingerprint: compact (lookups, not one
-        expression per table)."""
-        off = F.array(*[F.array(*[F.lit(self.layout[i].offset) for i in c]) for c in self.combos])
-        wid = F.array(*[F.array(*[F.lit(self.layout[i].width) for i in c]) for c in self.combos])
-
-        def key(ci):
-            o, w = F.element_at(off, ci + 1), F.element_at(wid, ci + 1)
-            acc, shift = None, None
-            for j in range(self.k):
-                part = _shr(fp, F.element_at(o, j + 1)).bitwiseAND(_mask_w(F.element_at(w, j + 1)))
-                term = part if shift is None else _shl(part, shift)
-                acc = term if acc is None else acc.bitwiseOR(term)
-                shift = F.element_at(w, j + 1) if shift is None else shift + F.element_at(w, j + 1)
-            return F.struct(ci.alias("tbl"), acc.alias("tkey"))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(len(self.combos) - 1)), key)
+        """(table, key) rows for one fingerprint: the key keeps the table's blocks'
+        bits in place (``fp & mask``), so it is one lookup per table."""
+        bit_masks = [sum(((1 << self.layout[i].width) - 1) << self.layout[i].offset for i in c) for c in self.combos]
+        signed = [m - (1 << 64) if m >= (1 << 63) else m for m in bit_masks]
+        masks = F.array(*[F.lit(m).cast("long") for m in signed])
+        tbl = F.sequence(F.lit(0), F.lit(len(self.combos) - 1))
+        return F.transform(tbl, lambda i: F.struct(i.alias("tbl"), fp.bitwiseAND(F.element_at(masks, i + 1)).alias("tkey")))
 
     def first_table_mask(self, x: Column) -> Column:
         """Bit mask of the first k blocks on which the pair agrees (x = a ^ b)."""
@@ -344,16 +342,27 @@ def table_join(left: DataFrame, right: DataFrame, threshold: int, blocks: int,
 
 
 # ---------------------------------------------------------------- scheme choice
-def estimated_rows(df: DataFrame, bytes_per_row: int = 16) -> int:
-    """Row estimate from the optimizer's statistics (no job is run)."""
+def estimated_rows(df: DataFrame, bytes_per_row: int = 16) -> int | None:
+    """Row estimate from the optimizer's statistics (no job is run); ``None``
+    when the plan has no usable statistics (Spark then reports its huge default
+    size)."""
     try:
         st = df._jdf.queryExecution().optimizedPlan().stats()
         rc = st.rowCount()
         if rc.isDefined():
-            return int(rc.get().toString())
-        return max(1, int(st.sizeInBytes().toString()) // bytes_per_row)
+            return int(str(rc.get()))
+        size = int(str(st.sizeInBytes()))
     except Exception:  # noqa: BLE001 - statistics are advisory
-        return 1
+        return None
+    if size >= 1 << 60:
+        return None
+    return max(1, size // bytes_per_row)
+
+
+def rows_of(df: DataFrame) -> int:
+    """Estimated rows, or an exact count when the plan has no statistics."""
+    n = estimated_rows(df)
+    return n if n is not None else df.count()
 
 
 class KeyScheme:
@@ -392,9 +401,11 @@ class KeyScheme:
 
 def auto_join(left: DataFrame, right: DataFrame, threshold: int = DEFAULT_THRESHOLD,
               left_id: str = "id", right_id: str = "id", fp: str = "fp", order: str | None = None,
-              hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS) -> DataFrame:
-    """DED-2 with the key scheme chosen from the estimated input sizes."""
-    scheme = KeyScheme.for_rows(threshold, estimated_rows(left), estimated_rows(right))
+              hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS, rows: tuple[int, int] | None = None) -> DataFrame:
+    """DED-2 with the key scheme chosen from the input sizes (``rows`` when the
+    caller knows them, else the optimizer's estimates)."""
+    nl, nr = rows if rows else (rows_of(left), rows_of(right))
+    scheme = KeyScheme.for_rows(threshold, nl, nr)
     if scheme.kind == "bands":
         return similarity_join(left, right, threshold, left_id, right_id, fp, order, hot_bucket_pairs)
     return table_join(left, right, threshold, scheme.blocks, left_id, right_id, fp, order)

@@ -87,7 +87,7 @@ def test_null_fingerprints_never_match(spark):
     assert similarity_join(df, df, 5, order="lt").count() == 0
 
 
-@pytest.mark.parametrize("threshold,blocks", [(5, 7), (5, 8), (3, 6), (1, 4), (0, 2)])
+@pytest.mark.parametrize("threshold,blocks", [(5, 7), (5, 8), (5, 10), (3, 6), (1, 4), (0, 2)])
 def test_table_join_equals_brute_force(spark, threshold, blocks):
     from hashsieve.operators.similarity import table_join
     data = _clustered(300, seed=blocks * 10 + threshold)
@@ -101,4 +101,5 @@ def test_table_join_equals_brute_force(spark, threshold, blocks):
 def test_choose_blocks_grows_with_rows():
     from hashsieve.operators.similarity import choose_blocks
     assert choose_blocks(10_000, 10_000, 5) == 6
-    assert choose_blocks(10**10, 10**10, 5) > 6
+    assert choose_blocks(5_000_000, 5_000_000, 5) == 6
+    assert 6 < choose_blocks(10**8, 10**8, 5) <= choose_blocks(10**10, 10**10, 5)
