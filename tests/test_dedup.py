@@ -149,11 +149,11 @@ def test_auto_picks_pivot_for_dense_group(spark):
 
 
 def test_pivot_rounds_with_block_tables(spark):
-    from hashsieve.operators.similarity import KeyScheme, estimated_rows
+    from hashsieve.operators.similarity import KeyScheme, rows_of
     rows = _chains(200, 12) + _dense(2, 50, 12, flips=4)
     rows = list({s: (s, f) for s, f in rows}.values())
     df = spark.createDataFrame(rows, "seq long, fp long")
-    assert estimated_rows(df) >= 1
+    assert rows_of(df) == len(rows)
     reps = df.groupBy("fp").agg(F.min("seq").alias("rep_seq"))
     state, _ = dedup.pivot_rounds(reps, 5, scheme=KeyScheme(5, 8))
     uniq = {r.node for r in state.filter("unique").collect()}
