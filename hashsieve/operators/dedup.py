@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import DEFAULT_THRESHOLD
 from ..session import cut_lineage
-from .similarity import (BUCKET, DEFAULT_HOT_BUCKET_PAIRS, KeyScheme, auto_join, bucket_keys, estimated_rows,
-                         match_struct)
+from .similarity import BUCKET, DEFAULT_HOT_BUCKET_PAIRS, KeyScheme, auto_join, bucket_keys, match_struct
 
 # Candidate pairs per representative above which the edge rounds give way to
 # pivot rounds (dense groups of distinct near-copies).

@@ -317,11 +317,6 @@ class _Tables:
         return acc
 
 
-def _mask_w(width: Column) -> Column:
-    # (1 << w) - 1, also for w = 64
-    return F.when(width >= 64, F.lit(-1).cast("long")).otherwise(_shl(F.lit(1).cast("long"), width) - F.lit(1).cast("long"))
-
-
 def table_join(left: DataFrame, right: DataFrame, threshold: int, blocks: int,
                left_id: str = "id", right_id: str = "id", fp: str = "fp", order: str | None = None) -> DataFrame:
     """DED-2 with ``blocks`` blocks and C(blocks, blocks - t) tables (exact)."""

@@ -19,7 +19,6 @@ from ..streaming import ingest
 from . import standins as SI
 from .dedup_queries import _WALK_SQL, HEX
 from .registry import query
-from .table_queries import _state  # noqa: F401  (same fold definition)
 
 # Fixed value: number of micro-batches the documents arrive in.
 INGEST_BATCHES = 4
