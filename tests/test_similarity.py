@@ -103,3 +103,33 @@ def test_choose_blocks_grows_with_rows():
     assert choose_blocks(10_000, 10_000, 5) == 6
     assert choose_blocks(5_000_000, 5_000_000, 5) == 6
     assert 6 < choose_blocks(10**8, 10**8, 5) <= choose_blocks(10**10, 10**10, 5)
+
+
+def test_auto_join_switches_to_tables_and_stays_exact(spark):
+    from hashsieve.operators.similarity import KeyScheme, auto_join
+    assert KeyScheme.for_rows(5, 10**8).kind == "tables"
+    data = _clustered(250, seed=77)
+    df = spark.createDataFrame(data, "id long, fp long")
+    want = {tuple(r) for r in brute_force_join(df, df, 5, order="lt").select("l_id", "r_id").collect()}
+    big = auto_join(df, df, 5, order="lt", rows=(10**8, 10**8)).select("l_id", "r_id").collect()
+    small = auto_join(df, df, 5, order="lt").select("l_id", "r_id").collect()
+    assert {tuple(r) for r in big} == want == {tuple(r) for r in small}
+    assert len(big) == len(want)
+
+
+def test_banded_join_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    longs = st.sampled_from([0, -1, 1, -(1 << 63), (1 << 63) - 1]) | st.integers(-(1 << 63), (1 << 63) - 1)
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(longs, min_size=1, max_size=40), st.lists(st.integers(0, 63), max_size=40), st.integers(0, 6))
+    def check(base, flips, t):
+        vals = list(base) + [_signed((base[i % len(base)] ^ (1 << f)) & ((1 << 64) - 1)) for i, f in enumerate(flips)]
+        df = spark.createDataFrame(list(enumerate(vals)), "id long, fp long")
+        want = {tuple(r) for r in brute_force_join(df, df, t, order="lt").select("l_id", "r_id").collect()}
+        got = similarity_join(df, df, t, order="lt", hot_bucket_pairs=4).select("l_id", "r_id").collect()
+        assert len(got) == len(set(map(tuple, got))) and {tuple(r) for r in got} == want
+
+    check()
