@@ -160,3 +160,16 @@ def test_pivot_rounds_with_block_tables(spark):
     want = {s for s, a in _sequential(rows, 5).items() if a == "store_unique"}
     rep_of = {r.rep_seq for r in reps.collect()}
     assert uniq == want & rep_of
+
+
+def test_empty_and_all_identical(spark):
+    empty = spark.createDataFrame([], "seq long, fp long")
+    assert dedup.greedy_dedup(empty).count() == 0
+    assert reports.batch_summary(dedup.greedy_dedup(empty)).collect()[0].total_processed == 0
+    same = spark.createDataFrame([(i, 12345) for i in range(50)], "seq long, fp long")
+    got = {r.seq: r.action for r in dedup.greedy_dedup(same).collect()}
+    assert got[0] == "store_unique" and all(got[i] == "skip_duplicate" for i in range(1, 50))
+    m = {r.seq: r for r in dedup.duplicate_matches(dedup.greedy_dedup(same)).collect()}
+    assert len(m) == 49 and all(r.closest.seq == 0 and r.closest.distance == 0 for r in m.values())
+    none = spark.createDataFrame([(1, None), (2, None)], "seq long, fp long")
+    assert {r.action for r in dedup.greedy_dedup(none).collect()} == {"store_with_error"}
