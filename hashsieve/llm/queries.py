@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, quality
+from . import bpe, chat, exact_dedup, htmltext, langid, nearest, quality, warc
 
 QUERIES = {
+    "op2_nearest": nearest.op2_nearest,
+    "op3_warc": warc.op3_warc,
     "op5_bpe": bpe.op5_bpe,
+    "op6_language_id": langid.op6_language_id,
+    "op7_main_text": htmltext.op7_main_text,
     "op8_quality": quality.op8_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_chat": chat.op10_chat,
 }
 
 ORACLES = {
+    "op2_nearest": nearest.ORACLE,
+    "op3_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op10_chat": chat.ORACLE,
 }
