@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, htmltext, langid, nearest, quality, warc
+from . import bpe, chat, exact_dedup, htmltext, langid, minhash, nearest, quality, warc
 
 QUERIES = {
+    "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_nearest": nearest.op2_nearest,
     "op3_warc": warc.op3_warc,
     "op5_bpe": bpe.op5_bpe,
