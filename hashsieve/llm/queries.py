@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, htmltext, langid, minhash, nearest, quality, warc
+from . import bpe, chat, exact_dedup, htmltext, langid, minhash, mixing, nearest, quality, warc
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_nearest": nearest.op2_nearest,
     "op3_warc": warc.op3_warc,
+    "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op6_language_id": langid.op6_language_id,
     "op7_main_text": htmltext.op7_main_text,
