@@ -20,9 +20,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from hashsieve import plans  # noqa: E402
-from hashsieve.operators.similarity import brute_force_join, similarity_join  # noqa: E402
+from hashsieve.operators.similarity import similarity_join  # noqa: E402
 from hashsieve.plans import standins as SI  # noqa: E402
 from hashsieve.session import local_session  # noqa: E402
+from tests.brute import brute_force_join  # noqa: E402
 
 
 def run(df) -> None:

@@ -44,6 +44,12 @@ def py_round_sql(x: str, digits: int) -> str:
 
 
 def py_round(c, digits: int) -> Column:
+    """Half-even rounding of ``c`` times ``10^digits``, computed in double.
+
+    It differs from Python's ``round`` only where the decimal value is a tie but the
+    double is not: ``round(0.015, 2)`` is 0.01 there, and 0.02 here, because 0.015 * 100
+    is exactly 1.5 in double.
+    """
     col = _c(c).cast("double")
     s = float(10 ** digits)
     y = F.abs(col) * F.lit(s)

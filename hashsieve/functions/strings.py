@@ -50,7 +50,7 @@ def display_name(c) -> Column:
     """
     pieces = F.regexp_extract_all(F.regexp_replace(_c(c), "_", " "), F.lit(r"[A-Za-z]+|[^A-Za-z]+"), 0)
     cap = F.transform(pieces, lambda p: F.when(p.rlike("^[A-Za-z]"),
-                                                  F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20))))
+                                                  F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2)))))
                       .otherwise(p))
     return F.array_join(cap, "")
 

@@ -59,11 +59,13 @@ def batch_report(results: DataFrame, batch: str = "batch_id") -> DataFrame:
                  F.lit(" files successful ("), F.format_string("%.1f", F.bround(rate, 1)), F.lit("%)")).alias("message"))
 
 
-def batch_progress(results: DataFrame, batch: str = "batch_id", order: list[str] | None = None) -> DataFrame:
+def batch_progress(results: DataFrame, batch: str = "batch_id", order: list[str] | None = None,
+                   keep: list[str] | None = None) -> DataFrame:
     """WIN-1: progress before file i (i/n*100) and after it ((i+1)/n*100).
 
-    Positions come from ``running_within`` (no window over a whole batch)."""
-    r = running_within(results, [batch], order or ["position"], {"_cnt": F.lit(1)})
+    Positions come from ``running_within`` (no window over a whole batch); ``keep``
+    names the other columns wanted, since each of them is written once on the way."""
+    r = running_within(results, [batch], order or ["position"], {"_cnt": F.lit(1)}, keep=keep)
     i = F.col("_cnt") - 1
     n = F.col("_cnt_total")
     return (r.withColumn("progress_before", i / n * F.lit(100.0))
@@ -72,7 +74,7 @@ def batch_progress(results: DataFrame, batch: str = "batch_id", order: list[str]
 
 
 def eta(updates: DataFrame, key: str, ts: str, order: list[str], increment: str | None = None,
-        total: str | None = None) -> DataFrame:
+        total: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """WIN-2: a progress tracker per key, folded over its updates.
 
     ``current = min(running sum of increments, total)``; percentage (2 places),
@@ -83,7 +85,8 @@ def eta(updates: DataFrame, key: str, ts: str, order: list[str], increment: str
     """
     inc = F.col(increment) if increment else F.lit(1)
     secs = updates.withColumn("_t", F.col(ts).cast("timestamp").cast("double"))
-    r = running_within(secs, [key], order, {"_inc": inc.cast("long"), "_one": F.lit(1).cast("long")}, firsts=["_t"])
+    r = running_within(secs, [key], order, {"_inc": inc.cast("long"), "_one": F.lit(1).cast("long")}, firsts=["_t"],
+                       keep=None if keep is None else [*keep, *([total] if total else [])])
     tot = F.col(total) if total else F.col("_one_total")
     u = (r.withColumn("total", tot)
          .withColumn("current", F.least(F.col("_inc"), F.col("total")))

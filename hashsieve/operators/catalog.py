@@ -45,6 +45,14 @@ def listing_counts(catalog: DataFrame, product_type: str | None = None) -> DataF
     return filter_type(catalog, product_type).agg(F.count(F.lit(1)).alias("count")).withColumn("filter", F.lit(echo))
 
 
+def listing_counts_by(catalog: DataFrame, product_types: list[str | None]) -> DataFrame:
+    """AGG-8 for several filters in one pass: one row per entry of ``product_types`` (blank = all)."""
+    wanted = [F.count_if(F.lit(True) if _blank(t) else F.col("product_type") == F.lit(t)).alias(f"n{k}") for k, t in enumerate(product_types)]
+    rows = F.array(*[F.struct(F.col(f"n{k}").alias("count"), F.lit(ALL_FILTER if _blank(t) else t).alias("filter"))
+                     for k, t in enumerate(product_types)])
+    return catalog.agg(*wanted).select(F.inline(rows))
+
+
 def new_documents(uploads: DataFrame) -> DataFrame:
     """SNK-3 rows: catalogue documents for stored uploads (``original_filename`` ->
     ``.jpeg`` name; the upload time comes from the data, not the clock)."""
@@ -60,7 +68,8 @@ def delete_documents(catalog: DataFrame, deletes: DataFrame, key: str = "documen
     """
     ids = deletes.select(key).distinct()
     remaining = catalog.join(ids, key, "left_anti")
-    found = catalog.select(key).distinct().withColumn("_found", F.lit(True))
+    # the small request set travels, not the ids of the whole catalogue
+    found = catalog.join(ids, key, "left_semi").select(key).distinct().withColumn("_found", F.lit(True))
     report = (deletes.join(found, key, "left")
               .withColumn("outcome", F.when(F.col("_found"), F.lit("deleted")).otherwise(F.lit("not_found")))
               .drop("_found"))

@@ -8,10 +8,9 @@ with aggregations and joins, never collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import checked_broadcast
 
 from ..functions.strings import display_name, normalize_type
 
@@ -23,6 +22,11 @@ DESCRIPTION_PREFIX = "Custom "
 # ------------------------------------------------------------------------------
 
 
+def _stripped(c: Column) -> Column:
+    """Without white space of any kind at the ends; NULL becomes empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def base_types(spark) -> DataFrame:
     return spark.createDataFrame([(i, t, SOURCE_BASE) for i, t in enumerate(BASE_PRODUCT_TYPES)],
                                  "position LONG, product_type STRING, source STRING")
@@ -57,18 +61,18 @@ def add_types(types: DataFrame, requests: DataFrame) -> DataFrame:
     first request per type is found with an aggregation, not a window, so one
     popular name does not land in a single task.
     """
-    name = F.trim(F.coalesce(F.col("name"), F.lit("")))
+    name = _stripped(F.col("name"))
     r = requests.withColumn("_name", name).withColumn("product_type", normalize_type(F.col("_name")))
     valid = (F.col("_name") != "") & (F.col("product_type") != "")
     first = (r.filter(valid).groupBy("product_type").agg(F.min("position").alias("_first")))
     existing = types.select(F.col("product_type"), F.lit(True).alias("_exists"))
     out = (r.join(first, "product_type", "left")
-           .join(checked_broadcast(existing), "product_type", "left"))
+           .join(existing, "product_type", "left"))
     outcome = (F.when(F.col("_name") == "", F.lit("missing_name"))
                .when(F.col("product_type") == "", F.lit("invalid_name"))
                .when(F.col("_exists") | (F.col("position") != F.col("_first")), F.lit("exists"))
                .otherwise(F.lit("created")))
-    desc = F.trim(F.coalesce(F.col("description"), F.lit("")))
+    desc = _stripped(F.col("description"))
     return out.select("position", F.col("name"), "product_type", outcome.alias("outcome"),
                       F.when(outcome == "created", 200).otherwise(400).alias("status"),
                       F.when(desc != "", desc).otherwise(F.concat(F.lit(DESCRIPTION_PREFIX), F.lower(F.col("_name")))).alias("description"))
@@ -94,7 +98,7 @@ def remove_types(types: DataFrame, requests: DataFrame) -> DataFrame:
     """
     first = requests.groupBy("product_type").agg(F.min("position").alias("_first"))
     known = types.select("product_type", "source")
-    out = requests.join(first, "product_type").join(checked_broadcast(known), "product_type", "left")
+    out = requests.join(first, "product_type").join(known, "product_type", "left")
     status = (F.when(F.col("source") == SOURCE_BASE, F.lit(400))
               .when(F.col("source").isNull() | (F.col("position") != F.col("_first")), F.lit(404))
               .otherwise(F.lit(200)))
@@ -108,5 +112,5 @@ def types_after_remove(types: DataFrame, removals: DataFrame) -> DataFrame:
 
 def type_membership(requests: DataFrame, types: DataFrame, col: str = "product_type") -> tuple[DataFrame, DataFrame]:
     """JOI-1: (requests with a known type, requests with an unknown one)."""
-    t = checked_broadcast(types.select(F.col("product_type").alias(col)))
+    t = types.select(F.col("product_type").alias(col))
     return requests.join(t, col, "left_semi"), requests.join(t, col, "left_anti")

@@ -28,11 +28,15 @@ from ..session import cut_lineage
 
 
 def running_within(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column],
-                   firsts: list[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """Add ``<name>`` = running sum of each ``sums[name]`` (inclusive), ``<name>_total``
+                   firsts: list[str] | None = None, partitions: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` names the columns that travel besides group, order and sums (None: all of them).
+
+    Add ``<name>`` = running sum of each ``sums[name]`` (inclusive), ``<name>_total``
     = its group total, and ``<col>_first`` = the group minimum of each ``firsts`` column."""
     firsts = firsts or []
     d = df.withColumns({f"_v_{k}": v for k, v in sums.items()})
+    if keep is not None:
+        d = d.select(list(dict.fromkeys([*group, *order, *firsts, *keep, *(f"_v_{k}" for k in sums)])))
     keys = [F.col(c) for c in group + order]
     d = (d.repartitionByRange(partitions, *keys) if partitions else d.repartitionByRange(*keys))
     # the slice id must be the same in both uses below: materialise it once

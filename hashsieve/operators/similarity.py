@@ -1,38 +1,39 @@
 """Hamming-threshold joins over 64-bit fingerprints (DED-2, DED-3, DED-4).
 
 A join on ``bit_count(a ^ b) <= t`` is a theta join; Spark would run it as a
-nested loop.  It is rewritten as an *exact* equi-join:
-
-* Split the 64 bits into ``t + 1`` bands.  Two fingerprints at distance <= t
-  differ in at most t bands, so at least one band is identical (pigeonhole).
-* Explode every row into ``(band, band_value)`` keys, equi-join on the key, and
-  verify the real distance.  Catalyst plans this as a sort-merge or hash join
-  on the key with whole-stage codegen for the verify filter.
-* A pair that shares several bands would be produced once per shared band.
-  Instead of a ``distinct`` (another shuffle) a pair is kept only in the
-  *first* band it shares, a pure row-level predicate.
-* Hot buckets.  Random 11-bit band values put about N/2048 rows into each
-  bucket; real data (junk, templates) can put far more into one.  Buckets whose
-  pair count exceeds ``hot_bucket_pairs`` are split again: inside bucket
-  ``(b, v)`` the other ``64 - w_b`` bits must still be within t, so they are
-  cut into ``t + 1`` sub-bands and the pigeonhole argument applies a second
-  time.  Recall stays exact; the hot bucket's work drops by about 2^w.
-  The per-bucket count table has at most ``sum(2^w_b)`` rows (12,288 for
-  t = 5), so broadcasting it is bounded by the layout, not by the data.
+nested loop.  It is rewritten as an *exact* equi-join on masked fingerprints:
+
+* Split the 64 bits into ``b > t`` blocks.  Two fingerprints at distance <= t differ
+  in at most t blocks, so they agree on at least ``k = b - t`` of them.  One
+  table per combination of k blocks, keyed by ``fp & mask`` of the combination, brings
+  every such pair together (pigeonhole).  ``b = t + 1`` gives t + 1 tables of one
+  block each (*bands*); larger b gives more tables with longer, rarer keys.
+* Every row is exploded into its table keys, equi-joined, and verified.  A pair is
+  kept only in the table of the first k blocks on which it agrees, a row-level
+  predicate instead of a ``distinct`` (another shuffle).
+* Hot buckets.  A template can put very many rows under one key.  Buckets whose
+  pair count exceeds ``hot_bucket_pairs`` are split again, in every table layout: the bits
+  outside the table's mask must still be within t, so they are cut into t + 1
+  parts, each a second-level key, and the pigeonhole argument applies once
+  more.  Recall stays exact.
+* The layout follows from exact row counts and a cost model; all layouts give the same pairs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import DEFAULT_THRESHOLD, HASH_BITS
+from ..session import cut_lineage
 
-# Largest bucket-count table we are willing to broadcast (rows).
-MAX_BUCKET_TABLE = 1 << 20
 # Default pair budget per bucket before it is split a second time.
 DEFAULT_HOT_BUCKET_PAIRS = 4_000_000
+KEY = ["tbl", "tkey", "sub", "skey"]
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,8 @@ class Band:
 
     @property
     def mask(self) -> int:
-        return (1 << self.width) - 1
+        """The block's bits, in place."""
+        return ((1 << self.width) - 1) << self.offset
 
 
 def band_layout(n_bands: int, bits: int = HASH_BITS) -> list[Band]:
@@ -59,180 +61,179 @@ def band_layout(n_bands: int, bits: int = HASH_BITS) -> list[Band]:
     return out
 
 
-def _field(fp: Column, offset: int, width: int) -> Column:
-    v = F.shiftrightunsigned(fp, offset) if offset else fp
-    if width >= 64:
-        return v
-    return v.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-
+def _long(mask: int) -> Column:
+    """A 64-bit mask as a signed LONG literal."""
+    return F.lit(mask - (1 << 64) if mask >= (1 << 63) else mask).cast("long")
 
-def _shr(v: Column, n: Column) -> Column:
-    return F.call_function("shiftrightunsigned", v, n)
 
+def _longs(masks: list[int]) -> Column:
+    return F.array(*[_long(m) for m in masks])
 
-def _shl(v: Column, n: Column) -> Column:
-    return F.call_function("shiftleft", v, n)
 
+def _parts(mask: int, n: int) -> list[int]:
+    """The bits outside ``mask`` cut into n masks of nearly equal size; empty if there are fewer bits."""
+    bits = [i for i in range(HASH_BITS) if not mask >> i & 1]
+    if len(bits) < n:
+        return []
+    base, extra = divmod(len(bits), n)
+    out, at = [], 0
+    for i in range(n):
+        w = base + (i < extra)
+        out.append(sum(1 << b for b in bits[at:at + w]))
+        at += w
+    return out
 
-def _mask(width: Column) -> Column:
-    # (1 << w) - 1 for 0 < w < 64
-    return _shl(F.lit(1).cast("long"), width) - F.lit(1).cast("long")
 
+def table_count(blocks: int, threshold: int) -> int:
+    return comb(blocks, blocks - threshold)
 
-def _lookup(values: list[int], idx: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), idx + 1)
 
+# Below this many rows on the larger side the t + 1 bands, with hot buckets split a second
+# time, keep buckets small; more tables only pay off beyond it.
+MIN_ROWS_FOR_TABLES = 10_000_000
+MAX_BLOCKS = 10  # 252 tables for t = 5, chosen up to about 10^11 rows
 
-def _sub_layout(band: Band, threshold: int) -> list[Band]:
-    rest = HASH_BITS - band.width
-    return band_layout(min(threshold + 1, rest), rest) if rest > 0 else []
 
+def choose_blocks(n_left: int, n_right: int, threshold: int = DEFAULT_THRESHOLD, max_blocks: int = MAX_BLOCKS,
+                  row_cost: float = 10.0) -> int:
+    """Pick the block count from a cost model: rows written to the shuffle
+    (``tables x (n_left + n_right)``, weighted by ``row_cost``) plus expected
+    candidate pairs of random fingerprints (``tables x n_left x n_right / 2^key_bits``)."""
+    if max(n_left, n_right) < MIN_ROWS_FOR_TABLES:
+        return threshold + 1
+    best, best_cost = threshold + 1, None
+    for b in range(threshold + 1, min(HASH_BITS, max(threshold + 1, max_blocks)) + 1):
+        widths = sorted(blk.width for blk in band_layout(b))[:b - threshold]  # shortest key of a table
+        tables = table_count(b, threshold)
+        cost = tables * (n_left + n_right) * row_cost + tables * float(n_left) * float(n_right) / 2.0 ** sum(widths)
+        if best_cost is None or cost < best_cost:
+            best, best_cost = b, cost
+    return best
 
-class _Plan:
-    """Band and sub-band geometry as small literal tables indexed by band number,
-    so per-row expressions stay compact (one formula, not one per band)."""
 
-    def __init__(self, threshold: int):
-        self.layout = band_layout(threshold + 1)
-        self.n_sub = min(threshold + 1, HASH_BITS - max(b.width for b in self.layout))
-        self.off = [b.offset for b in self.layout]
-        self.width = [b.width for b in self.layout]
-        subs = [_sub_layout(b, threshold) for b in self.layout]
-        # sub-bands must exist for every band; only near t = 63 would one be empty,
-        # and then buckets are not split a second time
-        self.splittable = all(len(sl) == self.n_sub for sl in subs)
-        self.sub_off = [[s.offset for s in sl] + [0] * (self.n_sub - len(sl)) for sl in subs]
-        self.sub_w = [[s.width for s in sl] + [0] * (self.n_sub - len(sl)) for sl in subs]
+class KeyScheme:
+    """How fingerprints are keyed: ``blocks`` blocks, a table per combination of ``blocks - t`` of them."""
 
-    def remainder(self, fp: Column, band: Column) -> Column:
-        """The 64 - w bits outside the row's band, packed from bit 0."""
-        off, w = _lookup(self.off, band), _lookup(self.width, band)
-        hi = off + w
-        upper = F.when(hi < 64, _shr(fp, hi)).otherwise(F.lit(0).cast("long"))
-        low = fp.bitwiseAND(F.when(off > 0, _mask(off)).otherwise(F.lit(0).cast("long")))
-        return upper.bitwiseOR(F.when(hi < 64, _shl(low, F.lit(64) - hi)).otherwise(low))
+    def __init__(self, threshold: int, blocks: int | None = None):
+        if not 0 <= threshold < HASH_BITS:
+            raise ValueError("threshold must be in 0..63")
+        blocks = blocks or threshold + 1
+        if not threshold + 1 <= blocks <= HASH_BITS:
+            raise ValueError("need threshold + 1 <= blocks <= 64")
+        self.t, self.blocks, self.k = threshold, blocks, blocks - threshold
+        self.kind = "tables" if self.k > 1 else "bands"
+        self.layout = band_layout(blocks)
+        self.combos = list(combinations(range(blocks), self.k))
+        self.masks = [sum(self.layout[i].mask for i in c) for c in self.combos]
+        parts = [_parts(m, threshold + 1) for m in self.masks]
+        self.parts = parts if all(parts) else None  # near t = 63 too few bits are left to split by
 
-    def sub_fields(self, rem: Column, band: Column) -> Column:
-        """Array of the remainder's sub-band values (index = sub-band number)."""
-        offs = F.element_at(F.array(*[F.array(*[F.lit(o) for o in row]) for row in self.sub_off]), band + 1)
-        ws = F.element_at(F.array(*[F.array(*[F.lit(w) for w in row]) for row in self.sub_w]), band + 1)
-        return F.transform(F.sequence(F.lit(0), F.lit(self.n_sub - 1)),
-                           lambda i: _shr(rem, F.element_at(offs, i + 1)).bitwiseAND(_mask(F.element_at(ws, i + 1))))
+    @classmethod
+    def for_rows(cls, threshold: int, n_left: int, n_right: int | None = None) -> "KeyScheme":
+        return cls(threshold, choose_blocks(n_left, n_right if n_right is not None else n_left, threshold))
 
+    def tables(self, df: DataFrame, fp: str = "fp") -> DataFrame:
+        """One row per table: ``tbl`` and ``tkey``, the fingerprint masked to the table's blocks."""
+        return df.select("*", F.posexplode(F.array(*[F.col(fp).bitwiseAND(_long(m)) for m in self.masks])).alias("tbl", "tkey"))
 
-def _keys(df: DataFrame, fp: str, plan: _Plan, hot: DataFrame | None) -> DataFrame:
-    """Explode each row into its bucket keys ``(band, bkey, sub, skey)``.
+    def hot(self, left: DataFrame, right: DataFrame | None, rows: tuple[int, int], hot_bucket_pairs: int | None) -> DataFrame | None:
+        """Buckets to split, written (a bucket count is one small row); None when no bucket can be hot.
 
-    Rows in a hot bucket get second-level keys (``sub >= 0``) instead of the
-    plain band key (``sub = -1``).
-    """
-    fpc = F.col(fp)
-    entries = [F.struct(F.lit(b.index).alias("band"), _field(fpc, b.offset, b.width).alias("bkey")) for b in plan.layout]
-    k = df.withColumn("_k", F.explode(F.array(*entries))).select("*", "_k.band", "_k.bkey").drop("_k")
-    if hot is None:
-        return k.withColumn("sub", F.lit(-1)).withColumn("skey", F.lit(0).cast("long"))
-    k = k.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), ["band", "bkey"], "left")
-    subs = F.transform(plan.sub_fields(plan.remainder(fpc, F.col("band")), F.col("band")),
-                       lambda v, i: F.struct(i.alias("sub"), v.alias("skey")))
-    plain = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("skey")))
-    k = k.withColumn("_s", F.explode(F.when(F.col("_hot"), subs).otherwise(plain)))
-    return k.select("*", "_s.sub", "_s.skey").drop("_s", "_hot")
-
-
-def _hot_buckets(lk: DataFrame, rk: DataFrame, hot_bucket_pairs: int) -> DataFrame:
-    lc = lk.groupBy("band", "bkey").agg(F.count(F.lit(1)).alias("nl"))
-    rc = rk.groupBy("band", "bkey").agg(F.count(F.lit(1)).alias("nr"))
-    return (lc.join(rc, ["band", "bkey"])
-            .filter(F.col("nl") * F.col("nr") > F.lit(hot_bucket_pairs))
-            .select("band", "bkey"))
-
-
-def bucket_keys(df: DataFrame, threshold: int = DEFAULT_THRESHOLD, id_col: str = "seq", fp: str = "fp",
-                hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS) -> DataFrame:
-    """Bucket keys of a self-join: ``seq, fp, band, bkey, sub, skey`` (hot buckets
-    split a second time).  Two rows within ``threshold`` share at least one
-    key, and ``first_shared_bucket`` names exactly one of them."""
-    plan = _Plan(threshold)
-    d = df.select(F.col(id_col).alias("seq"), F.col(fp).alias("fp")).filter(F.col("fp").isNotNull())
-    hot = None
-    if hot_bucket_pairs is not None and plan.splittable and sum(1 << b.width for b in plan.layout) <= MAX_BUCKET_TABLE:
-        c = _keys(d, "fp", plan, None).groupBy("band", "bkey").agg(F.count(F.lit(1)).alias("n"))
-        hot = c.filter(F.col("n") * F.col("n") > F.lit(hot_bucket_pairs)).select("band", "bkey")
-    return _keys(d, "fp", plan, hot)
-
-
-def first_shared_bucket(a_fp: Column, b_fp: Column, threshold: int = DEFAULT_THRESHOLD) -> Column:
-    """True on the one bucket row where a verified pair is counted (needs the
-    ``band`` and ``sub`` columns of that row)."""
-    plan = _Plan(threshold)
-    x = a_fp.bitwiseXOR(b_fp)
-    first_band = F.array_position(F.array(*[_field(x, b.offset, b.width) == 0 for b in plan.layout]), F.lit(True)) - 1
-    rem_x = plan.remainder(x, F.col("band"))
-    first_sub = F.array_position(F.transform(plan.sub_fields(rem_x, F.col("band")), lambda v: v == 0), F.lit(True)) - 1
-    return (F.col("band") == first_band) & ((F.col("sub") < 0) | (F.col("sub") == first_sub))
-
-
-BUCKET = ["band", "bkey", "sub", "skey"]
+        ``left`` and ``right`` (None: a self-join) are the outputs of ``tables``.
+        """
+        if hot_bucket_pairs is None or self.parts is None or rows[0] * rows[1] <= hot_bucket_pairs:
+            return None
+        n = left.groupBy("tbl", "tkey").agg(F.count(F.lit(1)).alias("nl"))
+        if right is None:
+            n = n.withColumn("nr", F.col("nl"))
+        else:
+            n = n.join(right.groupBy("tbl", "tkey").agg(F.count(F.lit(1)).alias("nr")), ["tbl", "tkey"])
+        found = cut_lineage(n.filter(F.col("nl") * F.col("nr") > F.lit(hot_bucket_pairs)).select("tbl", "tkey"))
+        return None if found.isEmpty() else found
+
+    def split(self, keyed: DataFrame, hot: DataFrame | None, fp: str = "fp") -> DataFrame:
+        """Second-level keys ``sub``, ``skey``: one per part of the remaining bits in hot buckets, -1 and 0 elsewhere."""
+        if hot is None:
+            return keyed.withColumns({"sub": F.lit(-1), "skey": F.lit(0).cast("long")})
+        n = self.t + 1
+        keyed = keyed.join(hot.withColumn("_hot", F.lit(True)), ["tbl", "tkey"], "left")
+        flat = _longs([m for parts in self.parts for m in parts])
+        subs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.struct(
+            s.alias("sub"), F.col(fp).bitwiseAND(F.get(flat, F.col("tbl") * n + s)).alias("skey")))
+        plain = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("skey")))
+        return keyed.withColumn("_s", F.explode(F.when(F.col("_hot"), subs).otherwise(plain))).select("*", "_s.sub", "_s.skey").drop("_s", "_hot")
+
+    def canonical(self, x: Column, split: bool) -> Column:
+        """True on the one bucket row where a pair within t is counted; ``x`` is ``a ^ b``."""
+        agree = None
+        for i, blk in enumerate(self.layout):
+            bit = F.when(x.bitwiseAND(_long(blk.mask)) == 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+            agree = bit if agree is None else agree.bitwiseOR(bit)
+        first = F.lit(0).cast("long")
+        for _ in range(self.k):  # the k lowest bits that are set
+            rest = agree.bitwiseAND(F.bitwise_not(first))
+            first = first.bitwiseOR(rest.bitwiseAND(-rest)) if self.k > 1 else rest.bitwiseAND(-rest)
+        combo = F.get(F.array(*[F.lit(sum(1 << i for i in c)).cast("long") for c in self.combos]), F.col("tbl"))
+        keep = first == combo
+        if not split:
+            return keep
+        n = self.t + 1
+        flat = _longs([m for parts in self.parts for m in parts])
+        first_sub = F.coalesce(*[F.when(x.bitwiseAND(F.get(flat, F.col("tbl") * n + s)) == 0, F.lit(s)) for s in range(n)])
+        return keep & ((F.col("sub") < 0) | (F.col("sub") == first_sub))
+
+
+def _side(df: DataFrame, id_col: str, fp: str, prefix: str) -> DataFrame:
+    return df.select(F.col(id_col).alias(f"{prefix}_id"), F.col(fp).alias(f"{prefix}_fp")).filter(F.col(f"{prefix}_fp").isNotNull())
+
+
+def scheme_join(left: DataFrame, right: DataFrame, scheme: KeyScheme, rows: tuple[int, int], left_id: str = "id", right_id: str = "id",
+                fp: str = "fp", order: str | None = None, hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS) -> DataFrame:
+    """All pairs within the scheme's threshold: ``l_id, l_fp, r_id, r_fp, distance``, each once."""
+    lk, rk = scheme.tables(_side(left, left_id, fp, "l"), "l_fp"), scheme.tables(_side(right, right_id, fp, "r"), "r_fp")
+    same = left is right and left_id == right_id
+    hot = scheme.hot(lk, None if same else rk, rows, hot_bucket_pairs)
+    keys = KEY if hot is not None else KEY[:2]
+    if hot is not None:
+        lk, rk = scheme.split(lk, hot, "l_fp"), scheme.split(rk, hot, "r_fp")
+    pairs = lk.join(rk, keys)
+    if order == "lt":
+        pairs = pairs.filter(F.col("l_id") < F.col("r_id"))
+    x = F.col("l_fp").bitwiseXOR(F.col("r_fp"))
+    # the cheap distance test comes first; few pairs pass it
+    pairs = pairs.filter((F.bit_count(x) <= scheme.t) & scheme.canonical(x, hot is not None))
+    return pairs.select("l_id", "l_fp", "r_id", "r_fp", F.bit_count(x).cast("int").alias("distance"))
 
 
 def similarity_join(left: DataFrame, right: DataFrame, threshold: int = DEFAULT_THRESHOLD,
                     left_id: str = "id", right_id: str = "id", fp: str = "fp",
-                    order: str | None = None, hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS) -> DataFrame:
+                    order: str | None = None, hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS,
+                    rows: tuple[int, int] | None = None) -> DataFrame:
     """All pairs ``(l, r)`` with ``hamming(l.fp, r.fp) <= threshold`` (DED-2).
 
     Returns ``l_id, l_fp, r_id, r_fp, distance``.  ``order='lt'`` keeps only
     ``l_id < r_id`` (self-join edges from earlier to later).  Rows with a NULL
-    fingerprint never match.  Exact for any threshold below 64.
+    fingerprint never match.  Exact for any threshold below 64.  The layout follows
+    from the row counts: ``rows`` when the caller knows them, else they are counted.
     """
     if not 0 <= threshold < HASH_BITS:
         raise ValueError("threshold must be in 0..63")
-    plan = _Plan(threshold)
-    layout = plan.layout
-    l = left.select(F.col(left_id).alias("l_id"), F.col(fp).alias("l_fp")).filter(F.col("l_fp").isNotNull())
-    r = right.select(F.col(right_id).alias("r_id"), F.col(fp).alias("r_fp")).filter(F.col("r_fp").isNotNull())
-
-    hot = None
-    table_rows = sum(1 << b.width for b in layout)
-    if hot_bucket_pairs is not None and plan.splittable and table_rows <= MAX_BUCKET_TABLE:
-        if left is right and left_id == right_id:
-            # self-join: one count per bucket serves both sides (n * n pairs)
-            c = _keys(l, "l_fp", plan, None).groupBy("band", "bkey").agg(F.count(F.lit(1)).alias("n"))
-            hot = c.filter(F.col("n") * F.col("n") > F.lit(hot_bucket_pairs)).select("band", "bkey")
-        else:
-            hot = _hot_buckets(_keys(l, "l_fp", plan, None), _keys(r, "r_fp", plan, None), hot_bucket_pairs)
+    if rows is None:
+        n = left.count()
+        rows = (n, n if left is right else right.count())
+    return scheme_join(left, right, KeyScheme.for_rows(threshold, *rows), rows, left_id, right_id, fp, order, hot_bucket_pairs)
 
-    lk = _keys(l, "l_fp", plan, hot)
-    rk = _keys(r, "r_fp", plan, hot)
-    pairs = lk.join(rk, ["band", "bkey", "sub", "skey"])
-    if order == "lt":
-        pairs = pairs.filter(F.col("l_id") < F.col("r_id"))
-    # verify on x = l ^ r: the distance, then "this is the first band (and, in a
-    # split bucket, the first sub-band) where the pair agrees", so each pair is
-    # produced exactly once without a distinct
-    x = F.col("_x")
-    pairs = pairs.withColumn("_x", F.col("l_fp").bitwiseXOR(F.col("r_fp")))
-    pairs = pairs.withColumn("distance", F.bit_count(x).cast("int")).filter(F.col("distance") <= threshold)
-    zero_bands = F.array(*[_field(x, b.offset, b.width) == 0 for b in layout])
-    first_band = F.array_position(zero_bands, F.lit(True)) - 1
-    rem_x = plan.remainder(x, F.col("band"))
-    first_sub = F.array_position(F.transform(plan.sub_fields(rem_x, F.col("band")), lambda v: v == 0), F.lit(True)) - 1
-    keep = (F.col("band") == first_band) & ((F.col("sub") < 0) | (F.col("sub") == first_sub))
-    return pairs.filter(keep).select("l_id", "l_fp", "r_id", "r_fp", "distance")
-
-
-def brute_force_join(left: DataFrame, right: DataFrame, threshold: int = DEFAULT_THRESHOLD,
-                     left_id: str = "id", right_id: str = "id", fp: str = "fp", order: str | None = None) -> DataFrame:
-    """Reference implementation for tests: theta join on the distance.
-
-    Only for small fixtures; it compares every pair.
-    """
-    l = left.select(F.col(left_id).alias("l_id"), F.col(fp).alias("l_fp"))
-    r = right.select(F.col(right_id).alias("r_id"), F.col(fp).alias("r_fp"))
-    cond = F.bit_count(F.col("l_fp").bitwiseXOR(F.col("r_fp"))) <= threshold
-    if order == "lt":
-        cond = cond & (F.col("l_id") < F.col("r_id"))
-    return (l.join(r, cond)
-            .select("l_id", "l_fp", "r_id", "r_fp", F.bit_count(F.col("l_fp").bitwiseXOR(F.col("r_fp"))).cast("int").alias("distance")))
+
+auto_join = similarity_join
+
+
+def table_join(left: DataFrame, right: DataFrame, threshold: int, blocks: int,
+               left_id: str = "id", right_id: str = "id", fp: str = "fp", order: str | None = None,
+               hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS) -> DataFrame:
+    """DED-2 with a given number of blocks."""
+    n = left.count()
+    rows = (n, n if left is right else right.count())
+    return scheme_join(left, right, KeyScheme(threshold, blocks), rows, left_id, right_id, fp, order, hot_bucket_pairs)
 
 
 def match_struct(distance="distance", seq="r_id", fp="r_fp") -> Column:
@@ -249,158 +250,3 @@ def closest_and_similar(pairs: DataFrame) -> DataFrame:
     m = match_struct()
     return (pairs.groupBy("l_id")
             .agg(F.min(m).alias("closest"), F.sort_array(F.collect_list(m)).alias("similar")))
-
-
-# ---------------------------------------------------------------- block tables
-# For large inputs the t+1 bands are too short (11 bits for t = 5): every
-# bucket holds N / 2^11 rows.  Splitting the 64 bits into b > t+1 blocks, two
-# fingerprints within t still agree on at least k = b - t whole blocks, so one
-# table per combination of k blocks (C(b, k) tables, keys of ~64 k / b bits)
-# finds every pair.  A pair is kept only in the table of its first k agreeing
-# blocks (the lexicographically first combination), so nothing is emitted twice.
-
-def table_count(blocks: int, threshold: int) -> int:
-    from math import comb
-    return comb(blocks, blocks - threshold)
-
-
-# Below this many rows per side the t+1 bands, with hot buckets split a second
-# time, keep buckets small; block tables only pay off beyond it.
-MIN_ROWS_FOR_TABLES = 10_000_000
-
-
-def choose_blocks(n_left: int, n_right: int, threshold: int = DEFAULT_THRESHOLD, max_blocks: int = 10,
-                  row_cost: float = 10.0) -> int:
-    """Pick the block count from a cost model: rows written to the shuffle
-    (``tables x (n_left + n_right)``, weighted by ``row_cost``) plus expected
-    candidate pairs of random fingerprints (``tables x n_left x n_right / 2^key_bits``)."""
-    if max(n_left, n_right) < MIN_ROWS_FOR_TABLES:
-        return threshold + 1
-    best, best_cost = threshold + 1, None
-    for b in range(threshold + 1, max(threshold + 2, max_blocks + 1)):
-        k = b - threshold
-        widths = sorted((blk.width for blk in band_layout(b)))[:k]  # shortest key of a table
-        tables = table_count(b, threshold)
-        cost = tables * (n_left + n_right) * row_cost + tables * float(n_left) * float(n_right) / 2.0 ** sum(widths)
-        if best_cost is None or cost < best_cost:
-            best, best_cost = b, cost
-    return best
-
-
-class _Tables:
-    def __init__(self, threshold: int, blocks: int):
-        from itertools import combinations
-        self.t, self.b, self.k = threshold, blocks, blocks - threshold
-        self.layout = band_layout(blocks)
-        self.combos = list(combinations(range(blocks), self.k))
-        self.combo_mask = [sum(1 << i for i in c) for c in self.combos]
-
-    def keys(self, fp: Column) -> Column:
-        """(table, key) rows for one fingerprint: the key keeps the table's blocks'
-        bits in place (``fp & mask``), so it is one lookup per table."""
-        bit_masks = [sum(((1 << self.layout[i].width) - 1) << self.layout[i].offset for i in c) for c in self.combos]
-        signed = [m - (1 << 64) if m >= (1 << 63) else m for m in bit_masks]
-        masks = F.array(*[F.lit(m).cast("long") for m in signed])
-        tbl = F.sequence(F.lit(0), F.lit(len(self.combos) - 1))
-        return F.transform(tbl, lambda i: F.struct(i.alias("tbl"), fp.bitwiseAND(F.element_at(masks, i + 1)).alias("tkey")))
-
-    def first_table_mask(self, x: Column) -> Column:
-        """Bit mask of the first k blocks on which the pair agrees (x = a ^ b)."""
-        agree = None
-        for i, blk in enumerate(self.layout):
-            bit = F.when(_field(x, blk.offset, blk.width) == 0, F.lit(1 << i)).otherwise(F.lit(0))
-            agree = bit if agree is None else agree.bitwiseOR(bit)
-        m, acc = agree, F.lit(0)
-        for _ in range(self.k):
-            low = m.bitwiseAND(-m)
-            acc, m = acc.bitwiseOR(low), m.bitwiseXOR(low)
-        return acc
-
-
-def table_join(left: DataFrame, right: DataFrame, threshold: int, blocks: int,
-               left_id: str = "id", right_id: str = "id", fp: str = "fp", order: str | None = None) -> DataFrame:
-    """DED-2 with ``blocks`` blocks and C(blocks, blocks - t) tables (exact)."""
-    if not threshold + 1 <= blocks <= HASH_BITS:
-        raise ValueError("need threshold + 1 <= blocks <= 64")
-    tb = _Tables(threshold, blocks)
-    l = left.select(F.col(left_id).alias("l_id"), F.col(fp).alias("l_fp")).filter(F.col("l_fp").isNotNull())
-    r = right.select(F.col(right_id).alias("r_id"), F.col(fp).alias("r_fp")).filter(F.col("r_fp").isNotNull())
-    lk = l.withColumn("_k", F.explode(tb.keys(F.col("l_fp")))).select("l_id", "l_fp", "_k.tbl", "_k.tkey")
-    rk = r.withColumn("_k", F.explode(tb.keys(F.col("r_fp")))).select("r_id", "r_fp", "_k.tbl", "_k.tkey")
-    pairs = lk.join(rk, ["tbl", "tkey"])
-    if order == "lt":
-        pairs = pairs.filter(F.col("l_id") < F.col("r_id"))
-    pairs = pairs.withColumn("_x", F.col("l_fp").bitwiseXOR(F.col("r_fp")))
-    pairs = pairs.withColumn("distance", F.bit_count(F.col("_x")).cast("int")).filter(F.col("distance") <= threshold)
-    keep = tb.first_table_mask(F.col("_x")) == _lookup(tb.combo_mask, F.col("tbl"))
-    return pairs.filter(keep).select("l_id", "l_fp", "r_id", "r_fp", "distance")
-
-
-# ---------------------------------------------------------------- scheme choice
-def estimated_rows(df: DataFrame, bytes_per_row: int = 16) -> int | None:
-    """Row estimate from the optimizer's statistics (no job is run); ``None``
-    when the plan has no usable statistics (Spark then reports its huge default
-    size)."""
-    try:
-        st = df._jdf.queryExecution().optimizedPlan().stats()
-        rc = st.rowCount()
-        if rc.isDefined():
-            return int(str(rc.get()))
-        size = int(str(st.sizeInBytes()))
-    except Exception:  # noqa: BLE001 - statistics are advisory
-        return None
-    if size >= 1 << 60:
-        return None
-    return max(1, size // bytes_per_row)
-
-
-def rows_of(df: DataFrame) -> int:
-    """Estimated rows, or an exact count when the plan has no statistics."""
-    n = estimated_rows(df)
-    return n if n is not None else df.count()
-
-
-class KeyScheme:
-    """How fingerprints are keyed for an exact threshold self/cross join.
-
-    ``bands`` (b = t + 1, with hot buckets split a second time) for ordinary
-    sizes; ``tables`` (b > t + 1 blocks, one table per combination of b - t
-    blocks) when the row count makes 11-bit band keys too short.
-    """
-
-    def __init__(self, threshold: int, blocks: int | None = None):
-        self.t = threshold
-        self.blocks = blocks if blocks and blocks > threshold + 1 else threshold + 1
-        self.kind = "tables" if self.blocks > threshold + 1 else "bands"
-        self.cols = ["tbl", "tkey"] if self.kind == "tables" else list(BUCKET)
-        self._tables = _Tables(threshold, self.blocks) if self.kind == "tables" else None
-
-    @classmethod
-    def for_rows(cls, threshold: int, n_left: int, n_right: int | None = None) -> "KeyScheme":
-        return cls(threshold, choose_blocks(n_left, n_right if n_right is not None else n_left, threshold))
-
-    def keys(self, df: DataFrame, id_col: str = "seq", fp: str = "fp",
-             hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS) -> DataFrame:
-        """``seq, fp`` plus this scheme's bucket columns (one row per bucket)."""
-        if self.kind == "bands":
-            return bucket_keys(df, self.t, id_col, fp, hot_bucket_pairs)
-        d = df.select(F.col(id_col).alias("seq"), F.col(fp).alias("fp")).filter(F.col("fp").isNotNull())
-        return d.withColumn("_k", F.explode(self._tables.keys(F.col("fp")))).select("seq", "fp", "_k.tbl", "_k.tkey")
-
-    def canonical(self, a_fp: Column, b_fp: Column) -> Column:
-        """True on the one bucket row where a verified pair is counted."""
-        if self.kind == "bands":
-            return first_shared_bucket(a_fp, b_fp, self.t)
-        return self._tables.first_table_mask(a_fp.bitwiseXOR(b_fp)) == _lookup(self._tables.combo_mask, F.col("tbl"))
-
-
-def auto_join(left: DataFrame, right: DataFrame, threshold: int = DEFAULT_THRESHOLD,
-              left_id: str = "id", right_id: str = "id", fp: str = "fp", order: str | None = None,
-              hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS, rows: tuple[int, int] | None = None) -> DataFrame:
-    """DED-2 with the key scheme chosen from the input sizes (``rows`` when the
-    caller knows them, else the optimizer's estimates)."""
-    nl, nr = rows if rows else (rows_of(left), rows_of(right))
-    scheme = KeyScheme.for_rows(threshold, nl, nr)
-    if scheme.kind == "bands":
-        return similarity_join(left, right, threshold, left_id, right_id, fp, order, hot_bucket_pairs)
-    return table_join(left, right, threshold, scheme.blocks, left_id, right_id, fp, order)

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import checked_broadcast
-
 from ..functions.strings import extension, human_size
 
 # ---------------------------------------------------------------- fixed values
@@ -30,11 +28,20 @@ ERR_FILE_SIZE = (3, 413)
 ERR_BATCH_SIZE = (4, 413)
 ERR_QUALITY = (5, 400)
 ERR_PRODUCT_TYPE = (6, 400)
+# Messages of the errors, in that order; values stand between the parts.
+MSG_NO_FILES = "No files provided."
+MSG_NO_NAME = "One or more files have no filename"
+MSG_EXTENSION = ("Only PSD files allowed for product uploads. File '", "' has extension: .")
+MSG_FILE_SIZE = ("File '", "' too large: ", ". Maximum allowed: ")
+MSG_BATCH_SIZE = ("Total batch size too large: ", ". Maximum allowed: ")
+MSG_QUALITY = "Quality must be between 1 and 100"
+MSG_PRODUCT_TYPE = ("Invalid product type '", "'. Allowed types: ")
 # ------------------------------------------------------------------------------
 
 
 def _blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
+    """NULL, empty, or white space of any kind only."""
+    return c.isNull() | ~c.rlike(r"(?U)\S")
 
 
 def retention(df: DataFrame, created_at: str, now, max_age_days: int = RETENTION_DAYS) -> DataFrame:
@@ -76,15 +83,14 @@ def file_errors(files: DataFrame, filename: str = "filename", size: str = "size"
     too_big = s > F.lit(max_bytes)
     err = (F.when(no_name, F.struct(F.lit(ERR_NO_NAME[0]).alias("priority"), F.col("position"),
                                     F.lit(ERR_NO_NAME[1]).alias("status"),
-                                    F.lit("One or more files have no filename").alias("message")))
+                                    F.lit(MSG_NO_NAME).alias("message")))
            .when(bad_ext, F.struct(F.lit(ERR_EXTENSION[0]).alias("priority"), F.col("position"),
                                    F.lit(ERR_EXTENSION[1]).alias("status"),
-                                   F.concat(F.lit("Only PSD files allowed for product uploads. File '"), n,
-                                            F.lit("' has extension: ."), ext).alias("message")))
+                                   F.concat(F.lit(MSG_EXTENSION[0]), n, F.lit(MSG_EXTENSION[1]), ext).alias("message")))
            .when(too_big, F.struct(F.lit(ERR_FILE_SIZE[0]).alias("priority"), F.col("position"),
                                    F.lit(ERR_FILE_SIZE[1]).alias("status"),
-                                   F.concat(F.lit("File '"), n, F.lit("' too large: "), human_size(s),
-                                            F.lit(". Maximum allowed: "), human_size(F.lit(max_bytes))).alias("message"))))
+                                   F.concat(F.lit(MSG_FILE_SIZE[0]), n, F.lit(MSG_FILE_SIZE[1]), human_size(s),
+                                            F.lit(MSG_FILE_SIZE[2]), human_size(F.lit(max_bytes))).alias("message"))))
     return files.withColumn("file_error", err)
 
 
@@ -95,7 +101,7 @@ def batch_admission(files: DataFrame, requests: DataFrame, product_types: DataFr
 
     ``files``: ``batch_id, position, filename, size``.  ``requests``: one row per
     batch, ``batch_id, product_type, quality, format`` (after FLT-3).
-    ``product_types``: the allowed dimension (small; broadcast).
+    ``product_types``: the allowed dimension (a small dimension; the planner broadcasts it).
 
     One aggregation per batch: ``min`` of the per-file error structs picks the
     first error in (priority, position) order, ``sum`` gives the batch size.
@@ -107,23 +113,21 @@ def batch_admission(files: DataFrame, requests: DataFrame, product_types: DataFr
     allowed_list = product_types.agg(F.array_join(F.sort_array(F.collect_list(F.struct("position", "product_type")))["product_type"], ", "))
     known = product_types.select(F.col("product_type").alias("_pt"), F.lit(True).alias("_known"))
     r = (requests.join(per_batch, batch, "left")
-         .join(checked_broadcast(known), F.col("product_type") == F.col("_pt"), "left")
+         .join(known, F.col("product_type") == F.col("_pt"), "left")
          .withColumn("allowed_types", allowed_list.scalar()))
     max_batch = max_bytes * BATCH_FACTOR
     fe_ = F.col("file_error")
     err = (F.when(F.coalesce(F.col("n_files"), F.lit(0)) == 0,
-                  F.struct(F.lit(ERR_NO_FILES[1]).alias("status"), F.lit("No files provided.").alias("message")))
+                  F.struct(F.lit(ERR_NO_FILES[1]).alias("status"), F.lit(MSG_NO_FILES).alias("message")))
            .when(fe_.isNotNull() & (fe_["priority"] < ERR_BATCH_SIZE[0]), F.struct(fe_["status"].alias("status"), fe_["message"].alias("message")))
            .when(F.col("total_size") > F.lit(max_batch),
                  F.struct(F.lit(ERR_BATCH_SIZE[1]).alias("status"),
-                          F.concat(F.lit("Total batch size too large: "), human_size(F.col("total_size")),
-                                   F.lit(". Maximum allowed: "), human_size(F.lit(max_batch))).alias("message")))
+                          F.concat(F.lit(MSG_BATCH_SIZE[0]), human_size(F.col("total_size")), F.lit(MSG_BATCH_SIZE[1]), human_size(F.lit(max_batch))).alias("message")))
            .when(~F.col("quality").between(QUALITY_MIN, QUALITY_MAX),
-                 F.struct(F.lit(ERR_QUALITY[1]).alias("status"), F.lit("Quality must be between 1 and 100").alias("message")))
+                 F.struct(F.lit(ERR_QUALITY[1]).alias("status"), F.lit(MSG_QUALITY).alias("message")))
            .when(F.col("_known").isNull(),
                  F.struct(F.lit(ERR_PRODUCT_TYPE[1]).alias("status"),
-                          F.concat(F.lit("Invalid product type '"), F.col("product_type"), F.lit("'. Allowed types: "),
-                                   F.col("allowed_types")).alias("message"))))
+                          F.concat(F.lit(MSG_PRODUCT_TYPE[0]), F.col("product_type"), F.lit(MSG_PRODUCT_TYPE[1]), F.col("allowed_types")).alias("message"))))
     return r.select(batch, "product_type", "quality", "format", F.coalesce(F.col("n_files"), F.lit(0)).alias("n_files"),
                     F.coalesce(F.col("total_size"), F.lit(0)).alias("total_size"),
                     err.isNull().alias("accepted"), err["status"].alias("status"), err["message"].alias("message"))

@@ -84,7 +84,7 @@ def ded2_similarity_join(spark, sf):
     """Distinct fingerprints within the threshold of each other (copies counted,
     not expanded into pairs)."""
     fps = SI.doc_fingerprints(spark, sf).filter(F.col("fp").isNotNull())
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
+    reps = dedup._cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")))
     pairs = similarity_join(reps, reps, T, left_id="first_doc", right_id="first_doc", order="lt")
     c = reps.select("first_doc", "copies")
     return (pairs.join(c.withColumnRenamed("first_doc", "l_id").withColumnRenamed("copies", "a_copies"), "l_id")
@@ -94,7 +94,7 @@ def ded2_similarity_join(spark, sf):
 
 
 # ------------------------------------------------------------------ DED-5 / 3 / 4
-_MATCH_SQL = f"""WITH {SI.SIMHASH_SQL}, {SI.REGISTRY_SQL},
+_MATCH_SQL = f"""WITH RECURSIVE {SI.SIMHASH_SQL}, {SI.REGISTRY_SQL},
 m AS (SELECT inc.doc_id, reg.seq, reg.fp AS rfp, {SI.dist_sql('inc.fp', 'reg.fp')} AS d
       FROM inc JOIN reg ON {SI.dist_sql('inc.fp', 'reg.fp')} <= {T}),
 agg AS (SELECT doc_id, first(seq ORDER BY d, seq) AS closest_doc, first(rfp ORDER BY d, seq) AS closest_fp,
@@ -104,10 +104,10 @@ agg AS (SELECT doc_id, first(seq ORDER BY d, seq) AS closest_doc, first(rfp ORDE
 """
 
 
-def _checked(spark, sf):
-    fps = dedup._cut(SI.doc_fingerprints(spark, sf))
+def _checked(spark, sf, lists=False):
+    fps = dedup._cut(SI.parsed(SI.doc_fingerprints(spark, sf)))
     reg, inc = SI.split_registry(spark, sf, fps)
-    return dedup.check_against_registry(inc, reg, T, seq="doc_id", fp="fp")
+    return dedup.check_against_registry(inc, reg, T, seq="doc_id", fp="fp", lists=lists)
 
 
 @query("ded5_check_against_registry", _MATCH_SQL + """
@@ -132,21 +132,26 @@ def ded3_closest_match(spark, sf):
 @query("ded4_similar_list", _MATCH_SQL + """
 SELECT doc_id, similar_list, n_similar FROM agg""")
 def ded4_similar_list(spark, sf):
-    c = _checked(spark, sf).filter("is_duplicate")
+    c = _checked(spark, sf, lists=True).filter("is_duplicate")
     lst = F.array_join(F.transform("similar", lambda x: F.concat(x["distance"].cast("string"), F.lit(":"), x["seq"].cast("string"))), ",")
     return c.select(F.col("seq").alias("doc_id"), lst.alias("similar_list"), F.col("n_similar").cast("long").alias("n_similar"))
 
 
 # ------------------------------------------------------------------ DED-6 and friends
-_WALK_SQL = f"""WITH RECURSIVE {SI.SIMHASH_SQL},
-{SI.greedy_walk_sql('fps', 'walk', T)},
+def _walk_sql(rows):
+    return f"""WITH RECURSIVE {SI.SIMHASH_SQL},
+{SI.greedy_walk_sql(rows, 'walk', T)},
 res AS ({SI.walk_result_sql('walk')})
 """
 
 
-def _batch(spark, sf):
-    fps = dedup._cut(SI.doc_fingerprints(spark, sf))
-    res = dedup.greedy_dedup(fps, T, seq="doc_id", fp="fp")
+_WALK_SQL, _WALK_ERRORS_SQL = _walk_sql("fps"), _walk_sql("fpe")  # the second with documents that fail to parse
+
+
+def _batch(spark, sf, errors=False):
+    fps = SI.doc_fingerprints(spark, sf)
+    fps = dedup._cut(SI.parsed(fps) if errors else fps)
+    res = dedup.greedy_dedup(fps, T, seq="doc_id", fp="fp", written=True)
     return fps, res
 
 
@@ -157,14 +162,14 @@ def ded6_batch_dedup(spark, sf):
     return r.select(F.col("seq").alias("doc_id"), long_to_hex("fp").alias("fp_hex"), "is_duplicate", "action")
 
 
-@query("agg1_batch_summary", _WALK_SQL + """
+@query("agg1_batch_summary", _WALK_ERRORS_SQL + """
 SELECT count(*) AS total_processed, count(*) FILTER (WHERE is_duplicate) AS duplicates_found,
        count(*) FILTER (WHERE action = 'store_unique') AS unique_images,
        count(*) FILTER (WHERE NOT is_duplicate AND action <> 'store_unique') AS errors,
        CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE is_duplicate) / count(*) * 100.0 ELSE 0.0 END AS duplicate_rate
 FROM res""")
 def agg1_batch_summary(spark, sf):
-    _, r = _batch(spark, sf)
+    _, r = _batch(spark, sf, errors=True)
     return reports.batch_summary(r)
 
 
@@ -193,18 +198,37 @@ def ded7_duplicate_reference(spark, sf):
             .withColumn("action", F.lit("kept_for_job")))
 
 
+# The registry is numbered behind the batch here: its entries still count as earlier.
+@query("ded7_registry_reference", f"""WITH RECURSIVE {SI.SIMHASH_SQL}, {SI.REGISTRY_SQL},
+{SI.greedy_walk_sql('inc', 'rwalk', T, initial='(SELECT coalesce(list(fp ORDER BY seq), []::UBIGINT[]) FROM reg)')},
+rres AS ({SI.walk_result_sql('rwalk')}),
+known AS (SELECT 0 AS origin, seq + 1000000000 AS seq, fp FROM reg UNION ALL SELECT 1, doc_id, fp FROM rres WHERE action = 'store_unique'),
+m AS (SELECT d.doc_id, k.origin, k.seq, k.fp, {SI.dist_sql('d.fp', 'k.fp')} AS distance FROM rres d
+      JOIN known k ON (k.origin = 0 OR k.seq < d.doc_id) AND {SI.dist_sql('d.fp', 'k.fp')} <= {T} WHERE d.is_duplicate)
+SELECT doc_id, first(origin ORDER BY distance, origin, seq) AS matched_origin, first(seq ORDER BY distance, origin, seq) AS matched_seq,
+       {HEX('first(fp ORDER BY distance, origin, seq)')} AS matched_fp_hex, min(distance) AS distance FROM m GROUP BY doc_id""")
+def ded7_registry_reference(spark, sf):
+    fps = dedup._cut(SI.parsed(SI.doc_fingerprints(spark, sf)))
+    reg, inc = SI.split_registry(spark, sf, fps)
+    reg = reg.select("fp", (F.col("seq") + 1_000_000_000).alias("seq"))
+    res = dedup.greedy_dedup(inc, T, registry=reg, seq="doc_id", fp="fp")
+    m = dedup.duplicate_matches(res, T, registry=reg)
+    return m.select(F.col("seq").alias("doc_id"), F.col("closest.origin").alias("matched_origin"), F.col("closest.seq").alias("matched_seq"),
+                    long_to_hex("closest.fp").alias("matched_fp_hex"), F.col("closest.distance").alias("distance"))
+
+
 def _stored_name_sql(fp: str) -> str:
     return (f"substr({HEX(fp)}, 1, 8) || '_doc_' || doc_id::VARCHAR || '_' || "
             f"strftime(TIMESTAMP '{SI.BATCH_TIME}', '%Y%m%d_%H%M%S') || '.txt'")
 
 
-@query("ded8_route_outcomes", _WALK_SQL + f"""
+@query("ded8_route_outcomes", _WALK_ERRORS_SQL + f"""
 SELECT doc_id,
        CASE action WHEN 'store_unique' THEN 'unique_stored' WHEN 'skip_duplicate' THEN 'duplicate_skipped' ELSE 'error' END AS route,
        CASE WHEN action = 'store_unique' THEN {_stored_name_sql('fp')} END AS stored_name
 FROM res""")
 def ded8_route_outcomes(spark, sf):
-    fps, r = _batch(spark, sf)
+    fps, r = _batch(spark, sf, errors=True)
     routed = dedup.route(r)
     path = F.concat(F.lit("doc_"), F.col("seq").cast("string"), F.lit(".txt"))
     name = S.hash_filename(path, long_to_hex("fp"), F.lit(SI.BATCH_TIME).cast("timestamp"))
@@ -230,13 +254,11 @@ newreg AS (SELECT fp, seq AS registered_seq, 'existing' AS origin FROM reg
 
 
 def _registry_run(spark, sf):
-    fps = dedup._cut(SI.doc_fingerprints(spark, sf))
+    fps = dedup._cut(SI.parsed(SI.doc_fingerprints(spark, sf)))
     reg, inc = SI.split_registry(spark, sf, fps)
     res = dedup.greedy_dedup(inc, T, registry=reg, seq="doc_id", fp="fp")
-    new = (reg.select("fp", F.col("seq").alias("registered_seq"), F.lit("existing").alias("origin"))
-           .unionByName(res.filter(F.col("action") == dedup.ACTION_UNIQUE)
-                        .select("fp", F.col("seq").alias("registered_seq"), F.lit("new").alias("origin"))))
-    return inc, res, new
+    new = dedup.register_uniques(reg.select("fp", F.col("seq").alias("registered_seq"), F.lit("existing").alias("origin")), res)
+    return inc, res, new.withColumn("origin", F.coalesce("origin", F.lit("new")))
 
 
 @query("ded9_register_uniques", _REG_WALK_SQL + f"""
@@ -280,11 +302,11 @@ def agg3_dedup_report(spark, sf):
     return rep.withColumn("recommendations", F.array_join("recommendations", " | "))
 
 
-@query("agg4_per_job_dedup", _WALK_SQL + """
+@query("agg4_per_job_dedup", _WALK_ERRORS_SQL + """
 SELECT d.source AS job_id, count(*) AS files_checked, count(*) FILTER (WHERE is_duplicate) AS duplicates_found,
        count(*) FILTER (WHERE NOT is_duplicate AND action <> 'store_with_error') AS unique_files
 FROM res JOIN documents d USING (doc_id) GROUP BY d.source""")
 def agg4_per_job_dedup(spark, sf):
-    fps, r = _batch(spark, sf)
+    fps, r = _batch(spark, sf, errors=True)
     j = r.join(fps.select(F.col("doc_id").alias("seq"), F.col("source").alias("job_id")), "seq")
     return reports.per_job_dedup(j, job="job_id")

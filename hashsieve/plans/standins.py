@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..operators.dedup import ACTION_UNIQUE, greedy_dedup
 from ..operators.fingerprints import simhash
 
 # Fixed stand-in parameters.
 BATCH_TIME = "2024-01-01 00:00:00"          # time used in hash-based names
 RETENTION_NOW = "2024-02-14 00:00:00"       # "now" of the retention run
 UPLOAD_ALLOWED = ["html"]                   # accepted extension of the page uploads
-UPLOAD_MAX_BYTES = 8_000                    # per-file limit of the page uploads
+UPLOAD_MAX_BYTES = 20_000                   # per-file limit of the page uploads
+UPLOAD_BATCH_FILES = 12                     # pages per upload batch
 CATALOGUE_TYPE = "standard"                 # type used by the catalogue filters
 LOOKUP_JOB = 42
 
@@ -39,20 +41,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ------------------------------------------------------------------ documents
 def doc_fingerprints(spark, sf_dir) -> DataFrame:
-    """``doc_id, source, fp, n_tokens`` for every document (FPR-8)."""
+    """``doc_id, source, n_chars, fp, n_tokens`` for every document (FPR-8)."""
     docs = table(spark, sf_dir, "documents")
-    return simhash(docs, key="doc_id", text="text", keep=["source"])
+    return simhash(docs, key="doc_id", text="text", keep=["source", "n_chars"])
+
+
+def parsed(fps: DataFrame) -> DataFrame:
+    """``fps`` as a job sees them that fails to read one document in 89 (by its length): no fingerprint there."""
+    return fps.withColumn("fp", F.when(F.coalesce(F.col("n_chars"), F.lit(1)) % 89 != 0, F.col("fp")))
 
 
 def split_registry(spark, sf_dir, fps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(registry, incoming): the registry holds the distinct fingerprints of the
-    labelled (reviewed) documents, keyed by fingerprint with the first doc as
-    its order; incoming is every unlabelled document."""
-    labels = table(spark, sf_dir, "labels").select("doc_id")
-    reg = (fps.join(labels, "doc_id", "left_semi").filter(F.col("fp").isNotNull())
-           .groupBy("fp").agg(F.min("doc_id").alias("seq")))
-    inc = fps.join(labels, "doc_id", "left_anti")
-    return reg, inc
+    """(registry, incoming): the registry is what DED-6 registers of the labelled
+    (reviewed) documents; incoming is every unlabelled document."""
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    first = greedy_dedup(fps.join(labels, "doc_id", "left_semi"), seq="doc_id", fp="fp")
+    reg = first.filter(F.col("action") == ACTION_UNIQUE).select("fp", "seq")
+    return reg, fps.join(labels, "doc_id", "left_anti")
 
 
 SIMHASH_SQL = r"""
@@ -62,15 +67,11 @@ sh_n AS (SELECT doc_id, count(*) AS n FROM sh_h GROUP BY doc_id),
 sh_b AS (SELECT doc_id, i, sum(((h >> i) & 1)::BIGINT) AS s FROM sh_h, range(64) r(i) GROUP BY doc_id, i),
 sh_f AS (SELECT sh_b.doc_id, sum(CASE WHEN 2 * s > sh_n.n THEN (1::UBIGINT << i) ELSE 0::UBIGINT END)::UBIGINT AS fp
          FROM sh_b JOIN sh_n USING (doc_id) GROUP BY sh_b.doc_id),
-fps AS MATERIALIZED (SELECT d.doc_id, d.source,
+fps AS MATERIALIZED (SELECT d.doc_id, d.source, d.n_chars,
                CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(sh_f.fp, 0::UBIGINT) END AS fp,
                coalesce(sh_n.n, 0) AS n_tokens
-        FROM documents d LEFT JOIN sh_f USING (doc_id) LEFT JOIN sh_n USING (doc_id))
-"""
-
-REGISTRY_SQL = """
-reg AS MATERIALIZED (SELECT fp, min(doc_id) AS seq FROM fps WHERE doc_id IN (SELECT doc_id FROM labels) AND fp IS NOT NULL GROUP BY fp),
-inc AS MATERIALIZED (SELECT doc_id, source, fp FROM fps WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+        FROM documents d LEFT JOIN sh_f USING (doc_id) LEFT JOIN sh_n USING (doc_id)),
+fpe AS MATERIALIZED (SELECT doc_id, source, CASE WHEN coalesce(n_chars, 1) % 89 <> 0 THEN fp END AS fp FROM fps)
 """
 
 
@@ -98,6 +99,14 @@ def greedy_walk_sql(rows: str, name: str, threshold: int = 5, initial: str = "[]
 )"""
 
 
+REGISTRY_SQL = f"""
+lab AS MATERIALIZED (SELECT doc_id, fp FROM fpe WHERE doc_id IN (SELECT doc_id FROM labels)),
+{greedy_walk_sql('lab', 'lwalk')},
+reg AS MATERIALIZED (SELECT fp, doc_id AS seq FROM lwalk WHERE rn > 0 AND fp IS NOT NULL AND NOT dup),
+inc AS MATERIALIZED (SELECT doc_id, source, fp FROM fpe WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+"""
+
+
 def walk_result_sql(name: str) -> str:
     """doc_id, fp, is_duplicate, action from a walk CTE."""
     return f"""SELECT doc_id, fp, dup AS is_duplicate,
@@ -122,6 +131,40 @@ files AS (SELECT (page_id // 2)::BIGINT AS batch_id, page_id AS position,
 """
 
 
+# Seven kinds of batches, by batch_id mod 7, so that every outcome of the admission occurs: 0 accepted, 1 a file without
+# name, 2 a wrong extension, 3 a file too large, 4 a total too large, 5 a bad quality, 6 an unknown type.  Requests with
+# negative batch ids have no files.
+def upload_batches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(files: ``batch_id, position, filename, size``; requests: ``batch_id, product_type, quality, format``) from pages."""
+    f = upload_files(spark, sf_dir)
+    batch = F.floor(F.col("page_id") / UPLOAD_BATCH_FILES).cast("long")
+    kind, at = F.pmod(F.col("batch_id"), F.lit(7)), F.pmod(F.col("page_id"), F.lit(UPLOAD_BATCH_FILES))
+    name = (F.when((kind == 1) & (at == 5), F.lit("")).when((kind == 2) & (at == 3), F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".psb")))
+            .otherwise(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html"))))
+    size = F.least(F.col("size"), F.lit(8000))
+    size = (F.when((kind == 3) & (at == 7), F.col("size") + UPLOAD_MAX_BYTES).when(kind == 4, F.lit(UPLOAD_MAX_BYTES)).otherwise(size)).cast("long")
+    files = f.withColumn("batch_id", batch).select("batch_id", F.col("page_id").alias("position"), name.alias("filename"), size.alias("size"))
+    ids = files.select("batch_id").distinct()
+    ids = ids.unionByName(ids.filter(F.col("batch_id") % 5 == 0).select((-1 - F.col("batch_id")).alias("batch_id")))
+    kind = F.pmod(F.col("batch_id"), F.lit(7))
+    return files, ids.select("batch_id", F.when(kind == 6, "Metal_Cards").otherwise("metal_cards").alias("product_type"),
+                             F.when(kind == 5, 0).otherwise(75).alias("quality"), F.lit("jpeg").alias("format"))
+
+
+UPLOAD_BATCHES_SQL = f"""{UPLOAD_FILES_SQL.strip()},
+ub AS (SELECT (page_id // {UPLOAD_BATCH_FILES})::BIGINT AS batch_id, page_id, size FROM files),
+bfiles AS (SELECT batch_id, page_id AS position,
+                  CASE WHEN batch_id % 7 = 1 AND page_id % {UPLOAD_BATCH_FILES} = 5 THEN ''
+                       WHEN batch_id % 7 = 2 AND page_id % {UPLOAD_BATCH_FILES} = 3 THEN 'page' || page_id::VARCHAR || '.psb'
+                       ELSE 'page' || page_id::VARCHAR || '.html' END AS filename,
+                  (CASE WHEN batch_id % 7 = 3 AND page_id % {UPLOAD_BATCH_FILES} = 7 THEN size + {UPLOAD_MAX_BYTES}
+                        WHEN batch_id % 7 = 4 THEN {UPLOAD_MAX_BYTES} ELSE least(size, 8000) END)::BIGINT AS size FROM ub),
+bids AS (SELECT DISTINCT batch_id FROM bfiles UNION ALL SELECT DISTINCT -1 - batch_id FROM bfiles WHERE batch_id % 5 = 0),
+breq AS (SELECT batch_id, CASE WHEN (batch_id % 7 + 7) % 7 = 6 THEN 'Metal_Cards' ELSE 'metal_cards' END AS product_type,
+                CASE WHEN (batch_id % 7 + 7) % 7 = 5 THEN 0 ELSE 75 END AS quality, 'jpeg' AS format FROM bids)
+"""
+
+
 # ------------------------------------------------------------------ lineitem
 def conversions(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
@@ -200,7 +243,7 @@ def upload_requests(spark, sf_dir) -> DataFrame:
     not normalised, so every default and the case trap are exercised."""
     part = table(spark, sf_dir, "part")
     pt = (F.when(F.col("p_type") == "PROMO", F.lit(None).cast("string"))
-          .when(F.col("p_type") == "ECONOMY", F.lit("   "))
+          .when(F.col("p_type") == "ECONOMY", F.lit(" \t\n "))
           .when(F.col("p_type") == "LARGE", F.col("p_type"))
           .otherwise(F.lower("p_type")))
     q = F.when(F.col("p_size") > 40, F.lit(None).cast("int")).otherwise(F.col("p_size") * 3)
@@ -210,15 +253,15 @@ def upload_requests(spark, sf_dir) -> DataFrame:
 
 UPLOAD_REQUESTS_SQL = """
 req AS (SELECT p_partkey,
-               CASE WHEN p_type = 'PROMO' THEN NULL WHEN p_type = 'ECONOMY' THEN '   ' WHEN p_type = 'LARGE' THEN p_type ELSE lower(p_type) END AS product_type,
+               CASE WHEN p_type = 'PROMO' THEN NULL WHEN p_type = 'ECONOMY' THEN ' ' || chr(9) || chr(10) || ' ' WHEN p_type = 'LARGE' THEN p_type ELSE lower(p_type) END AS product_type,
                CASE WHEN p_size > 40 THEN NULL ELSE p_size * 3 END AS quality,
                CASE WHEN suffix(p_brand, '1') THEN '' ELSE 'webp' END AS format
         FROM part),
 filled AS (SELECT p_partkey,
-                  CASE WHEN product_type IS NULL OR trim(product_type) = '' THEN 'metal_cards' ELSE product_type END AS product_type,
+                  CASE WHEN product_type IS NULL OR NOT regexp_matches(product_type, '\\S') THEN 'metal_cards' ELSE product_type END AS product_type,
                   coalesce(quality, 75) AS quality,
                   CASE WHEN format IS NULL OR trim(format) = '' THEN 'jpeg' ELSE format END AS format,
-                  array_to_string(list_filter([CASE WHEN product_type IS NULL OR trim(product_type) = '' THEN 'product_type' END,
+                  array_to_string(list_filter([CASE WHEN product_type IS NULL OR NOT regexp_matches(product_type, '\\S') THEN 'product_type' END,
                                                CASE WHEN quality IS NULL THEN 'quality' END,
                                                CASE WHEN format IS NULL OR trim(format) = '' THEN 'format' END], lambda x: x IS NOT NULL), ',') AS fallbacks
            FROM req)
@@ -237,14 +280,14 @@ def job_updates_from(ev: DataFrame) -> DataFrame:
                      F.col("props").alias("message"),
                      F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
                      F.when(F.col("event_type") == "view", F.concat(F.lit("file_"), F.col("event_id").cast("string"))).alias("current_file"),
-                     F.when(F.col("event_type") == "purchase", F.lit(True)).alias("is_batch"))
+                     F.when(F.col("event_type") == "purchase", F.col("event_id") % 2 == 0).alias("is_batch"))
 
 
 JOB_UPDATES_SQL = """
 upd AS (SELECT user_id AS job_id, ts, event_id, event_type AS status, value AS progress, props AS message,
                CASE WHEN event_type = 'error' THEN props END AS error,
                CASE WHEN event_type = 'view' THEN 'file_' || event_id::VARCHAR END AS current_file,
-               CASE WHEN event_type = 'purchase' THEN true END AS is_batch
+               CASE WHEN event_type = 'purchase' THEN event_id % 2 = 0 END AS is_batch
         FROM events),
 state AS (SELECT job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS created_at, count(*) AS n_updates,
                  arg_max(status, (ts, event_id)) FILTER (WHERE status IS NOT NULL) AS status,

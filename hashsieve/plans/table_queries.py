@@ -217,8 +217,8 @@ def flt1_registry_retention(spark, sf):
 
 def _admission_sql():
     mb = SI.UPLOAD_MAX_BYTES
-    return f"""WITH {SI.UPLOAD_FILES_SQL},
-fe AS (SELECT *, string_split(lower(filename), '.')[-1] AS ext FROM files),
+    return f"""WITH {SI.UPLOAD_BATCHES_SQL},
+fe AS (SELECT *, string_split(lower(filename), '.')[-1] AS ext FROM bfiles),
 fe2 AS (SELECT batch_id, position, size,
                CASE WHEN filename IS NULL OR filename = '' THEN 2 WHEN ext NOT IN ('html') THEN 2 WHEN size > {mb} THEN 3 END AS prio,
                CASE WHEN filename IS NULL OR filename = '' THEN 400 WHEN ext NOT IN ('html') THEN 400 WHEN size > {mb} THEN 413 END AS st,
@@ -231,11 +231,7 @@ pb AS (SELECT batch_id, count(*) AS n_files, sum(size)::BIGINT AS total_size,
               arg_min(st, (prio, position)) FILTER (WHERE prio IS NOT NULL) AS fst,
               arg_min(msg, (prio, position)) FILTER (WHERE prio IS NOT NULL) AS fmsg
        FROM fe2 GROUP BY batch_id),
-req AS (SELECT batch_id,
-               CASE WHEN starts_with(arg_min(url, position), 'https') THEN 'metal_cards' ELSE 'Metal_Cards' END AS product_type,
-               CASE WHEN contains(arg_min(url, position), '/fr/') THEN 0 ELSE 75 END AS quality, 'jpeg' AS format
-        FROM files GROUP BY batch_id),
-j AS (SELECT req.*, coalesce(pb.n_files, 0) AS n_files, coalesce(pb.total_size, 0) AS total_size, pb.fst, pb.fmsg FROM req LEFT JOIN pb USING (batch_id)),
+j AS (SELECT breq.*, coalesce(pb.n_files, 0) AS n_files, coalesce(pb.total_size, 0) AS total_size, pb.fst, pb.fmsg FROM breq LEFT JOIN pb USING (batch_id)),
 e AS (SELECT *,
         CASE WHEN n_files = 0 THEN 400 WHEN fst IS NOT NULL THEN fst WHEN total_size > {mb * 5} THEN 413
              WHEN NOT (quality BETWEEN 1 AND 100) THEN 400
@@ -250,12 +246,7 @@ SELECT batch_id, product_type, quality, format, n_files, total_size, status IS N
 
 @query("flt2_batch_admission", _admission_sql())
 def flt2_batch_admission(spark, sf):
-    files = SI.upload_files(spark, sf)
-    first = files.groupBy("batch_id").agg(F.min_by("url", "position").alias("_u"))
-    req = first.select("batch_id",
-                       F.when(F.col("_u").startswith("https"), F.lit("metal_cards")).otherwise(F.lit("Metal_Cards")).alias("product_type"),
-                       F.when(F.col("_u").contains("/fr/"), F.lit(0)).otherwise(F.lit(75)).alias("quality"),
-                       F.lit("jpeg").alias("format"))
+    files, req = SI.upload_batches(spark, sf)
     types = product_types.base_types(spark)
     return validation.batch_admission(files, req, types, allowed=SI.UPLOAD_ALLOWED, max_bytes=SI.UPLOAD_MAX_BYTES)
 
@@ -292,8 +283,7 @@ def top1_newest_n(spark, sf):
 SELECT count(*) AS count, 'all' AS filter FROM cat
 UNION ALL SELECT count(*), '{SI.CATALOGUE_TYPE}' FROM cat WHERE product_type = '{SI.CATALOGUE_TYPE}'""")
 def agg8_listing_counts(spark, sf):
-    c = SI.catalogue(spark, sf)
-    return catalog.listing_counts(c).unionByName(catalog.listing_counts(c, SI.CATALOGUE_TYPE))
+    return catalog.listing_counts_by(SI.catalogue(spark, sf), [None, SI.CATALOGUE_TYPE])
 
 
 _DELETES_SQL = """
@@ -320,11 +310,16 @@ def snk4_catalogue_remaining(spark, sf):
     return remaining.groupBy("product_type").agg(F.count(F.lit(1)).alias("remaining"))
 
 
+# Stand-in sizes in which every reason occurs: Spanish files are missing, one length in seven is an empty file, one in eleven has no height.
 @query("flt7_asset_quarantine", """
-SELECT doc_id, CASE WHEN text IS NULL THEN 'missing' WHEN coalesce(n_chars, 0) = 0 THEN 'empty' END AS reject_reason FROM documents""")
+SELECT doc_id, CASE WHEN text IS NULL OR lang = 'es' THEN 'missing' WHEN coalesce(n_chars, 0) % 7 = 0 THEN 'empty'
+                    WHEN coalesce(n_chars, 0) % 11 = 0 THEN 'zero_dimensions' END AS reject_reason FROM documents""")
 def flt7_asset_quarantine(spark, sf):
-    d = SI.table(spark, sf, "documents").withColumn("exists", F.col("text").isNotNull())
-    return validation.quarantine(d, size="n_chars", exists="exists").select("doc_id", "reject_reason")
+    n = F.coalesce(F.col("n_chars"), F.lit(0))
+    d = SI.table(spark, sf, "documents").select(
+        "doc_id", (F.col("text").isNotNull() & (F.col("lang") != "es")).alias("exists"), (n % 7).alias("size"),
+        F.lit(64).alias("width"), (n % 11).alias("height"))
+    return validation.quarantine(d, size="size", width="width", height="height", exists="exists").select("doc_id", "reject_reason")
 
 
 # ------------------------------------------------------------------ product types
@@ -418,7 +413,7 @@ w AS (SELECT l_orderkey, l_linenumber, l_partkey,
              count(*) OVER (PARTITION BY batch_id) AS n FROM conv)
 SELECT l_orderkey, l_linenumber, l_partkey, i / n * 100.0 AS progress_before, (i + 1) / n * 100.0 AS progress_after FROM w""")
 def win1_batch_progress(spark, sf):
-    p = batches.batch_progress(SI.conversions(spark, sf), order=SI.LINE_ORDER)
+    p = batches.batch_progress(SI.conversions(spark, sf), order=SI.LINE_ORDER, keep=["l_orderkey"])
     return p.select("l_orderkey", "l_linenumber", "l_partkey", "progress_before", "progress_after")
 
 
@@ -434,7 +429,7 @@ SELECT event_id, user_id, current, total, {py_round_sql('pct', 2)} AS percentage
 FROM p""")
 def win2_eta(spark, sf):
     ev = SI.table(spark, sf, "events")
-    t = batches.eta(ev, key="user_id", ts="ts", order=["ts", "event_id"])
+    t = batches.eta(ev, key="user_id", ts="ts", order=["ts", "event_id"], keep=[])
     return t.select("event_id", "user_id", "current", "total", "percentage", "elapsed_seconds", "remaining_seconds", "is_complete")
 
 
@@ -452,9 +447,16 @@ def job1_state_fold(spark, sf):
 
 
 @query("flt5_jobs_filter", f"""WITH {SI.JOB_UPDATES_SQL}
-SELECT job_id, status, progress FROM state WHERE status = 'click' AND NOT coalesce(is_batch, false)""")
+SELECT 'click, single' AS filter, job_id, status, progress FROM state WHERE status = 'click' AND NOT coalesce(is_batch, false)
+UNION ALL SELECT 'batch', job_id, status, progress FROM state WHERE coalesce(is_batch, false)
+UNION ALL SELECT 'view', job_id, status, progress FROM state WHERE status = 'view'
+UNION ALL SELECT 'view, batch', job_id, status, progress FROM state WHERE status = 'view' AND coalesce(is_batch, false)""")
 def flt5_jobs_filter(spark, sf):
-    return jobs.filter_jobs(_state(spark, sf), status="click", is_batch=False).select("job_id", "status", "progress")
+    state = _state(spark, sf)
+    parts = [jobs.filter_jobs(state, **asked).select(F.lit(name).alias("filter"), "job_id", "status", "progress")
+             for name, asked in (("click, single", {"status": "click", "is_batch": False}), ("batch", {"status": " ", "is_batch": True}),
+                                 ("view", {"status": "view"}), ("view, batch", {"status": "view", "is_batch": True}))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("flt6_job_lookup", f"""WITH {SI.JOB_UPDATES_SQL}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -63,9 +64,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder for intermediate tables, next to the checkpoints (shared storage)."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}"
+    """A folder for intermediate tables, next to the checkpoints (shared storage).
+
+    All of an application's tables lie in one folder, which is deleted when its driver ends.
+    """
+    sc = spark.sparkContext
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/{sc.applicationId}"
+    if getattr(sc, "_hashsieve_scratch", None) != folder:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._hashsieve_scratch = folder
+    return f"{folder}/{name}"
 
 
 def spread(df, min_partitions: int | None = None):
@@ -85,11 +96,14 @@ def spread(df, min_partitions: int | None = None):
 
 
 def cut_lineage(df):
-    """Reliable, eager checkpoint in the session's shared checkpoint folder.
+    """``df`` written as a table in the shared checkpoint folder, and read again.
 
     Used where later steps read the same rows several times and must see the
-    same values (or to keep iterative plans short).  Never a local checkpoint,
-    so the result survives the loss of the executor that computed it.
+    same values (or to keep iterative plans short).  The result survives the loss
+    of the executors that computed it, is computed once (a reliable checkpoint
+    runs its plan twice), and has the sizes the planner needs for its joins.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

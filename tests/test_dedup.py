@@ -149,11 +149,10 @@ def test_auto_picks_pivot_for_dense_group(spark):
 
 
 def test_pivot_rounds_with_block_tables(spark):
-    from hashsieve.operators.similarity import KeyScheme, rows_of
+    from hashsieve.operators.similarity import KeyScheme
     rows = _chains(200, 12) + _dense(2, 50, 12, flips=4)
     rows = list({s: (s, f) for s, f in rows}.values())
     df = spark.createDataFrame(rows, "seq long, fp long")
-    assert rows_of(df) == len(rows)
     reps = df.groupBy("fp").agg(F.min("seq").alias("rep_seq"))
     state, _ = dedup.pivot_rounds(reps, 5, scheme=KeyScheme(5, 8))
     uniq = {r.node for r in state.filter("unique").collect()}
@@ -162,6 +161,42 @@ def test_pivot_rounds_with_block_tables(spark):
     assert uniq == want & rep_of
 
 
+def test_auto_picks_edges_for_uniform_fingerprints(spark):
+    """Random bucket collisions are not density: 200,000 uniform fingerprints collide thousands of times per bucket."""
+    df = spark.range(200_000).select(F.col("id").alias("rep_seq"), F.xxhash64("id").alias("fp"))
+    assert dedup.near_pairs_per_row(df, 200_000) < dedup.EDGE_PAIRS_PER_ROW
+
+
+def test_leader_rounds_of_a_long_chain(spark):
+    """One round decides little of a chain; no limit on rounds stops it."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "i long, j long")
+    dups, rounds = dedup.leader_rounds(edges)
+    assert sorted(r.node for r in dups.collect()) == [1, 3, 5, 7, 9, 11] and rounds == 6
+    one, rounds = dedup.leader_rounds(edges.limit(1))
+    assert [r.node for r in one.collect()] == [1] and rounds == 1
+
+
+def test_matches_in_a_registry_numbered_later(spark):
+    reg = spark.createDataFrame([(1000, 0), (1001, 0xFFFF)], "seq long, fp long")
+    batch = spark.createDataFrame([(1, 1), (2, 0xF0F0F0F000), (3, 0xF0F0F0F001), (4, 0xFFFE)], "seq long, fp long")
+    res = dedup.greedy_dedup(batch, registry=reg)
+    m = {r.seq: r.closest for r in dedup.duplicate_matches(res, registry=reg).collect()}
+    assert {s: (c.distance, c.origin, c.seq) for s, c in m.items()} == {1: (1, 0, 1000), 3: (1, 1, 2), 4: (1, 0, 1001)}
+
+
+def test_hot_fingerprint_join_is_splittable(spark):
+    """The label join has a plain exchange on both sides (what the skew join needs)."""
+    reg = spark.range(50).select(F.col("id").alias("seq"), F.xxhash64("id").alias("fp"))
+    inc = spark.range(500).select(F.col("id").alias("seq"), F.xxhash64(F.col("id") % 60).alias("fp"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = dedup.check_against_registry(inc, reg, lists=False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "HashAggregate" not in plan and plan.count("ENSURE_REQUIREMENTS") >= 2
+
+
 def test_empty_and_all_identical(spark):
     empty = spark.createDataFrame([], "seq long, fp long")
     assert dedup.greedy_dedup(empty).count() == 0

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from hashsieve.functions.hashing import hamming_hex, hex_to_long, long_to_hex
-from hashsieve.operators.similarity import band_layout, brute_force_join, closest_and_similar, similarity_join
+from hashsieve.operators.similarity import band_layout, closest_and_similar, similarity_join
+
+from .brute import brute_force_join
 
 
 def _signed(v):
@@ -93,9 +95,10 @@ def test_table_join_equals_brute_force(spark, threshold, blocks):
     data = _clustered(300, seed=blocks * 10 + threshold)
     df = spark.createDataFrame(data, "id long, fp long")
     want = {tuple(r) for r in brute_force_join(df, df, threshold, order="lt").select("l_id", "r_id", "distance").collect()}
-    got = table_join(df, df, threshold, blocks, order="lt").select("l_id", "r_id", "distance").collect()
-    assert len(got) == len(set(map(tuple, got))), "a pair was emitted twice"
-    assert {tuple(r) for r in got} == want
+    for hot in (4_000_000, 3):  # with and without splitting hot buckets
+        got = table_join(df, df, threshold, blocks, order="lt", hot_bucket_pairs=hot).select("l_id", "r_id", "distance").collect()
+        assert len(got) == len(set(map(tuple, got))), "a pair was emitted twice"
+        assert {tuple(r) for r in got} == want
 
 
 def test_choose_blocks_grows_with_rows():
@@ -105,6 +108,25 @@ def test_choose_blocks_grows_with_rows():
     assert 6 < choose_blocks(10**8, 10**8, 5) <= choose_blocks(10**10, 10**10, 5)
 
 
+def test_hot_buckets_of_tables_are_split(spark):
+    """Every row agrees on three of eight blocks: without splitting, one key of a table would hold all of them."""
+    from hashsieve.operators.similarity import KeyScheme, scheme_join
+    rnd = random.Random(3)
+    data = [(i, _signed((rnd.getrandbits(40) << 24) | 0xABCDEF)) for i in range(400)]
+    data += [(400 + i, _signed((data[i][1] & ((1 << 64) - 1)) ^ (1 << (24 + i % 40)))) for i in range(200)]
+    df = spark.createDataFrame(data, "id long, fp long")
+    scheme = KeyScheme(5, 8)
+    keyed = scheme.tables(df)
+    hot = scheme.hot(keyed, None, (600, 600), 1000)
+    assert hot is not None
+    rows = scheme.split(keyed, hot).groupBy("tbl", "tkey", "sub", "skey").count()
+    assert keyed.groupBy("tbl", "tkey").count().agg(F.max("count")).first()[0] == 600
+    assert rows.agg(F.max("count")).first()[0] < 100
+    want = {tuple(r) for r in brute_force_join(df, df, 5, order="lt").select("l_id", "r_id").collect()}
+    got = [tuple(r) for r in scheme_join(df, df, scheme, (600, 600), order="lt", hot_bucket_pairs=1000).select("l_id", "r_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_auto_join_switches_to_tables_and_stays_exact(spark):
     from hashsieve.operators.similarity import KeyScheme, auto_join
     assert KeyScheme.for_rows(5, 10**8).kind == "tables"
