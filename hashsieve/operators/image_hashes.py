@@ -1,14 +1,16 @@
 """Image fingerprints (FPR-3 .. FPR-6) over Spark's ``image`` source.
 
-Decoding is Spark's; the per-image arithmetic (channel handling, grey scale,
-shrinking, DCT) runs as numpy inside ``mapInPandas``, one Arrow batch of images
-at a time, so images are spread over all tasks and never reach the driver.
+Decoding is Spark's; channel handling, grey scale and shrinking run as numpy
+inside ``mapInPandas``, image by image because sizes differ; the small grids of
+a batch are then stacked and hashed together.  Images are spread over all tasks and
+never reach the driver.
 
 Definitions (the library behind the reference resamples with Lanczos, which is
 not available here; these are ours, stated exactly):
 
-* pixels: Spark stores BGR(A) rows top to bottom.  Four channels are composited
-  over white using alpha; one channel is grey already (FPR-6).
+* pixels: Spark stores BGR(A) rows top to bottom.  The fingerprint job (FPR-5) drops
+  alpha and reports mode ``RGB``, its images being RGB from there on; the converter's
+  form (FPR-6, ``alpha="over_white"``) composites four channels over white.
 * grey: ``(299 R + 587 G + 114 B) / 1000`` (Rec. 601 luma).
 * shrink: box average over the source rectangle of each target cell.
 * average hash (FPR-1): 8x8, bit = cell > mean.
@@ -25,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import long_to_hex
 from ..session import spread
 
 # Executors may not have this package on their path: ship this module's
@@ -38,22 +41,23 @@ try:
 except (ImportError, AttributeError, ValueError):  # pragma: no cover - older pickler
     pass
 
-HASH_SCHEMA = ("origin STRING, width INT, height INT, n_channels INT, image_mode STRING, "
-               "phash STRING, ahash STRING, dhash STRING, whash STRING, fp LONG, error STRING")
+HASHES = ("phash", "ahash", "dhash", "whash")
+_HASH_COLUMNS = ", ".join(f"{h} LONG" for h in HASHES)
+IMAGE_SCHEMA = f"origin STRING, width INT, height INT, n_channels INT, image_mode STRING, {_HASH_COLUMNS}, error STRING"
 
 # Spark's image source channel counts -> mode names.
 MODES = {1: "L", 3: "RGB", 4: "RGBA"}
 
 
-def to_rgb(data: bytes, h: int, w: int, c: int) -> np.ndarray:
+def to_rgb(data: bytes, h: int, w: int, c: int, alpha: str = "drop") -> np.ndarray:
     """FPR-6: decoded bytes (BGR/BGRA/grey) -> float RGB array (h, w, 3)."""
     a = np.frombuffer(data, dtype=np.uint8).reshape(h, w, c).astype(np.float64)
     if c == 1:
         return np.repeat(a, 3, axis=2)
-    rgb = a[:, :, 2::-1] if c >= 3 else a
-    if c == 4:
-        alpha = a[:, :, 3:4] / 255.0
-        rgb = rgb * alpha + 255.0 * (1.0 - alpha)
+    rgb = a[:, :, 2::-1]
+    if c == 4 and alpha == "over_white":
+        share = a[:, :, 3:4] / 255.0
+        rgb = rgb * share + 255.0 * (1.0 - share)
     return rgb
 
 
@@ -77,66 +81,81 @@ def shrink(g: np.ndarray, tw: int, th: int) -> np.ndarray:
     return tot / area
 
 
-def _bits_to_hex(bits: np.ndarray) -> tuple[str, int]:
-    v = 0
-    for b in bits.ravel():
-        v = (v << 1) | int(bool(b))
-    signed = v - (1 << 64) if v >= (1 << 63) else v
-    return f"{v:016x}", signed
-
-
-_DCT32 = None
-
-
-def _dct_matrix(n: int = 32) -> np.ndarray:
-    k = np.arange(n)[:, None]
-    i = np.arange(n)[None, :]
-    return 2.0 * np.cos(np.pi * k * (2 * i + 1) / (2 * n))
-
-
-def hashes_of(g: np.ndarray) -> dict:
-    global _DCT32
-    if _DCT32 is None:
-        _DCT32 = _dct_matrix(32)
-    a8 = shrink(g, 8, 8)
-    ahash, _ = _bits_to_hex(a8 > a8.mean())
-    d = shrink(g, 9, 8)
-    dhash, _ = _bits_to_hex(d[:, 1:] > d[:, :-1])
-    p = shrink(g, 32, 32)
-    coef = (_DCT32 @ p @ _DCT32.T)[:8, :8]
-    phash, fp = _bits_to_hex(coef > np.median(coef))
-    w = shrink(g, 64, 64)
-    for _ in range(3):
-        w = (w[0::2, 0::2] + w[1::2, 0::2] + w[0::2, 1::2] + w[1::2, 1::2]) / 4.0
-    whash, _ = _bits_to_hex(w > np.median(w))
-    return {"phash": phash, "ahash": ahash, "dhash": dhash, "whash": whash, "fp": fp}
-
-
-def _hash_batches(batches):
-    for pdf in batches:
-        out = []
-        for img in pdf["image"]:
-            origin, h, w, c = img["origin"], int(img["height"]), int(img["width"]), int(img["nChannels"])
-            row = {"origin": origin, "width": w, "height": h, "n_channels": c, "image_mode": MODES.get(c),
-                   "phash": None, "ahash": None, "dhash": None, "whash": None, "fp": None, "error": None}
-            if h <= 0 or w <= 0 or c not in MODES:
-                row["error"] = "undecodable image"
-            else:
-                try:
-                    row.update(hashes_of(grey(to_rgb(img["data"], h, w, c))))
-                except Exception as e:  # noqa: BLE001 - becomes an error row
-                    row["error"] = f"{type(e).__name__}: {e}"
-            out.append(row)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in HASH_SCHEMA.split(", ")])
-
-
-def image_fingerprints(images: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+def small_grids(g: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The four grids that the hashes of one grey image are made of: 8x8, 9 wide x 8, 32x32, and 64x64 averaged to 8x8."""
+    haar = shrink(g, 64, 64).reshape(8, 8, 8, 8).mean(axis=(1, 3))  # three averaging steps of 2x2
+    return shrink(g, 8, 8), shrink(g, 9, 8), shrink(g, 32, 32), haar
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """(n, 8, 8) booleans as n signed 64-bit integers, first bit most significant."""
+    return np.packbits(bits.reshape(len(bits), 64), axis=1).view(">i8").ravel().astype(np.int64)
+
+
+def _above_median(cells: np.ndarray) -> np.ndarray:
+    return cells > np.median(cells.reshape(len(cells), -1), axis=1)[:, None, None]
+
+
+def _dct_rows(rows: int = 8, n: int = 32) -> np.ndarray:
+    return 2.0 * np.cos(np.pi * np.arange(rows)[:, None] * (2 * np.arange(n)[None, :] + 1) / (2 * n))
+
+
+def hash_grids(a8: np.ndarray, d: np.ndarray, p: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
+    """Hashes of n images from their stacked small grids."""
+    dct = _dct_rows()
+    return {"phash": _packed(_above_median(dct @ p @ dct.T)), "ahash": _packed(a8 > a8.mean(axis=(1, 2), keepdims=True)),
+            "dhash": _packed(d[:, :, 1:] > d[:, :, :-1]), "whash": _packed(_above_median(w))}
+
+
+def _with_hashes(columns: dict, ok: np.ndarray, grids: list[np.ndarray] | None, error: str | list) -> pd.DataFrame:
+    """The columns with nullable hashes where ``ok`` and an error elsewhere."""
+    out = pd.DataFrame(columns)
+    found = hash_grids(*grids) if grids is not None else {}
+    for name in HASHES:
+        out[name] = pd.array([None] * len(ok), dtype="Int64")
+        if found:
+            out.loc[ok, name] = found[name]
+    out["error"] = np.where(ok, None, error)
+    return out
+
+
+def _hash_batches(alpha: str):
+    def run(batches):
+        for pdf in batches:
+            images = pdf["image"]
+            columns = {"origin": [i["origin"] for i in images], "width": [int(i["width"]) for i in images],
+                       "height": [int(i["height"]) for i in images], "n_channels": [int(i["nChannels"]) for i in images]}
+            ok, grids, errors = np.zeros(len(images), bool), [], []
+            for k, (img, w, h, c) in enumerate(zip(images, columns["width"], columns["height"], columns["n_channels"])):
+                errors.append("undecodable image")
+                if h > 0 and w > 0 and c in MODES:
+                    try:
+                        grids.append(small_grids(grey(to_rgb(img["data"], h, w, c, alpha))))
+                        ok[k] = True
+                    except ValueError as e:  # a buffer of the wrong length becomes an error row
+                        errors[-1] = f"{type(e).__name__}: {e}"
+            modes = [("RGB" if alpha == "drop" else MODES[c]) if good else None for c, good in zip(columns["n_channels"], ok)]
+            stacked = [np.stack(g) for g in zip(*grids)] if grids else None
+            yield _with_hashes({**columns, "image_mode": modes}, ok, stacked, np.array(errors, dtype=object))
+    return run
+
+
+def _shown(df: DataFrame, *first: str) -> DataFrame:
+    """Hashes as hex strings, and the perceptual hash also as ``fp``."""
+    return df.select(*first, *[long_to_hex(h).alias(h) for h in HASHES], F.col("phash").alias("fp"), "error")
+
+
+def image_fingerprints(images: DataFrame, sizes: DataFrame | None = None, alpha: str = "drop") -> DataFrame:
     """FPR-5: all four hashes plus size and mode for every image row.
 
     ``images`` comes from ``image_scan``; ``sizes`` (``path, length``) from a
-    content-pruned ``binaryFile`` listing adds the file size.
+    content-pruned ``binaryFile`` listing adds the file size.  ``alpha``: ``drop`` or
+    ``over_white`` (the converter's form, which reports the mode as decoded).
     """
-    out = spread(images.select("image")).mapInPandas(_hash_batches, HASH_SCHEMA)
+    if alpha not in ("drop", "over_white"):
+        raise ValueError(f"unsupported alpha handling: {alpha}")
+    out = spread(images.select("image")).mapInPandas(_hash_batches(alpha), IMAGE_SCHEMA)
+    out = _shown(out, "origin", "width", "height", "n_channels", "image_mode")
     if sizes is not None:
         # the two sources spell local URIs differently (file:/ vs file:///)
         norm = lambda c: F.regexp_replace(c, "^file:/+", "/")
@@ -145,21 +164,22 @@ def image_fingerprints(images: DataFrame, sizes: DataFrame | None = None) -> Dat
     return out
 
 
-GRID_SCHEMA = "id LONG, phash STRING, ahash STRING, dhash STRING, whash STRING, fp LONG, error STRING"
+def _grid_operators(size: int) -> tuple[np.ndarray, ...]:
+    """Shrinking is linear: the small grids of a ``size x size`` grid as matrices, from the grids of its unit cells."""
+    unit = np.eye(size * size).reshape(-1, size, size)
+    return tuple(np.stack(g) for g in zip(*map(small_grids, unit)))
 
 
 def _grid_batches(size: int):
     def run(batches):
+        operators = _grid_operators(size)
         for pdf in batches:
-            out = []
-            for i, cells in zip(pdf["id"], pdf["grid"]):
-                row = {"id": int(i), "phash": None, "ahash": None, "dhash": None, "whash": None, "fp": None, "error": None}
-                if cells is None or len(cells) != size * size:
-                    row["error"] = "grid must hold size*size values"
-                else:
-                    row.update(hashes_of(np.asarray(cells, dtype=np.float64).reshape(size, size)))
-                out.append(row)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in GRID_SCHEMA.split(", ")])
+            ok = pdf["grid"].map(lambda g: g is not None and len(g) == size * size).to_numpy(bool)
+            stacked = None
+            if ok.any():
+                cells = np.stack(pdf["grid"][ok].to_numpy()).astype(np.float64)
+                stacked = [np.tensordot(cells, op, axes=1) for op in operators]
+            yield _with_hashes({"id": pdf["id"].to_numpy()}, ok, stacked, "grid must hold size*size values")
     return run
 
 
@@ -167,4 +187,5 @@ def grid_fingerprints(df: DataFrame, key: str, grid: str, size: int = 8) -> Data
     """FPR-3..5 on grey grids stored as arrays (row-major ``size x size``): the same
     hashes as ``image_fingerprints``, the grid standing for a decoded image."""
     src = spread(df.select(F.col(key).cast("long").alias("id"), F.col(grid).alias("grid")))
-    return src.mapInPandas(_grid_batches(size), GRID_SCHEMA).withColumnRenamed("id", key)
+    made = src.mapInPandas(_grid_batches(size), f"id LONG, {_HASH_COLUMNS}, error STRING")
+    return _shown(made, F.col("id").alias(key))

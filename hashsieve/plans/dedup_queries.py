@@ -58,13 +58,37 @@ def ded1_hamming(spark, sf):
                     hamming_hex(long_to_hex("ahash"), F.lit("zz")).cast("int").alias("malformed_distance"))
 
 
-@query("fpr3_perceptual_hash")
+# Each coefficient is a dot product of the 64 cells with constants: a cell stands for a 4x4 block of the 32x32 grid.
+_GRID_CELLS = "cell AS (SELECT vec_id, pos // 8 AS r, pos % 8 AS c, embedding[pos + 1]::DOUBLE AS x FROM embeddings, range(64) t(pos))"
+
+
+def _median_bits_sql(rows):
+    """Hash of ``rows(vec_id, r, c, x)``: bit = x > median, row by row."""
+    return f"""md AS (SELECT vec_id, median(x) AS m FROM {rows} GROUP BY vec_id),
+h AS (SELECT vec_id, sum(CASE WHEN x > m THEN (1::UBIGINT << (63 - (r * 8 + c))) ELSE 0::UBIGINT END)::UBIGINT AS hash
+      FROM {rows} JOIN md USING (vec_id) GROUP BY vec_id)"""
+
+
+@query("fpr3_perceptual_hash", f"""WITH {_GRID_CELLS},
+dct AS (SELECT k, i, sum(2 * cos(pi() * k * (2 * (4 * i + s) + 1) / 64.0)) AS v FROM range(8) a(k), range(8) b(i), range(4) d(s) GROUP BY k, i),
+half AS (SELECT vec_id, k, c, sum(v * x) AS y FROM cell JOIN dct ON dct.i = cell.r GROUP BY vec_id, k, c),
+coef AS (SELECT vec_id, half.k AS r, dct.k AS c, sum(v * y) AS x FROM half JOIN dct ON dct.i = half.c GROUP BY vec_id, half.k, dct.k),
+{_median_bits_sql('coef')}
+SELECT vec_id, {HEX('hash')} AS phash_hex FROM h""")
 def fpr3_perceptual_hash(spark, sf):
-    """pHash and wHash of each 8x8 embedding grid (rows-only check: the DCT and
-    median split are floating-point work a SQL engine would sum in another order)."""
+    """pHash of each 8x8 embedding grid."""
+    from ..operators.image_hashes import grid_fingerprints
+    g = grid_fingerprints(SI.table(spark, sf, "embeddings"), "vec_id", "embedding", 8)
+    return g.select("vec_id", F.col("phash").alias("phash_hex"))
+
+
+@query("fpr4_wavelet_hash", f"""WITH {_GRID_CELLS}, {_median_bits_sql('cell')}
+SELECT vec_id, {HEX('hash')} AS whash_hex FROM h""")
+def fpr4_wavelet_hash(spark, sf):
+    """wHash of each 8x8 embedding grid."""
     from ..operators.image_hashes import grid_fingerprints
     g = grid_fingerprints(SI.table(spark, sf, "embeddings"), "vec_id", "embedding", 8)
-    return g.select("vec_id", F.col("phash").alias("phash_hex"), F.col("whash").alias("whash_hex"), "error")
+    return g.select("vec_id", F.col("whash").alias("whash_hex"))
 
 
 @query("fpr7_content_digest", """SELECT doc_id, coalesce(sha256(text), '') AS sha256, coalesce(md5(text), '') AS md5,

@@ -14,25 +14,24 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.hashing import long_to_hex
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..streaming import ingest
 from . import standins as SI
 from .dedup_queries import _WALK_SQL, HEX
 from .registry import query
 
-# Fixed value: number of micro-batches the documents arrive in.
-INGEST_BATCHES = 4
+# Fixed value: number of steps in which the rows arrive; each is at least one micro-batch.
+ARRIVALS = 4
 
 
 @query("ded10_incremental_ingest", _WALK_SQL + f"""
 SELECT doc_id, {HEX('fp')} AS fp_hex, is_duplicate, action FROM res""")
 def ded10_incremental_ingest(spark, sf):
     run = scratch_path(spark, f"ded10-{uuid.uuid4().hex}")
-    fps = SI.doc_fingerprints(spark, sf).select(F.col("doc_id").alias("seq"), "fp")
-    ingest.stage_in_order(fps, f"{run}/in", "seq", INGEST_BATCHES)
-    stream = spark.readStream.schema("seq long, fp long").option("maxFilesPerTrigger", 1).parquet(f"{run}/in")
-    q = ingest.start_ingest(stream, f"{run}/registry", f"{run}/results", f"{run}/checkpoint")
-    q.awaitTermination()
+    fps = cut_lineage(SI.doc_fingerprints(spark, sf).select(F.col("doc_id").alias("seq"), "fp"))
+    for _ in ingest.stage_steps(fps, f"{run}/in", "seq", ARRIVALS):
+        stream = spark.readStream.schema("seq long, fp long").parquet(f"{run}/in/arrived=*")
+        ingest.start_ingest(stream, f"{run}/registry", f"{run}/results", f"{run}/checkpoint").awaitTermination()
     res = spark.read.parquet(f"{run}/results")
     return res.select(F.col("seq").alias("doc_id"), long_to_hex("fp").alias("fp_hex"), "is_duplicate", "action")
 
@@ -42,18 +41,19 @@ SELECT job_id, created_at, n_updates, status, progress, message, error, current_
 def job2_state_stream(spark, sf):
     run = scratch_path(spark, f"job2-{uuid.uuid4().hex}")
     ev = SI.table(spark, sf, "events")
-    stream = (spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf))
-    upd = SI.job_updates_from(stream)
-    state = ingest.job_state_stream(upd, job="job_id", seq=["ts", "event_id"], ts="ts")
 
     def sink(batch, batch_id):
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{run}/state")
-
-    q = (state.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    rows = spark.read.parquet(f"{run}/state")
+        # one folder per micro-batch, replaced when it is replayed
+        batch.write.mode("overwrite").parquet(f"{run}/state/_batch={batch_id}")
+
+    arriving = ev.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    for _ in ingest.stage_steps(arriving, f"{run}/in", "_at", ARRIVALS):
+        stream = spark.readStream.schema(ev.schema).parquet(f"{run}/in/arrived=*")
+        state = ingest.job_state_stream(SI.job_updates_from(stream), job="job_id", seq=["ts", "event_id"], ts="ts")
+        q = (state.writeStream.outputMode("update").foreachBatch(sink)
+             .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+    rows = spark.read.option("basePath", f"{run}/state").parquet(f"{run}/state/_batch=*")
     cols = [c for c in rows.columns if c not in ("job_id", "_batch")]
     latest = rows.groupBy("job_id").agg(F.max(F.struct("_batch", *cols)).alias("s")).select("job_id", "s.*").drop("_batch")
     return latest.select("job_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"), "n_updates",

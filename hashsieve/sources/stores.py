@@ -9,9 +9,10 @@ found by listing folder names (metadata only).
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,11 +88,16 @@ def version_path(root: str, version: int) -> str:
 
 
 def read_version(spark: SparkSession, root: str, schema: T.StructType, version: int | None = None) -> DataFrame:
-    """The given (or latest complete) version; an empty frame when there is none."""
+    """The given (or latest complete) version; an empty frame when nothing has been written yet.
+
+    A version that is named must exist: reading it as empty would make every item unique.
+    """
     vs = versions(spark, root)
     if version is None:
         version = vs[-1] if vs else None
-    if version is None or version not in vs:
+    elif version not in vs:
+        raise FileNotFoundError(f"{root} has no version {version}")
+    if version is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(version_path(root, version))
 
@@ -114,11 +120,81 @@ def load_registry(spark: SparkSession, root: str, version: int | None = None) ->
     return read_version(spark, root, REGISTRY, version)
 
 
-def save_registry(registry: DataFrame, root: str, version: int) -> str:
-    """SNK-1: a new registry version (the old one stays readable)."""
+META_DIR = "_meta"  # headers of the versions; Spark's listing skips folders starting with '_'
+REGISTRY_META = T.StructType([f for f in REGISTRY_JSON.fields if f.name != "hashes"])
+
+
+def save_registry(registry: DataFrame, root: str, version: int, meta: dict | None = None) -> str:
+    """SNK-1: a new registry version (the old one stays readable).
+
+    ``meta`` is its header: ``created_at, last_updated, version, stats`` as in the
+    interchange form, any of them absent.  It is written first, so that a version that
+    counts as complete has its header.
+    """
+    if meta is not None:
+        header = registry.sparkSession.createDataFrame([meta], REGISTRY_META)
+        header.coalesce(1).write.mode("overwrite").json(version_path(f"{root.rstrip('/')}/{META_DIR}", version))
     return write_version(registry.select(*[f.name for f in REGISTRY.fields]), root, version)
 
 
+def load_registry_meta(spark: SparkSession, root: str, version: int | None = None) -> dict:
+    """The header of a registry version (default: the latest); empty when none was saved."""
+    vs = versions(spark, root)
+    version = version if version is not None else (vs[-1] if vs else None)
+    path = version_path(f"{root.rstrip('/')}/{META_DIR}", version) if version is not None else None
+    if path is None or not path_exists(spark, path):
+        return {}
+    return spark.read.schema(REGISTRY_META).json(path).first().asDict(recursive=True)
+
+
+def registry_rows(fingerprints: DataFrame, created_at, seq) -> DataFrame:
+    """FPR-5 -> SNK-1: registry entries from ``image_fingerprints`` rows that have a hash.
+
+    ``created_at`` (a timestamp column or literal, never the clock) and ``seq``, the order of
+    registration, are the caller's.
+    """
+    at = created_at if isinstance(created_at, Column) else F.lit(created_at)
+    size = F.col("file_size") if "file_size" in fingerprints.columns else F.lit(None)
+    made = fingerprints.filter(F.col("fp").isNotNull()).select(
+        "phash", "ahash", "dhash", "whash", "fp", "width", "height", "image_mode", size.cast("long").alias("file_size"),
+        at.cast("timestamp").alias("created_at"), F.col("origin").alias("source_path"),
+        (seq if isinstance(seq, Column) else F.col(seq)).cast("long").alias("seq"))
+    return made.select(*[f.name for f in REGISTRY.fields])
+
+
+def import_registry_meta(spark: SparkSession, path: str) -> dict:
+    """SRC-2: the header of the map-shaped interchange JSON."""
+    found = spark.read.schema(REGISTRY_META).option("multiLine", True).json(path).first()
+    return found.asDict(recursive=True) if found else {}
+
+
+def _write_lines(parts: list[DataFrame], path: str) -> None:
+    """One text document from ``part, pos, key, line`` rows in that order.
+
+    A single document is one file, so one task writes it; it sorts and streams
+    the lines, and holds none of them together.
+    """
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
+    lines.repartition(1).sortWithinPartitions("part", "pos", "key").select("line").write.mode("overwrite").text(path)
+
+
+def _line(spark: SparkSession, part: int, line: str) -> DataFrame:
+    return spark.createDataFrame([(part, 0, "", line)], "part INT, pos LONG, key STRING, line STRING")
+
+
+def _json_string(c: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+
+
+def _joined(entries: DataFrame) -> DataFrame:
+    """``pos, key, line`` entries with a comma before all but the first."""
+    first = entries.agg(F.min(F.struct("pos", "key")).alias("f")).scalar()
+    comma = F.when(F.struct("pos", "key") == first, F.lit("")).otherwise(F.lit(","))
+    return entries.select(F.lit(1).alias("part"), "pos", "key", F.concat(comma, "line").alias("line"))
+
+
 def import_registry_json(spark: SparkSession, path: str) -> DataFrame:
     """SRC-2: read the map-shaped interchange JSON into registry rows.
 
@@ -143,37 +219,42 @@ def export_registry_json(registry: DataFrame, path: str) -> None:
     registry.withColumn("hash", long_to_hex("fp")).drop("fp").write.mode("overwrite").json(path)
 
 
-def export_registry_map(registry: DataFrame, path: str, max_entries: int = 100_000) -> None:
-    """SNK-2, interchange form: one JSON document ``{"hashes": {hash: info}}``.
+def export_registry_map(registry: DataFrame, path: str, meta: dict | None = None) -> None:
+    """SNK-2, interchange form: one JSON document ``{"hashes": {hash: info}, ...header}``.
 
-    A single document is built by one task, so it is refused above
-    ``max_entries`` (use ``export_registry_json`` for large registries).
+    Entries keep the hash they are stored under, readable or not.  ``meta`` is the header as in
+    ``save_registry``.  This is for exchange with other tools; ``export_registry_json``
+    writes the same entries from every task.
     """
-    n = registry.limit(max_entries + 1).count()
-    if n > max_entries:
-        raise ValueError(f"registry has more than {max_entries} entries; export it as JSON lines")
     info = F.struct(F.col("phash"), F.col("ahash"), F.col("dhash"), F.col("whash"),
                     F.array("width", "height").alias("image_size"), F.col("image_mode"), F.col("file_size"),
                     F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"), F.col("source_path"))
-    doc = registry.agg(F.map_from_entries(F.collect_list(F.struct(long_to_hex("fp"), info))).alias("hashes"),
-                       F.count(F.lit(1)).alias("total_hashes"))
-    doc.coalesce(1).write.mode("overwrite").json(path)
+    key = F.coalesce("phash", long_to_hex("fp"), F.lit(""))
+    entries = registry.select(F.coalesce("seq", F.lit(0)).cast("long").alias("pos"), key.alias("key"),
+                              F.concat(_json_string(key), F.lit(": "), F.to_json(info)).alias("line"))
+    spark = registry.sparkSession
+    header = "".join(f", {json.dumps(k)}: {json.dumps(v)}" for k, v in (meta or {}).items() if v is not None)
+    _write_lines([_line(spark, 0, '{"hashes": {'), _joined(entries), _line(spark, 2, "}" + header + "}")], path)
 
 
 # ---------------------------------------------------------------- files
 def binary_scan(spark: SparkSession, path: str, glob: str | None = None, allowed: list[str] | None = None,
-                recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+                recursive: bool = True, manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """SRC-3: whole files as rows ``path, modificationTime, length, content``.
 
-    Returns (accepted, rejected); disallowed extensions are rejected with a
-    reason.  Zero-byte files are skipped by Spark's file sources themselves; the
-    ``length`` guard stays for sources that do list them.  Selecting only ``path``/``length`` later prunes the
-    content column, so listings stay cheap.
+    Returns (accepted, rejected); empty files and disallowed extensions are rejected with a
+    reason.  Spark's file sources skip zero-byte files, so these are known only from a
+    ``manifest`` (``path, length`` of every upload), where one exists.  Selecting only
+    ``path``/``length`` later prunes the content column, so listings stay cheap.
     """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.load(path).withColumn("filename", F.regexp_extract("path", r"[^/]*$", 0))
+    df = r.load(path)
+    if manifest is not None:
+        df = df.unionByName(manifest.filter(F.col("length") <= 0).select("path", F.col("length").cast("long").alias("length")),
+                            allowMissingColumns=True)
+    df = df.withColumn("filename", F.regexp_extract("path", r"[^/]*$", 0))
     reason = F.when(F.col("length") <= 0, F.lit("empty"))
     if allowed:
         reason = reason.when(~has_allowed_extension("filename", allowed), F.lit("extension"))
@@ -189,26 +270,46 @@ def image_scan(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
 
 
 # ---------------------------------------------------------------- catalogue
-def catalogue_append(docs: DataFrame, root: str) -> None:
-    """SNK-3: append documents, partitioned by type (type filters prune folders)."""
-    docs.select(*[f.name for f in CATALOGUE.fields]).write.mode("append").partitionBy("product_type").parquet(root)
+DELETED_DIR = "_deleted"  # tombstones; Spark's listing skips folders starting with '_'
+_STEP = re.compile(r"step=(\d+)$")
 
 
-DELETED_DIR = "_deleted"  # tombstones; Spark's listing skips folders starting with '_'
+def _steps(spark: SparkSession, folder: str) -> list[int]:
+    fs, p = _fs(spark, folder)
+    found = [_STEP.search(st.getPath().getName()) for st in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(m.group(1)) for m in found if m)
+
+
+def catalogue_next_step(spark: SparkSession, root: str) -> int:
+    """Appends and deletes are numbered together; the number says which came first."""
+    return 1 + max([0, *_steps(spark, root), *_steps(spark, f"{root.rstrip('/')}/{DELETED_DIR}")])
+
+
+def catalogue_append(docs: DataFrame, root: str, step: int | None = None) -> int:
+    """SNK-3: append documents, partitioned by type (type filters prune folders); returns the step.
+
+    A job that may be replayed names its ``step``: writing it again replaces what it wrote before.
+    """
+    step = catalogue_next_step(docs.sparkSession, root) if step is None else step
+    docs.select(*[f.name for f in CATALOGUE.fields]).write.mode("overwrite").partitionBy("product_type").parquet(f"{root.rstrip('/')}/step={step}")
+    return step
 
 
 def catalogue_read(spark: SparkSession, root: str) -> DataFrame:
-    """The live catalogue: appended documents minus tombstoned ids."""
-    if not path_exists(spark, root):
+    """The live catalogue: appended documents minus the ids deleted after they were appended."""
+    columns = [f.name for f in CATALOGUE.fields]
+    if not _steps(spark, root):
         return spark.createDataFrame([], CATALOGUE)
-    docs = spark.read.schema(CATALOGUE).parquet(root)
+    docs = spark.read.schema(T.StructType([*CATALOGUE.fields, T.StructField("step", T.IntegerType())])).parquet(root)
     dead = f"{root.rstrip('/')}/{DELETED_DIR}"
-    if path_exists(spark, dead):
-        docs = docs.join(spark.read.schema("document_id STRING").parquet(dead), "document_id", "left_anti")
-    return docs
+    if _steps(spark, dead):
+        gone = (spark.read.schema("document_id STRING, step INT").parquet(dead)
+                .groupBy(F.col("document_id").alias("_id")).agg(F.max("step").alias("_step")))
+        docs = docs.join(gone, (F.col("document_id") == F.col("_id")) & (F.col("step") < F.col("_step")), "left_anti")
+    return docs.select(columns)
 
 
-def catalogue_delete(spark: SparkSession, root: str, deletes: DataFrame) -> DataFrame:
+def catalogue_delete(spark: SparkSession, root: str, deletes: DataFrame, step: int | None = None) -> DataFrame:
     """SNK-4, persisted: report each requested id as deleted / not_found and
     append the found ones to the tombstone set.
 
@@ -220,10 +321,11 @@ def catalogue_delete(spark: SparkSession, root: str, deletes: DataFrame) -> Data
     from ..operators.catalog import delete_documents
     from ..session import cut_lineage
 
+    step = catalogue_next_step(spark, root) if step is None else step
     _, report = delete_documents(catalogue_read(spark, root), deletes)
     report = cut_lineage(report)
     (report.filter(F.col("outcome") == "deleted").select("document_id").distinct()
-     .write.mode("append").parquet(f"{root.rstrip('/')}/{DELETED_DIR}"))
+     .write.mode("overwrite").parquet(f"{root.rstrip('/')}/{DELETED_DIR}/step={step}"))
     return report
 
 
@@ -268,10 +370,9 @@ def load_product_types(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode("dynamic_types").alias("position", "product_type"))
 
 
-def save_product_types(dynamic: DataFrame, path: str, updated_at: float, max_types: int = 100_000) -> None:
-    """SNK-5: one JSON document for the dimension (bounded by ``max_types``)."""
-    n = dynamic.limit(max_types + 1).count()
-    if n > max_types:
-        raise ValueError("product type dimension too large for a single document")
-    doc = dynamic.agg(F.sort_array(F.collect_list(F.struct("position", "product_type")))["product_type"].alias("dynamic_types"))
-    doc.withColumn("last_updated", F.lit(float(updated_at))).coalesce(1).write.mode("overwrite").json(path)
+def save_product_types(dynamic: DataFrame, path: str, updated_at: float) -> None:
+    """SNK-5: one JSON document for the dimension, in the order of ``position``."""
+    entries = dynamic.select(F.col("position").cast("long").alias("pos"), F.col("product_type").alias("key"), _json_string(F.col("product_type")).alias("line"))
+    spark = dynamic.sparkSession
+    tail = f'], "last_updated": {json.dumps(float(updated_at))}}}'
+    _write_lines([_line(spark, 0, '{"dynamic_types": ['), _joined(entries), _line(spark, 2, tail)], path)

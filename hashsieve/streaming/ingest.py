@@ -2,15 +2,17 @@
 
 DED-10: files arrive over time; each micro-batch is checked against the
 registry as it stood after the previous batch, deduplicated inside itself,
-and the next registry version is written.  ``foreachBatch`` gives each batch
-an id; version ``batch_id + 1`` of the registry is the commit record:
+and its own uniques are written as the next registry version.  ``foreachBatch``
+gives each batch an id; version ``batch_id + 1`` of the registry is the commit record:
 
 * results of batch b go to ``results/batch=b`` (overwritten on replay);
-* then registry version ``b + 1`` = version ``b`` + the batch's uniques.
+* then registry version ``b + 1`` = the batch's uniques.  The registry before
+  batch b is the union of the versions up to b.
 
-A batch that is replayed after a failure recomputes from version ``b`` (still
-there; nothing overwrites it) and rewrites the same two folders, so the outcome
-equals one clean run.  When micro-batches arrive in ``seq`` order, the labels
+So a batch writes what it adds, whatever the registry's size.  A batch that is
+replayed after a failure recomputes from the versions up to ``b`` (still there;
+nothing overwrites them) and rewrites the same two folders, so the outcome equals one
+clean run.  ``compact`` merges old versions when there are many.  When micro-batches arrive in ``seq`` order, the labels
 equal those of DED-6 over the whole input.
 
 JOB-2: the job-state fold of JOB-1 as a streaming aggregation (``update``
@@ -20,37 +22,58 @@ row whatever the length of its log.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import DEFAULT_THRESHOLD
 from ..operators.dedup import greedy_dedup
 from ..operators.jobs import STATE_FIELDS, latest
-from ..sources.stores import read_version, version_path, versions, write_version
+from ..sources.stores import version_path, versions, write_version
 
 REGISTRY_ROW = "seq LONG, fp LONG"
+MERGED_DIR = "_merged"
+
+
+def _parts(spark: SparkSession, registry_root: str, up_to: int) -> list[str]:
+    """Folders that make up the registry after version ``up_to``: the latest merged part and the versions behind it."""
+    merged = [v for v in versions(spark, f"{registry_root.rstrip('/')}/{MERGED_DIR}") if v <= up_to]
+    base = max(merged, default=0)
+    return ([version_path(f"{registry_root.rstrip('/')}/{MERGED_DIR}", base)] if merged else []) + [
+        version_path(registry_root, v) for v in versions(spark, registry_root) if base < v <= up_to]
+
+
+def ingested(spark: SparkSession, registry_root: str, up_to: int | None = None) -> DataFrame:
+    """``seq, fp`` registered by the batches committed so far (or up to a version)."""
+    if up_to is None:
+        up_to = max(versions(spark, registry_root), default=0)
+    paths = _parts(spark, registry_root, up_to)
+    return spark.read.schema(REGISTRY_ROW).parquet(*paths) if paths else spark.createDataFrame([], REGISTRY_ROW)
+
+
+def compact(spark: SparkSession, registry_root: str) -> int:
+    """Merge all committed versions into one part, so that reading opens few folders; returns the version merged up to.
+
+    The versions stay, as the commit record of their batches and for replays.
+    """
+    last = max(versions(spark, registry_root), default=0)
+    if last:
+        write_version(ingested(spark, registry_root, last), f"{registry_root.rstrip('/')}/{MERGED_DIR}", last)
+    return last
 
 
 def make_batch_handler(registry_root: str, results_root: str, threshold: int = DEFAULT_THRESHOLD,
                        seq: str = "seq", fp: str = "fp"):
     """A ``foreachBatch`` function implementing DED-10 (see module docs)."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("fp", T.LongType())])
-
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = versions(spark, registry_root)
         if batch_id + 1 in done:
             return  # already committed (replay of a finished batch)
-        prior = [v for v in done if v <= batch_id]  # the state this batch must see
-        registry = (read_version(spark, registry_root, schema, max(prior)) if prior
-                    else spark.createDataFrame([], schema))
+        registry = ingested(spark, registry_root, batch_id)  # the state this batch must see
         rows = batch.select(F.col(seq).cast("long").alias("seq"), F.col(fp).cast("long").alias("fp"))
         res = greedy_dedup(rows, threshold, registry=registry)
         res.write.mode("overwrite").parquet(f"{results_root.rstrip('/')}/batch={batch_id:08d}")
-        new = registry.unionByName(res.filter(F.col("action") == "store_unique").select("seq", "fp"))
-        write_version(new, registry_root, batch_id + 1)
+        write_version(res.filter(F.col("action") == "store_unique").select("seq", "fp"), registry_root, batch_id + 1)
 
     return handle
 
@@ -73,21 +96,20 @@ def job_state_stream(updates: DataFrame, job: str = "job_id", seq: list[str] | N
                                     *[latest(f, seq) for f in fields])
 
 
-__all__ = ["make_batch_handler", "start_ingest", "job_state_stream", "version_path"]
-
-
-def stage_in_order(df: DataFrame, folder: str, order: str, parts: int) -> list[str]:
-    """Write ``df`` as ``parts`` files, contiguous ranges of ``order``, whose
-    modification times follow that order (the file stream source replays files
-    oldest first).  Returns the part folders."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(parts, order)
-    ranged.write.mode("overwrite").parquet(folder)
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = sorted(st.getPath().toString() for st in fs.listStatus(root) if st.getPath().getName().startswith("part-"))
-    base = 1_700_000_000_000
-    for i, f in enumerate(files):  # part-00000 holds the lowest range
-        fs.setTimes(jvm.org.apache.hadoop.fs.Path(f), base + i * 1000, -1)
-    return files
+def stage_steps(df: DataFrame, folder: str, order: str, steps: int):
+    """Write ``df`` as ``steps`` contiguous ranges of ``order``, one folder each, yielding after each of them.
+
+    Whoever iterates processes what has arrived so far: the order of arrival is the order of the
+    folders, whatever file times a store keeps.  A step is written by many tasks.
+    """
+    bounds = df.approxQuantile(order, [k / steps for k in range(1, steps)], 0.001) if steps > 1 else []
+    c = F.col(order).cast("double")
+    for k in range(steps):
+        part = df
+        if k > 0:
+            part = part.filter(c > bounds[k - 1])
+        if k < steps - 1:
+            part = part.filter((c <= bounds[k]) | (c.isNull() if k == 0 else F.lit(False)))
+        path = f"{folder.rstrip('/')}/arrived={k:04d}"
+        part.write.mode("overwrite").parquet(path)
+        yield path

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hashsieve.functions.hashing import long_to_hex
@@ -19,6 +20,13 @@ from hashsieve.streaming import ingest
 from .conftest import SF001
 
 
+def _document(folder):
+    """The JSON document in the only part of a folder."""
+    part = next(f for f in os.listdir(folder) if f.startswith("part-"))
+    with open(os.path.join(folder, part)) as f:
+        return json.load(f)
+
+
 def write_png(path, arr):
     """Minimal PNG writer (8-bit grey, RGB or RGBA) using zlib only."""
     h, w = arr.shape[:2]
@@ -46,7 +54,7 @@ def test_registry_versions_round_trip(spark, tmp_dir):
     assert stores.load_registry(spark, root).count() == 2 and stores.load_registry(spark, root, 1).count() == 1
     out = os.path.join(tmp_dir, "export")
     stores.export_registry_map(stores.load_registry(spark, root, 1), out)
-    doc = json.loads(open([os.path.join(out, f) for f in os.listdir(out) if f.endswith(".json")][0]).readline())
+    doc = _document(out)
     assert list(doc["hashes"]) == ["00000000000000ff"]
 
 
@@ -69,8 +77,12 @@ def test_binary_scan_and_product_types(spark, tmp_dir):
         open(os.path.join(d, name), "wb").write(data)
     ok, bad = stores.binary_scan(spark, d, allowed=["psd"])
     assert [r.filename for r in ok.collect()] == ["a.psd"]
-    # Spark's file sources skip zero-byte files, so b.psd is neither accepted nor listed
+    # Spark's file sources skip zero-byte files, so b.psd is known from a manifest only
     assert {r.filename: r.reject_reason for r in bad.collect()} == {"c.txt": "extension"}
+    listed = spark.createDataFrame([(os.path.join(d, n), os.path.getsize(os.path.join(d, n))) for n in os.listdir(d)], "path string, length long")
+    ok, bad = stores.binary_scan(spark, d, allowed=["psd"], manifest=listed)
+    assert [r.filename for r in ok.collect()] == ["a.psd"]
+    assert {r.filename: r.reject_reason for r in bad.collect()} == {"c.txt": "extension", "b.psd": "empty"}
     p = os.path.join(tmp_dir, "types")
     assert stores.load_product_types(spark, p).count() == 0
     stores.save_product_types(spark.createDataFrame([(0, "posters"), (1, "mugs")], "position int, product_type string"), p, 1.0)
@@ -83,7 +95,7 @@ def test_catalogue_append_partitions(spark, tmp_dir):
     docs = spark.createDataFrame([("1", "a", "u", "f.jpeg"), ("2", "b", "u", "g.jpeg")],
                                  "document_id string, product_type string, image_url string, filename string")
     stores.catalogue_append(docs.withColumn("uploaded_at", F.current_timestamp()), root)
-    assert {"product_type=a", "product_type=b"} <= set(os.listdir(root))
+    assert {"product_type=a", "product_type=b"} <= set(os.listdir(os.path.join(root, "step=1")))
     assert stores.catalogue_read(spark, root).filter("product_type = 'b'").count() == 1
 
 
@@ -109,11 +121,79 @@ def test_image_fingerprints(spark, tmp_dir):
     assert a.phash == c.phash and a.ahash == c.ahash  # opaque alpha changes nothing
     dist = bin(int(a.phash, 16) ^ int(b.phash, 16)).count("1")
     assert dist <= 5  # light noise keeps the perceptual hash close
-    assert out["g.png"].image_mode == "L" and len(out["g.png"].whash) == 16
+    assert out["g.png"].image_mode == "RGB" and len(out["g.png"].whash) == 16
     assert long_to_hex  # fp column is the signed form of phash
     assert format(a.fp & (2**64 - 1), "016x") == a.phash
 
 
+def test_alpha_is_dropped_or_composited(spark, tmp_dir):
+    """The fingerprint job drops alpha; the converter's form lays the image over white."""
+    d = os.path.join(tmp_dir, "alpha")
+    os.makedirs(d)
+    rng = np.random.default_rng(3)
+    rgb = rng.integers(0, 256, (64, 64, 3)).astype(np.uint8)
+    alpha = np.repeat(np.linspace(0, 255, 64).astype(np.uint8)[None, :, None], 64, axis=0)
+    write_png(os.path.join(d, "opaque.png"), rgb)
+    write_png(os.path.join(d, "faded.png"), np.concatenate([rgb, alpha], axis=2))
+    over = np.round(rgb * (alpha / 255.0) + 255.0 * (1 - alpha / 255.0)).astype(np.uint8)
+    write_png(os.path.join(d, "white.png"), over)
+    dropped = {os.path.basename(r.origin): r for r in image_fingerprints(stores.image_scan(spark, d)).collect()}
+    assert {r.image_mode for r in dropped.values()} == {"RGB"}
+    assert [getattr(dropped["faded.png"], h) for h in ("phash", "ahash", "dhash", "whash")] == \
+        [getattr(dropped["opaque.png"], h) for h in ("phash", "ahash", "dhash", "whash")]
+    laid = {os.path.basename(r.origin): r for r in image_fingerprints(stores.image_scan(spark, d), alpha="over_white").collect()}
+    assert laid["faded.png"].image_mode == "RGBA" and laid["faded.png"].ahash == laid["white.png"].ahash != laid["opaque.png"].ahash
+
+
+def test_images_to_registry_to_json_and_back(spark, tmp_dir):
+    """Images -> fingerprints -> first-seen dedup -> registry with its header -> JSON -> registry, without loss."""
+    d, root, out = (os.path.join(tmp_dir, n) for n in ("imgs", "registry", "json"))
+    os.makedirs(d)
+    rng = np.random.default_rng(9)
+    for k in range(4):
+        write_png(os.path.join(d, f"i{k}.png"), np.kron(rng.integers(0, 256, (8, 8)), np.ones((8, 8))).astype(np.uint8))
+    write_png(os.path.join(d, "i4.png"), np.kron(rng.integers(0, 256, (8, 8)), np.ones((8, 8))).astype(np.uint8))
+    with open(os.path.join(d, "i0.png"), "rb") as f, open(os.path.join(d, "z_copy.png"), "wb") as g:
+        g.write(f.read())
+    sizes = spark.read.format("binaryFile").load(d).select("path", "length")
+    seq = F.when(F.col("origin").contains("copy"), 9).otherwise(F.regexp_extract("origin", r"i(\d)\.png$", 1).cast("int"))
+    rows = stores.registry_rows(image_fingerprints(stores.image_scan(spark, d), sizes), "2024-01-02 03:04:05", seq)
+    found = dedup.greedy_dedup(rows)
+    assert {r.seq: r.action for r in found.collect()}[9] == "skip_duplicate"
+    kept = rows.join(found.filter("action = 'store_unique'").select("seq"), "seq", "left_semi")
+    meta = {"created_at": "2024-01-01T00:00:00", "last_updated": "2024-01-02T03:04:05", "version": "1.0",
+            "stats": {"total_processed": 6, "duplicates_found": 1, "unique_images": 5}}
+    stores.save_registry(kept, root, 1, meta)
+    assert stores.load_registry_meta(spark, root) == meta
+    saved = stores.load_registry(spark, root)
+    assert saved.count() == 5
+    stores.export_registry_map(saved, out, stores.load_registry_meta(spark, root))
+    back = stores.import_registry_json(spark, out)
+    assert stores.import_registry_meta(spark, out) == meta
+    columns = [c for c in saved.columns if c != "seq"]
+    assert sorted(map(str, back.select(columns).collect())) == sorted(map(str, saved.select(columns).collect()))
+    order = [r.phash for r in saved.orderBy("seq").collect()]
+    assert [r.phash for r in back.orderBy("seq").collect()] == order
+
+
+def test_unreadable_hash_survives_export(spark, tmp_dir):
+    p, out = os.path.join(tmp_dir, "db.json"), os.path.join(tmp_dir, "out")
+    with open(p, "w") as f:
+        json.dump({"hashes": {"zz": {"phash": "zz", "file_size": 1}, "00000000000000ff": {"phash": "00000000000000ff"}}}, f)
+    stores.export_registry_map(stores.import_registry_json(spark, p), out)
+    assert set(_document(out)["hashes"]) == {"zz", "00000000000000ff"}
+    assert stores.import_registry_json(spark, out).count() == 2
+    stores.export_registry_map(stores.import_registry_json(spark, p).limit(0), os.path.join(tmp_dir, "none"))
+    assert _document(os.path.join(tmp_dir, "none")) == {"hashes": {}}
+
+
+def test_absent_version_is_an_error(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "r")
+    assert stores.load_registry(spark, root).count() == 0
+    with pytest.raises(FileNotFoundError):
+        stores.load_registry(spark, root, 3)
+
+
 def test_streaming_ingest_equals_batch(spark, tmp_dir):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     fps = simhash(docs).select(F.col("doc_id").alias("seq"), "fp")
@@ -134,6 +214,23 @@ def test_streaming_ingest_equals_batch(spark, tmp_dir):
     before = stores.versions(spark, reg_root)
     handler(spark.read.parquet(os.path.join(src, "part0")), 0)
     assert stores.versions(spark, reg_root) == before
+    # a batch writes its own uniques only; merging the versions changes nothing
+    uniques = {s for s, a in want.items() if a == "store_unique"}
+    each = [stores.read_version(spark, reg_root, ingest.ingested(spark, reg_root).schema, v).count() for v in before]
+    assert sum(each) == len(uniques)
+    assert ingest.compact(spark, reg_root) == max(before)
+    assert {r.seq for r in ingest.ingested(spark, reg_root).collect()} == uniques
+    # a batch that was not committed gives the same when it is run again
+    first = fps.filter("seq < 50")
+    for _ in range(2):
+        handler = ingest.make_batch_handler(os.path.join(tmp_dir, "reg_again"), os.path.join(tmp_dir, "res_again"))
+        handler(first, 0)
+        seen = {r.seq: r.action for r in spark.read.parquet(os.path.join(tmp_dir, "res_again")).collect()}
+        assert seen == {s: a for s, a in want.items() if s < 50}
+        for name in os.listdir(os.path.join(tmp_dir, "reg_again")):
+            mark = os.path.join(tmp_dir, "reg_again", name, "_SUCCESS")
+            if os.path.exists(mark):
+                os.remove(mark)  # as if the commit had not happened
 
 
 def test_job_state_stream_equals_batch(spark, tmp_dir):
@@ -178,6 +275,13 @@ def test_catalogue_tombstones_and_routing(spark, tmp_dir):
     assert sorted(r.document_id for r in stores.catalogue_read(spark, root).collect()) == ["1", "3"]
     again = stores.catalogue_delete(spark, root, spark.createDataFrame([("2",)], "document_id string"))
     assert again.collect()[0].outcome == "not_found"
+    # an id that comes back after its deletion is there again, and a replayed append adds nothing
+    back = docs.filter("document_id = '2'").withColumn("uploaded_at", F.current_timestamp())
+    step = stores.catalogue_append(back, root)
+    assert stores.catalogue_append(back, root, step) == step
+    assert sorted(r.document_id for r in stores.catalogue_read(spark, root).collect()) == ["1", "2", "3"]
+    stores.catalogue_delete(spark, root, spark.createDataFrame([("2",)], "document_id string"))
+    assert sorted(r.document_id for r in stores.catalogue_read(spark, root).collect()) == ["1", "3"]
     res = dedup.greedy_dedup(spark.createDataFrame([(1, 0), (2, 1), (3, None)], "seq long, fp long"))
     out = os.path.join(tmp_dir, "routed")
     stores.write_routed(dedup.route(res), out)

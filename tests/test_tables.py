@@ -26,6 +26,49 @@ def test_fill_defaults_keeps_case(spark):
     assert [r.product_type for r in unknown.collect()] == ["Metal_Cards"]
 
 
+def test_blank_means_any_white_space(spark):
+    df = spark.createDataFrame([("\t", None, "\n"), (" \u00a0", 1, "webp")], "product_type string, quality int, format string")
+    rows = validation.fill_defaults(df).collect()
+    assert [(r.product_type, r.format) for r in rows] == [("metal_cards", "jpeg"), ("metal_cards", "webp")]
+    req = spark.createDataFrame([(1, "\tPosters\n", "\t"), (2, "\n", None)], "position int, name string, description string")
+    added = {r.position: r for r in product_types.add_types(product_types.base_types(spark), req).collect()}
+    assert added[1].description == "Custom posters" and added[2].outcome == "missing_name"
+
+
+def test_every_outcome_occurs(spark):
+    """A green row says something only if each outcome of its operator is in it."""
+    from hashsieve import plans
+    from .conftest import SF01
+    qs = plans.queries()
+    admission = qs["flt2_batch_admission"](spark, SF01).collect()
+    starts = ("No files", "One or more files", "Only PSD", "File '", "Total batch", "Quality must", "Invalid product")
+    assert all(any((r.message or "").startswith(s) for r in admission) for s in starts) and any(r.accepted for r in admission)
+    assert {r.reject_reason for r in qs["flt7_asset_quarantine"](spark, SF01).select("reject_reason").distinct().collect()} == {
+        None, "missing", "empty", "zero_dimensions"}
+    filters = {r["filter"]: r["count"] for r in qs["flt5_jobs_filter"](spark, SF01).groupBy("filter").count().collect()}
+    assert set(filters) == {"click, single", "batch", "view", "view, batch"} and filters["view, batch"] < filters["view"]
+    assert {r.action for r in qs["ded5_check_against_registry"](spark, SF01).select("action").distinct().collect()} == {
+        "store_with_error", "skip_duplicate", "store_unique"}
+    assert {r.route for r in qs["ded8_route_outcomes"](spark, SF01).select("route").distinct().collect()} == {
+        "unique_stored", "duplicate_skipped", "error"}
+    assert qs["agg1_batch_summary"](spark, SF01).first().errors > 0
+
+
+def test_long_names_stay_whole(spark):
+    from hashsieve.functions.strings import display_name
+    name = "a" * 2_000_000
+    got = spark.createDataFrame([(name,)], "n string").select(display_name("n")).first()[0]
+    assert got == "A" + "a" * 1_999_999
+
+
+def test_rounding_golden(spark):
+    """Worked by hand: half-even on the scaled double; 0.015 is where Python's round differs (0.01)."""
+    from hashsieve.functions.numeric import py_round
+    cases = [(0.125, 0.12), (0.375, 0.38), (2.5, 2.5), (-0.125, -0.12), (1.005, 1.0), (0.015, 0.02), (87.654321, 87.65)]
+    rows = spark.createDataFrame([(a,) for a, _ in cases], "x double").select(py_round("x", 2)).collect()
+    assert [r[0] for r in rows] == [b for _, b in cases]
+
+
 def test_batch_admission_priority(spark):
     files = spark.createDataFrame([(1, 0, "big.psd", 10_000), (1, 1, "notes.txt", 10), (2, 0, "a.psd", 10), (2, 1, "b.psd", 20),
                                    *[(3, i, f"p{i}.psd", 900) for i in range(6)], (4, 0, "a.psd", 10), (5, 0, "a.psd", 10)],
@@ -72,6 +115,7 @@ def test_catalogue_filter_top_and_delete(spark):
     assert top == ["d19", "d9", "d13"]  # hour 4 first, ties by id
     counts = catalog.listing_counts(cat, None).collect()[0]
     assert (counts["count"], counts["filter"]) == (20, "all")
+    assert [tuple(r) for r in catalog.listing_counts_by(cat, [None, "a"]).collect()] == [(20, "all"), (10, "a")]
     remaining, report = catalog.delete_documents(cat, spark.createDataFrame([("d1",), ("zz",)], "document_id string"))
     assert remaining.count() == 19
     assert {r.document_id: r.outcome for r in report.collect()} == {"d1": "deleted", "zz": "not_found"}
