@@ -8,7 +8,7 @@ def test_checkpoint_dir_comes_from_session(spark):
     assert d == spark.sparkContext.getCheckpointDir()
     assert scratch_path(spark, "x").startswith(d.rstrip("/"))
     df = cut_lineage(spark.range(10))
-    assert df.count() == 10 and scratch_path(spark, "") in df.inputFiles()[0].replace("file:", "")
+    assert df.count() == 10 and f"/tables/{spark.sparkContext.applicationId}/" in df.inputFiles()[0]
 
 
 def test_spread_only_when_under_split(spark):
