@@ -155,7 +155,7 @@ def pivot_rounds(reps: DataFrame, threshold: int = DEFAULT_THRESHOLD,
 
         def near(a: DataFrame, b: DataFrame, cond) -> DataFrame:
             d = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
-            return a.join(b, KEY).filter(cond & (F.bit_count(d) <= t) & scheme.canonical(d, True))
+            return a.join(b, KEY).filter(cond & (F.bit_count(d) <= t) & scheme.canonical(d, hot is not None))
 
         still_open = x
         for _ in range(max(1, references)):
