@@ -309,8 +309,8 @@ def shared_vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """``doc_id`` and ``token_ids`` (array<int>) of every whole text, with the columns named in ``keep``."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``token_ids`` (array<int>) of every whole text."""
     data = shared_vocabulary(docs.sparkSession, path)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
 

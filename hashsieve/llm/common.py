@@ -90,12 +90,6 @@ def _pack(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def keep_only(docs: DataFrame, kept_ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key is among ``kept_ids`` (null matches null); all columns of ``docs`` unchanged."""
-    ids = kept_ids.select(F.col(key).alias("__kept_id"))
-    return docs.join(ids, docs[key].eqNullSafe(ids["__kept_id"]), "left_semi")
-
-
 def drop_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key is not among ``dropped``.
 

@@ -14,17 +14,19 @@ confirmed on full sets: intersection and union of the shingles, in whole
 numbers.  What is asked for is the classes, so pairs are compared only until
 their classes are joined:
 
-1. Star rounds.  Every member of a table's bucket is compared with one leader of
-   the bucket (smallest by a hash order that changes per round, so that the
-   many buckets of one dense group agree on few leaders).  Links are contracted to classes.
-2. Remainder.  Pairs of a bucket that still are in different classes are
-   compared by signature, in blocks; where at least ``MIN_AGREE`` of the 48 minhashes
-   agree (a linked pair falls short with probability 1e-6) the member of the
-   smaller class asks for the larger class.  It is then compared with all of that
-   class, in blocks.  This settles every pair the rounds have left.
+1. Star round.  Every member of a table's bucket is compared with one leader of
+   the bucket (smallest by a hash order, so that the many buckets of one dense
+   group agree on few leaders).  Links are contracted to classes.
+2. Class rounds.  Of the classes that are the most frequent of one of its buckets, a member
+   asks for the largest one it is not in, and is compared with all of it, in blocks.
+3. Remainder.  Pairs of a bucket that still are in different classes are
+   compared by signature, in blocks.  Where at least ``MIN_AGREE`` of the 48 minhashes
+   agree (a linked pair falls short with probability 1e-6) and the table is the
+   first that the two share, both rows stay in the block; the sets of the rows that stay are
+   sent there and all pairs confirmed.  This settles every pair the rounds have left.
 
 Buckets and classes of any size are dealt in blocks of ``BLOCK`` rows; a block
-lists no pairs, it returns at most one link per row.  Nothing is capped.
+lists no pairs, it returns links that join its rows, fewer than it has rows.  Nothing is capped.
 
 Defined cases: a null or wordless text has the empty set and is linked with
 nothing; fewer words than a shingle make one shingle; rows that repeat a doc_id
@@ -44,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_DECISIONS, drop_ids, map_rows, ship, strings, table, written
+from .common import MAX_BROADCAST_DECISIONS, batches, drop_ids, map_rows, ship, strings, table, written
 
 SHINGLE = 5
 COLLECTIONS = 16
@@ -52,7 +54,7 @@ WIDTH = 3
 HASHES = COLLECTIONS * WIDTH
 SIMILARITY = 85  # per cent
 MIN_AGREE = 28
-STAR_ROUNDS = 2
+CLASS_ROUNDS = 2
 BLOCK = 256
 MEMO_WORDS = 400_000
 
@@ -137,12 +139,12 @@ def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """``key, rep, cnt``: the tables' buckets with at least two sets."""
+    """``key, i, j, rep, cnt``: the buckets, with at least two sets, of the table of collections i and j."""
     cells = shared(reps.select("rep", F.posexplode("cols").alias("i", "u")), ["i", "u"])
     own = cells.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("i", "u"))).alias("s")).filter(F.size("s") > 1)
     pairs = F.expr("flatten(transform(sequence(0, size(s) - 2), a -> transform(sequence(a + 1, size(s) - 1), "
-                   "b -> xxhash64(s[a].i, s[b].i, s[a].u, s[b].u))))")
-    return shared(own.select("rep", F.explode(pairs).alias("key")), ["key"])
+                   "b -> struct(xxhash64(s[a].i, s[b].i, s[a].u, s[b].u) AS key, s[a].i AS i, s[b].i AS j))))")
+    return shared(own.select("rep", F.inline(pairs)), ["key"])
 
 
 def shingles_of(docs: DataFrame, reps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,8 +174,8 @@ def _dealt(row_id: str, n: str, salt: int) -> Column:
     return F.pmod(F.xxhash64(row_id, F.lit(salt)), F.col(n)).cast("int")
 
 
-def _cells(incoming: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list, list]]:
-    """(held, asking) rows of each cell from a stream sorted by the key columns and ``kind`` (0 held, 1 asking).
+def _cells(incoming: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list, list]]:
+    """(key, held, asking) rows of each cell from a stream sorted by the key columns and ``kind`` (0 held, 1 asking).
 
     A cell has about ``BLOCK`` rows of either kind, and asking rows are handed on ``BLOCK`` at a time.
     """
@@ -183,7 +185,7 @@ def _cells(incoming: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[li
         for row in zip(*columns):
             if row[:n_keys] != here:
                 if held and asking:
-                    yield held, asking
+                    yield here, held, asking
                 here, held, asking = row[:n_keys], [], []
             if row[n_keys] == 0:
                 held.append(row[n_keys + 1:])
@@ -191,14 +193,14 @@ def _cells(incoming: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[li
                 asking.append(row[n_keys + 1:])
                 if len(asking) >= BLOCK:
                     if held:
-                        yield held, asking
+                        yield here, held, asking
                     asking = []
     if held and asking:
-        yield held, asking
+        yield here, held, asking
 
 
 def compare(asks: DataFrame, members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links ``a, b``: for each ``rep, d`` of ``asks`` a linked member ``rep`` of group ``d`` in every block of it that has one."""
+    """Links ``a, b`` that join each ``rep`` of ``asks`` with the members of group ``d`` it is linked to, block by block."""
     sizes = (asks.groupBy("d").agg(F.count("*").alias("asked"))
              .join(members.groupBy("d").agg(F.count("*").alias("size")), "d")
              .select("d", _blocks(F.col("size")).alias("nb"), _blocks(F.col("asked")).alias("nc")))
@@ -211,16 +213,20 @@ def compare(asks: DataFrame, members: DataFrame, sets: DataFrame, similarity: in
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(incoming: Iterator[pa.RecordBatch]):
-        for held_rows, asking_rows in _cells(incoming, 3):
-            found = linked(held_rows, asking_rows, similarity)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=schema)
+        yield from batches((link for _, held, asking in _cells(incoming, 3) for link in linked(held, asking, similarity)), schema)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
 def linked(held: list, asking: list, similarity: int) -> list[tuple[int, int]]:
-    """(asking, held) for each asking row with a held row at ``similarity`` per cent or more, confirmed on the full sets."""
+    """(asking, held) pairs at ``similarity`` per cent or more, confirmed on the full sets: as many as join the rows so linked."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
     ids = np.array([r for r, _ in held])
     sets = [np.frombuffer(s, np.uint64) for _, s in held]
     size = np.array([len(s) for s in sets])
@@ -235,8 +241,11 @@ def linked(held: list, asking: list, similarity: int) -> list[tuple[int, int]]:
         at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         common = np.bincount(owner[at], minlength=len(sets))
         hit = (100 * common >= similarity * (len(own) + size - common)) & (common > 0) & (ids != rep)
-        if hit.any():
-            out.append((rep, int(ids[np.argmax(hit)])))
+        for other in ids[hit].tolist():
+            x, y = top(rep), top(other)
+            if x != y:
+                parent[x] = y
+                out.append((rep, other))
     return out
 
 
@@ -271,62 +280,91 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(own, F.col("rep") == F.col("__rep"), "left").withColumn("label", F.coalesce("__label", "rep")).drop("__rep", "__label")
 
 
-def star_asks(met: DataFrame, labels: DataFrame | None, salt: int) -> DataFrame:
-    """``rep, d``: each member of a bucket asks for the bucket's leader ``d``, unless they are in one class."""
-    rows = met.select("key", "rep") if labels is None else labelled(met.select("key", "rep"), labels)
-    order = F.struct(F.xxhash64("rep", F.lit(salt)), "rep", *([] if labels is None else ["label"]))
-    leaders = written(rows.groupBy("key").agg(F.min(order).alias("first")).select(F.col("key").alias("__key"), "first"), "minhash-leaders")
-    joined = rows.join(leaders, F.col("key") == F.col("__key")).filter(F.col("rep") != F.col("first.rep"))
-    if labels is not None:
-        joined = joined.filter(F.col("label") != F.col("first.label"))
-    return written(joined.select("rep", F.col("first.rep").alias("d")).distinct(), "minhash-asks")
+def star_asks(met: DataFrame) -> DataFrame:
+    """``rep, d``: each member of a bucket asks for the bucket's leader ``d``."""
+    order = F.struct(F.xxhash64("rep"), "rep")
+    leaders = written(met.groupBy("key").agg(F.min(order).alias("first")).select(F.col("key").alias("__key"), "first.rep"), "minhash-leaders")
+    leaders = leaders.withColumnRenamed("rep", "d")
+    joined = met.join(leaders, F.col("key") == F.col("__key")).filter(F.col("rep") != F.col("d"))
+    return written(joined.select("rep", "d").distinct(), "minhash-asks")
 
 
-def remainder_asks(met: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """``rep, d``: members that share a bucket and most minhashes with the larger class ``d`` and are not in it.
+def class_round_asks(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rep, d``: members of buckets of three or more ask for the largest class ``d`` that is the most frequent of a bucket of theirs.
 
-    Buckets of two are settled by the star rounds.  Of the others only rows outside the bucket's most
-    frequent class ask; they are compared with all rows of the bucket, block by block.
+    One row per member at most, whatever the size of the buckets.
     """
     rows = labelled(met.filter("cnt > 2").select("key", "rep"), labels)
+    top = (rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
+           .agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size")).withColumnRenamed("label", "__l")
+    top = top.select(F.col("key").alias("__key"), F.col("top.label").alias("d")).join(sizes, F.col("d") == F.col("__l"), "left")
+    top = written(top.select("__key", "d", F.coalesce("size", F.lit(1)).alias("size")), "minhash-top")
+    joined = rows.join(top, F.col("key") == F.col("__key")).filter(F.col("label") != F.col("d"))
+    asked = joined.groupBy("rep").agg(F.max(F.struct("size", "d")).alias("most"))
+    return written(asked.select("rep", F.col("most.d").alias("d")), "minhash-asks")
+
+
+def members_of(met: DataFrame, labels: DataFrame, asks: DataFrame) -> DataFrame:
+    """``d, rep``: the members of the classes asked for."""
+    rows = labelled(met.select("rep").distinct(), labels).select(F.col("label").alias("d"), "rep")
+    return rows.join(asks.select("d").distinct(), "d", "left_semi")
+
+
+def remainder_links(met: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links ``a, b`` between members of a bucket that are in different classes.
+
+    Buckets of two are settled by the star round.  Of the others only rows outside the bucket's most
+    frequent class ask; they are compared with all rows of the bucket, block by block, first by signature.
+    """
+    rows = labelled(met.filter("cnt > 2").select("key", "i", "j", "rep"), labels)
     per_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = (per_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels"))
              .filter("labels > 1").select(F.col("key").alias("__key"), F.col("top.label").alias("top"), _blocks(F.col("n")).alias("nb"),
                                           _blocks(F.col("n") - F.col("top.n")).alias("nc")))
     mixed = written(mixed, "minhash-mixed")
-    sizes = labels.groupBy("label").agg(F.count("*").alias("__n")).withColumnRenamed("label", "__l")
     signs = reps.select(F.col("rep").alias("__rep"), "sig")
-    rows = rows.join(mixed, F.col("key") == F.col("__key")).drop("__key")
-    rows = rows.join(sizes, F.col("label") == F.col("__l"), "left").withColumn("size", F.coalesce("__n", F.lit(1)))
-    rows = rows.join(signs, F.col("rep") == F.col("__rep"))
+    rows = rows.join(mixed, F.col("key") == F.col("__key")).drop("__key").join(signs, F.col("rep") == F.col("__rep"))
     whole = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    tail = [F.lit(0).alias("kind"), "rep", "label", "size", "sig"]
-    held = rows.select("key", _dealt("rep", "nb", 3).alias("b"), whole("nc").alias("c"), *tail)
+    tail = ["rep", "label", "sig", "i", "j"]
+    held = rows.select("key", _dealt("rep", "nb", 3).alias("b"), whole("nc").alias("c"), F.lit(0).alias("kind"), *tail)
     asking = (rows.filter("label <> top")
-              .select("key", whole("nb").alias("b"), _dealt("rep", "nc", 4).alias("c"), F.lit(1).alias("kind"), *tail[1:]))
+              .select("key", whole("nb").alias("b"), _dealt("rep", "nc", 4).alias("c"), F.lit(1).alias("kind"), *tail))
     cells = held.unionByName(asking).repartition("key", "b", "c").sortWithinPartitions("key", "b", "c", "kind", "rep")
-    schema = pa.schema([("rep", pa.int64()), ("d", pa.int64())])
+    stay_schema = pa.schema([("key", pa.int64()), ("b", pa.int32()), ("c", pa.int32()), ("kind", pa.int32()), ("rep", pa.int64())])
+    link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(incoming: Iterator[pa.RecordBatch]):
-        for held_rows, asking_rows in _cells(incoming, 3):
-            found = sorted(class_asks(held_rows, asking_rows))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=schema)
+    def by_signature(incoming: Iterator[pa.RecordBatch]):
+        yield from batches(((*key, kind, rep) for key, held_rows, asking_rows in _cells(incoming, 3)
+                            for kind, rep in staying(held_rows, asking_rows)), stay_schema)
 
-    return written(cells.mapInArrow(run, "rep long, d long").distinct(), "minhash-remainder")
+    def by_set(incoming: Iterator[pa.RecordBatch]):
+        yield from batches((link for _, held_rows, asking_rows in _cells(incoming, 3)
+                            for link in linked(held_rows, asking_rows, similarity)), link_schema)
 
+    stay = cells.mapInArrow(by_signature, "key long, b int, c int, kind int, rep long").distinct()
+    return (stay.join(sets, "rep").select("key", "b", "c", "kind", "rep", "shingles")
+            .repartition("key", "b", "c").sortWithinPartitions("key", "b", "c", "kind", "rep").mapInArrow(by_set, "a long, b long"))
 
-def class_asks(held: list, asking: list) -> set[tuple[int, int]]:
-    """(member, class) for pairs of different classes whose signatures mostly agree: the smaller class asks."""
-    signs = np.frombuffer(b"".join(r[3] for r in held), np.uint32).reshape(len(held), HASHES)
+
+def staying(held: list, asking: list) -> Iterator[tuple[int, int]]:
+    """(kind, member) of the rows in a pair of different classes whose signatures mostly agree and whose first table this is."""
+    signs = np.frombuffer(b"".join(r[2] for r in held), np.uint32).reshape(len(held), HASHES)
+    asked = np.frombuffer(b"".join(r[2] for r in asking), np.uint32).reshape(len(asking), HASHES)
+    own, theirs = collections_of(signs), collections_of(asked)
     labels = np.array([r[1] for r in held])
-    out = set()
-    for rep, label, size, sig in asking:
-        agree = (signs == np.frombuffer(sig, np.uint32)).sum(axis=1)
-        for k in np.flatnonzero((agree >= MIN_AGREE) & (labels != label)).tolist():
-            other, other_label, other_size, _ = held[k]
-            out.add((rep, other_label) if (other_size, other_label) > (size, label) else (other, label))
-    return out
+    first, second = held[0][3:5]
+    met = np.zeros(len(held), bool)
+    for row, (rep, label, *_) in enumerate(asking):
+        same = own == theirs[row]
+        # the first two collections that agree are those of this table
+        here = (labels != label) & same[:, first] & same[:, second] & (same[:, :second].sum(axis=1) == 1)
+        here &= (signs == asked[row]).sum(axis=1) >= MIN_AGREE
+        if here.any():
+            met |= here
+            yield 1, rep
+    for k in np.flatnonzero(met).tolist():
+        yield 0, held[k][0]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
@@ -337,16 +375,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .agg(F.min("doc_id").alias("rep"), F.first("cols").alias("cols"), F.first("sig").alias("sig")), "minhash-reps")
     met = written(buckets(reps), "minhash-buckets")
     sets = written(shingles_of(docs, met, id_col, text_col), "minhash-sets")
-    links, labels = None, None
-    for salt in range(STAR_ROUNDS):
-        asks = star_asks(met, labels, salt)
-        found = compare(asks, asks.select("d").distinct().withColumn("rep", F.col("d")), sets, similarity)
-        links = written(found if links is None else links.unionByName(found), "minhash-links")
+    asks = star_asks(met)
+    links = written(compare(asks, asks.select("d").distinct().withColumn("rep", F.col("d")), sets, similarity), "minhash-links")
+    labels = components(links)
+    for _ in range(CLASS_ROUNDS):
+        asks = class_round_asks(met, labels)
+        links = written(links.unionByName(compare(asks, members_of(met, labels, asks), sets, similarity)), "minhash-links")
         labels = components(links)
-    asks = remainder_asks(met, labels, reps)
-    members = labelled(met.select("rep").distinct(), labels).select(F.col("label").alias("d"), "rep")
-    found = compare(asks, members.join(asks.select("d").distinct(), "d", "left_semi"), sets, similarity)
-    labels = written(components(links.unionByName(found)), "minhash-classes")
+    labels = components(links.unionByName(remainder_links(met, labels, reps, sets, similarity)))
     of_set = labelled(reps.select("set_id", "rep"), labels).select(F.col("set_id").alias("__set"), F.col("label").alias("__component"))
     of_set = written(of_set, "minhash-sets-classes")
     # rows repeating a doc_id may stand in several sets: the smallest component of its sets is the document's
@@ -362,5 +398,23 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return drop_ids(docs, found.filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), id_col)
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, both_ways.b FROM r JOIN both_ways ON both_ways.a = r.c)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept
+FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n
+"""
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

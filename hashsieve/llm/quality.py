@@ -166,7 +166,10 @@ def score(docs: DataFrame, space: Space | None, neighbours: int = NEIGHBOURS, th
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, all columns unchanged."""
+    """The rows of ``docs`` that the classifier does not reject, all columns unchanged.
+
+    Rejection goes by doc_id: rows that repeat an id go if any of them is rejected; a row without an id stays.
+    """
     scored = score(docs, fit(docs, labels))
     return drop_ids(docs, scored.filter("predicted = 0").select("doc_id").distinct())
 

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_near_duplicates": minhash.ORACLE,
     "op2_nearest": nearest.ORACLE,
     "op3_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,

@@ -32,8 +32,7 @@ def vectors(n, dim, seed):
 
 
 @pytest.mark.parametrize("block_rows", [32, 100_000])
-def test_equals_brute_force(spark, monkeypatch, block_rows):
-    monkeypatch.setattr(N, "TILE", 37)
+def test_equals_brute_force(spark, block_rows):
     rows = vectors(300, 16, 1)
     df = spark.createDataFrame([(i, v, "clash") for i, v in rows], SCHEMA)
     got = N.neighbours(df, df.filter(F.col("vec_id") % 20 == 0), k=20, block_rows=block_rows)
@@ -41,6 +40,19 @@ def test_equals_brute_force(spark, monkeypatch, block_rows):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, [i for i, _ in rows if i % 20 == 0], 20)
 
 
+@pytest.mark.parametrize("tile,pairs", [(2048, 65_536), (37, 65_536), (5, 11)])
+def test_tiles_do_not_matter(monkeypatch, tile, pairs):
+    monkeypatch.setattr(N, "TILE", tile)
+    monkeypatch.setattr(N, "PAIRS", pairs)
+    rng = np.random.default_rng(4)
+    block = N.Quantised(np.arange(200), np.concatenate([rng.normal(size=(150, 8)), np.tile(rng.normal(size=8), (50, 1))]))
+    asked = N.Quantised(np.arange(0, 200, 20), block.vectors[::20])
+    for query, heap in zip(asked.ids, N.search(asked, block, 7)):
+        scores = N.inner(np.tile(block.vectors[query], (200, 1)), block.vectors)
+        want = sorted((-scores[i], i) for i in range(200) if i != query)[:7]
+        assert sorted((-s, -n) for s, n in heap) == want
+
+
 def test_bound_holds():
     rng = np.random.default_rng(2)
     a, b = (N.Quantised(np.arange(50), rng.normal(size=(50, 64)) * rng.lognormal(size=(50, 1))) for _ in range(2))
