@@ -22,8 +22,9 @@ their classes are joined:
 3. Remainder.  Pairs of a bucket that still are in different classes are
    compared by signature, in blocks.  Where at least ``MIN_AGREE`` of the 48 minhashes
    agree (a linked pair falls short with probability 1e-6) and the table is the
-   first that the two share, both rows stay in the block; the sets of the rows that stay are
-   sent there and all pairs confirmed.  This settles every pair the rounds have left.
+   first that the two share, both rows go on to the group of the table's first collection (a row is in few
+   of these, though in many tables), where they are compared as in the class rounds.  This settles
+   every pair the rounds have left.
 
 Buckets and classes of any size are dealt in blocks of ``BLOCK`` rows; a block
 lists no pairs, it returns links that join its rows, fewer than it has rows.  Nothing is capped.
@@ -311,8 +312,8 @@ def members_of(met: DataFrame, labels: DataFrame, asks: DataFrame) -> DataFrame:
     return rows.join(asks.select("d").distinct(), "d", "left_semi")
 
 
-def remainder_links(met: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links ``a, b`` between members of a bucket that are in different classes.
+def remainder(met: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """``kind, d, rep``: asking (1) and held (0) rows of the pairs that still need to be confirmed, by group ``d``.
 
     Buckets of two are settled by the star round.  Of the others only rows outside the bucket's most
     frequent class ask; they are compared with all rows of the bucket, block by block, first by signature.
@@ -331,30 +332,23 @@ def remainder_links(met: DataFrame, labels: DataFrame, reps: DataFrame, sets: Da
     asking = (rows.filter("label <> top")
               .select("key", whole("nb").alias("b"), _dealt("rep", "nc", 4).alias("c"), F.lit(1).alias("kind"), *tail))
     cells = held.unionByName(asking).repartition("key", "b", "c").sortWithinPartitions("key", "b", "c", "kind", "rep")
-    stay_schema = pa.schema([("key", pa.int64()), ("b", pa.int32()), ("c", pa.int32()), ("kind", pa.int32()), ("rep", pa.int64())])
-    link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("d", pa.int64()), ("rep", pa.int64())])
 
     def by_signature(incoming: Iterator[pa.RecordBatch]):
-        yield from batches(((*key, kind, rep) for key, held_rows, asking_rows in _cells(incoming, 3)
-                            for kind, rep in staying(held_rows, asking_rows)), stay_schema)
+        yield from batches((row for _, held_rows, asking_rows in _cells(incoming, 3) for row in staying(held_rows, asking_rows)), schema)
 
-    def by_set(incoming: Iterator[pa.RecordBatch]):
-        yield from batches((link for _, held_rows, asking_rows in _cells(incoming, 3)
-                            for link in linked(held_rows, asking_rows, similarity)), link_schema)
+    return written(cells.mapInArrow(by_signature, "kind int, d long, rep long").distinct(), "minhash-remainder")
 
-    stay = cells.mapInArrow(by_signature, "key long, b int, c int, kind int, rep long").distinct()
-    return (stay.join(sets, "rep").select("key", "b", "c", "kind", "rep", "shingles")
-            .repartition("key", "b", "c").sortWithinPartitions("key", "b", "c", "kind", "rep").mapInArrow(by_set, "a long, b long"))
 
-
-def staying(held: list, asking: list) -> Iterator[tuple[int, int]]:
-    """(kind, member) of the rows in a pair of different classes whose signatures mostly agree and whose first table this is."""
+def staying(held: list, asking: list) -> Iterator[tuple[int, int, int]]:
+    """(kind, group, member) of the rows in a pair of different classes whose signatures mostly agree and whose first table
+    this is; the group is the value of the table's first collection."""
     signs = np.frombuffer(b"".join(r[2] for r in held), np.uint32).reshape(len(held), HASHES)
     asked = np.frombuffer(b"".join(r[2] for r in asking), np.uint32).reshape(len(asking), HASHES)
     own, theirs = collections_of(signs), collections_of(asked)
     labels = np.array([r[1] for r in held])
     first, second = held[0][3:5]
-    met = np.zeros(len(held), bool)
+    group, met = int(own[0, first]), np.zeros(len(held), bool)
     for row, (rep, label, *_) in enumerate(asking):
         same = own == theirs[row]
         # the first two collections that agree are those of this table
@@ -362,9 +356,9 @@ def staying(held: list, asking: list) -> Iterator[tuple[int, int]]:
         here &= (signs == asked[row]).sum(axis=1) >= MIN_AGREE
         if here.any():
             met |= here
-            yield 1, rep
+            yield 1, group, rep
     for k in np.flatnonzero(met).tolist():
-        yield 0, held[k][0]
+        yield 0, group, held[k][0]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
@@ -382,7 +376,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         asks = class_round_asks(met, labels)
         links = written(links.unionByName(compare(asks, members_of(met, labels, asks), sets, similarity)), "minhash-links")
         labels = components(links)
-    labels = components(links.unionByName(remainder_links(met, labels, reps, sets, similarity)))
+    left = remainder(met, labels, reps)
+    found = compare(left.filter("kind = 1").select("rep", "d"), left.filter("kind = 0").select("d", "rep"), sets, similarity)
+    labels = components(links.unionByName(found))
     of_set = labelled(reps.select("set_id", "rep"), labels).select(F.col("set_id").alias("__set"), F.col("label").alias("__component"))
     of_set = written(of_set, "minhash-sets-classes")
     # rows repeating a doc_id may stand in several sets: the smallest component of its sets is the document's
