@@ -10,8 +10,14 @@ so that a heading shares in the weight of the article around it.  Text and
 punctuation ratios are fused by their product, damped by the share of link
 text.  Paths above a threshold set from the fused scores' spread are content,
 and the container that holds most content decides which of them belong to the
-article.  Paths that run through an element whose tag, role, class or id names
-boilerplate (menus, adverts, comments, ...) have weight zero from the start.
+article.  An element whose tag, role, class or id names boilerplate (menus,
+adverts, comments, ...) is a hit; the hits of one path are judged together.
+A hit with less than half of the page's text outside links has weight zero (a
+discussion with less than 0.9 of it); above that its weight rises to one, for the
+word then names a wrapper or a layout.  A hit does not reach into an article or
+main element inside it, unless one outside all hits holds more text.  Elements that
+are never wrappers (nav, footer, aside, button, ...) always have weight zero.  Where
+all text is below hits, the heaviest that can be a wrapper has weight one.
 
 Decisions are about paths, never about single nodes: a short paragraph stays
 with its long siblings.
@@ -59,6 +65,8 @@ BOILER_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising
     commentlist reply replies respond discussion disqus share sharing social related recommended recommendations
     subscribe subscription newsletter signup login register search searchbox form pagination pager paging tags tagcloud toc
     copyright legal disclaimer skip print hidden""".split())
+NEVER_WRAPPERS = frozenset("nav footer aside button select menu dialog head input label".split())
+DISCUSSION = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
 NEGATIONS = frozenset("no non not without with has".split())  # "no-sidebar" names the page's layout, not a sidebar
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -67,48 +75,55 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NAME = re.compile(r"[a-z]+(?:-[a-z]+)*")
 
 
-def _is_boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
+def _hit(tag: str, attributes: str, inside_article: bool) -> float | None:
+    """Share of the page's text from which an element that names boilerplate is taken for a wrapper; None if it names none."""
     if tag in BOILER_TAGS or (tag == "header" and not inside_article):
-        return True
+        return 1.0 if tag in NEVER_WRAPPERS else 0.5
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return None
     for name, *values in _ATTR.findall(attributes):
         name, value = name.lower(), html.unescape(next((v for v in values if v), "")).lower()
         if name == "role" and value.strip() in BOILER_ROLES or name == "aria-hidden" and value.strip() == "true":
-            return True
+            return 0.5
         if name in ("class", "id"):
             for word in re.split(r"[\s_]+", value):
                 parts = word.strip("-0123456789").split("-")
                 if parts[0] not in NEGATIONS and any(p in BOILER_WORDS and (p != "header" or not inside_article) for p in parts):
-                    return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes.lower()))
+                    return 0.9 if DISCUSSION.intersection(parts) else 0.5
+    return 0.5 if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes.lower()) else None
 
 
 class Node:
     """A block of text: consecutive text of one block element."""
 
-    __slots__ = ("path", "container", "parts", "linked")
+    __slots__ = ("path", "container", "parts", "linked", "hits", "around", "article")
 
-    def __init__(self, path: str, container: str) -> None:
+    def __init__(self, path: str, container: str, hits: tuple, around: tuple, article: str) -> None:
         self.path, self.container, self.parts, self.linked = path, container, [], 0
+        self.hits, self.around, self.article = hits, around, article
 
 
 def blocks(page: str) -> list[Node]:
-    """Text blocks in page order, each with the path of its block elements; boilerplate is left out."""
-    stack: list[tuple[str, bool, str]] = [("", False, "")]  # (tag, boilerplate, path of block elements so far)
+    """Text blocks in page order, each with the path of its block elements and hits.
+
+    ``hits`` are (path, wrapper share) of the hits above the block, ``article`` is the path of the outermost
+    article or main element and ``around`` the hits that this element lies in; these are not among ``hits``.
+    """
+    # (tag, path of block elements and hits so far, hits, hits around the article, article)
+    stack: list[tuple[str, str, tuple, tuple, str]] = [("", "", (), (), "")]
     found: list[Node] = []
     node: Node | None = None
     at, links, in_article = 0, 0, 0
 
     def text(raw: str) -> None:
         nonlocal node
-        if not raw or stack[-1][1]:
+        if not raw:
             return
         if node is None:
             if not raw.strip(" \t\n\r\f"):
                 return
-            path = stack[-1][2]
-            node = Node(path, _container(path))
+            path = stack[-1][1]
+            node = Node(path, _container(path), *stack[-1][2:])
             found.append(node)
         node.parts.append(raw)
         if links:
@@ -116,10 +131,10 @@ def blocks(page: str) -> list[Node]:
 
     def pop_to(k: int) -> None:
         nonlocal node, links, in_article
-        for tag, _, _ in stack[k:]:
+        for (tag, _, hits, *_), above in zip(stack[k:], stack[k - 1:]):
             links -= tag == "a"
             in_article -= tag in ("article", "main")
-            if tag in BLOCKS:
+            if tag in BLOCKS or hits != above[2]:
                 node = None
         del stack[k:]
 
@@ -156,19 +171,19 @@ def blocks(page: str) -> list[Node]:
                     break
                 if stack[k][0] in SCOPE and stack[k][0] not in closed:
                     break
-        parent = stack[-1]
-        path = parent[2]
-        if tag in BLOCKS:
-            node = None
-            path = f"{path}/{tag}{_label(tag_at[3])}"
+        _, path, hits, around, article = stack[-1]
         links += tag == "a"
-        in_article += tag in ("article", "main")
-        boiler = parent[1] or _is_boilerplate(tag, tag_at[3], in_article > 0)
-        if boiler and not parent[1]:
+        named = tag in ("article", "main")
+        in_article += named
+        wrapper = _hit(tag, tag_at[3], in_article > 0)
+        if tag in BLOCKS or wrapper is not None:
             node = None
-        stack.append((tag, boiler, path))
-        if boiler:
-            continue
+            path = f"{path}/{tag}{_label(tag_at[3])}"
+        if wrapper is not None:
+            hits += ((path, wrapper),)
+        if named and in_article == 1:
+            hits, around, article = (), hits, path
+        stack.append((tag, path, hits, around, article))
     return found
 
 
@@ -197,8 +212,41 @@ SPREAD = 0.8  # threshold in standard deviations of the fused scores
 FLOOR = 0.15  # and never above this share of the best score: all of an even article stays
 
 
+def weights(found: list[tuple[Node, str]]) -> list[float]:
+    """The weight that its hits leave each block: 1 without any."""
+    own = [max(0, len(t) - n.linked) for n, t in found]  # text outside links
+    articles: dict[str, int] = {}
+    free = 0
+    for (node, _), n in zip(found, own):
+        if node.article and not node.hits:
+            articles[node.article] = articles.get(node.article, 0) + n
+            if not node.around:
+                free = max(free, articles[node.article])
+    hits = []
+    for node, _ in found:
+        here = node.hits
+        if node.around and (articles.get(node.article, 0) < free or any(w == 1.0 for _, w in node.around)):
+            here = node.around + here
+        hits.append(here)
+    mass: dict[tuple[str, float], int] = {}
+    for keys, n in zip(hits, own):
+        for key in keys:
+            mass[key] = mass.get(key, 0) + n
+    total = max(1, sum(own))
+    weight = {(path, w): max(0.0, (m / total - w) / (1.0 - w)) ** 3 if w < 1.0 else 0.0 for (path, w), m in mass.items()}
+    out = [math.prod(weight[k] for k in keys) for keys in hits]
+    for key in sorted((k for k, m in mass.items() if k[1] < 1.0 and m), key=lambda k: (-mass[k], len(k[0]), k)):
+        if any(w and n for w, n in zip(out, own)):
+            break
+        weight[key] = 1.0
+        out = [math.prod(weight[k] for k in keys) for keys in hits]
+    return out
+
+
 def extract(page: str | None) -> str:
     found = [(n, t) for n in blocks(page or "") if (t := clean(n.parts))]
+    weight = weights(found)
+    found, weight = [f for f, w in zip(found, weight) if w > 0], [w for w in weight if w > 0]
     if not found:
         return ""
     paths: dict[str, list[float]] = {}
@@ -213,9 +261,9 @@ def extract(page: str | None) -> str:
     around = np.array([_ratio(containers[n.container]) for n, _ in found])
     along = np.convolve(np.pad(own, 2, mode="edge"), SMOOTHING / SMOOTHING.sum(), mode="valid")
     score: dict[str, list[float]] = {}
-    for (node, _), a, b, c in zip(found, own, along, around):
+    for (node, _), a, b, c, w in zip(found, own, along, around, weight):
         linked = paths[node.path][3] / paths[node.path][1]
-        score.setdefault(node.path, []).append((a * max(b, c) * c) ** (1 / 3) * (1 - linked) ** 2)
+        score.setdefault(node.path, []).append((a * max(b, c) * c) ** (1 / 3) * (1 - linked) ** 2 * w)
     fused = {path: float(np.mean(s)) for path, s in score.items()}
     values = np.array([fused[n.path] for n, _ in found])
     limit = min(SPREAD * float(values.std()), FLOOR * float(values.max()))

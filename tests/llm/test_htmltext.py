@@ -30,6 +30,27 @@ def test_article_without_the_rest(body):
     assert H.extract(page(body)) == WANT
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout right-sidebar'", "div class='content-with-sidebar'", "div class=print", "div id=widget", "form id=aspnetForm"])
+@pytest.mark.parametrize("inner", ["article", "div class=text"])
+def test_wrapper_named_like_boilerplate(wrapper, inner):
+    rest = "<nav><a href=x>Home</a></nav><div class=sidebar><p>Some text, aside.</p></div><div class=share>Share. It.</div>"
+    ends = inner.split()[0], wrapper.split()[0]
+    assert H.extract(page(f"<{wrapper}>{rest}<{inner}>{ARTICLE}</{ends[0]}></{ends[1]}><footer>Legal, all of it.</footer>")) == WANT
+
+
+def test_boilerplate_around_and_beside_articles():
+    teaser = "<article class=card><p>Another article, in short. Read on.</p></article>"
+    long = "<p>A remark on it, not a short one. With stops, and more.</p>" * 9
+    outside = f"<div><p>{'Unlisted words without end ' * 9}</p></div>"
+    assert H.extract(page(f"<main>{ARTICLE}</main><div class=related>{teaser}</div>")) == WANT
+    assert H.extract(page(f"<article>{ARTICLE}<aside>{teaser}</aside></article>")) == WANT
+    assert WANT in H.extract(page(f"<div class='layout right-sidebar'><article>{ARTICLE}</article></div>{outside}"))
+    assert H.extract(page(f"<div id=text>{ARTICLE}</div><div class=comments>{long[:len(long) // 9 * 4]}</div>")) == WANT
+    assert H.extract(page("<nav><a href=x>Home</a></nav><footer>Legal, all of it.</footer>")) == ""
+    parts = [f"<div class={c}><p>Part of the text, no. {c}.</p></div>" for c in ("widget", "print", "promo")]
+    assert H.extract(page("".join(parts))) != ""
+
+
 def test_inline_markup_and_white_space():
     assert H.extract("<p>a <b>bold</b>\n\t word<br>next&nbsp;x<p>two<ul><li>one<li>two</ul>") == "a bold word next x\ntwo\none\ntwo"
 
