@@ -8,7 +8,8 @@ are smoothed twice: along the page, over the sequence of nodes with a Gaussian,
 and upwards, with the ratio of the container (the nearest sectioning ancestor),
 so that a heading shares in the weight of the article around it.  Text and
 punctuation ratios are fused by their product, damped by the share of link
-text.  Paths above a threshold set from the fused scores' spread are content,
+text; this is smoothed upwards too, so that a linked heading or a list of sources
+shares in the text around it.  Paths above a threshold set from the fused scores' spread are content,
 and the container that holds most content decides which of them belong to the
 article.  An element whose tag, role, class or id names boilerplate (menus,
 adverts, comments, ...) is a hit; the hits of one path are judged together.
@@ -68,6 +69,7 @@ BOILER_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising
 NEVER_WRAPPERS = frozenset("nav footer aside button select menu dialog head input label".split())
 DISCUSSION = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
 NEGATIONS = frozenset("no non not without with has".split())  # "no-sidebar" names the page's layout, not a sidebar
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -251,9 +253,10 @@ def extract(page: str | None) -> str:
         return ""
     paths: dict[str, list[float]] = {}
     containers: dict[str, list[float]] = {}
+    articles: dict[str, list[float]] = {}
     for node, text in found:
         row = (1.0, len(text), len(PUNCTUATION.findall(text)), min(len(text), node.linked))
-        for key, sums in ((node.path, paths), (node.container, containers)):
+        for key, sums in ((node.path, paths), (node.container, containers), (node.article, articles)):
             own = sums.setdefault(key, [0.0] * 4)
             for k in range(4):
                 own[k] += row[k]
@@ -262,8 +265,7 @@ def extract(page: str | None) -> str:
     along = np.convolve(np.pad(own, 2, mode="edge"), SMOOTHING / SMOOTHING.sum(), mode="valid")
     score: dict[str, list[float]] = {}
     for (node, _), a, b, c, w in zip(found, own, along, around, weight):
-        linked = paths[node.path][3] / paths[node.path][1]
-        score.setdefault(node.path, []).append((a * max(b, c) * c) ** (1 / 3) * (1 - linked) ** 2 * w)
+        score.setdefault(node.path, []).append((a * max(b, c) * c) ** (1 / 3) * _unlinked(node, paths, containers, articles) * w)
     fused = {path: float(np.mean(s)) for path, s in score.items()}
     values = np.array([fused[n.path] for n, _ in found])
     limit = min(SPREAD * float(values.std()), FLOOR * float(values.max()))
@@ -284,13 +286,35 @@ def _ratio(sums: list[float]) -> float:
     return math.log1p(chars / nodes) * (1.0 + math.log1p(marks / nodes))
 
 
+def _unlinked(node: Node, paths: dict, containers: dict, articles: dict) -> float:
+    """What link text leaves of a path's score: the share of link text is the path's or, if less, that of the text around it.
+
+    Around it are the article or main element, else the container; menus are often bare lists in body or a table
+    cell, so there only headings share in it.
+    """
+    linked = paths[node.path][3] / paths[node.path][1]
+    if node.article:
+        return 1 - min(linked, articles[node.article][3] / articles[node.article][1])
+    if _tag(node.container) in ("article", "main", "section", "div") or _tag(node.path) in HEADINGS:
+        linked = min(linked, containers[node.container][3] / containers[node.container][1])
+    return (1 - linked) ** 2
+
+
+def _tag(path: str) -> str:
+    return path.rsplit("/", 1)[-1].split(".")[0]
+
+
 def _home(mass: dict[str, float]) -> str:
-    """The deepest path that holds nearly all content; an article or main element that holds most of it comes first."""
+    """The deepest path that holds nearly all content; where article and main elements hold most of it, the deepest that holds all of these."""
     total = sum(mass.values())
-    named = [p for p in mass if p.rsplit("/", 1)[-1].split(".")[0] in ("article", "main")]
-    for path in sorted({q for p in mass for q in _named_ancestors(p)} | set(named), key=len):
-        if sum(m for p, m in mass.items() if (p + "/").startswith(path + "/")) >= 0.5 * total:
-            return path
+    named = {q[0]: 0.0 for p in mass if (q := _named_ancestors(p))}
+    for path, m in mass.items():
+        if outermost := _named_ancestors(path):
+            named[outermost[0]] += m
+    if named and sum(named.values()) >= 0.5 * total:
+        steps = [p.split("/") for p in named]
+        same = next((k for k, at in enumerate(zip(*steps)) if len(set(at)) > 1), min(map(len, steps)))
+        return "/".join(steps[0][:same])
     best, steps = "", max(mass, key=mass.get).split("/")
     for k in range(1, len(steps) + 1):
         path = "/".join(steps[:k])

@@ -51,6 +51,31 @@ def test_boilerplate_around_and_beside_articles():
     assert H.extract(page("".join(parts))) != ""
 
 
+LINKED = ARTICLE.replace("A title", "<a href=x>A title</a>") + "<h2>Sources</h2><ul><li><a href=a>One source</a><li><a href=b>Other source</a></ul>"
+
+
+@pytest.mark.parametrize("body", [
+    f"<article>{LINKED}</article>",
+    f"<article><section><h1><a href=x>A title</a></h1></section><section>{LINKED[LINKED.index('<p>'):]}</section></article>",
+    f"<ul><li><a href=x>Home</a><li><a href=y>Other pages</a></ul><article>{LINKED}</article>",
+    f"<div id=content>{LINKED}</div>",
+])
+def test_linked_blocks_of_the_article(body):
+    assert H.extract(page(body)) == WANT + "\nSources\nOne source\nOther source"
+
+
+def test_link_lists_alone_are_no_text():
+    links = "<ul><li><a href=x>One page</a><li><a href=y>Other page</a></ul>"
+    assert H.extract(page(links)) == H.extract(page(f"<main>{links}</main>")) == ""
+    assert H.extract(page(f"{links}<h1><a href=x>A title</a></h1>{ARTICLE[16:]}")) == WANT
+
+
+def test_every_article_of_the_page():
+    second = "<article class=two><p>The second article, with less of it. But all of it.</p></article>"
+    got = H.extract(page(f"<div id=all><article class=one>{ARTICLE}</article>{second}</div><nav><a href=x>Home</a></nav>"))
+    assert got == WANT + "\nThe second article, with less of it. But all of it."
+
+
 def test_inline_markup_and_white_space():
     assert H.extract("<p>a <b>bold</b>\n\t word<br>next&nbsp;x<p>two<ul><li>one<li>two</ul>") == "a bold word next x\ntwo\none\ntwo"
 
