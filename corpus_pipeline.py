@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from hashsieve.llm import bpe, exact_dedup, minhash, mixing, quality
 from hashsieve.llm.common import table, written
 
+NEAR = 80  # per cent of shingles of five words that near copies share; the contract of op1 alone asks for 85
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -26,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the smallest id."""
-    return minhash.representatives(docs)
+    return minhash.representatives(docs, similarity=NEAR)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Near-duplicate classes by MinHash with tensored banding.
 
-A document's set holds the distinct shingles of ``SHINGLE`` words.  ``COLLECTIONS``
-small collections of ``WIDTH`` minhashes each are computed; the key of a table is
+A document's set holds the distinct shingles of ``SHINGLE`` words.  Small
+collections of ``WIDTH`` minhashes each are computed; the key of a table is
 the pair of two collections, so ``c`` collections serve c(c-1)/2 tables: 48 minhashes
 give 120 tables of 6 where plain banding would need 720.  Two documents meet in a
 table when at least two of their collections agree, which at a similarity s
-fails with probability (1-p)^c + c p (1-p)^(c-1), p = s^WIDTH: 6e-6 at s = 0.85.
+fails with probability (1-p)^c + c p (1-p)^(c-1), p = s^WIDTH.  ``layout`` takes the
+least c that keeps this within ``MISS_TABLES`` for the similarity asked for: 16 at
+0.85 (6e-6), 21 at 0.8 (7e-6).
 Table keys are formed only from collections that some other set shares; the
 others cannot meet anybody.
 
@@ -20,8 +22,8 @@ their classes are joined:
 2. Class rounds.  Of the classes that are the most frequent of one of its buckets, a member
    asks for the largest one it is not in, and is compared with all of it, in blocks.
 3. Remainder.  Pairs of a bucket that still are in different classes are
-   compared by signature, in blocks.  Where at least ``MIN_AGREE`` of the 48 minhashes
-   agree (a linked pair falls short with probability 1e-6) and the table is the
+   compared by signature, in blocks.  Where enough of the minhashes
+   agree (``layout``: a linked pair falls short with probability ``MISS_SIGNATURE`` at most) and the table is the
    first that the two share, both rows go on to the group of the table's first collection (a row is in few
    of these, though in many tables), where they are compared as in the class rounds.  This settles
    every pair the rounds have left.
@@ -39,7 +41,9 @@ pass through ``representatives``); an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,19 +54,42 @@ from pyspark.sql import functions as F
 from .common import MAX_BROADCAST_DECISIONS, batches, drop_ids, map_rows, ship, strings, table, written
 
 SHINGLE = 5
-COLLECTIONS = 16
 WIDTH = 3
-HASHES = COLLECTIONS * WIDTH
 SIMILARITY = 85  # per cent
-MIN_AGREE = 28
+MISS_TABLES = 1e-5  # at most, for a pair just at the similarity, to share no table
+MISS_SIGNATURE = 2.5e-6  # and to agree in too few minhashes
 CLASS_ROUNDS = 2
 BLOCK = 256
 MEMO_WORDS = 400_000
 
-_SEEDS = np.random.default_rng(20240501)
-_FACTORS = _SEEDS.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _SEEDS.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_MIX = _SEEDS.integers(1, 1 << 63, SHINGLE + WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+@lru_cache(maxsize=None)
+def layout(similarity: int) -> tuple[int, int]:
+    """Collections, and minhashes that must agree, for pairs at ``similarity`` per cent."""
+    if not 1 <= similarity <= 100:
+        raise ValueError(f"similarity of {similarity} per cent")
+    s = similarity / 100
+    p, c = s ** WIDTH, 2
+    while (1 - p) ** c + c * p * (1 - p) ** (c - 1) > MISS_TABLES:
+        c += 1
+    n, agree, short = c * WIDTH, 0, (1 - s) ** (c * WIDTH)  # short: the probability of at most ``agree`` equal minhashes
+    while short <= MISS_SIGNATURE and agree < n:
+        agree += 1
+        short += math.comb(n, agree) * s ** agree * (1 - s) ** (n - agree)
+    return c, agree
+
+
+COLLECTIONS, MIN_AGREE = layout(SIMILARITY)
+HASHES = COLLECTIONS * WIDTH
+
+
+@lru_cache(maxsize=None)
+def _seeds(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    drawn = np.random.default_rng(20240501)
+    return drawn.integers(1, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1), drawn.integers(0, 1 << 63, hashes, dtype=np.uint64)
+
+
+_MIX = np.random.default_rng(20240501).integers(1, 1 << 63, 2 * HASHES + SHINGLE + WIDTH, dtype=np.uint64)[2 * HASHES:] * np.uint64(2) + np.uint64(1)
 
 
 class Words(dict):
@@ -88,18 +115,19 @@ def shingle_set(text: bytes | None, words: Words) -> np.ndarray:
     return np.unique(mixed)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of ``HASHES`` 32-bit minhashes per non-empty set."""
+def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
+    """One row of ``hashes`` 32-bit minhashes per non-empty set."""
+    factors, offsets = _seeds(hashes)
     joined = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), HASHES), np.uint32)
-    for k in range(HASHES):
-        out[:, k] = np.minimum.reduceat((joined * _FACTORS[k] + _OFFSETS[k]) >> np.uint64(32), starts)
+    out = np.empty((len(sets), hashes), np.uint32)
+    for k in range(hashes):
+        out[:, k] = np.minimum.reduceat((joined * factors[k] + offsets[k]) >> np.uint64(32), starts)
     return out
 
 
 def collections_of(signature: np.ndarray) -> np.ndarray:
-    parts = signature.astype(np.uint64).reshape(len(signature), COLLECTIONS, WIDTH)
+    parts = signature.astype(np.uint64).reshape(len(signature), -1, WIDTH)
     mixed = np.zeros(parts.shape[:2], np.uint64)
     for k in range(WIDTH):
         mixed = (mixed ^ parts[:, :, k]) * _MIX[SHINGLE + k]
@@ -107,8 +135,9 @@ def collections_of(signature: np.ndarray) -> np.ndarray:
     return mixed.view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """``doc_id, n, set_id, cols, sig`` for every row; the last three are null for the empty set."""
+    hashes = layout(similarity)[0] * WIDTH
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.string()), ("cols", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(incoming: Iterator[pa.RecordBatch]):
@@ -118,7 +147,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for at in range(0, batch.num_rows, BLOCK):
                 sets = [shingle_set(t, words) for t in strings(texts.slice(at, BLOCK))]
                 full = [s for s in sets if len(s)]
-                found = iter(zip(sigs := signatures(full), collections_of(sigs)) if full else ())
+                found = iter(zip(sigs := signatures(full, hashes), collections_of(sigs)) if full else ())
                 rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), *next(found)) if len(s) else (0, None, None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, BLOCK), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
@@ -312,7 +341,7 @@ def members_of(met: DataFrame, labels: DataFrame, asks: DataFrame) -> DataFrame:
     return rows.join(asks.select("d").distinct(), "d", "left_semi")
 
 
-def remainder(met: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+def remainder(met: DataFrame, labels: DataFrame, reps: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """``kind, d, rep``: asking (1) and held (0) rows of the pairs that still need to be confirmed, by group ``d``.
 
     Buckets of two are settled by the star round.  Of the others only rows outside the bucket's most
@@ -333,18 +362,19 @@ def remainder(met: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
               .select("key", whole("nb").alias("b"), _dealt("rep", "nc", 4).alias("c"), F.lit(1).alias("kind"), *tail))
     cells = held.unionByName(asking).repartition("key", "b", "c").sortWithinPartitions("key", "b", "c", "kind", "rep")
     schema = pa.schema([("kind", pa.int32()), ("d", pa.int64()), ("rep", pa.int64())])
+    min_agree = layout(similarity)[1]
 
     def by_signature(incoming: Iterator[pa.RecordBatch]):
-        yield from batches((row for _, held_rows, asking_rows in _cells(incoming, 3) for row in staying(held_rows, asking_rows)), schema)
+        yield from batches((row for _, held_rows, asking_rows in _cells(incoming, 3) for row in staying(held_rows, asking_rows, min_agree)), schema)
 
     return written(cells.mapInArrow(by_signature, "kind int, d long, rep long").distinct(), "minhash-remainder")
 
 
-def staying(held: list, asking: list) -> Iterator[tuple[int, int, int]]:
+def staying(held: list, asking: list, min_agree: int) -> Iterator[tuple[int, int, int]]:
     """(kind, group, member) of the rows in a pair of different classes whose signatures mostly agree and whose first table
     this is; the group is the value of the table's first collection."""
-    signs = np.frombuffer(b"".join(r[2] for r in held), np.uint32).reshape(len(held), HASHES)
-    asked = np.frombuffer(b"".join(r[2] for r in asking), np.uint32).reshape(len(asking), HASHES)
+    signs = np.frombuffer(b"".join(r[2] for r in held), np.uint32).reshape(len(held), -1)
+    asked = np.frombuffer(b"".join(r[2] for r in asking), np.uint32).reshape(len(asking), -1)
     own, theirs = collections_of(signs), collections_of(asked)
     labels = np.array([r[1] for r in held])
     first, second = held[0][3:5]
@@ -353,7 +383,7 @@ def staying(held: list, asking: list) -> Iterator[tuple[int, int, int]]:
         same = own == theirs[row]
         # the first two collections that agree are those of this table
         here = (labels != label) & same[:, first] & same[:, second] & (same[:, :second].sum(axis=1) == 1)
-        here &= (signs == asked[row]).sum(axis=1) >= MIN_AGREE
+        here &= (signs == asked[row]).sum(axis=1) >= min_agree
         if here.any():
             met |= here
             yield 1, group, rep
@@ -364,7 +394,7 @@ def staying(held: list, asking: list) -> Iterator[tuple[int, int, int]]:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     spark = docs.sparkSession
-    drawn = written(sketches(docs, id_col, text_col), "minhash-sketches")
+    drawn = written(sketches(docs, id_col, text_col, similarity), "minhash-sketches")
     reps = written(drawn.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_id")
                    .agg(F.min("doc_id").alias("rep"), F.first("cols").alias("cols"), F.first("sig").alias("sig")), "minhash-reps")
     met = written(buckets(reps), "minhash-buckets")
@@ -376,7 +406,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         asks = class_round_asks(met, labels)
         links = written(links.unionByName(compare(asks, members_of(met, labels, asks), sets, similarity)), "minhash-links")
         labels = components(links)
-    left = remainder(met, labels, reps)
+    left = remainder(met, labels, reps, similarity)
     found = compare(left.filter("kind = 1").select("rep", "d"), left.filter("kind = 0").select("d", "rep"), sets, similarity)
     labels = components(links.unionByName(found))
     of_set = labelled(reps.select("set_id", "rep"), labels).select(F.col("set_id").alias("__set"), F.col("label").alias("__component"))
@@ -388,9 +418,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each class, all columns unchanged."""
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col, similarity)
     return drop_ids(docs, found.filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), id_col)
 
 

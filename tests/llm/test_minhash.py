@@ -84,6 +84,49 @@ def test_missed_pairs_are_rare():
     assert (1 - p) ** c + c * p * (1 - p) ** (c - 1) < 1e-5
 
 
+def at_similarity(seed, low, high, n):
+    """``n`` pairs (a, b) of sets of words with ``low`` <= similarity < ``high`` per cent, one changed word at a time."""
+    rng = random.Random(seed)
+    made = []
+    while len(made) < n:
+        size, k = rng.randint(150, 300), rng.randint(2, 8)
+        a = [f"w{rng.randrange(10 ** 9)}" for _ in range(size)]
+        b = list(a)
+        for at in rng.sample(range(size), k):
+            b[at] = f"v{rng.randrange(10 ** 9)}"
+        x, y = ({tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        if low * len(x | y) <= 100 * len(x & y) < high * len(x | y):
+            made.append((" ".join(a), " ".join(b)))
+    return made
+
+
+def test_pairs_between_80_and_85(spark):
+    """Pairs in random order, and a class of such pairs, against brute force at 80; none is linked at 85."""
+    pairs = at_similarity(5, 80, 85, 300)
+    rows = list(enumerate(t for pair in pairs for t in pair)) + [(10_000 + k, t) for k, (_, t) in enumerate(at_similarity(6, 70, 80, 50))]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], TEXT).repartition(5)
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(df, similarity=80).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(len(pairs)))
+    assert M.representatives(df).count() == len(rows)
+
+
+def test_stage_links_at_80(spark):
+    import corpus_pipeline
+
+    rows = list(enumerate(t for pair in at_similarity(7, 80, 85, 20) for t in pair))
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], TEXT)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == list(range(0, 40, 2))
+
+
+@pytest.mark.parametrize("similarity", [100, 90, 85, 80, 70, 60])
+def test_layout_follows_similarity(similarity):
+    s, (c, agree) = similarity / 100, M.layout(similarity)
+    p, n = s ** M.WIDTH, M.layout(similarity)[0] * M.WIDTH
+    assert (1 - p) ** c + c * p * (1 - p) ** (c - 1) <= 1e-5
+    assert sum(M.math.comb(n, k) * s ** k * (1 - s) ** (n - k) for k in range(agree)) <= 2.5e-6
+    assert M.layout(85) == (16, 28)
+
+
 def test_components_of_a_long_chain(spark):
     n = 60
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 99), (200, 201), (5, 5)], "a long, b long")
