@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, htmltext, langid, minhash, mixing, nearest, quality, warc
+from . import bpe, centroids, chat, divergence, exact_dedup, htmltext, langid, minhash, mixing, nearest, packing, quality, warc
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat": chat.op10_chat,
+    "op11_packing": packing.op11_packing,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op3_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_chat": chat.ORACLE,
+    "op12_divergence": divergence.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
