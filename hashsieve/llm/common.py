@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -23,11 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared checkpoint folder and read it back."""
+def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet in the shared checkpoint folder and read it back.
+
+    A writer holds one row group per task in memory: ``row_group`` (bytes) keeps it small for wide rows.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +71,35 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa
     return spread(df).mapInArrow(fn, schema)
 
 
+def freed(fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` for ``mapInArrow``; the worker, which lives on, gives its unused memory back at the end of the task."""
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(incoming)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def row_blocks(column: pa.Array, max_rows: int, max_bytes: int) -> Iterator[tuple[int, list]]:
+    """Where each block starts and its byte strings: at most ``max_rows`` rows and, beyond the first row, ``max_bytes``."""
+    at, held, size = 0, [], 0
+    for start in range(0, len(column), max_rows):
+        for value in strings(column.slice(start, max_rows)):
+            if held and (len(held) >= max_rows or size + len(value or b"") > max_bytes):
+                yield at, held
+                at, held, size = at + len(held), [], 0
+            held.append(value)
+            size += len(value or b"")
+    if held:
+        yield at, held
+
+
 def strings(column: pa.Array) -> list:
     """UTF-8 ``bytes`` (or None) of a string column, without decoding them."""
     if pa.types.is_large_string(column.type):

@@ -33,7 +33,7 @@ lists no pairs, it returns links that join its rows, fewer than it has rows.  No
 
 Defined cases: a null or wordless text has the empty set and is linked with
 nothing; fewer words than a shingle make one shingle; rows that repeat a doc_id
-are one document, linked as either text is; a row with a null doc_id is linked
+are one document, linked as any of its texts is; a row with a null doc_id is linked
 with nothing, has a null component and is kept; extra columns are ignored (and
 pass through ``representatives``); an empty table gives no rows.
 """
@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_DECISIONS, batches, drop_ids, map_rows, ship, strings, table, written
+from .common import MAX_BROADCAST_DECISIONS, batches, drop_ids, freed, map_rows, row_blocks, ship, table, written
 
 SHINGLE = 5
 WIDTH = 3
@@ -59,8 +59,12 @@ SIMILARITY = 85  # per cent
 MISS_TABLES = 1e-5  # at most, for a pair just at the similarity, to share no table
 MISS_SIGNATURE = 2.5e-6  # and to agree in too few minhashes
 CLASS_ROUNDS = 2
-BLOCK = 256
-MEMO_WORDS = 400_000
+BLOCK = 256  # rows of a block
+BLOCK_BYTES = 2 << 20  # and bytes of their texts
+HELD_SHINGLES = 1 << 20  # shingles sorted together when sets are compared
+ASKING_BYTES = 16 << 20  # shingles of the rows compared with them at a time
+ROW_GROUP = 8 << 20  # of the tables of sets
+MEMO_WORDS = 100_000
 
 
 @lru_cache(maxsize=None)
@@ -143,19 +147,19 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     def run(incoming: Iterator[pa.RecordBatch]):
         words = Words()
         for batch in incoming:
-            ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, BLOCK):
-                sets = [shingle_set(t, words) for t in strings(texts.slice(at, BLOCK))]
+            ids = batch.column(0)
+            for at, texts in row_blocks(batch.column(1), BLOCK, BLOCK_BYTES):
+                sets = [shingle_set(t, words) for t in texts]
                 full = [s for s in sets if len(s)]
                 found = iter(zip(sigs := signatures(full, hashes), collections_of(sigs)) if full else ())
                 rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), *next(found)) if len(s) else (0, None, None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, BLOCK), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
+                    [ids.slice(at, len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
                      pa.array([r[3] if r[3] is None else r[3].tolist() for r in rows], pa.list_(pa.int64())),
                      pa.array([r[2] if r[2] is None else r[2].tobytes() for r in rows], pa.binary())], schema=schema)
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
-    return map_rows(base, run, "doc_id long, n long, set_id string, cols array<long>, sig binary")
+    return map_rows(base, freed(run), "doc_id long, n long, set_id string, cols array<long>, sig binary")
 
 
 def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,12 +192,12 @@ def shingles_of(docs: DataFrame, reps: DataFrame, id_col: str = "doc_id", text_c
     def run(incoming: Iterator[pa.RecordBatch]):
         words = Words()
         for batch in incoming:
-            for at in range(0, batch.num_rows, BLOCK):
-                found = [shingle_set(t, words).tobytes() for t in strings(batch.column(1).slice(at, BLOCK))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, BLOCK), pa.array(found, pa.binary())], names=["rep", "shingles"])
+            for at, texts in row_blocks(batch.column(1), BLOCK, BLOCK_BYTES):
+                found = [shingle_set(t, words).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), pa.array(found, pa.binary())], names=["rep", "shingles"])
 
     ship(docs.sparkSession)
-    return base.mapInArrow(run, "rep long, shingles binary")
+    return base.mapInArrow(freed(run), "rep long, shingles binary")
 
 
 def _blocks(n: Column) -> Column:
@@ -207,24 +211,27 @@ def _dealt(row_id: str, n: str, salt: int) -> Column:
 def _cells(incoming: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list, list]]:
     """(key, held, asking) rows of each cell from a stream sorted by the key columns and ``kind`` (0 held, 1 asking).
 
-    A cell has about ``BLOCK`` rows of either kind, and asking rows are handed on ``BLOCK`` at a time.
+    A cell has about ``BLOCK`` rows of either kind, and asking rows are handed on by ``BLOCK``, or by ``ASKING_BYTES``
+    in the column behind their id.
     """
-    here, held, asking = None, [], []
-    for batch in incoming:
-        columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-        for row in zip(*columns):
-            if row[:n_keys] != here:
-                if held and asking:
-                    yield here, held, asking
-                here, held, asking = row[:n_keys], [], []
-            if row[n_keys] == 0:
-                held.append(row[n_keys + 1:])
-            else:
-                asking.append(row[n_keys + 1:])
-                if len(asking) >= BLOCK:
-                    if held:
+    here, held, asking, size = None, [], [], 0
+    for whole in incoming:
+        for at in range(0, whole.num_rows, BLOCK):
+            batch = whole.slice(at, BLOCK)
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for row in zip(*columns):
+                if row[:n_keys] != here:
+                    if held and asking:
                         yield here, held, asking
-                    asking = []
+                    here, held, asking, size = row[:n_keys], [], [], 0
+                if row[n_keys] == 0:
+                    held.append(row[n_keys + 1:])
+                elif held:
+                    asking.append(row[n_keys + 1:])
+                    size += len(row[n_keys + 2]) if isinstance(row[n_keys + 2], bytes) else 0
+                    if len(asking) >= BLOCK or size >= ASKING_BYTES:
+                        yield here, held, asking
+                        asking, size = [], 0
     if held and asking:
         yield here, held, asking
 
@@ -245,7 +252,7 @@ def compare(asks: DataFrame, members: DataFrame, sets: DataFrame, similarity: in
     def run(incoming: Iterator[pa.RecordBatch]):
         yield from batches((link for _, held, asking in _cells(incoming, 3) for link in linked(held, asking, similarity)), schema)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(freed(run), "a long, b long")
 
 
 def linked(held: list, asking: list, similarity: int) -> list[tuple[int, int]]:
@@ -257,25 +264,31 @@ def linked(held: list, asking: list, similarity: int) -> list[tuple[int, int]]:
             parent[x] = x = parent[up]
         return x
 
-    ids = np.array([r for r, _ in held])
-    sets = [np.frombuffer(s, np.uint64) for _, s in held]
-    size = np.array([len(s) for s in sets])
-    joined, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(joined, kind="stable")
-    joined, owner = joined[order], owner[order]
-    out = []
-    for rep, shingles in asking:
-        own = np.frombuffer(shingles, np.uint64)
-        low, high = np.searchsorted(joined, own, "left"), np.searchsorted(joined, own, "right")
-        n = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        common = np.bincount(owner[at], minlength=len(sets))
-        hit = (100 * common >= similarity * (len(own) + size - common)) & (common > 0) & (ids != rep)
-        for other in ids[hit].tolist():
-            x, y = top(rep), top(other)
-            if x != y:
-                parent[x] = y
-                out.append((rep, other))
+    out, first = [], 0
+    while first < len(held):
+        last, total = first, 0
+        while last < len(held) and (last == first or total + len(held[last][1]) // 8 <= HELD_SHINGLES):
+            total += len(held[last][1]) // 8
+            last += 1
+        ids = np.array([r for r, _ in held[first:last]])
+        sets = [np.frombuffer(s, np.uint64) for _, s in held[first:last]]
+        size = np.array([len(s) for s in sets])
+        joined, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
+        order = np.argsort(joined, kind="stable")
+        joined, owner = joined[order], owner[order]
+        for rep, shingles in asking:
+            own = np.frombuffer(shingles, np.uint64)
+            low, high = np.searchsorted(joined, own, "left"), np.searchsorted(joined, own, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            hit = (100 * common >= similarity * (len(own) + size - common)) & (common > 0) & (ids != rep)
+            for other in ids[hit].tolist():
+                x, y = top(rep), top(other)
+                if x != y:
+                    parent[x] = y
+                    out.append((rep, other))
+        first = last
     return out
 
 
@@ -367,7 +380,7 @@ def remainder(met: DataFrame, labels: DataFrame, reps: DataFrame, similarity: in
     def by_signature(incoming: Iterator[pa.RecordBatch]):
         yield from batches((row for _, held_rows, asking_rows in _cells(incoming, 3) for row in staying(held_rows, asking_rows, min_agree)), schema)
 
-    return written(cells.mapInArrow(by_signature, "kind int, d long, rep long").distinct(), "minhash-remainder")
+    return written(cells.mapInArrow(freed(by_signature), "kind int, d long, rep long").distinct(), "minhash-remainder")
 
 
 def staying(held: list, asking: list, min_agree: int) -> Iterator[tuple[int, int, int]]:
@@ -391,16 +404,29 @@ def staying(held: list, asking: list, min_agree: int) -> Iterator[tuple[int, int
         yield 0, group, held[k][0]
 
 
+def same_document(drawn: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the sets of ids that rows with different texts repeat: such rows are one document."""
+    usable = drawn.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "set_id")
+    ids = (usable.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low <> high")
+           .select(F.col("doc_id").alias("__id")))
+    found = (usable.join(written(ids, "minhash-repeated"), F.col("doc_id") == F.col("__id"), "left_semi").distinct()
+             .join(reps.select(F.col("set_id").alias("__set"), "rep"), F.col("set_id") == F.col("__set")))
+    # a set's rep is the smallest id that has it, so the document's own id, where it is one, is the rep of its set alone
+    return found.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(
+        found.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))).filter("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     spark = docs.sparkSession
-    drawn = written(sketches(docs, id_col, text_col, similarity), "minhash-sketches")
+    drawn = written(sketches(docs, id_col, text_col, similarity), "minhash-sketches", ROW_GROUP)
     reps = written(drawn.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_id")
                    .agg(F.min("doc_id").alias("rep"), F.first("cols").alias("cols"), F.first("sig").alias("sig")), "minhash-reps")
     met = written(buckets(reps), "minhash-buckets")
-    sets = written(shingles_of(docs, met, id_col, text_col), "minhash-sets")
+    sets = written(shingles_of(docs, met, id_col, text_col), "minhash-sets", ROW_GROUP)
     asks = star_asks(met)
-    links = written(compare(asks, asks.select("d").distinct().withColumn("rep", F.col("d")), sets, similarity), "minhash-links")
+    links = compare(asks, asks.select("d").distinct().withColumn("rep", F.col("d")), sets, similarity)
+    links = written(links.unionByName(same_document(drawn, reps)), "minhash-links")
     labels = components(links)
     for _ in range(CLASS_ROUNDS):
         asks = class_round_asks(met, labels)
@@ -411,7 +437,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links.unionByName(found))
     of_set = labelled(reps.select("set_id", "rep"), labels).select(F.col("set_id").alias("__set"), F.col("label").alias("__component"))
     of_set = written(of_set, "minhash-sets-classes")
-    # rows repeating a doc_id may stand in several sets: the smallest component of its sets is the document's
     out = drawn.select("doc_id", "n", "set_id").join(of_set, F.col("set_id") == F.col("__set"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("__component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -10,7 +10,7 @@ from hashsieve.llm import minhash as M
 TEXT = "doc_id long, text string, component_id string, rep int"
 
 
-def brute(rows):
+def brute(rows, similarity=85):
     def shingles(text):
         words = (text or "").encode().lower().split()
         return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
@@ -26,7 +26,7 @@ def brute(rows):
     for a in range(len(sets)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x and 100 * len(x & y) >= 85 * len(x | y):
+            if x and 100 * len(x & y) >= similarity * len(x | y):
                 parent[find(a)] = find(b)
     smallest = {}
     for k, (i, _) in enumerate(sets):
@@ -143,3 +143,31 @@ def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(40_000))
     pair = spark.createDataFrame([(8, long, None, 0), (5, long + " x", None, 0)], TEXT)
     assert {(r.doc_id, r.component_id, r.kept) for r in M.near_duplicates(pair).collect()} == {(8, 5, False), (5, 5, True)}
+
+
+def test_rows_of_one_id_with_different_texts_are_one_document(spark):
+    a, b, c = ("".join(f"{w}{i} " for i in range(30)) for w in "abc")
+    for rows, want in (([(5, a), (7, a), (7, b), (9, b)], 5), ([(7, a), (7, b), (9, b)], 7), ([(7, c), (5, a), (7, a), (7, b), (9, b), (11, c)], 5)):
+        got = M.near_duplicates(spark.createDataFrame([(i, t, None, 0) for i, t in rows], TEXT)).collect()
+        assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+        assert {r.component_id for r in got} == {want} and all(r.kept == (r.doc_id == want) for r in got)
+
+
+def test_blocks_bounded_in_bytes_give_the_same(spark, monkeypatch):
+    rows = corpus(4, n_base=10, dense=40)
+    want = brute(rows)
+    frame = spark.createDataFrame([(i, t, None, 0) for i, t in rows], TEXT)
+    for name, bound in (("BLOCK_BYTES", 500), ("HELD_SHINGLES", 300), ("ASKING_BYTES", 2000), ("MEMO_WORDS", 20)):
+        monkeypatch.setattr(M, name, bound)
+    held = [(i, M.shingle_set((t or "").encode(), M.Words()).tobytes()) for i, t in rows if (t or "").split()]
+    links, parent = M.linked(held, held, 85), {}
+
+    def top(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in links:
+        parent[max(top(x), top(y))] = min(top(x), top(y)) if top(x) != top(y) else parent.get(max(top(x), top(y)), max(top(x), top(y)))
+    assert {i: top(i) for i, _ in held} == {i: want[i][1] for i, _ in held}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(frame).collect()} == want

@@ -39,7 +39,7 @@ def test_stages(spark):
         last[t.lower()] = max(i, last.get(t.lower(), i))
     assert sorted(after) == sorted(last.values())
     before, after = rows["near_dedup"]
-    assert sorted(after) == sorted(i for i, (_, c) in near_classes(list(before.items())).items() if i == c)
+    assert sorted(after) == sorted(i for i, (_, c) in near_classes(list(before.items()), P.NEAR).items() if i == c)
     before, after = rows["mixing"]
     assert set(after) <= set(before) and len(after) > 0.6 * len(before)
     tokens = P.STAGES[-1][1](spark, docs, SF001).collect()
@@ -80,7 +80,7 @@ print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
     queries, oracles = json.loads(out.stdout.strip().splitlines()[-1])
     mine = {q for q in queries if q.startswith("op") or q == "pipeline"}
-    assert len(mine) == (0 if gone else 11) and set(oracles) <= set(queries) and len(queries) > 50
+    assert len(mine) == (0 if gone else 14) and set(oracles) <= set(queries) and len(queries) > 50
 
 
 def test_oracles(spark):
