@@ -194,7 +194,7 @@ def near_pairs_per_row(reps: DataFrame, n: int, threshold: int = DEFAULT_THRESHO
 
 def greedy_dedup(items: DataFrame, threshold: int = DEFAULT_THRESHOLD, registry: DataFrame | None = None,
                  seq: str = "seq", fp: str = "fp", hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS,
-                 stats: dict | None = None, strategy: str = "auto", written: bool = False) -> DataFrame:
+                 stats: dict | None = None, strategy: str = "auto", written: bool = False, matched: DataFrame | None = None) -> DataFrame:
     """DED-6: first-seen dedup of a whole batch, optionally against a registry.
 
     ``strategy``: ``edges`` (rounds over the near-duplicate edge table),
@@ -203,16 +203,17 @@ def greedy_dedup(items: DataFrame, threshold: int = DEFAULT_THRESHOLD, registry:
     ``EDGE_PAIRS_PER_ROW`` near pairs per distinct fingerprint.
 
     Returns ``seq, fp, is_duplicate, action`` for every input row.
-    ``registry`` rows (``seq, fp``) count as registered before every batch row.
+    ``registry`` rows (``seq, fp``) count as registered before every batch row; ``matched`` (``fp``), instead, names the
+    fingerprints that are known to lie near a registered one.
     The narrow ``(seq, fp)`` input is written once, so fingerprinting runs
     once however many jobs follow (``written=True``: the caller has done so).
     """
     rows = _std(items, seq, fp) if written else _cut(_std(items, seq, fp))
     ok = rows.filter(F.col("fp").isNotNull())
-    pre_dup = None
     if registry is not None:
-        pre_dup = _cut(registry_matches(ok, registry, threshold, hot_bucket_pairs=hot_bucket_pairs).select("fp").distinct())
-        ok = ok.join(pre_dup, "fp", "left_anti")
+        matched = registry_matches(ok, registry, threshold, hot_bucket_pairs=hot_bucket_pairs).select("fp").distinct()
+    if matched is not None:
+        ok = ok.join(_cut(matched), "fp", "left_anti")
     reps = _cut(ok.groupBy("fp").agg(F.min("seq").alias("rep_seq")))
     n = reps.count()  # reps is a written table: an exact, cheap count
     if strategy == "auto":

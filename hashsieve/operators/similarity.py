@@ -192,17 +192,24 @@ def scheme_join(left: DataFrame, right: DataFrame, scheme: KeyScheme, rows: tupl
     """All pairs within the scheme's threshold: ``l_id, l_fp, r_id, r_fp, distance``, each once."""
     lk, rk = scheme.tables(_side(left, left_id, fp, "l"), "l_fp"), scheme.tables(_side(right, right_id, fp, "r"), "r_fp")
     same = left is right and left_id == right_id
+    pairs = scheme_pairs(lk, rk, scheme, rows, hot_bucket_pairs, same, F.col("l_id") < F.col("r_id") if order == "lt" else None)
+    return pairs.select("l_id", "l_fp", "r_id", "r_fp", F.bit_count(F.col("l_fp").bitwiseXOR(F.col("r_fp"))).cast("int").alias("distance"))
+
+
+def scheme_pairs(lk: DataFrame, rk: DataFrame, scheme: KeyScheme, rows: tuple[int, int], hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS,
+                 same: bool = False, condition: Column | None = None) -> DataFrame:
+    """Rows of two sides that are keyed by the scheme's tables (``tbl, tkey``, fingerprints ``l_fp`` and ``r_fp``), joined where
+    they lie within its threshold, each pair once."""
     hot = scheme.hot(lk, None if same else rk, rows, hot_bucket_pairs)
     keys = KEY if hot is not None else KEY[:2]
     if hot is not None:
         lk, rk = scheme.split(lk, hot, "l_fp"), scheme.split(rk, hot, "r_fp")
     pairs = lk.join(rk, keys)
-    if order == "lt":
-        pairs = pairs.filter(F.col("l_id") < F.col("r_id"))
+    if condition is not None:
+        pairs = pairs.filter(condition)
     x = F.col("l_fp").bitwiseXOR(F.col("r_fp"))
     # the cheap distance test comes first; few pairs pass it
-    pairs = pairs.filter((F.bit_count(x) <= scheme.t) & scheme.canonical(x, hot is not None))
-    return pairs.select("l_id", "l_fp", "r_id", "r_fp", F.bit_count(x).cast("int").alias("distance"))
+    return pairs.filter((F.bit_count(x) <= scheme.t) & scheme.canonical(x, hot is not None))
 
 
 def similarity_join(left: DataFrame, right: DataFrame, threshold: int = DEFAULT_THRESHOLD,

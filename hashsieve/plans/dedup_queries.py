@@ -169,7 +169,7 @@ res AS ({SI.walk_result_sql('walk')})
 """
 
 
-_WALK_SQL, _WALK_ERRORS_SQL = _walk_sql("fps"), _walk_sql("fpe")  # the second with documents that fail to parse
+_WALK_SQL, _WALK_ERRORS_SQL = _walk_sql("fps"), _walk_sql("fpe")  # the second with files that cannot be read
 
 
 def _batch(spark, sf, errors=False):
@@ -329,7 +329,7 @@ def agg3_dedup_report(spark, sf):
 @query("agg4_per_job_dedup", _WALK_ERRORS_SQL + """
 SELECT d.source AS job_id, count(*) AS files_checked, count(*) FILTER (WHERE is_duplicate) AS duplicates_found,
        count(*) FILTER (WHERE NOT is_duplicate AND action <> 'store_with_error') AS unique_files
-FROM res JOIN documents d USING (doc_id) GROUP BY d.source""")
+FROM res JOIN fpe d USING (doc_id) GROUP BY d.source""")
 def agg4_per_job_dedup(spark, sf):
     fps, r = _batch(spark, sf, errors=True)
     j = r.join(fps.select(F.col("doc_id").alias("seq"), F.col("source").alias("job_id")), "seq")

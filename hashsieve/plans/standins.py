@@ -47,8 +47,10 @@ def doc_fingerprints(spark, sf_dir) -> DataFrame:
 
 
 def parsed(fps: DataFrame) -> DataFrame:
-    """``fps`` as a job sees them that fails to read one document in 89 (by its length): no fingerprint there."""
-    return fps.withColumn("fp", F.when(F.coalesce(F.col("n_chars"), F.lit(1)) % 89 != 0, F.col("fp")))
+    """``fps`` and, as further rows without a fingerprint, files that a job fails to read: for one document in 89 (by its
+    length) a second file, numbered ``-1 - doc_id``.  Every document itself is there and is compared."""
+    failed = fps.filter(F.col("n_chars") % 89 == 0).withColumns({"doc_id": -1 - F.col("doc_id"), "fp": F.lit(None).cast("long")})
+    return fps.unionByName(failed)
 
 
 def split_registry(spark, sf_dir, fps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,7 +73,7 @@ fps AS MATERIALIZED (SELECT d.doc_id, d.source, d.n_chars,
                CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(sh_f.fp, 0::UBIGINT) END AS fp,
                coalesce(sh_n.n, 0) AS n_tokens
         FROM documents d LEFT JOIN sh_f USING (doc_id) LEFT JOIN sh_n USING (doc_id)),
-fpe AS MATERIALIZED (SELECT doc_id, source, CASE WHEN coalesce(n_chars, 1) % 89 <> 0 THEN fp END AS fp FROM fps)
+fpe AS MATERIALIZED (SELECT doc_id, source, fp FROM fps UNION ALL SELECT -1 - doc_id, source, NULL FROM fps WHERE n_chars % 89 = 0)
 """
 
 

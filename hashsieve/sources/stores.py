@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -271,42 +272,111 @@ def image_scan(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
 
 # ---------------------------------------------------------------- catalogue
 DELETED_DIR = "_deleted"  # tombstones; Spark's listing skips folders starting with '_'
+CLAIMS_DIR = "_claims"  # one empty file per step that has been given out
+LIVE_DIR = "_live"  # merged steps
 _STEP = re.compile(r"step=(\d+)$")
 
 
+def _under(root: str, folder: str) -> str:
+    return f"{root.rstrip('/')}/{folder}" if folder else root.rstrip("/")
+
+
 def _steps(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the steps that are completely written."""
     fs, p = _fs(spark, folder)
+    if not fs.exists(p):
+        return []
+    found = [(_STEP.search(st.getPath().getName()), st.getPath()) for st in fs.listStatus(p)]
+    return sorted(int(m.group(1)) for m, path in found if m and fs.exists(path.suffix("/_SUCCESS")))
+
+
+def _claimed(spark: SparkSession, root: str) -> list[int]:
+    fs, p = _fs(spark, _under(root, CLAIMS_DIR))
     found = [_STEP.search(st.getPath().getName()) for st in fs.listStatus(p)] if fs.exists(p) else []
     return sorted(int(m.group(1)) for m in found if m)
 
 
 def catalogue_next_step(spark: SparkSession, root: str) -> int:
-    """Appends and deletes are numbered together; the number says which came first."""
-    return 1 + max([0, *_steps(spark, root), *_steps(spark, f"{root.rstrip('/')}/{DELETED_DIR}")])
+    """The number after all that were given out or written: what the next claim starts at."""
+    return 1 + max([0, *_claimed(spark, root), *(s for d in ("", DELETED_DIR, LIVE_DIR) for s in _steps(spark, _under(root, d)))])
+
+
+def claim_step(spark: SparkSession, root: str) -> int:
+    """A step number that no other writer has: its claim is a file created without overwriting.
+
+    Creating a file that must not exist is atomic on HDFS and local file systems; the loser of a race takes the next number.
+    A claim without a written step (its writer died) is a gap that readers do not see.
+    """
+    step = catalogue_next_step(spark, root)
+    while True:
+        fs, p = _fs(spark, f"{_under(root, CLAIMS_DIR)}/step={step}")
+        try:
+            fs.create(p, False).close()
+            return step
+        except Py4JJavaError:
+            if not fs.exists(p):  # not a lost race
+                raise
+            step += 1
 
 
 def catalogue_append(docs: DataFrame, root: str, step: int | None = None) -> int:
     """SNK-3: append documents, partitioned by type (type filters prune folders); returns the step.
 
-    A job that may be replayed names its ``step``: writing it again replaces what it wrote before.
+    Without a ``step`` one is claimed, so concurrent appends never meet in a folder.  A job that may be
+    replayed claims its step once, names it, and replaces what it wrote under it before.
     """
-    step = catalogue_next_step(docs.sparkSession, root) if step is None else step
-    docs.select(*[f.name for f in CATALOGUE.fields]).write.mode("overwrite").partitionBy("product_type").parquet(f"{root.rstrip('/')}/step={step}")
+    step = claim_step(docs.sparkSession, root) if step is None else step
+    docs.select(*[f.name for f in CATALOGUE.fields]).write.mode("overwrite").partitionBy("product_type").parquet(f"{_under(root, '')}/step={step}")
     return step
 
 
+_STEPPED = T.StructType([*CATALOGUE.fields, T.StructField("step", T.IntegerType())])
+
+
+def _read_steps(spark: SparkSession, folder: str, steps: list[int], schema) -> DataFrame | None:
+    paths = [f"{folder}/step={s}" for s in steps]
+    return spark.read.schema(schema).option("basePath", folder).parquet(*paths) if paths else None
+
+
+def _live(spark: SparkSession, root: str, up_to: int = 1 << 62) -> DataFrame:
+    """Documents that are there after step ``up_to``, with the step that brought them.
+
+    Reading starts at the latest merged part; only steps and tombstones behind it are opened.
+    """
+    merged = max((s for s in _steps(spark, _under(root, LIVE_DIR)) if s <= up_to), default=0)
+
+    def behind(folder: str, schema) -> DataFrame | None:
+        return _read_steps(spark, _under(root, folder), [s for s in _steps(spark, _under(root, folder)) if merged < s <= up_to], schema)
+
+    base = spark.read.schema(_STEPPED).parquet(f"{_under(root, LIVE_DIR)}/step={merged}") if merged else None
+    later, dead = behind("", _STEPPED), behind(DELETED_DIR, "document_id STRING, step INT")
+    docs = base if later is None else later if base is None else base.unionByName(later)
+    if docs is None:
+        return spark.createDataFrame([], _STEPPED)
+    if dead is not None:
+        gone = dead.groupBy(F.col("document_id").alias("_id")).agg(F.max("step").alias("_step"))
+        docs = docs.join(gone, (F.col("document_id") == F.col("_id")) & (F.col("step") < F.col("_step")), "left_anti")
+    return docs
+
+
 def catalogue_read(spark: SparkSession, root: str) -> DataFrame:
     """The live catalogue: appended documents minus the ids deleted after they were appended."""
-    columns = [f.name for f in CATALOGUE.fields]
-    if not _steps(spark, root):
-        return spark.createDataFrame([], CATALOGUE)
-    docs = spark.read.schema(T.StructType([*CATALOGUE.fields, T.StructField("step", T.IntegerType())])).parquet(root)
-    dead = f"{root.rstrip('/')}/{DELETED_DIR}"
-    if _steps(spark, dead):
-        gone = (spark.read.schema("document_id STRING, step INT").parquet(dead)
-                .groupBy(F.col("document_id").alias("_id")).agg(F.max("step").alias("_step")))
-        docs = docs.join(gone, (F.col("document_id") == F.col("_id")) & (F.col("step") < F.col("_step")), "left_anti")
-    return docs.select(columns)
+    return _live(spark, root).select([f.name for f in CATALOGUE.fields])
+
+
+def catalogue_compact(spark: SparkSession, root: str) -> int:
+    """Merge steps and tombstones into one part of live documents; returns the step merged up to (0: nothing to merge).
+
+    A step that is claimed and not yet written ends the merge, so a slow writer's documents come behind it.
+    The merged steps stay, for readers that have listed them.  Reading then opens the live part and what came later.
+    """
+    merged = max(_steps(spark, _under(root, LIVE_DIR)), default=0)
+    done = {s for d in ("", DELETED_DIR) for s in _steps(spark, _under(root, d)) if s > merged}
+    waiting = min((s for s in _claimed(spark, root) if s > merged and s not in done), default=1 << 62)
+    last = max((s for s in done if s < waiting), default=merged)
+    if last > merged:
+        _live(spark, root, last).write.mode("overwrite").partitionBy("product_type").parquet(f"{_under(root, LIVE_DIR)}/step={last}")
+    return last
 
 
 def catalogue_delete(spark: SparkSession, root: str, deletes: DataFrame, step: int | None = None) -> DataFrame:
@@ -321,11 +391,11 @@ def catalogue_delete(spark: SparkSession, root: str, deletes: DataFrame, step: i
     from ..operators.catalog import delete_documents
     from ..session import cut_lineage
 
-    step = catalogue_next_step(spark, root) if step is None else step
+    step = claim_step(spark, root) if step is None else step
     _, report = delete_documents(catalogue_read(spark, root), deletes)
     report = cut_lineage(report)
     (report.filter(F.col("outcome") == "deleted").select("document_id").distinct()
-     .write.mode("overwrite").parquet(f"{root.rstrip('/')}/{DELETED_DIR}/step={step}"))
+     .write.mode("overwrite").parquet(f"{_under(root, DELETED_DIR)}/step={step}"))
     return report
 
 

@@ -9,10 +9,21 @@ gives each batch an id; version ``batch_id + 1`` of the registry is the commit r
 * then registry version ``b + 1`` = the batch's uniques.  The registry before
   batch b is the union of the versions up to b.
 
+The registry is stored by its join key.  A registered fingerprint lies there once per table of
+the similarity join (``tbl, tkey``: the fingerprint masked to the table's blocks), in the folder ``part`` of
+its key.  A batch computes its own keys, reads the folders they fall in (a partition filter) and
+joins them on the key; the registry is never keyed, exploded or listed whole again.  While a batch's keys are
+few, Spark broadcasts them and the registry is not shuffled at all; the planner decides by the size
+of the written keys.
+
+Versions are merged like the levels of a log-structured tree: after every ``MERGE``-th version the last ``MERGE`` of
+them become one segment, after ``MERGE`` of those one of the next level, and so on.  A row is
+rewritten once per level, a reader opens at most ``MERGE`` - 1 segments of each.
+
 So a batch writes what it adds, whatever the registry's size.  A batch that is
 replayed after a failure recomputes from the versions up to ``b`` (still there;
 nothing overwrites them) and rewrites the same two folders, so the outcome equals one
-clean run.  ``compact`` merges old versions when there are many.  When micro-batches arrive in ``seq`` order, the labels
+clean run.  When micro-batches arrive in ``seq`` order, the labels
 equal those of DED-6 over the whole input.
 
 JOB-2: the job-state fold of JOB-1 as a streaming aggregation (``update``
@@ -28,52 +39,120 @@ from pyspark.sql import functions as F
 from ..functions.hashing import DEFAULT_THRESHOLD
 from ..operators.dedup import greedy_dedup
 from ..operators.jobs import STATE_FIELDS, latest
-from ..sources.stores import version_path, versions, write_version
+from ..operators.similarity import DEFAULT_HOT_BUCKET_PAIRS, KeyScheme, scheme_pairs
+from ..session import cut_lineage
+from ..sources.stores import version_path, versions
 
 REGISTRY_ROW = "seq LONG, fp LONG"
+KEYED_ROW = "tbl INT, tkey LONG, seq LONG, fp LONG, part INT"
 MERGED_DIR = "_merged"
+PARTS = 256  # folders of a segment; the keys of a batch that is small beside the registry fall in few of them
+MERGE = 8  # segments that make one of the next level
+
+
+def part_of(parts: int = PARTS):
+    """The folder of a key."""
+    return F.pmod(F.xxhash64("tbl", "tkey"), F.lit(parts)).cast("int")
+
 
+def _level(registry_root: str, level: int) -> str:
+    return registry_root.rstrip("/") if level == 0 else f"{registry_root.rstrip('/')}/{MERGED_DIR}/level={level}"
 
-def _parts(spark: SparkSession, registry_root: str, up_to: int) -> list[str]:
-    """Folders that make up the registry after version ``up_to``: the latest merged part and the versions behind it."""
-    merged = [v for v in versions(spark, f"{registry_root.rstrip('/')}/{MERGED_DIR}") if v <= up_to]
-    base = max(merged, default=0)
-    return ([version_path(f"{registry_root.rstrip('/')}/{MERGED_DIR}", base)] if merged else []) + [
-        version_path(registry_root, v) for v in versions(spark, registry_root) if base < v <= up_to]
+
+def segments(spark: SparkSession, registry_root: str, up_to: int) -> list[str]:
+    """Folders that make up the registry after version ``up_to``, the largest segments first."""
+    found, at, level = [], 0, 0
+    while MERGE ** (level + 1) <= up_to:
+        level += 1
+    while level >= 0:
+        have = versions(spark, _level(registry_root, level))
+        for v in have:
+            # segment v of a level holds the MERGE**level versions up to v
+            if at < v <= up_to and v - MERGE ** level == at:
+                found.append(version_path(_level(registry_root, level), v))
+                at = v
+        level -= 1
+    if at < up_to and any(at < v <= up_to for v in versions(spark, registry_root)):
+        raise FileNotFoundError(f"{registry_root}: the registry before version {up_to} has a gap after version {at}")
+    return found
+
+
+def keyed_registry(spark: SparkSession, registry_root: str, up_to: int | None = None) -> DataFrame:
+    """``tbl, tkey, seq, fp, part`` of the registry after a version (default: the last)."""
+    up_to = max(versions(spark, registry_root), default=0) if up_to is None else up_to
+    parts = [spark.read.schema(KEYED_ROW).parquet(path) for path in segments(spark, registry_root, up_to)]
+    out = spark.createDataFrame([], KEYED_ROW)
+    for n, p in enumerate(parts):
+        out = p if n == 0 else out.unionByName(p)
+    return out
 
 
 def ingested(spark: SparkSession, registry_root: str, up_to: int | None = None) -> DataFrame:
     """``seq, fp`` registered by the batches committed so far (or up to a version)."""
-    if up_to is None:
-        up_to = max(versions(spark, registry_root), default=0)
-    paths = _parts(spark, registry_root, up_to)
-    return spark.read.schema(REGISTRY_ROW).parquet(*paths) if paths else spark.createDataFrame([], REGISTRY_ROW)
+    return keyed_registry(spark, registry_root, up_to).filter(F.col("tbl") == 0).select("seq", "fp")
+
+
+def _write_segment(rows: DataFrame, path: str) -> None:
+    rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
-def compact(spark: SparkSession, registry_root: str) -> int:
-    """Merge all committed versions into one part, so that reading opens few folders; returns the version merged up to.
+def commit(uniques: DataFrame, registry_root: str, version: int, threshold: int = DEFAULT_THRESHOLD, parts: int = PARTS) -> None:
+    """Add ``seq, fp`` rows as a registry version, then merge the levels that are full.
 
-    The versions stay, as the commit record of their batches and for replays.
+    A merge that a failure cuts short is made good by the next one; until then readers use the smaller segments.
     """
-    last = max(versions(spark, registry_root), default=0)
-    if last:
-        write_version(ingested(spark, registry_root, last), f"{registry_root.rstrip('/')}/{MERGED_DIR}", last)
-    return last
+    spark = uniques.sparkSession
+    keyed = KeyScheme(threshold).tables(uniques.select("seq", "fp")).withColumn("part", part_of(parts))
+    _write_segment(keyed, version_path(registry_root, version))
+    level = 1
+    while version % MERGE ** level == 0:
+        path = version_path(_level(registry_root, level), version)
+        if version not in versions(spark, _level(registry_root, level)):
+            first = version - MERGE ** level
+            step = MERGE ** (level - 1)
+            smaller = [version_path(_level(registry_root, level - 1), v) for v in range(first + step, version + 1, step)
+                       if v in versions(spark, _level(registry_root, level - 1))]
+            if len(smaller) < MERGE:
+                break
+            _write_segment(spark.read.schema(KEYED_ROW).parquet(smaller[0]) if len(smaller) == 1 else _union(
+                [spark.read.schema(KEYED_ROW).parquet(p) for p in smaller]), path)
+        level += 1
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def registered_near(fps: DataFrame, registry_root: str, up_to: int, threshold: int = DEFAULT_THRESHOLD, parts: int = PARTS,
+                    hot_bucket_pairs: int | None = DEFAULT_HOT_BUCKET_PAIRS) -> DataFrame:
+    """``fp`` of the rows of ``fps`` that lie within the threshold of a fingerprint registered up to a version."""
+    spark = fps.sparkSession
+    scheme = KeyScheme(threshold)
+    rows = fps.filter(F.col("fp").isNotNull()).select(F.col("fp").alias("l_fp")).distinct()
+    keys = cut_lineage(scheme.tables(rows, "l_fp").withColumn("part", part_of(parts)))
+    hit = [r.part for r in keys.select("part").distinct().collect()]  # at most ``parts`` numbers
+    wanted = keys.select("tbl", "tkey").distinct()
+    known = keyed_registry(spark, registry_root, up_to).filter(F.col("part").isin(hit)).select("tbl", "tkey", F.col("fp").alias("r_fp"))
+    # only what shares a key with the batch goes on; its size follows the batch and the keys it hits
+    known = cut_lineage(known.join(wanted, ["tbl", "tkey"], "left_semi"))
+    return scheme_pairs(keys.select("tbl", "tkey", "l_fp"), known, scheme, (keys.count(), known.count()), hot_bucket_pairs).select(F.col("l_fp").alias("fp")).distinct()
 
 
 def make_batch_handler(registry_root: str, results_root: str, threshold: int = DEFAULT_THRESHOLD,
-                       seq: str = "seq", fp: str = "fp"):
+                       seq: str = "seq", fp: str = "fp", parts: int = PARTS):
     """A ``foreachBatch`` function implementing DED-10 (see module docs)."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = versions(spark, registry_root)
-        if batch_id + 1 in done:
+        if batch_id + 1 in versions(spark, registry_root):
             return  # already committed (replay of a finished batch)
-        registry = ingested(spark, registry_root, batch_id)  # the state this batch must see
-        rows = batch.select(F.col(seq).cast("long").alias("seq"), F.col(fp).cast("long").alias("fp"))
-        res = greedy_dedup(rows, threshold, registry=registry)
+        rows = cut_lineage(batch.select(F.col(seq).cast("long").alias("seq"), F.col(fp).cast("long").alias("fp")))
+        near = registered_near(rows, registry_root, batch_id, threshold, parts) if batch_id else None  # the state this batch must see
+        res = greedy_dedup(rows, threshold, matched=near, written=True)
         res.write.mode("overwrite").parquet(f"{results_root.rstrip('/')}/batch={batch_id:08d}")
-        write_version(res.filter(F.col("action") == "store_unique").select("seq", "fp"), registry_root, batch_id + 1)
+        commit(res.filter(F.col("action") == "store_unique"), registry_root, batch_id + 1, threshold, parts)
 
     return handle
 
