@@ -6,7 +6,7 @@ from .registry import ORACLES, QUERIES
 
 
 def _load():
-    from . import dedup_queries, stream_queries, table_queries  # noqa: F401  (registration side effects)
+    from . import dedup_queries, store_queries, stream_queries, table_queries  # noqa: F401  (registration side effects)
 
 
 def queries():

@@ -20,8 +20,9 @@ from . import standins as SI
 from .dedup_queries import _WALK_SQL, HEX
 from .registry import query
 
-# Fixed value: number of steps in which the rows arrive; each is at least one micro-batch.
+# Number of steps in which the rows arrive, each at least one micro-batch; folders of the registry.
 ARRIVALS = 4
+REGISTRY_PARTS = 8
 
 
 @query("ded10_incremental_ingest", _WALK_SQL + f"""
@@ -31,7 +32,7 @@ def ded10_incremental_ingest(spark, sf):
     fps = cut_lineage(SI.doc_fingerprints(spark, sf).select(F.col("doc_id").alias("seq"), "fp"))
     for _ in ingest.stage_steps(fps, f"{run}/in", "seq", ARRIVALS):
         stream = spark.readStream.schema("seq long, fp long").parquet(f"{run}/in/arrived=*")
-        ingest.start_ingest(stream, f"{run}/registry", f"{run}/results", f"{run}/checkpoint").awaitTermination()
+        ingest.start_ingest(stream, f"{run}/registry", f"{run}/results", f"{run}/checkpoint", parts=REGISTRY_PARTS).awaitTermination()
     res = spark.read.parquet(f"{run}/results")
     return res.select(F.col("seq").alias("doc_id"), long_to_hex("fp").alias("fp_hex"), "is_duplicate", "action")
 

@@ -13,12 +13,13 @@ import json
 import re
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import hex_to_long, long_to_hex
 from ..functions.strings import has_allowed_extension
+from ..session import cut_lineage
 
 # ---------------------------------------------------------------- schemas
 HASH_INFO = T.StructType([
@@ -163,22 +164,18 @@ def registry_rows(fingerprints: DataFrame, created_at, seq) -> DataFrame:
     return made.select(*[f.name for f in REGISTRY.fields])
 
 
-def import_registry_meta(spark: SparkSession, path: str) -> dict:
-    """SRC-2: the header of the map-shaped interchange JSON."""
-    found = spark.read.schema(REGISTRY_META).option("multiLine", True).json(path).first()
-    return found.asDict(recursive=True) if found else {}
-
-
-def _write_lines(parts: list[DataFrame], path: str) -> None:
-    """One text document from ``part, pos, key, line`` rows in that order.
+def _write_lines(parts: list[DataFrame], path: str, files: int | None = None) -> None:
+    """A text document from ``part, pos, key, line`` rows in that order.
 
-    A single document is one file, so one task writes it; it sorts and streams
-    the lines, and holds none of them together.
+    The rows are dealt by ranges and every task writes its range, so the part files, in the order of their
+    names, are the document.  ``files=1`` makes it one file, for documents that stay small.
     """
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
-    lines.repartition(1).sortWithinPartitions("part", "pos", "key").select("line").write.mode("overwrite").text(path)
+    order = ["part", "pos", "key"]
+    lines = lines.repartition(1) if files == 1 else lines.repartitionByRange(*([files] if files else []), *order)
+    lines.sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
 def _line(spark: SparkSession, part: int, line: str) -> DataFrame:
@@ -196,20 +193,99 @@ def _joined(entries: DataFrame) -> DataFrame:
     return entries.select(F.lit(1).alias("part"), "pos", "key", F.concat(comma, "line").alias("line"))
 
 
+_STRINGS = r'"[^"]*("|$)'  # of a text without escapes
+_HASHES_KEY = r'"hashes"\s*:\s*\{'
+_UP_TO_ENTRIES = rf"(?s)^.*?{_HASHES_KEY}"
+
+
+def _before(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` (``file, block, nth``) with the sum of ``value`` over the rows before, in the order of the document.
+
+    Inside a block (a split of a file) it is a running sum; blocks are few, and their totals are added up before.
+    """
+    rows = rows.withColumn("_v", value)
+    inside = Window.partitionBy("file", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (rows.groupBy("file", "block").agg(F.sum("_v").alias("_t"))
+               .select(F.col("file").alias("_f"), F.col("block").alias("_b"), F.coalesce(F.sum("_t").over(across), F.lit(0)).alias("_o")))
+    rows = rows.withColumn("_i", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    rows = rows.join(offsets, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    return rows.withColumn(name, F.col("_i") + F.col("_o")).drop("_v", "_i", "_o", "_f", "_b")
+
+
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """``entry, in_map, ends, text``: the interchange document cut behind each entry of a map in it, read by byte ranges.
+
+    The text source splits files at any ``}`` and reads the ranges in parallel.  Two prefix sums over these pieces
+    say what each of them is: the quotes before it, whether it starts inside a string; the braces before it,
+    outside strings, how deep it lies.  A ``}`` outside strings that leads back to depth 2 ends an entry (the
+    document is depth 1, ``hashes`` 2).  ``in_map`` numbers the objects of the document's first level; what follows the last
+    entry is a row that does not end one.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("nth"))
+    raw = cut_lineage(raw)
+    # only a file's last piece may lack its brace; lengths tell
+    size = F.sum(F.octet_length("value")) + F.count(F.lit(1))
+    last = (raw.groupBy(F.col("file").alias("_file")).agg(F.max(F.struct("block", "nth")).alias("_at"), (size > F.first("bytes")).alias("_open")))
+    pieces = raw.join(last, F.col("file") == F.col("_file"))
+    pieces = pieces.withColumn("braced", ~(F.col("_open") & (F.struct("block", "nth") == F.col("_at")))).drop("_file", "_at", "_open")
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # without escapes
+    quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
+    pieces = cut_lineage(_before(pieces.withColumn("quotes", quotes), F.col("quotes"), "q"))
+    starts_inside, ends_inside = F.col("q") % 2 == 1, (F.col("q") + F.col("quotes")) % 2 == 1
+    outside = F.regexp_replace(F.concat(F.when(starts_inside, F.lit('"')).otherwise(F.lit("")), bare), _STRINGS, "")
+    opened = F.length(outside) - F.length(F.replace(outside, F.lit("{"), F.lit("")))
+    closed = (F.col("braced") & ~ends_inside).cast("int")
+    pieces = _before(pieces.withColumns({"opened": opened, "closed": closed}), F.col("opened") - F.col("closed"), "deep")
+    depth = F.col("deep") + F.col("opened") - F.col("closed")
+    pieces = cut_lineage(pieces.withColumns({"ends": ((F.col("closed") == 1) & (depth == 2)).cast("int"), "leaves": ((F.col("closed") == 1) & (depth == 1)).cast("int")}))
+    pieces = _before(_before(pieces, F.col("ends"), "entry"), F.col("leaves"), "in_map")
+    text = F.concat("value", F.when(F.col("braced"), F.lit("}")).otherwise(F.lit("")))
+    return (pieces.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("file", "block", "nth", text.alias("text")))).alias("t"),
+                                        F.max("ends").alias("ends"), F.max("in_map").alias("in_map"))
+            .select("entry", "in_map", "ends", F.array_join(F.col("t.text"), "").alias("text")))
+
+
+def import_registry_meta(spark: SparkSession, path: str) -> dict:
+    """SRC-2: the header of the map-shaped interchange JSON: the document without its entries."""
+    found = _entries(spark, path)
+    edges = found.agg(F.min("entry").alias("a"), F.max("entry").alias("z")).first()
+    if edges.a is None:
+        return {}
+    rows = {r.entry: r for r in found.filter(F.col("entry").isin([edges.a, edges.z])).collect()}
+    head, tail = rows[edges.a].text, rows[edges.z].text if not rows[edges.z].ends else ""
+    if rows[edges.a].ends:  # the text before the first entry
+        m = re.search(_UP_TO_ENTRIES, head)
+        head = m.group(0) if m else ""
+        document = head + tail
+    else:
+        document = tail
+    schema = REGISTRY_META.simpleString()
+    got = spark.createDataFrame([(document,)], "t string").select(F.from_json("t", schema).alias("m")).first()
+    return got.m.asDict(recursive=True) if got.m else {}
+
+
 def import_registry_json(spark: SparkSession, path: str) -> DataFrame:
     """SRC-2: read the map-shaped interchange JSON into registry rows.
 
-    A map-shaped document is one JSON value, so each file is parsed by one task;
-    many files are read in parallel.  The document records no registration
-    order, so ``seq`` is the entry's position in the map.
+    The document may be one large file or several part files; it is cut into its entries in parallel
+    (``_entries``).  A folder may also hold several whole documents.  The document records no registration
+    order, so ``seq`` is the entry's position among the entries.
     """
-    raw = spark.read.schema(REGISTRY_JSON).option("multiLine", True).json(path)
-    e = raw.select(F.posexplode("hashes").alias("pos", "key", "info"))
+    found = cut_lineage(_entries(spark, path).filter(F.col("ends") == 1))
+    maps = found.filter(F.col("text").rlike(_HASHES_KEY)).select(F.col("in_map").alias("_m")).distinct()
+    found = found.join(maps, F.col("in_map") == F.col("_m"), "left_semi")
+    first = found.agg(F.min("entry")).scalar()
+    body = F.regexp_replace(F.regexp_replace("text", _UP_TO_ENTRIES, ""), r"^[\s,]*", "")
+    parsed = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), T.MapType(T.StringType(), HASH_INFO))
+    e = found.select((F.col("entry") - first).alias("pos"), F.explode(parsed).alias("key", "info"))
     return e.select(
         F.coalesce(F.col("info.phash"), F.col("key")).alias("phash"), F.col("info.ahash").alias("ahash"),
         F.col("info.dhash").alias("dhash"), F.col("info.whash").alias("whash"),
         hex_to_long(F.col("key")).alias("fp"),
-        F.element_at("info.image_size", 1).alias("width"), F.element_at("info.image_size", 2).alias("height"),
+        F.get("info.image_size", F.lit(0)).alias("width"), F.get("info.image_size", F.lit(1)).alias("height"),
         F.col("info.image_mode").alias("image_mode"), F.col("info.file_size").alias("file_size"),
         F.try_to_timestamp(F.col("info.created_at")).alias("created_at"), F.col("info.source_path").alias("source_path"),
         F.col("pos").cast("long").alias("seq"))
@@ -220,12 +296,12 @@ def export_registry_json(registry: DataFrame, path: str) -> None:
     registry.withColumn("hash", long_to_hex("fp")).drop("fp").write.mode("overwrite").json(path)
 
 
-def export_registry_map(registry: DataFrame, path: str, meta: dict | None = None) -> None:
+def export_registry_map(registry: DataFrame, path: str, meta: dict | None = None, files: int | None = None) -> None:
     """SNK-2, interchange form: one JSON document ``{"hashes": {hash: info}, ...header}``.
 
     Entries keep the hash they are stored under, readable or not.  ``meta`` is the header as in
-    ``save_registry``.  This is for exchange with other tools; ``export_registry_json``
-    writes the same entries from every task.
+    ``save_registry``.  Every task writes a range of the entries; the document is the part files in the order of
+    their names (``files`` of them at most; 1 for tools that want one file).
     """
     info = F.struct(F.col("phash"), F.col("ahash"), F.col("dhash"), F.col("whash"),
                     F.array("width", "height").alias("image_size"), F.col("image_mode"), F.col("file_size"),
@@ -235,7 +311,7 @@ def export_registry_map(registry: DataFrame, path: str, meta: dict | None = None
                               F.concat(_json_string(key), F.lit(": "), F.to_json(info)).alias("line"))
     spark = registry.sparkSession
     header = "".join(f", {json.dumps(k)}: {json.dumps(v)}" for k, v in (meta or {}).items() if v is not None)
-    _write_lines([_line(spark, 0, '{"hashes": {'), _joined(entries), _line(spark, 2, "}" + header + "}")], path)
+    _write_lines([_line(spark, 0, '{"hashes": {'), _joined(entries), _line(spark, 2, "}" + header + "}")], path, files)
 
 
 # ---------------------------------------------------------------- files
@@ -263,6 +339,19 @@ def binary_scan(spark: SparkSession, path: str, glob: str | None = None, allowed
     return df.filter(F.col("reject_reason").isNull()).drop("reject_reason"), df.filter(F.col("reject_reason").isNotNull())
 
 
+def reconcile_uploads(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """SRC-3: every file of a listing or of the upload manifest (both ``filename, length``) with what became of it.
+
+    ``status``: ``ok``; ``changed`` (another length than was sent); ``missing`` (sent, not there); ``empty`` (sent with no bytes,
+    which Spark's file sources do not list); ``unlisted`` (there, never sent).
+    """
+    sent = manifest.select("filename", F.col("length").cast("long").alias("sent_length"))
+    there = found.select("filename", F.col("length").cast("long").alias("found_length"))
+    status = (F.when(F.coalesce("sent_length", F.lit(1)) <= 0, "empty").when(F.col("found_length").isNull(), "missing")
+              .when(F.col("sent_length").isNull(), "unlisted").when(F.col("sent_length") != F.col("found_length"), "changed").otherwise("ok"))
+    return sent.join(there, "filename", "full_outer").withColumn("status", status)
+
+
 def image_scan(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """SRC-4: decoded raster images (Spark ``image`` source); undecodable files
     are kept with width -1 so they become error rows, not silent drops."""
@@ -389,7 +478,6 @@ def catalogue_delete(spark: SparkSession, root: str, deletes: DataFrame, step: i
     reflects the catalogue as it was.
     """
     from ..operators.catalog import delete_documents
-    from ..session import cut_lineage
 
     step = claim_step(spark, root) if step is None else step
     _, report = delete_documents(catalogue_read(spark, root), deletes)
@@ -445,4 +533,4 @@ def save_product_types(dynamic: DataFrame, path: str, updated_at: float) -> None
     entries = dynamic.select(F.col("position").cast("long").alias("pos"), F.col("product_type").alias("key"), _json_string(F.col("product_type")).alias("line"))
     spark = dynamic.sparkSession
     tail = f'], "last_updated": {json.dumps(float(updated_at))}}}'
-    _write_lines([_line(spark, 0, '{"dynamic_types": ['), _joined(entries), _line(spark, 2, tail)], path)
+    _write_lines([_line(spark, 0, '{"dynamic_types": ['), _joined(entries), _line(spark, 2, tail)], path, files=1)

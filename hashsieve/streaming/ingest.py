@@ -46,7 +46,8 @@ from ..sources.stores import version_path, versions
 REGISTRY_ROW = "seq LONG, fp LONG"
 KEYED_ROW = "tbl INT, tkey LONG, seq LONG, fp LONG, part INT"
 MERGED_DIR = "_merged"
-PARTS = 256  # folders of a segment; the keys of a batch that is small beside the registry fall in few of them
+PARTS = 256  # folders of a segment; the keys of a batch that is small beside the registry fall in few of them.  A segment has a file
+# for each, so a small registry takes fewer.
 MERGE = 8  # segments that make one of the next level
 
 
@@ -80,11 +81,7 @@ def segments(spark: SparkSession, registry_root: str, up_to: int) -> list[str]:
 def keyed_registry(spark: SparkSession, registry_root: str, up_to: int | None = None) -> DataFrame:
     """``tbl, tkey, seq, fp, part`` of the registry after a version (default: the last)."""
     up_to = max(versions(spark, registry_root), default=0) if up_to is None else up_to
-    parts = [spark.read.schema(KEYED_ROW).parquet(path) for path in segments(spark, registry_root, up_to)]
-    out = spark.createDataFrame([], KEYED_ROW)
-    for n, p in enumerate(parts):
-        out = p if n == 0 else out.unionByName(p)
-    return out
+    return _read_segments(spark, segments(spark, registry_root, up_to))
 
 
 def ingested(spark: SparkSession, registry_root: str, up_to: int | None = None) -> DataFrame:
@@ -114,15 +111,15 @@ def commit(uniques: DataFrame, registry_root: str, version: int, threshold: int
                        if v in versions(spark, _level(registry_root, level - 1))]
             if len(smaller) < MERGE:
                 break
-            _write_segment(spark.read.schema(KEYED_ROW).parquet(smaller[0]) if len(smaller) == 1 else _union(
-                [spark.read.schema(KEYED_ROW).parquet(p) for p in smaller]), path)
+            _write_segment(_read_segments(spark, smaller), path)
         level += 1
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+def _read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
+    out = spark.createDataFrame([], KEYED_ROW)
+    for n, path in enumerate(paths):
+        segment = spark.read.schema(KEYED_ROW).parquet(path)
+        out = segment if n == 0 else out.unionByName(segment)
     return out
 
 
@@ -158,9 +155,9 @@ def make_batch_handler(registry_root: str, results_root: str, threshold: int = D
 
 
 def start_ingest(stream: DataFrame, registry_root: str, results_root: str, checkpoint: str,
-                 threshold: int = DEFAULT_THRESHOLD, seq: str = "seq", fp: str = "fp", available_now: bool = True):
-    """Start DED-10 on a streaming frame of ``(seq, fp)`` rows."""
-    w = (stream.writeStream.foreachBatch(make_batch_handler(registry_root, results_root, threshold, seq, fp))
+                 threshold: int = DEFAULT_THRESHOLD, seq: str = "seq", fp: str = "fp", available_now: bool = True, parts: int = PARTS):
+    """Start DED-10 on a streaming frame of ``(seq, fp)`` rows; ``parts`` stays the same for the life of a registry."""
+    w = (stream.writeStream.foreachBatch(make_batch_handler(registry_root, results_root, threshold, seq, fp, parts))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

@@ -21,10 +21,9 @@ from .conftest import SF001
 
 
 def _document(folder):
-    """The JSON document in the only part of a folder."""
-    part = next(f for f in os.listdir(folder) if f.startswith("part-"))
-    with open(os.path.join(folder, part)) as f:
-        return json.load(f)
+    """The JSON document of a folder's parts, in the order of their names."""
+    parts = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+    return json.loads("".join(open(os.path.join(folder, p)).read() for p in parts))
 
 
 def write_png(path, arr):
@@ -370,3 +369,50 @@ def test_concurrent_catalogue_steps_and_compaction(spark, tmp_dir):
     stores.catalogue_append(doc("d1"), root)
     stores.catalogue_delete(spark, root, spark.createDataFrame([("d2",)], "document_id string"))
     assert ids() == ["d1", "slow", "t0", "t1", "t2"]
+
+
+def test_large_document_is_cut_into_entries_by_ranges(spark, tmp_dir):
+    """One file in many byte ranges gives what a JSON parser reads: quotes, braces, escapes, nested objects, a header before and after."""
+    nasty = ['plain', 'quote " in', 'brace } { in', 'end\\', 'esc \\" }', '\u00e9}\u65e5"', '}', '{"hash', ', "x": {', '"', '']
+    hashes = {}
+    for i in range(400):
+        key = f"{i * 7919:016x}" if i % 9 else f'k{i}"}}{{'
+        hashes[key] = {"phash": f"{i:016x}", "image_size": [i, i + 1], "image_mode": nasty[i % len(nasty)], "source_path": nasty[(i * 5) % len(nasty)] * (i % 4),
+                       "file_size": i, "created_at": "2024-01-01T00:00:00"}
+        if i % 6 == 0:
+            hashes[key]["extra"] = {"deep": {"er": "}"}, "list": [{}, {"a": 1}]}
+    document = {"created_at": "2024-01-01T00:00:00", "stats": {"total_processed": 3, "duplicates_found": 1, "unique_images": 2},
+                "hashes": hashes, "other": {"not": {"phash": "an entry"}}, "version": 'v"}1', "last_updated": "x"}
+    want = [(v["phash"], v["image_size"][0], v["image_mode"], v["source_path"], v["file_size"]) for v in hashes.values()]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for indent in (None, 2):
+        p = os.path.join(tmp_dir, f"doc{indent}.json")
+        with open(p, "w") as f:
+            json.dump(document, f, indent=indent, ensure_ascii=bool(indent))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+        try:
+            assert spark.read.option("lineSep", "}").text(p).rdd.getNumPartitions() > 20
+            got = [(r.phash, r.width, r.image_mode, r.source_path, r.file_size) for r in stores.import_registry_json(spark, p).orderBy("seq").collect()]
+            meta = stores.import_registry_meta(spark, p)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == want
+        assert meta == {k: document[k] for k in ("created_at", "last_updated", "version", "stats")}
+
+
+def test_registry_map_in_many_parts(spark, tmp_dir):
+    rows = spark.range(500).selectExpr("hex(id) phash", "cast(null as string) ahash", "cast(null as string) dhash", "cast(null as string) whash", "id fp", "1 width",
+                                       "2 height", "'a\"}' image_mode", "id file_size", "timestamp'2024-01-01' created_at", "'p' source_path", "id seq")
+    out = os.path.join(tmp_dir, "parts")
+    stores.export_registry_map(rows, out, {"version": "2"}, files=7)
+    assert len([f for f in os.listdir(out) if f.startswith("part-")]) == 7
+    assert list(_document(out)["hashes"]) == [f"{i:X}" for i in range(500)] and _document(out)["version"] == "2"
+    back = stores.import_registry_json(spark, out).orderBy("seq").collect()
+    assert [(r.seq, r.file_size) for r in back] == [(i, i) for i in range(500)]
+    assert stores.import_registry_meta(spark, out)["version"] == "2"
+
+
+def test_every_outcome_of_the_reconciliation_occurs(spark):
+    from hashsieve import plans
+    found = plans.queries()["src3_upload_reconciliation"](spark, "/root/testdata/sf0.01").groupBy("status").count().collect()
+    assert {r.status for r in found} == {"ok", "changed", "missing", "empty", "unlisted"}
