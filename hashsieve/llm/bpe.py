@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, map_rows, table
+from .common import batches, freed, map_rows, table
 
 MAX_STATES = 400_000  # lazily built states kept per worker before they are dropped together, about 1 kB each
 MAX_LOOKS = 24  # tokens tried before a path counts as alive
@@ -104,7 +104,7 @@ class Transducer:
             return True
         known = self.compatible.get((prev, token))
         if known is None:
-            if len(self.compatible) > 5 * MAX_STATES:
+            if len(self.compatible) > 2 * MAX_STATES:
                 self.compatible.clear()
             known = self.compatible[(prev, token)] = self._apart(prev, token)
         return known
@@ -320,7 +320,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         rows = ((i, machine.encode(t) if t else []) for b in incoming for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         yield from batches(rows, schema, weigh=lambda r: 4 * len(r[1]))
 
-    return map_rows(base, run, "doc_id long, token_ids array<int>")
+    return map_rows(base, freed(run), "doc_id long, token_ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -333,7 +333,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         rows = ((i, decoder.decode(t or [])) for b in incoming for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         yield from batches(rows, schema, weigh=lambda r: len(r[1]))
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "token_ids").mapInArrow(freed(run), "doc_id long, text string")
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -358,7 +358,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
         yield from batches((digests(i, t) for b in incoming for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), schema)
 
-    return map_rows(base, run, DIGESTS)
+    return map_rows(base, freed(run), DIGESTS)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

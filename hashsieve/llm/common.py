@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import os
 import tempfile
 import uuid
@@ -78,7 +77,6 @@ def freed(fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) ->
         try:
             yield from fn(incoming)
         finally:
-            gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # where the C library has it
                 ctypes.CDLL(None).malloc_trim(0)

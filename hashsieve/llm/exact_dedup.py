@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import batches, map_rows, strings, table
+from .common import batches, freed, map_rows, strings, table
 
 TABLE_BYTES = 48 << 20  # content held by one table before it spills (or, in the combiner, is flushed)
 FANOUT_BITS = 4
@@ -165,7 +165,7 @@ def _distinct(docs: DataFrame, budget: int, payload: T.StructType | None) -> Dat
             rows = ((e[0].hex(), e[2], e[3], e[4].decode("utf-8", "replace"), e[5]) for e in grace(_records(incoming), budget))
         yield from batches(rows, done_pa, weigh=lambda r: len(r[3]) if payload is not None else 0)
 
-    return map_rows(docs, combined, carried).repartition("__bucket").mapInArrow(reduced, done)
+    return map_rows(docs, freed(combined), carried).repartition("__bucket").mapInArrow(freed(reduced), done)
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = TABLE_BYTES) -> DataFrame:

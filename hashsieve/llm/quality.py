@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, held_out, map_rows, ship, strings, table
+from .common import drop_ids, freed, held_out, map_rows, ship, strings, table
 
 MAX_LABELLED = 4000  # labelled vectors broadcast: 4000 x 48 floats are under 1 MB
 DIMS = 48
@@ -132,7 +132,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list:
 
     one = (rows.groupBy(F.xxhash64("__text")).agg(F.min(F.struct("doc_id", "__label", "__text")).alias("r"))
            .select("r.doc_id", "r.__text", "r.__label"))
-    return one.mapInArrow(vectors, "doc_id long, label int, vector binary").orderBy("doc_id").collect()
+    return one.mapInArrow(freed(vectors), "doc_id long, label int, vector binary").orderBy("doc_id").collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, dims: int = DIMS) -> Space | None:
@@ -161,7 +161,7 @@ def score(docs: DataFrame, space: Space | None, neighbours: int = NEIGHBOURS, th
                 found = model.scores(np.stack([features(t) for t in strings(part.column(2))]), neighbours).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found)], names=["doc_id", "held_out", "score"])
 
-    return (map_rows(base, run, "doc_id long, held_out boolean, score double")
+    return (map_rows(base, freed(run), "doc_id long, held_out boolean, score double")
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
 
