@@ -201,8 +201,8 @@ def _oracle(k: int = CLUSTERS, rounds: int = ROUNDS) -> str:
     """DuckDB SQL: every round compares all vectors with all centroids."""
     parts = ["""x AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(e::DOUBLE * 256)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
-             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), v) - 1 AS cluster, v FROM x
-  ORDER BY sha256('2:' || vec_id::VARCHAR), v LIMIT {k})"""]
+             f"""c0 AS MATERIALIZED (SELECT cluster, v FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), v) - 1 AS cluster, v FROM x)
+  WHERE cluster < {k})"""]
     for r in range(rounds + 1):
         parts.append(f"""a{r} AS MATERIALIZED (SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min(key) AS key FROM (
     SELECT x.row, x.vec_id, x.v, (list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c.cluster) AS key FROM x, c{r} c)
