@@ -45,7 +45,7 @@ from .common import batches, map_rows, table
 
 # Fixed values of the HTML standard: elements without content, raw text elements, and elements that are not phrasing content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea title xmp noembed noframes svg math object".split())
+RAW = frozenset("script style template noscript iframe textarea title xmp noembed noframes".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
     footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary
     table tbody td tfoot th thead tr ul""".split())
@@ -71,8 +71,12 @@ DISCUSSION = frozenset("comment comments commentlist reply replies respond discu
 NEGATIONS = frozenset("no non not without with has".split())  # "no-sidebar" names the page's layout, not a sidebar
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+# An attribute as the standard reads it: a value without quotes ends at white space or ">" and may hold quotes.
+_ATTR_NAME = r"(?:=[^\s/>=]*+|[^\s/>=]++)"
+_ATTR_VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+)"""
+_ATTR = re.compile(rf"({_ATTR_NAME})(?:\s*+=\s*+({_ATTR_VALUE})?+)?+")
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+                  rf"((?:[\s/]++|{_ATTR_NAME}(?:\s*+=\s*+(?:{_ATTR_VALUE})?+)?+)*+)(?:>|\Z)", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NAME = re.compile(r"[a-z]+(?:-[a-z]+)*")
 
@@ -83,8 +87,10 @@ def _hit(tag: str, attributes: str, inside_article: bool) -> float | None:
         return 1.0 if tag in NEVER_WRAPPERS else 0.5
     if not attributes or tag in ("html", "body", "article", "main"):
         return None
-    for name, *values in _ATTR.findall(attributes):
-        name, value = name.lower(), html.unescape(next((v for v in values if v), "")).lower()
+    hidden = False
+    for name, value in _attributes(attributes).items():
+        value = value.lower()
+        hidden = hidden or name == "hidden"
         if name == "role" and value.strip() in BOILER_ROLES or name == "aria-hidden" and value.strip() == "true":
             return 0.5
         if name in ("class", "id"):
@@ -92,7 +98,42 @@ def _hit(tag: str, attributes: str, inside_article: bool) -> float | None:
                 parts = word.strip("-0123456789").split("-")
                 if parts[0] not in NEGATIONS and any(p in BOILER_WORDS and (p != "header" or not inside_article) for p in parts):
                     return 0.9 if DISCUSSION.intersection(parts) else 0.5
-    return 0.5 if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes.lower()) else None
+    return 0.5 if hidden else None
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    """Values by lower-cased name; of attributes that repeat a name, the first."""
+    found: dict[str, str] = {}
+    for name, value in _ATTR.findall(raw):
+        found.setdefault(name.lower(), html.unescape(value.strip(value[0]) if value[:1] in ("'", '"') else value))
+    return found
+
+
+class Paths:
+    """The page's paths as a tree of numbered steps, a parent always before its children; 0 is the root.
+
+    A path costs one step, however deep it lies: pages of thousands of unclosed elements stay linear.
+    """
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.container, self.outermost = [0], [""], [0], [0]
+        self._known: dict[tuple[int, str, str], int] = {}
+
+    def child(self, parent: int, tag: str, label: str) -> int:
+        path = self._known.setdefault((parent, tag, label), len(self.tag))
+        if path == len(self.tag):
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.container.append(path if tag in CONTAINERS else self.container[parent])  # the nearest sectioning ancestor
+            self.outermost.append(self.outermost[parent] or (path if tag in ("article", "main") else 0))
+        return path
+
+    def below(self, home: int) -> list[bool]:
+        """For each path, whether it is ``home`` or lies below it."""
+        inside = [False] * len(self.tag)
+        for path, parent in enumerate(self.parent):
+            inside[path] = path == home or path > home and inside[parent]
+        return inside
 
 
 class Node:
@@ -100,19 +141,20 @@ class Node:
 
     __slots__ = ("path", "container", "parts", "linked", "hits", "around", "article")
 
-    def __init__(self, path: str, container: str, hits: tuple, around: tuple, article: str) -> None:
+    def __init__(self, path: int, container: int, hits: tuple, around: tuple, article: int) -> None:
         self.path, self.container, self.parts, self.linked = path, container, [], 0
         self.hits, self.around, self.article = hits, around, article
 
 
-def blocks(page: str) -> list[Node]:
-    """Text blocks in page order, each with the path of its block elements and hits.
+def blocks(page: str) -> tuple[list[Node], Paths]:
+    """Text blocks in page order, each with the path of its block elements and hits, and the tree of paths.
 
     ``hits`` are (path, wrapper share) of the hits above the block, ``article`` is the path of the outermost
     article or main element and ``around`` the hits that this element lies in; these are not among ``hits``.
     """
     # (tag, path of block elements and hits so far, hits, hits around the article, article)
-    stack: list[tuple[str, str, tuple, tuple, str]] = [("", "", (), (), "")]
+    stack: list[tuple[str, int, tuple, tuple, int]] = [("", 0, (), (), 0)]
+    paths = Paths()
     found: list[Node] = []
     node: Node | None = None
     at, links, in_article = 0, 0, 0
@@ -125,7 +167,7 @@ def blocks(page: str) -> list[Node]:
             if not raw.strip(" \t\n\r\f"):
                 return
             path = stack[-1][1]
-            node = Node(path, _container(path), *stack[-1][2:])
+            node = Node(path, paths.container[path], *stack[-1][2:])
             found.append(node)
         node.parts.append(raw)
         if links:
@@ -180,29 +222,21 @@ def blocks(page: str) -> list[Node]:
         wrapper = _hit(tag, tag_at[3], in_article > 0)
         if tag in BLOCKS or wrapper is not None:
             node = None
-            path = f"{path}/{tag}{_label(tag_at[3])}"
+            path = paths.child(path, tag, _label(tag_at[3]))
         if wrapper is not None:
             hits += ((path, wrapper),)
         if named and in_article == 1:
             hits, around, article = (), hits, path
         stack.append((tag, path, hits, around, article))
-    return found
+    return found, paths
 
 
 def _label(attributes: str) -> str:
     """Class and id words of an element, part of its step in the path."""
     if not attributes or "=" not in attributes:
         return ""
-    words = {w for name, *values in _ATTR.findall(attributes) if name.lower() in ("class", "id")
-             for w in _NAME.findall(" ".join(values).lower())}
-    return "." + ".".join(sorted(words)) if words else ""
-
-
-def _container(path: str) -> str:
-    steps = path.split("/")
-    while len(steps) > 1 and steps[-1].split(".")[0] not in CONTAINERS:
-        steps.pop()
-    return "/".join(steps)
+    found = _attributes(attributes)
+    return ".".join(sorted({w for name in ("class", "id") for w in _NAME.findall(found.get(name, "").lower())}))
 
 
 def clean(parts: list[str]) -> str:
@@ -217,7 +251,7 @@ FLOOR = 0.15  # and never above this share of the best score: all of an even art
 def weights(found: list[tuple[Node, str]]) -> list[float]:
     """The weight that its hits leave each block: 1 without any."""
     own = [max(0, len(t) - n.linked) for n, t in found]  # text outside links
-    articles: dict[str, int] = {}
+    articles: dict[int, int] = {}
     free = 0
     for (node, _), n in zip(found, own):
         if node.article and not node.hits:
@@ -230,14 +264,14 @@ def weights(found: list[tuple[Node, str]]) -> list[float]:
         if node.around and (articles.get(node.article, 0) < free or any(w == 1.0 for _, w in node.around)):
             here = node.around + here
         hits.append(here)
-    mass: dict[tuple[str, float], int] = {}
+    mass: dict[tuple[int, float], int] = {}
     for keys, n in zip(hits, own):
         for key in keys:
             mass[key] = mass.get(key, 0) + n
     total = max(1, sum(own))
     weight = {(path, w): max(0.0, (m / total - w) / (1.0 - w)) ** 3 if w < 1.0 else 0.0 for (path, w), m in mass.items()}
     out = [math.prod(weight[k] for k in keys) for keys in hits]
-    for key in sorted((k for k, m in mass.items() if k[1] < 1.0 and m), key=lambda k: (-mass[k], len(k[0]), k)):
+    for key in sorted((k for k, m in mass.items() if k[1] < 1.0 and m), key=lambda k: (-mass[k], k)):
         if any(w and n for w, n in zip(out, own)):
             break
         weight[key] = 1.0
@@ -246,14 +280,15 @@ def weights(found: list[tuple[Node, str]]) -> list[float]:
 
 
 def extract(page: str | None) -> str:
-    found = [(n, t) for n in blocks(page or "") if (t := clean(n.parts))]
+    nodes, tree = blocks(page or "")
+    found = [(n, t) for n in nodes if (t := clean(n.parts))]
     weight = weights(found)
     found, weight = [f for f, w in zip(found, weight) if w > 0], [w for w in weight if w > 0]
     if not found:
         return ""
-    paths: dict[str, list[float]] = {}
-    containers: dict[str, list[float]] = {}
-    articles: dict[str, list[float]] = {}
+    paths: dict[int, list[float]] = {}
+    containers: dict[int, list[float]] = {}
+    articles: dict[int, list[float]] = {}
     for node, text in found:
         row = (1.0, len(text), len(PUNCTUATION.findall(text)), min(len(text), node.linked))
         for key, sums in ((node.path, paths), (node.container, containers), (node.article, articles)):
@@ -263,21 +298,21 @@ def extract(page: str | None) -> str:
     own = np.array([_ratio(paths[n.path]) for n, _ in found])
     around = np.array([_ratio(containers[n.container]) for n, _ in found])
     along = np.convolve(np.pad(own, 2, mode="edge"), SMOOTHING / SMOOTHING.sum(), mode="valid")
-    score: dict[str, list[float]] = {}
+    score: dict[int, list[float]] = {}
     for (node, _), a, b, c, w in zip(found, own, along, around, weight):
-        score.setdefault(node.path, []).append((a * max(b, c) * c) ** (1 / 3) * _unlinked(node, paths, containers, articles) * w)
+        score.setdefault(node.path, []).append((a * max(b, c) * c) ** (1 / 3) * _unlinked(node, tree, paths, containers, articles) * w)
     fused = {path: float(np.mean(s)) for path, s in score.items()}
     values = np.array([fused[n.path] for n, _ in found])
     limit = min(SPREAD * float(values.std()), FLOOR * float(values.max()))
     content = {path for path, s in fused.items() if s > limit or s == max(fused.values()) > 0}
     if not content:
         return ""
-    mass: dict[str, float] = {}
+    mass: dict[int, float] = {}
     for node, text in found:
         if node.path in content:
             mass[node.container] = mass.get(node.container, 0.0) + len(text)
-    home = _home(mass)
-    return "\n".join(text for node, text in found if node.path in content and (node.path + "/").startswith(home + "/"))
+    inside = tree.below(_home(mass, tree))
+    return "\n".join(text for node, text in found if node.path in content and inside[node.path])
 
 
 def _ratio(sums: list[float]) -> float:
@@ -286,7 +321,7 @@ def _ratio(sums: list[float]) -> float:
     return math.log1p(chars / nodes) * (1.0 + math.log1p(marks / nodes))
 
 
-def _unlinked(node: Node, paths: dict, containers: dict, articles: dict) -> float:
+def _unlinked(node: Node, tree: Paths, paths: dict, containers: dict, articles: dict) -> float:
     """What link text leaves of a path's score: the share of link text is the path's or, if less, that of the text around it.
 
     Around it are the article or main element, else the container; menus are often bare lists in body or a table
@@ -295,39 +330,29 @@ def _unlinked(node: Node, paths: dict, containers: dict, articles: dict) -> floa
     linked = paths[node.path][3] / paths[node.path][1]
     if node.article:
         return 1 - min(linked, articles[node.article][3] / articles[node.article][1])
-    if _tag(node.container) in ("article", "main", "section", "div") or _tag(node.path) in HEADINGS:
+    if tree.tag[node.container] in ("article", "main", "section", "div") or tree.tag[node.path] in HEADINGS:
         linked = min(linked, containers[node.container][3] / containers[node.container][1])
     return (1 - linked) ** 2
 
 
-def _tag(path: str) -> str:
-    return path.rsplit("/", 1)[-1].split(".")[0]
-
-
-def _home(mass: dict[str, float]) -> str:
+def _home(mass: dict[int, float], tree: Paths) -> int:
     """The deepest path that holds nearly all content; where article and main elements hold most of it, the deepest that holds all of these."""
     total = sum(mass.values())
-    named = {q[0]: 0.0 for p in mass if (q := _named_ancestors(p))}
-    for path, m in mass.items():
-        if outermost := _named_ancestors(path):
-            named[outermost[0]] += m
-    if named and sum(named.values()) >= 0.5 * total:
-        steps = [p.split("/") for p in named]
-        same = next((k for k, at in enumerate(zip(*steps)) if len(set(at)) > 1), min(map(len, steps)))
-        return "/".join(steps[0][:same])
-    best, steps = "", max(mass, key=mass.get).split("/")
-    for k in range(1, len(steps) + 1):
-        path = "/".join(steps[:k])
-        if sum(m for p, m in mass.items() if (p + "/").startswith(path + "/")) >= 0.8 * total:
-            best = path
+    named = {tree.outermost[path] for path in mass} - {0}
+    if named and sum(m for path, m in mass.items() if tree.outermost[path]) >= 0.5 * total:
+        while len(named) > 1:  # a parent has the smaller number
+            last = max(named)
+            named = (named - {last}) | {tree.parent[last]}
+        return named.pop()
+    below = [mass.get(path, 0.0) for path in range(len(tree.tag))]
+    for path in range(len(below) - 1, 0, -1):
+        below[tree.parent[path]] += below[path]
+    best = max(mass, key=mass.get)
+    while best and below[best] < 0.8 * total:
+        best = tree.parent[best]
     return best
 
 
-def _named_ancestors(path: str) -> list[str]:
-    steps = path.split("/")
-    return ["/".join(steps[:k + 1]) for k, s in enumerate(steps) if s.split(".")[0] in ("article", "main")]
-
-
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -2,6 +2,7 @@
 
 import html
 import re
+import tracemalloc
 
 import pytest
 
@@ -80,6 +81,32 @@ def test_inline_markup_and_white_space():
     assert H.extract("<p>a <b>bold</b>\n\t word<br>next&nbsp;x<p>two<ul><li>one<li>two</ul>") == "a bold word next x\ntwo\none\ntwo"
 
 
+@pytest.mark.parametrize("attribute", ["title=don't", 'title=5">'[:-1], "title='a>b'", "a=", "=x", "data-x = \"it's\"", "title=\"<p>\" title='two'", "'", "a/b='c'/"])
+def test_attributes_with_stray_quotes(attribute):
+    assert H.extract(page(f"<article>{ARTICLE.replace('<p>', f'<p {attribute}>', 2)}</article><nav {attribute}><a href=x>Home</a></nav>")) == WANT
+
+
+def test_attributes():
+    assert H._attributes(" class=a CLASS=b hidden data-x='1>2' y=\"&amp;'\" z=don't q= /") == {
+        "class": "a", "hidden": "", "data-x": "1>2", "y": "&'", "z": "don't", "q": "/"}
+    assert H.extract(page(f"<article>{ARTICLE}</article><p hidden>Not shown, at all.</p><p title='not hidden in'></p>")) == WANT
+    assert H.extract(page(f"<article>{ARTICLE.replace('<p>', '<p title=\'is hidden here\'>')}</article>")) == WANT
+
+
+def test_formulas_pictures_and_fallbacks_are_text():
+    got = H.extract("<article><p>Let <math>x=2</math> be given, <svg><style>a{}</style><text>seen</text></svg> too.</p><object data=x><p>Fallback, as text.</p></object></article>")
+    assert got == "Let x=2 be given, seen too.\nFallback, as text."
+
+
+def test_deep_pages():
+    deep = "<article>" + "<div class=row-of-items>x, y. " * 6000
+    tracemalloc.start()
+    assert H.extract(deep) == "\n".join(["x, y."] * 6000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+
+
 def test_edges(spark):
     assert H.extract(None) == H.extract("") == H.extract("<html><body></body></html>") == H.extract("<script>x") == ""
     assert H.extract("plain text, no tags") == "plain text, no tags"
