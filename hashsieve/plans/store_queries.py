@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import long_to_hex
 from ..operators.image_hashes import image_fingerprints
 from ..session import scratch_path
-from ..sources import stores
+from ..sources import daily, stores
 from . import standins as SI
 from .registry import query
 
@@ -197,3 +197,23 @@ def fpr6_pixel_normalise(spark, sf):
     write_pictures(spark, sf, path)
     found = image_fingerprints(stores.image_scan(spark, path), alpha="over_white")
     return found.select(_vec_id("origin"), "image_mode", "ahash", "whash")
+
+
+# ------------------------------------------------------------------ retention
+@query("flt1_stored_retention", f"""WITH reg AS (
+  SELECT event_id, CASE WHEN event_type <> 'error' THEN ts::TIMESTAMP END AS created FROM events),
+kept AS (SELECT * FROM reg WHERE coalesce(created >= TIMESTAMP '{SI.RETENTION_NOW}' - INTERVAL 30 DAY + INTERVAL 5 HOUR, true))
+SELECT event_id, strftime(created, '%Y-%m-%d %H:%M:%S') AS created, ((SELECT count(*) FROM reg) - (SELECT count(*) FROM kept))::BIGINT AS n_removed FROM kept""")
+def flt1_stored_retention(spark, sf):
+    """FLT-1 on the registry kept by day: two appends, a cut-off inside a day, the unused folders deleted."""
+    root = _folder(spark, "flt1")
+    ev = SI.table(spark, sf, "events")
+    known = {"created_at": F.when(F.col("event_type") != "error", F.col("ts").cast("timestamp")), "seq": F.col("event_id").cast("long"),
+             "source_path": F.col("event_type"), "file_size": F.col("user_id").cast("long")}
+    rows = ev.select("event_type", *[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stores.REGISTRY.fields])
+    daily.append(rows.filter("event_type = 'error'"), root)
+    daily.append(rows.filter("event_type <> 'error'"), root)
+    removed = daily.cleanup(spark, root, F.lit(SI.RETENTION_NOW).cast("timestamp") + F.expr("INTERVAL 5 HOURS"))
+    daily.vacuum(spark, root)
+    return daily.load(spark, root).select(F.col("seq").alias("event_id"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"),
+                                          F.lit(removed).cast("long").alias("n_removed"))

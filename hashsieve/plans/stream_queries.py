@@ -60,3 +60,43 @@ def job2_state_stream(spark, sf):
     return latest.select("job_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"), "n_updates",
                          "status", "progress", "message", "error", "current_file",
                          F.coalesce(F.col("is_batch"), F.lit(False)).alias("is_batch"))
+
+
+# Fixed stand-in values: a job is what a user does on one day, so its updates end with the day; jobs expire three days later.
+JOB_MAX_AGE_DAYS = 3
+
+
+def _daily_jobs(ev):
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86_400_000_000))
+    return SI.job_updates_from(ev).withColumn("job_id", F.concat_ws("-", F.col("job_id").cast("string"), day.cast("string")))
+
+
+@query("job2_state_expiry", f"""WITH {SI.JOB_UPDATES_SQL.split("state AS")[0]}
+daily AS (SELECT user_id_job || '-' || (epoch_us(ts) // 86400000000)::VARCHAR AS job_id, * EXCLUDE (user_id_job, job_id)
+          FROM (SELECT *, job_id::VARCHAR AS user_id_job FROM upd))
+SELECT job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS created_at, count(*) AS n_updates,
+       arg_max(status, (ts, event_id)) FILTER (WHERE status IS NOT NULL) AS status,
+       arg_max(progress, (ts, event_id)) FILTER (WHERE progress IS NOT NULL) AS progress,
+       arg_max(message, (ts, event_id)) FILTER (WHERE message IS NOT NULL) AS message,
+       arg_max(error, (ts, event_id)) FILTER (WHERE error IS NOT NULL) AS error,
+       coalesce(arg_max(is_batch, (ts, event_id)) FILTER (WHERE is_batch IS NOT NULL), false) AS is_batch,
+       epoch_us(max(ts)) // 1000 + {JOB_MAX_AGE_DAYS} * 86400000 < (SELECT max(epoch_us(ts)) // 1000 FROM upd) AS expired
+FROM daily GROUP BY job_id""")
+def job2_state_expiry(spark, sf):
+    """JOB-2 with expiry over four arrivals: the last state of every job and whether it has left the store."""
+    run = scratch_path(spark, f"job2x-{uuid.uuid4().hex}")
+    ev = SI.table(spark, sf, "events")
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{run}/state/_batch={batch_id}")
+
+    for _ in ingest.stage_steps(ev.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))), f"{run}/in", "_at", ARRIVALS):
+        stream = spark.readStream.schema(ev.schema).parquet(f"{run}/in/arrived=*")
+        states = ingest.expiring_job_states(_daily_jobs(stream), f"{JOB_MAX_AGE_DAYS} DAYS", seq=["ts", "event_id"])
+        (states.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{run}/checkpoint")
+         .trigger(availableNow=True).start()).awaitTermination()
+    rows = spark.read.option("basePath", f"{run}/state").parquet(f"{run}/state/_batch=*")
+    cols = [c for c in rows.columns if c not in ("job_id", "_batch")]
+    last = rows.groupBy("job_id").agg(F.max(F.struct("_batch", *cols)).alias("s")).select("job_id", "s.*")
+    return last.select("job_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"), "n_updates",
+                       "status", "progress", "message", "error", F.coalesce("is_batch", F.lit(False)).alias("is_batch"), "expired")

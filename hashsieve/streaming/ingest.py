@@ -28,13 +28,16 @@ equal those of DED-6 over the whole input.
 
 JOB-2: the job-state fold of JOB-1 as a streaming aggregation (``update``
 mode); each field keeps ``max(struct(seq, value))``, so state per job is one
-row whatever the length of its log.
+row whatever the length of its log.  ``expiring_job_states`` is the form for streams that never end: a job without
+updates for ``max_age`` leaves the store, with a last row that says so.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.hashing import DEFAULT_THRESHOLD
 from ..operators.dedup import greedy_dedup
@@ -172,6 +175,86 @@ def job_state_stream(updates: DataFrame, job: str = "job_id", seq: list[str] | N
                                     *[latest(f, seq) for f in fields])
 
 
+NO_SEQ = -(1 << 63)  # a missing order value sorts first, as in a struct
+
+
+def _merge(state: dict, chunk: pd.DataFrame, seq: list[str], fields: list[str]) -> None:
+    """Fold a chunk of one job's updates into its state: per field ``(seq..., value)`` of the latest update that set it."""
+    state["n_updates"] += len(chunk)
+    for name, pick in (("created", min), ("last", max)):
+        times = chunk["__ts"].dropna()
+        if len(times):
+            own = int(times.min() if pick is min else times.max())
+            state[name] = own if state[name] is None else pick(state[name], own)
+    for field in fields:
+        rows = chunk[chunk[field].notna()]
+        if len(rows):
+            found = rows.sort_values([*seq, field]).iloc[-1]
+            found = (*(int(found[s]) for s in seq), found[field])
+            state[field] = max(state[field], found) if state[field] is not None else found
+
+
+def expiring_job_states(updates: DataFrame, max_age: str, delay: str = "0 seconds", job: str = "job_id", seq: list[str] | None = None,
+                        ts: str = "ts", fields: list[str] | None = None) -> DataFrame:
+    """JOB-2 with a bounded store (use ``outputMode('update')``): ``job, created_at, n_updates``, the fields, ``expired``.
+
+    A job whose last update is more than ``max_age`` behind the watermark (the latest time seen less ``delay``)
+    is removed; its last state comes out once more with ``expired`` true.  An update after that starts the job anew.  ``ts`` and
+    the columns of ``seq`` are times or whole numbers; updates without a time do not move a job's expiry, and a job without
+    any time expires ``max_age`` after the watermark at its last update.  Of updates at one place of the order, the largest value, as text, counts.
+
+    A job's updates of a micro-batch come in chunks, so a job with a huge log is never held whole.
+    """
+    seq = seq or [ts]
+    fields = [f for f in (fields or STATE_FIELDS) if f in updates.columns]
+    schema = updates.schema
+    age = updates.sparkSession.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {max_age}"))
+                                               - F.unix_micros(F.timestamp_seconds(F.lit(0)))).first()[0] // 1000
+
+    def whole(name: str):
+        c = F.col(name)
+        is_time = schema[name].dataType.typeName().startswith("timestamp")
+        return F.coalesce(F.unix_micros(c.cast("timestamp")) if is_time else c.cast("long"), F.lit(NO_SEQ))
+
+    order = [f"__seq{k}" for k in range(len(seq))]
+    rows = updates.select(F.col(job).alias("__job"), F.col(ts).cast("timestamp").alias("__at"), F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("__ts"),
+                          *[whole(s).alias(o) for s, o in zip(seq, order)], *[F.col(f).cast("string").alias(f) for f in fields])
+    job_type = schema[job].dataType.simpleString()
+    slots = [(f"{f}__{part}", kind) for f in fields for part, kind in [*((o, "long") for o in order), ("value", "string")]]
+    state_schema = ", ".join(["created long", "last long", "n_updates long"] + [f"`{n}` {k}" for n, k in slots])
+    out_schema = ", ".join([f"__job {job_type}", "__created long", "n_updates long"] + [f"`{f}` string" for f in fields] + ["expired boolean"])
+    width = len(order) + 1
+
+    def load(held) -> dict:
+        if not held.exists:
+            return {"created": None, "last": None, "n_updates": 0, **dict.fromkeys(fields)}
+        flat = held.get
+        parts = {f: tuple(flat[3 + k * width:3 + (k + 1) * width]) for k, f in enumerate(fields)}
+        return {"created": flat[0], "last": flat[1], "n_updates": flat[2], **{f: p if p[-1] is not None else None for f, p in parts.items()}}
+
+    def run(key, chunks, held):
+        state = load(held)
+        expired = held.hasTimedOut
+        if expired:
+            held.remove()
+        else:
+            for chunk in chunks:
+                _merge(state, chunk, order, fields)
+            flat = [state["created"], state["last"], state["n_updates"]]
+            for f in fields:
+                flat += state[f] if state[f] is not None else [None] * width
+            held.update(tuple(flat))
+            now = held.getCurrentWatermarkMs()
+            held.setTimeoutTimestamp(max(now + 1, (state["last"] // 1000 if state["last"] is not None else now) + age))
+        row = [key[0], state["created"], state["n_updates"], *[state[f] and state[f][-1] for f in fields], expired]
+        yield pd.DataFrame([row], columns=["__job", "__created", "n_updates", *fields, "expired"])
+
+    states = rows.withWatermark("__at", delay).groupBy("__job").applyInPandasWithState(
+        run, out_schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
+    return states.select(F.col("__job").alias(job), F.timestamp_micros("__created").alias("created_at"), "n_updates",
+                         *[F.col(f).cast(schema[f].dataType).alias(f) for f in fields], "expired")
+
+
 def stage_steps(df: DataFrame, folder: str, order: str, steps: int):
     """Write ``df`` as ``steps`` contiguous ranges of ``order``, one folder each, yielding after each of them.
 
