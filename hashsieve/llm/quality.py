@@ -1,10 +1,11 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-A text becomes counts of byte-class trigrams (letters by case, digits, each
-common symbol, white space, ...) and of word shapes, plus a few repetition
-ratios: what junk looks like, not what it is about.  A bounded sample of
-labelled texts gives the space (truncated SVD of the centred, scaled counts)
-and the labelled vectors; both are broadcast, their size fixed by
+A text becomes a vector of its terms, words and pairs of neighbouring words counted in
+hashed buckets, and of its looks: counts of byte-class trigrams (letters by case, digits, each
+common symbol, white space, ...) plus a few repetition ratios.  Term counts are logarithmic, weighted by
+inverse document frequency and of unit length together; looks are scaled by their spread.  A bounded sample of
+labelled texts gives the frequencies, the space (truncated SVD of the centred vectors)
+and the labelled vectors; all are broadcast, their size fixed by
 ``max_labelled`` and ``dims``.  Every document is then projected and compared
 with all labelled vectors, exact cosine products block by block, and its
 ``neighbours`` nearest vote with their similarity as weight.
@@ -24,6 +25,7 @@ columns are ignored and an empty table gives no rows.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,8 @@ DIMS = 48
 NEIGHBOURS = 24
 THRESHOLD = 0.3
 RATIO_WEIGHT = 5.0  # the few ratios against the many trigrams
+TERM_WEIGHT = 24.0  # length of the terms' part before centring, against spreads of 1 of the looks
+IDF_FLOOR = 0.1  # weight of a bucket that every labelled text fills
 BLOCK = 256  # documents per cosine product
 
 # Byte classes: letters by case, digits, white space, end marks and single symbols; other bytes by range.
@@ -58,11 +62,25 @@ def _class_table() -> np.ndarray:
 CLASS_OF = _class_table()
 N_TRIGRAMS = CLASSES ** 3
 N_EXTRA = 8
-N_FEATURES = N_TRIGRAMS + N_EXTRA
+TERMS = 2048  # buckets of words and word pairs
+N_LOOKS = N_TRIGRAMS + N_EXTRA
+N_FEATURES = N_LOOKS + TERMS
+# Bytes of words: ASCII letters in lower case, digits, and all of other scripts; the rest separates words.
+WORD_BYTES = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+
+
+def terms(text: bytes) -> np.ndarray:
+    """Logarithmic counts of the text's words and pairs of neighbouring words by bucket."""
+    words = text.translate(WORD_BYTES).split()
+    code = {w: zlib.crc32(w) for w in set(words)}
+    one = np.fromiter((code[w] for w in words), np.uint64, len(words))
+    two = (one[:-1] * np.uint64(0x9E3779B1) + one[1:] * np.uint64(0x85EBCA77)) >> np.uint64(20)
+    at = np.concatenate([one, two]) % np.uint64(TERMS)
+    return np.log1p(np.bincount(at.astype(np.int64), minlength=TERMS))
 
 
 def features(text: bytes | None) -> np.ndarray:
-    """Square roots of trigram shares, and repetition and length ratios, of the whole text."""
+    """Square roots of trigram shares, repetition and length ratios, and terms, of the whole text."""
     out = np.zeros(N_FEATURES, np.float32)
     text = text or b""
     codes = CLASS_OF[np.frombuffer(text, np.uint8)]
@@ -71,7 +89,8 @@ def features(text: bytes | None) -> np.ndarray:
         out[:N_TRIGRAMS] = np.sqrt(counts / (len(codes) - 2))
     words, lines = text.split(), text.split(b"\n")
     n = max(1, len(words))
-    extra = out[N_TRIGRAMS:]
+    out[N_LOOKS:] = terms(text)
+    extra = out[N_TRIGRAMS:N_LOOKS]
     extra[0] = len(set(words)) / n
     extra[1] = len(set(lines)) / len(lines)
     extra[2] = min(1.0, sum(map(len, words)) / n / 20)
@@ -84,25 +103,42 @@ def features(text: bytes | None) -> np.ndarray:
 
 
 class Space:
-    """Centre, scale and basis of the latent space with the labelled vectors in it."""
-
-    def __init__(self, sample: np.ndarray, labels: np.ndarray, dims: int) -> None:
-        self.columns = np.flatnonzero(sample.any(axis=0))
-        seen = sample[:, self.columns].astype(np.float64)
-        self.mean = seen.mean(axis=0)
-        self.scale = 1.0 / np.sqrt(seen.var(axis=0) + 1e-4)
-        self.scale[self.columns >= N_TRIGRAMS] *= RATIO_WEIGHT
-        centred = (seen - self.mean) * self.scale
-        _, _, basis = np.linalg.svd(centred, full_matrices=False)
-        self.basis = basis[:dims].T.astype(np.float32)
-        self.mean, self.scale = self.mean.astype(np.float32), self.scale.astype(np.float32)
-        self.vectors = self.place(sample)
+    """Frequencies, centre, scale and basis of the latent space with the labelled vectors in it.
+
+    ``sample`` holds the columns of the features that are listed in ``columns``; no other occurs in it.
+    """
+
+    def __init__(self, sample: np.ndarray, columns: np.ndarray, labels: np.ndarray, dims: int) -> None:
+        self.columns, self.looks = columns, int(np.searchsorted(columns, N_LOOKS))
+        seen = sample[:, self.looks:] > 0
+        self.idf = (np.log((1.0 + len(sample)) / (1.0 + seen.sum(axis=0))) + IDF_FLOOR).astype(np.float32)
+        block = self._weighed(sample.copy())
+        self.mean = block.mean(axis=0)
+        self.scale = np.full(len(columns), TERM_WEIGHT, np.float32)
+        self.scale[:self.looks] = 1.0 / np.sqrt(block[:, :self.looks].var(axis=0) + 1e-4)
+        self.scale[:self.looks][columns[:self.looks] >= N_TRIGRAMS] *= RATIO_WEIGHT
+        block -= self.mean
+        block *= self.scale
+        _, basis = np.linalg.eigh((block.T @ block).astype(np.float64))
+        self.basis = np.ascontiguousarray(basis[:, ::-1][:, :dims], np.float32)
+        self.vectors = self._placed(block)
         self.labels = labels.astype(np.float32)
 
-    def place(self, block: np.ndarray) -> np.ndarray:
-        at = ((block[:, self.columns] - self.mean) * self.scale) @ self.basis
+    def _weighed(self, block: np.ndarray) -> np.ndarray:
+        """In place: terms weighted by inverse document frequency and scaled to unit length."""
+        found = block[:, self.looks:]
+        found *= self.idf
+        found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-6)
+        return block
+
+    def _placed(self, block: np.ndarray) -> np.ndarray:
+        at = block @ self.basis
         return at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-12)
 
+    def place(self, block: np.ndarray) -> np.ndarray:
+        """Unit vectors of the rows of ``block`` (all features) in the latent space."""
+        return self._placed((self._weighed(block[:, self.columns]) - self.mean) * self.scale)
+
     def scores(self, block: np.ndarray, neighbours: int) -> np.ndarray:
         cosines = self.place(block) @ self.vectors.T
         k = min(neighbours, cosines.shape[1])
@@ -126,7 +162,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list:
     def vectors(incoming):
         for batch in incoming:
             found = [features(t) for t in strings(batch.column(1))]
-            sparse = [pickle.dumps((np.flatnonzero(v).astype(np.int32), v[np.flatnonzero(v)])) for v in found]
+            sparse = [pickle.dumps((at.astype(np.uint16), v[at])) for v in found for at in [np.flatnonzero(v)]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2).cast(pa.int32()), pa.array(sparse, pa.binary())], names=["doc_id", "label", "vector"])
 
@@ -139,11 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, di
     rows = _sample(docs, labels, max_labelled)
     if not rows:
         return None
-    sample = np.zeros((len(rows), N_FEATURES), np.float32)
+    seen = np.zeros(N_FEATURES, bool)
+    for row in rows:
+        seen[pickle.loads(row.vector)[0]] = True
+    columns = np.flatnonzero(seen)
+    sample = np.zeros((len(rows), len(columns)), np.float32)
     for k, row in enumerate(rows):
         at, values = pickle.loads(row.vector)
-        sample[k, at] = values
-    return Space(sample, np.array([row.label for row in rows]), dims)
+        sample[k, np.searchsorted(columns, at)] = values
+    return Space(sample, columns, np.array([row.label for row in rows]), dims)
 
 
 def score(docs: DataFrame, space: Space | None, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
