@@ -16,11 +16,18 @@
 4. ``copies`` is the rate rounded down, plus one with the probability of the rest,
    decided by a hash of the id.
 
-``budget`` None asks for the largest total in which no domain's tokens are repeated.
+A document's tokens are estimated as a quarter of its bytes, so digits, symbols and code weigh as letters do.
+
+Weights, unless given, are the measured shares of all learned domains to the power of ``temper``: below 1 it lifts
+scarce domains, 0 makes all equal.  ``budget`` is the total asked for, by default ``budget_share`` of what there is.
+No domain can yield more than ``max_rate`` times its tokens; what a scarce domain cannot yield goes to the others by
+their weights, so a scarce domain never shrinks the corpus.  The plan says what was asked (``budget``), aimed at (``targets``) and
+reached (``totals``), ``missed`` lists the domains whose total is off by more than the tolerance, and
+every row of ``rates`` says so of its own domain (``target_met``).
 
 Defined cases: a null text has no tokens, a text without known words gets the prior;
-domains with a target but no tokens are left out and the other weights
-scaled up; domains without a target weight get 0; null labels are ignored;
+domains with a weight but no tokens are left out and the other weights
+scaled up; where weights are given, domains without one get 0; null labels are ignored;
 without labels every rate is 1; repeated rows get equal rates (and, having one id, equal
 copies); a null doc_id is allowed; extra columns pass through ``mixed``; an
 empty table gives no rows.
@@ -40,7 +47,10 @@ VOCABULARY = 256  # words in the classifier
 TEMPERATURE = 2.0  # naive Bayes counts related words as if independent; its log odds are divided by this
 MAX_STEPS = 40
 TOLERANCE = 1e-3  # of the budget, per domain
-TARGET = {"en": 0.57, "de": 0.16, "fr": 0.16, "es": 0.11}
+BYTES_PER_TOKEN = 4
+TEMPER = 0.7
+BUDGET_SHARE = 0.85  # of the tokens there are
+MAX_RATE = 3.0  # how often op4 repeats a document of a scarce domain at most
 
 
 def words(text: Column) -> Column:
@@ -48,6 +58,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), "")
 
 
+def n_tokens(text: Column) -> Column:
+    return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / F.lit(BYTES_PER_TOKEN)).cast("int")
+
+
 def _literal(values: list) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -64,13 +78,13 @@ class Classifier:
         return total / F.lit(TEMPERATURE)
 
     def place(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``__mix_n``, the number of words, and ``__mix_p``, the domains' probabilities in order.
+        """``docs`` with ``__mix_n``, its tokens, and ``__mix_p``, the domains' probabilities in order.
 
         One projection per step, so that no step's result is computed twice.
         """
         known = F.lit(self.vocabulary) if self.vocabulary else F.array().cast("array<string>")
         return (docs.withColumn("__mix_words", words(F.col("text")))
-                .withColumns({"__mix_n": F.size("__mix_words"), "__mix_hits": F.array_intersect("__mix_words", known)}).drop("__mix_words")
+                .withColumns({"__mix_n": n_tokens(F.col("text")), "__mix_hits": F.array_intersect("__mix_words", known)}).drop("__mix_words")
                 .withColumn("__mix_at", F.transform("__mix_hits", lambda w: F.array_position(known, w).cast("int"))).drop("__mix_hits")
                 .withColumn("__mix_logits", F.array(*[self.logit(F.col("__mix_at"), k) for k in range(len(self.domains))])).drop("__mix_at")
                 .withColumn("__mix_odds", F.transform("__mix_logits", lambda x: F.exp(x - F.array_max("__mix_logits")))).drop("__mix_logits")
@@ -127,22 +141,43 @@ def rate(p: Column, steps: list[list[float]], domains: int, max_rate: float) ->
 class Plan:
     """What mixing needs per document: the classifier, the steps, and how well the totals are met."""
 
-    def __init__(self, classifier: Classifier | None, steps: list[list[float]], max_rate: float, totals: dict, targets: dict) -> None:
+    def __init__(self, classifier: Classifier | None, steps: list[list[float]], max_rate: float, totals: dict, targets: dict,
+                 budget: float = 0.0, tolerance: float = TOLERANCE) -> None:
         self.classifier, self.steps, self.max_rate, self.totals, self.targets = classifier, steps, max_rate, totals, targets
+        self.budget, self.tolerance = budget, tolerance
 
+    @property
+    def missed(self) -> list[str]:
+        """Domains whose expected total is further from the target than the tolerance; "budget" if the targets cannot add up to it."""
+        limit = self.tolerance * max(1.0, sum(self.targets.values()))
+        off = [d for d, t in self.targets.items() if abs(self.totals[d] - t) > limit]
+        return off + (["budget"] if self.budget - sum(self.targets.values()) > self.tolerance * self.budget else [])
 
-def targets_for(totals: np.ndarray, domains: list[str], weights: dict[str, float], budget: float | None) -> np.ndarray:
-    own = np.array([max(0.0, float(weights.get(d, 0.0))) if t > 0 else 0.0 for d, t in zip(domains, totals)])
+
+def targets_for(totals: np.ndarray, domains: list[str], weights: dict[str, float] | None, budget: float, max_rate: float,
+                temper: float = TEMPER) -> np.ndarray:
+    """Totals in proportion to the weights that add up to ``budget``, none above ``max_rate`` times what there is."""
+    if weights is None:
+        own = np.where(totals > 0, (totals / max(1.0, totals.sum())) ** temper, 0.0)
+    else:
+        own = np.array([max(0.0, float(weights.get(d, 0.0))) if t > 0 else 0.0 for d, t in zip(domains, totals)])
     if not own.sum():
         return totals.copy()
-    own /= own.sum()
-    if budget is None:
-        budget = float(np.min(totals[own > 0] / own[own > 0]))
-    return own * budget
+    targets, most = np.zeros(len(totals)), max_rate * totals
+    open_ = own > 0
+    while open_.any():
+        left = budget - targets[~open_].sum()
+        targets[open_] = left * own[open_] / own[open_].sum()
+        full = open_ & (targets >= most)
+        if not full.any():
+            break
+        targets[full] = most[full]
+        open_ &= ~full
+    return targets
 
 
-def solve(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, max_rate: float = 1.0,
-          max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> Plan:
+def solve(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, max_rate: float = 1.0,
+          max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE, temper: float = TEMPER, budget_share: float = BUDGET_SHARE) -> Plan:
     classifier = fit(docs, labelled)
     if classifier is None:
         return Plan(None, [], max_rate, {}, {})
@@ -153,7 +188,8 @@ def solve(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budge
                      *[F.sum(n * p[k] * p[m]).alias(f"g{k}_{m}") for k in range(domains) for m in range(k, domains)]).first()
     totals = np.array([sums[f"s{k}"] or 0.0 for k in range(domains)])
     gram = np.array([[sums[f"g{min(k, m)}_{max(k, m)}"] or 0.0 for m in range(domains)] for k in range(domains)])
-    targets = targets_for(totals, classifier.domains, weights, budget)
+    budget = float(totals.sum()) * budget_share if budget is None else budget
+    targets = targets_for(totals, classifier.domains, weights, budget, max_rate, temper)
     inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     steps: list[list[float]] = []
     reached = totals
@@ -168,13 +204,13 @@ def solve(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budge
         if np.abs(reached - before).max() <= 1e-9 * max(1.0, float(targets.sum())):
             break  # the bounds allow no closer match
     named = lambda values: dict(zip(classifier.domains, map(float, values)))
-    return Plan(classifier, steps, max_rate, named(reached), named(targets))
+    return Plan(classifier, steps, max_rate, named(reached), named(targets), budget, tolerance)
 
 
 def _decided(docs: DataFrame, plan: Plan) -> DataFrame:
     """``docs`` with the columns ``__mix_n``, ``__mix_p``, ``__mix_rate`` and ``__mix_copies``."""
     if plan.classifier is None:
-        out = docs.withColumns({"__mix_n": F.size(words(F.col("text"))), "__mix_p": F.array().cast("array<double>"), "__mix_rate": F.lit(1.0)})
+        out = docs.withColumns({"__mix_n": n_tokens(F.col("text")), "__mix_p": F.array().cast("array<double>"), "__mix_rate": F.lit(1.0)})
     else:
         r = rate(F.col("__mix_p"), plan.steps, len(plan.classifier.domains), plan.max_rate)
         out = plan.classifier.place(docs).withColumn("__mix_rate", r)
@@ -187,12 +223,15 @@ def copies(doc_id: Column, r: Column) -> Column:
 
 
 def rates(docs: DataFrame, plan: Plan) -> DataFrame:
-    """``doc_id, n_tokens, domain`` (the likeliest), ``posterior`` (its probability), ``rate, copies`` for every row."""
+    """``doc_id, n_tokens, domain`` (the likeliest), ``posterior`` (its probability), ``rate, copies`` for every row, and ``target_met``, whether the domain's expected total is its target."""
     named = F.lit(plan.classifier.domains) if plan.classifier else F.array().cast("array<string>")
+    met = F.lit([d not in plan.missed for d in plan.classifier.domains]) if plan.classifier else F.array().cast("array<boolean>")
     best = F.array_max("__mix_p")
+    at = (F.array_position("__mix_p", best) - 1).cast("int")
     return _decided(spread(docs.select("doc_id", "text")), plan).select(
-        "doc_id", F.col("__mix_n").cast("long").alias("n_tokens"), F.get(named, (F.array_position("__mix_p", best) - 1).cast("int")).alias("domain"),
-        best.alias("posterior"), F.col("__mix_rate").alias("rate"), F.col("__mix_copies").alias("copies"))
+        "doc_id", F.col("__mix_n").cast("long").alias("n_tokens"), F.get(named, at).alias("domain"),
+        best.alias("posterior"), F.col("__mix_rate").alias("rate"), F.col("__mix_copies").alias("copies"),
+        F.coalesce(F.get(met, at), F.lit(True)).alias("target_met"))
 
 
 def mixed(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -213,4 +252,4 @@ def language_labels(docs: DataFrame) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return rates(docs, solve(docs, language_labels(docs), TARGET))
+    return rates(docs, solve(docs, language_labels(docs), max_rate=MAX_RATE))

@@ -1,5 +1,7 @@
 """Quality, language and mixing: held-out accuracy, brute-force scores, exact fits, edges."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +41,29 @@ def test_quality_votes_equal_brute_force(docs, labels):
         assert abs(score - sum(w * space.labels[k] for w, (_, k) in zip(weight, sims)) / sum(weight)) < 0.02
 
 
+def test_quality_terms():
+    text = "The cat, the CAT; the dog é1!".encode()
+    words = ["the", "cat", "the", "cat", "the", "dog", "é1"]
+    bucket = [zlib.crc32(w.encode()) for w in words]
+    want = np.zeros(Q.TERMS)
+    for k, b in enumerate(bucket):
+        want[b % Q.TERMS] += 1
+        if k:
+            want[((bucket[k - 1] * 0x9E3779B1 + b * 0x85EBCA77) % 2**64 >> 20) % Q.TERMS] += 1
+    np.testing.assert_allclose(Q.features(text)[Q.N_LOOKS:], np.log1p(want), rtol=1e-6)
+    assert not Q.features(None)[Q.N_LOOKS:].any() and not Q.features(b" ,;")[Q.N_LOOKS:].any()
+
+
+def test_quality_vectors_follow_terms(docs, labels):
+    """Texts that look alike but share no words lie apart; the basis is orthonormal."""
+    space = Q.fit(docs, labels)
+    text = docs.filter("lang = 'en' and n_chars > 2000").first().text
+    other = text.translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", "qwertyuiopasdfghjklzxcvbnm"))
+    a, b = space.place(np.stack([Q.features(t.encode()) for t in (text, other)]))
+    assert a @ a == pytest.approx(1, abs=1e-5) and a @ b < 0.9
+    np.testing.assert_allclose(space.basis.T @ space.basis, np.eye(space.basis.shape[1]), atol=1e-4)
+
+
 def test_quality_edges(spark, docs, labels):
     odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2), (2, "x" * 2_000_000, 3)], "doc_id long, text string, score int")
     space = Q.fit(docs, labels)
@@ -91,7 +116,7 @@ def reference_rates(p, n, targets, steps):
 
 
 def test_mixing_matches_targets_and_reference(spark, docs):
-    plan = X.solve(docs, X.language_labels(docs), X.TARGET)
+    plan = X.solve(docs, X.language_labels(docs))
     total = sum(plan.targets.values())
     assert all(abs(plan.totals[d] - t) <= 2e-3 * total for d, t in plan.targets.items())
     rows = X.rates(docs, plan).collect()
@@ -109,7 +134,7 @@ def test_mixing_matches_targets_and_reference(spark, docs):
 
 
 def test_mixing_runs_no_python(docs):
-    plan = X.solve(docs, X.language_labels(docs), X.TARGET)
+    plan = X.solve(docs, X.language_labels(docs))
     text = X.rates(docs, plan)._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
 
@@ -122,15 +147,53 @@ def test_mixing_repeats_where_asked(spark, docs):
     assert max(counts.values()) > 1
 
 
+def test_targets():
+    totals, domains = np.array([600.0, 300.0, 90.0, 10.0, 0.0]), list("abcde")
+    got = X.targets_for(totals, domains, None, 850.0, 1.0)
+    share = (totals[:4] / 1000) ** X.TEMPER
+    assert got[1] / got[0] == pytest.approx(share[1] / share[0]) and got.tolist()[2:] == [90.0, 10.0, 0.0] and got.sum() == pytest.approx(850)
+    np.testing.assert_allclose(X.targets_for(totals, domains, None, 800.0, 50.0)[:4], 800 * share / share.sum())
+    assert X.targets_for(totals, domains, {"a": 1, "e": 5}, 500.0, 1.0).tolist() == [500, 0, 0, 0, 0]
+    assert X.targets_for(totals, domains, {"c": 1.0}, 1e6, 2.0).tolist() == [0, 0, 180, 0, 0]
+
+
+def test_a_scarce_domain_does_not_shrink_the_corpus(spark, docs):
+    few = docs.filter((F.col("lang") != "es") | (F.xxhash64("doc_id") % 10 == 0))
+    plan = X.solve(few, X.language_labels(few))
+    assert X.mixed(few, plan).count() > 0.75 * few.count()
+    spanish = X.rates(few, plan).filter("domain = 'es'").collect()
+    assert spanish and np.mean([r.rate for r in spanish]) > 0.95
+    repeated = X.solve(few, X.language_labels(few), max_rate=X.MAX_RATE)
+    assert repeated.missed == [] and np.mean([r.rate for r in X.rates(few, repeated).filter("domain = 'es'").collect()]) > 1.3
+
+
+def test_a_fifth_language_has_a_target(spark, docs):
+    made = F.transform(F.sequence(F.lit(0), F.lit(150)), lambda k: F.concat(F.lit("zw"), F.pmod(F.xxhash64("id", k), F.lit(40)).cast("string"),
+                                                                           F.element_at(F.array(*[F.lit(w) for w in ("oraz", "jest", "nie", "tego")]), (k % 4 + 1).cast("int"))))
+    text = F.translate(F.array_join(made, " "), "0123456789", "abcdefghij")
+    fifth = spark.range(80).select((F.col("id") + 10_000_000).alias("doc_id"), text.alias("text"), F.lit("pl").alias("lang"))
+    both = docs.select("doc_id", "text", "lang").unionByName(fifth)
+    plan = X.solve(both, X.language_labels(both), max_rate=X.MAX_RATE)
+    rows = X.rates(both, plan).filter("doc_id >= 10000000").collect()
+    assert plan.targets["pl"] > 0 and plan.missed == [] and all(r.domain == "pl" and r.rate > 0.8 and r.target_met for r in rows)
+
+
+def test_what_cannot_be_reached_is_said(docs):
+    plan = X.solve(docs, X.language_labels(docs), {"es": 1.0}, budget=1e9)
+    assert "budget" in plan.missed and plan.budget == 1e9 and sum(plan.targets.values()) < 1e6
+    digits = docs.sparkSession.createDataFrame([(1, "12345678"), (2, None), (3, "é" * 3)], "doc_id long, text string")
+    assert [r.n_tokens for r in X.rates(digits, plan).orderBy("doc_id").collect()] == [2, 0, 2]
+
+
 def test_mixing_edges(spark, docs):
     odd = spark.createDataFrame([(1, None, None, 1), (2, "", "en", 2), (None, "the and of", "en", 3), (3, "der die das", "de", 4), (3, "der die das", "de", 4),
                                  (6, "the of " * 50_000, "en", 1)], "doc_id long, text string, lang string, rate int")
-    plan = X.solve(docs, X.language_labels(docs), X.TARGET)
+    plan = X.solve(docs, X.language_labels(docs))
     got = X.rates(odd, plan).collect()
     assert len(got) == 6 and all(0 <= r.rate <= 1 for r in got) and len({(r.rate, r.copies) for r in got if r.doc_id == 3}) == 1
     assert X.mixed(odd, plan).dtypes == odd.dtypes
-    own = X.solve(odd, X.language_labels(odd), X.TARGET)
+    own = X.solve(odd, X.language_labels(odd))
     assert X.rates(odd, own).count() == 6
-    assert {r.rate for r in X.rates(odd, X.solve(odd, X.language_labels(odd.limit(0)), X.TARGET)).collect()} == {1.0}
+    assert {r.rate for r in X.rates(odd, X.solve(odd, X.language_labels(odd.limit(0)))).collect()} == {1.0}
     assert X.rates(odd.limit(0), plan).count() == 0
-    assert X.solve(odd.limit(0), X.language_labels(odd.limit(0)), X.TARGET).classifier is None
+    assert X.solve(odd.limit(0), X.language_labels(odd.limit(0))).classifier is None

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline as P
-from hashsieve.llm import mixing, quality
+from hashsieve.llm import quality
 from hashsieve.llm.common import written
 from tests.conftest import SF001
 from tests.llm.test_minhash import brute as near_classes
@@ -47,7 +47,7 @@ def test_stages(spark):
 
 
 def test_run(spark):
-    assert [n for n, _ in P.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "bpe"] and mixing.TARGET
+    assert [n for n, _ in P.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "bpe"]
     got = P.run(spark, SF001)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 0
 
