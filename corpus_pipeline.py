@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates whose expected token totals match the target weights."""
-    return mixing.mixed(docs, mixing.solve(docs, mixing.language_labels(docs), mixing.TARGET))
+    """Documents drawn at the rates whose expected token totals match the target weights: tempered shares of the languages, no repeats."""
+    return mixing.mixed(docs, mixing.solve(docs, mixing.language_labels(docs)))
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
