@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, freed, held_out, map_rows, ship, strings, table
+from .common import drop_ids, freed, held_out, map_rows, ship, strings, table, written
 
 MAX_LABELLED = 4000  # labelled vectors broadcast: 4000 x 48 floats are under 1 MB
 DIMS = 48
@@ -42,7 +42,8 @@ THRESHOLD = 0.3
 RATIO_WEIGHT = 5.0  # the few ratios against the many trigrams
 TERM_WEIGHT = 24.0  # length of the terms' part before centring, against spreads of 1 of the looks
 IDF_FLOOR = 0.1  # weight of a bucket that every labelled text fills
-BLOCK = 256  # documents per cosine product
+BLOCK = 64  # documents per cosine product
+PIECE = 1 << 16  # bytes whose trigrams are counted at once
 
 # Byte classes: letters by case, digits, white space, end marks and single symbols; other bytes by range.
 CLASSES = 24
@@ -83,13 +84,15 @@ def features(text: bytes | None) -> np.ndarray:
     """Square roots of trigram shares, repetition and length ratios, and terms, of the whole text."""
     out = np.zeros(N_FEATURES, np.float32)
     text = text or b""
-    codes = CLASS_OF[np.frombuffer(text, np.uint8)]
-    if len(codes) >= 3:
-        counts = np.bincount(codes[:-2] * CLASSES ** 2 + codes[1:-1] * CLASSES + codes[2:], minlength=N_TRIGRAMS)
-        out[:N_TRIGRAMS] = np.sqrt(counts / (len(codes) - 2))
+    out[N_LOOKS:] = terms(text)
+    if len(text) >= 3:
+        counts = np.zeros(N_TRIGRAMS, np.int64)
+        for at in range(0, len(text) - 2, PIECE):
+            codes = CLASS_OF[np.frombuffer(text, np.uint8, min(PIECE + 2, len(text) - at), at)]
+            counts += np.bincount(codes[:-2] * CLASSES ** 2 + codes[1:-1] * CLASSES + codes[2:], minlength=N_TRIGRAMS)
+        out[:N_TRIGRAMS] = np.sqrt(counts / (len(text) - 2))
     words, lines = text.split(), text.split(b"\n")
     n = max(1, len(words))
-    out[N_LOOKS:] = terms(text)
     extra = out[N_TRIGRAMS:N_LOOKS]
     extra[0] = len(set(words)) / n
     extra[1] = len(set(lines)) / len(lines)
@@ -211,7 +214,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rejection goes by doc_id: rows that repeat an id go if any of them is rejected; a row without an id stays.
     """
     scored = score(docs, fit(docs, labels))
-    return drop_ids(docs, scored.filter("predicted = 0").select("doc_id").distinct())
+    return drop_ids(docs, written(scored.filter("predicted = 0").select("doc_id").distinct(), "quality-dropped"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
