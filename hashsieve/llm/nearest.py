@@ -8,9 +8,13 @@ bound survive; these are recomputed in double precision from the original
 vectors and merged by a heap per query.  The answer is that of brute force.
 
 Candidates are dealt into blocks, each read by one task that holds it in memory
-(``BLOCK_ROWS`` vectors); the stated query set is sent to every block and streamed past
-it, a chunk at a time.  Each block returns at most k rows per query, and the
-last ranking merges those.
+(``BLOCK_ROWS`` vectors, ``BLOCK_BYTES`` of components); the stated query set is sent to
+every block and streamed past it, a chunk at a time.  So what is shuffled grows with queries
+times blocks: vectors travel in the type they are stored in (float components stay
+floats), a block holds them once besides their int8 codes, widened tile by tile, and small
+tables get few blocks.  Survivors are recomputed where they lie: a dense group of near
+copies never leaves its blocks.  Each block returns at most k rows per query, and the last
+ranking merges those.
 
 Vectors that are null, empty, zero or hold a null or non-finite component take no part.
 
@@ -32,28 +36,49 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import batches, ship, table
 
-BLOCK_ROWS = 32_768  # candidates held by a task
+BLOCK_ROWS = 131_072  # candidates held by a task, at most
+BLOCK_BYTES = 48 << 20  # their components, about: blocks are dealt by a hash
+LEAST_ROWS = 4096  # blocks are not made smaller than this only to have more of them
 TILE = 2048  # candidates in a product tile
 CHUNK = 256  # queries in a product tile
 PAIRS = 65_536  # pairs recomputed at once
 
 
 class Quantised:
-    """Vectors in double precision and as int8 with scales and error norms."""
+    """Vectors as they are stored and as int8 with scales and error norms, quantised a tile at a time."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
-        self.scale = np.maximum(np.abs(vectors).max(axis=1), 1e-300) / 127.0
-        self.codes = np.rint(vectors / self.scale[:, None]).astype(np.int8)
-        rounded = self.codes * self.scale[:, None]
+        self.codes = np.empty(vectors.shape, np.int8)
+        self.scale, self.norm, self.rounded_norm, self.error = np.empty((4, len(vectors)))
+        # integer products of this type are exact
+        self.product = np.float32 if vectors.shape[1] * 127 * 127 < 1 << 24 else np.float64
+        for at in range(0, len(vectors), TILE):
+            self._quantise(slice(at, at + TILE))
+
+    def _quantise(self, cut: slice) -> None:
+        part = self.vectors[cut].astype(np.float64)
+        peak = np.abs(part).max(axis=1)
+        # norms are those of the vectors divided by their largest component: squares neither overflow nor vanish
+        unit = part / peak[:, None]
+        codes = np.rint(unit * 127.0)
+        rounded = codes / 127.0
+        self.codes[cut], self.scale[cut] = codes, peak / 127.0
         # a little is added for the rounding of these few double operations
-        self.norm = np.sqrt((vectors ** 2).sum(axis=1)) * (1 + 1e-9)
-        self.rounded_norm = np.sqrt((rounded ** 2).sum(axis=1)) * (1 + 1e-9)
-        self.error = np.sqrt(((vectors - rounded) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-12 * self.norm
-        self.wide = self.codes.astype(np.float32 if vectors.shape[1] * 127 * 127 < 1 << 24 else np.float64)
+        norm, rounded_norm, error = (np.sqrt((v ** 2).sum(axis=1)) * (1 + 1e-9) for v in (unit, rounded, unit - rounded))
+        with np.errstate(over="ignore"):
+            self.norm[cut], self.rounded_norm[cut], self.error[cut] = norm * peak, rounded_norm * peak, (error + 1e-12 * norm) * peak
+
+    def tile(self, cut: slice) -> np.ndarray:
+        return self.codes[cut].astype(self.product)
+
+    @property
+    def wide(self) -> np.ndarray:
+        return self.tile(slice(None))
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -63,7 +88,7 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of paired rows in double precision, summed in the order of the components."""
     total = np.zeros(len(a))
     for k in range(a.shape[1]):
-        total += a[:, k] * b[:, k]
+        total += a[:, k].astype(np.float64) * b[:, k]
     return total
 
 
@@ -71,34 +96,41 @@ def search(queries: Quantised, block: Quantised, k: int) -> list[list[tuple[floa
     """Per query its k best (score, -id) in the block, as a heap."""
     heaps: list[list[tuple[float, int]]] = [[] for _ in range(len(queries))]
     floor = np.full(len(queries), -np.inf)  # k-th best score so far
-    for at in range(0, len(block), TILE):
-        cut = slice(at, at + TILE)
-        estimate = (queries.wide @ block.wide[cut].T).astype(np.float64) * queries.scale[:, None] * block.scale[None, cut]
-        bound = queries.error[:, None] * block.norm[None, cut] + queries.rounded_norm[:, None] * block.error[None, cut]
-        other = queries.ids[:, None] != block.ids[None, cut]
-        lower = np.where(other, estimate - bound, -np.inf)
-        limit = floor
-        if lower.shape[1] >= k:
-            limit = np.maximum(floor, np.partition(lower, -k, axis=1)[:, -k])
-        rows, columns = np.nonzero(other & (estimate + bound >= limit[:, None]))
-        for part in range(0, len(rows), PAIRS):
-            r, c = rows[part:part + PAIRS], columns[part:part + PAIRS] + at
-            scores = inner(queries.vectors[r], block.vectors[c])
-            for query, item in zip(r.tolist(), zip(scores.tolist(), (-block.ids[c]).tolist())):
-                heap = heaps[query]
-                if len(heap) < k:
-                    heapq.heappush(heap, item)
-                elif item > heap[0]:
-                    heapq.heapreplace(heap, item)
-        floor = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
+    wide = queries.wide
+    with np.errstate(over="ignore", invalid="ignore"):  # components near the largest double: such pairs are recomputed
+        for at in range(0, len(block), TILE):
+            cut = slice(at, at + TILE)
+            if (queries.norm * block.norm[cut].max() < floor).all():
+                continue  # the norms alone say that no pair of the tile can enter
+            estimate = (wide @ block.tile(cut).T).astype(np.float64) * queries.scale[:, None] * block.scale[None, cut]
+            bound = queries.error[:, None] * block.norm[None, cut] + queries.rounded_norm[:, None] * block.error[None, cut]
+            other = queries.ids[:, None] != block.ids[None, cut]
+            lower = estimate - bound
+            lower = np.where(other & ~np.isnan(lower), lower, -np.inf)
+            limit = floor
+            if lower.shape[1] >= k:
+                limit = np.maximum(floor, np.partition(lower, -k, axis=1)[:, -k])
+            rows, columns = np.nonzero(other & ~(estimate + bound < limit[:, None]))
+            for part in range(0, len(rows), PAIRS):
+                r, c = rows[part:part + PAIRS], columns[part:part + PAIRS] + at
+                scores = inner(queries.vectors[r], block.vectors[c])
+                for query, item in zip(r.tolist(), zip(scores.tolist(), (-block.ids[c]).tolist())):
+                    heap = heaps[query]
+                    if len(heap) < k:
+                        heapq.heappush(heap, item)
+                    elif item > heap[0]:
+                        heapq.heapreplace(heap, item)
+            floor = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
     return heaps
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    stored = vectors.schema[vector_col].dataType
+    kept = "array<float>" if isinstance(stored, ArrayType) and isinstance(stored.elementType, FloatType) else "array<double>"
     return (vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
             .filter(finite & F.exists(vector_col, lambda x: x != 0))
-            .select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"),
+            .select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kept).alias("vector"),
                     F.size(vector_col).alias("dim")))
 
 
@@ -108,9 +140,11 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows:
     spark = vectors.sparkSession
     ship(spark)
     candidates = usable(vectors, id_col, vector_col)
-    asked = usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
-    total = candidates.count()
-    blocks = max(math.ceil(total / block_rows), 2 * spark.sparkContext.defaultParallelism)
+    asked = usable(queries, id_col, vector_col).withColumn("vector", F.col("vector").cast(candidates.schema["vector"].dataType)).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    width = 4 if candidates.schema["vector"].dataType.elementType == FloatType() else 8
+    total, components = candidates.agg(F.count(F.lit(1)), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    blocks = max(math.ceil(total / block_rows), math.ceil(components * width / BLOCK_BYTES),
+                 min(2 * spark.sparkContext.defaultParallelism, math.ceil(total / LEAST_ROWS)), 1)
     dealt = (candidates.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
              .withColumn("kind", F.lit(0)))
     sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("kind", F.lit(1))

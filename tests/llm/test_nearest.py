@@ -70,3 +70,23 @@ def test_edges(spark):
     got = [tuple(r) for r in N.neighbours(df, df.filter(F.col("vec_id") % 20 == 0), k=3).collect()]
     assert sorted(got) == brute(rows, [0, 20, 40], 3)
     assert N.neighbours(df.limit(0), df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1e300, 1e160, 1e-170])
+def test_large_and_small_components(size):
+    rng = np.random.default_rng(6)
+    shapes = rng.normal(size=(300, 8))
+    block = N.Quantised(np.arange(300), shapes * size)
+    asked = N.Quantised(np.arange(300, 310), rng.normal(size=(10, 8)) / size)
+    for vector, heap in zip(asked.vectors, N.search(asked, block, 5)):
+        scores = N.inner(np.tile(vector, (300, 1)), block.vectors)
+        assert sorted((-s, -n) for s, n in heap) == sorted((-s, i) for i, s in enumerate(scores))[:5]
+
+
+def test_vectors_travel_as_they_are_stored(spark):
+    rows = vectors(200, 12, 3)
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        assert N.usable(df, "vec_id", "embedding").schema["vector"].dataType.simpleString() == f"array<{kind}>"
+        got = N.neighbours(df, df.filter(F.col("vec_id") % 20 == 0), k=4)
+        assert sorted(tuple(r) for r in got.collect()) == brute(rows, [i for i, _ in rows if i % 20 == 0], 4)
