@@ -1,6 +1,9 @@
 """Quality, language and mixing: held-out accuracy, brute-force scores, exact fits, edges."""
 
+import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -197,3 +200,61 @@ def test_mixing_edges(spark, docs):
     assert {r.rate for r in X.rates(odd, X.solve(odd, X.language_labels(odd.limit(0)))).collect()} == {1.0}
     assert X.rates(odd.limit(0), plan).count() == 0
     assert X.solve(odd.limit(0), X.language_labels(odd.limit(0))).classifier is None
+
+
+def slow_language(learned, text):
+    """(language, score) counted anew for every text: a plain form of the model, without its lists, memo and matrix."""
+    langs = sorted(learned)
+    words = [w for w in L.WORD.findall((text or "").lower())]
+    if not any(c.isalpha() for w in words for c in w) or not langs:
+        return "und", 0.0
+
+    def entries(lang, n):
+        return learned[lang] if n == 0 else Counter({g: 0 for w in learned[lang] for g in L.grams_of(w, n)})
+
+    tables = {}
+    for lang in langs:
+        for n in range(L.MAX_N + 1):
+            table = entries(lang, n)
+            if n:
+                for w, c in learned[lang].items():
+                    for g in L.grams_of(w, n):
+                        table[g] += c
+            tables[lang, n] = table, sum(table.values())
+
+    def cost(lang, n, item):
+        table, total = tables[lang, n]
+        return min(L.PENALTY, -math.log10(table[item] / total)) if item in table else L.PENALTY
+
+    def word_cost(lang, word):
+        if any(word in tables[other, 0][0] for other in langs):
+            return cost(lang, 0, word)
+        for n in range(L.MAX_N, 0, -1):
+            grams = L.grams_of(word, n)
+            if any(g in tables[other, n][0] for g in grams for other in langs):
+                return sum(cost(lang, n, g) for g in grams) / len(grams)
+        return L.PENALTY
+
+    means = {lang: sum(word_cost(lang, w) for w in words) / len(words) for lang in langs}
+    best = min(langs, key=lambda lang: (round(means[lang], 6), lang))
+    return best, 1 / sum(10 ** -((means[lang] - means[best]) * min(len(words), 20)) for lang in langs)
+
+
+def test_language_equals_a_slow_version(spark):
+    rng = random.Random(9)
+    syllables = {"aa": ["ka", "lo", "mi", "ta"], "bb": ["sch", "er", "un", "ta"], "cc": ["é", "ou", "lo", "que"]}
+    def text(lang, n):
+        return " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, text(lang, rng.randint(0, 30)), lang) for i, lang in enumerate(rng.choice(sorted(syllables)) for _ in range(150))]
+    rows += [(200, None, "aa"), (201, "", "bb"), (202, "12 .. !", "cc"), (203, "ЖЖ zzz", None), (204, "Kalo xq 7", None), (205, "kalo kalo schun", "aa")]
+    learned = {}
+    for i, body, lang in rows:
+        if lang is not None and body is not None and zlib.crc32(str(i).encode()) % 5:
+            learned.setdefault(lang, Counter()).update(L.WORD.findall(body.lower()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in L.predict(docs, L.fit(docs)).collect()}
+    assert len(got) == len(rows)
+    for i, body, _ in rows:
+        lang, score = slow_language(learned, body)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-4, (i, body)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
