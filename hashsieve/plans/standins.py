@@ -271,6 +271,10 @@ filled AS (SELECT p_partkey,
 
 
 # ------------------------------------------------------------------ events
+# Job counters, the event type that sets each, and its smallest value.
+JOB_COUNTERS = [("total_files", "purchase", 50), ("completed_files", "click", 0), ("failed_files", "error", 0)]
+
+
 def job_updates(spark, sf_dir) -> DataFrame:
     return job_updates_from(table(spark, sf_dir, "events"))
 
@@ -282,14 +286,18 @@ def job_updates_from(ev: DataFrame) -> DataFrame:
                      F.col("props").alias("message"),
                      F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
                      F.when(F.col("event_type") == "view", F.concat(F.lit("file_"), F.col("event_id").cast("string"))).alias("current_file"),
-                     F.when(F.col("event_type") == "purchase", F.col("event_id") % 2 == 0).alias("is_batch"))
+                     F.when(F.col("event_type") == "purchase", F.col("event_id") % 2 == 0).alias("is_batch"),
+                     # a batch job's counters: files asked for, then files done or failed so far
+                     *[F.when(F.col("event_type") == event, F.col("event_id") % 50 + least).cast("int").alias(counter)
+                       for counter, event, least in JOB_COUNTERS])
 
 
-JOB_UPDATES_SQL = """
+JOB_UPDATES_SQL = f"""
 upd AS (SELECT user_id AS job_id, ts, event_id, event_type AS status, value AS progress, props AS message,
                CASE WHEN event_type = 'error' THEN props END AS error,
                CASE WHEN event_type = 'view' THEN 'file_' || event_id::VARCHAR END AS current_file,
-               CASE WHEN event_type = 'purchase' THEN event_id % 2 = 0 END AS is_batch
+               CASE WHEN event_type = 'purchase' THEN event_id % 2 = 0 END AS is_batch,
+               {", ".join(f"CAST(CASE WHEN event_type = '{event}' THEN event_id % 50 + {least} END AS INTEGER) AS {counter}" for counter, event, least in JOB_COUNTERS)}
         FROM events),
 state AS (SELECT job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS created_at, count(*) AS n_updates,
                  arg_max(status, (ts, event_id)) FILTER (WHERE status IS NOT NULL) AS status,
@@ -297,6 +305,7 @@ state AS (SELECT job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS created_at
                  arg_max(message, (ts, event_id)) FILTER (WHERE message IS NOT NULL) AS message,
                  arg_max(error, (ts, event_id)) FILTER (WHERE error IS NOT NULL) AS error,
                  arg_max(current_file, (ts, event_id)) FILTER (WHERE current_file IS NOT NULL) AS current_file,
+                 {", ".join(f"arg_max({c}, (ts, event_id)) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c, _, _ in JOB_COUNTERS)},
                  coalesce(arg_max(is_batch, (ts, event_id)) FILTER (WHERE is_batch IS NOT NULL), false) AS is_batch
           FROM upd GROUP BY job_id)
 """

@@ -440,10 +440,11 @@ def _state(spark, sf):
 
 
 @query("job1_state_fold", f"""WITH {SI.JOB_UPDATES_SQL}
-SELECT job_id, created_at, n_updates, status, progress, message, error, current_file, is_batch FROM state""")
+SELECT job_id, created_at, n_updates, status, progress, message, error, current_file, completed_files, failed_files, total_files,
+       is_batch FROM state""")
 def job1_state_fold(spark, sf):
     return _state(spark, sf).select("job_id", "created_at", "n_updates", "status", "progress", "message", "error",
-                                    "current_file", "is_batch")
+                                    "current_file", "completed_files", "failed_files", "total_files", "is_batch")
 
 
 @query("flt5_jobs_filter", f"""WITH {SI.JOB_UPDATES_SQL}
