@@ -135,16 +135,17 @@ files AS (SELECT (page_id // 2)::BIGINT AS batch_id, page_id AS position,
 
 # Seven kinds of batches, by batch_id mod 7, so that every outcome of the admission occurs: 0 accepted, 1 a file without
 # name, 2 a wrong extension, 3 a file too large, 4 a total too large, 5 a bad quality, 6 an unknown type.  Requests with
-# negative batch ids have no files.
+# negative batch ids have no files.  Apart from these planted faults, names and sizes are the pages' own, saved as a browser
+# does: a name without extension gets .html, an empty one is index.html.
 def upload_batches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(files: ``batch_id, position, filename, size``; requests: ``batch_id, product_type, quality, format``) from pages."""
     f = upload_files(spark, sf_dir)
     batch = F.floor(F.col("page_id") / UPLOAD_BATCH_FILES).cast("long")
     kind, at = F.pmod(F.col("batch_id"), F.lit(7)), F.pmod(F.col("page_id"), F.lit(UPLOAD_BATCH_FILES))
-    name = (F.when((kind == 1) & (at == 5), F.lit("")).when((kind == 2) & (at == 3), F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".psb")))
-            .otherwise(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html"))))
-    size = F.least(F.col("size"), F.lit(8000))
-    size = (F.when((kind == 3) & (at == 7), F.col("size") + UPLOAD_MAX_BYTES).when(kind == 4, F.lit(UPLOAD_MAX_BYTES)).otherwise(size)).cast("long")
+    saved = (F.when(F.col("filename") == "", F.lit("index.html")).when(F.col("filename").contains("."), F.col("filename"))
+             .otherwise(F.concat("filename", F.lit(".html"))))
+    name = F.when((kind == 1) & (at == 5), F.lit("")).when((kind == 2) & (at == 3), F.concat(saved, F.lit(".psb"))).otherwise(saved)
+    size = (F.when((kind == 3) & (at == 7), F.col("size") + UPLOAD_MAX_BYTES).when(kind == 4, F.lit(UPLOAD_MAX_BYTES)).otherwise(F.col("size"))).cast("long")
     files = f.withColumn("batch_id", batch).select("batch_id", F.col("page_id").alias("position"), name.alias("filename"), size.alias("size"))
     ids = files.select("batch_id").distinct()
     ids = ids.unionByName(ids.filter(F.col("batch_id") % 5 == 0).select((-1 - F.col("batch_id")).alias("batch_id")))
@@ -154,13 +155,14 @@ def upload_batches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 UPLOAD_BATCHES_SQL = f"""{UPLOAD_FILES_SQL.strip()},
-ub AS (SELECT (page_id // {UPLOAD_BATCH_FILES})::BIGINT AS batch_id, page_id, size FROM files),
+ub AS (SELECT (page_id // {UPLOAD_BATCH_FILES})::BIGINT AS batch_id, page_id, size,
+              CASE WHEN filename = '' THEN 'index.html' WHEN contains(filename, '.') THEN filename ELSE filename || '.html' END AS saved FROM files),
 bfiles AS (SELECT batch_id, page_id AS position,
                   CASE WHEN batch_id % 7 = 1 AND page_id % {UPLOAD_BATCH_FILES} = 5 THEN ''
-                       WHEN batch_id % 7 = 2 AND page_id % {UPLOAD_BATCH_FILES} = 3 THEN 'page' || page_id::VARCHAR || '.psb'
-                       ELSE 'page' || page_id::VARCHAR || '.html' END AS filename,
+                       WHEN batch_id % 7 = 2 AND page_id % {UPLOAD_BATCH_FILES} = 3 THEN saved || '.psb'
+                       ELSE saved END AS filename,
                   (CASE WHEN batch_id % 7 = 3 AND page_id % {UPLOAD_BATCH_FILES} = 7 THEN size + {UPLOAD_MAX_BYTES}
-                        WHEN batch_id % 7 = 4 THEN {UPLOAD_MAX_BYTES} ELSE least(size, 8000) END)::BIGINT AS size FROM ub),
+                        WHEN batch_id % 7 = 4 THEN {UPLOAD_MAX_BYTES} ELSE size END)::BIGINT AS size FROM ub),
 bids AS (SELECT DISTINCT batch_id FROM bfiles UNION ALL SELECT DISTINCT -1 - batch_id FROM bfiles WHERE batch_id % 5 = 0),
 breq AS (SELECT batch_id, CASE WHEN (batch_id % 7 + 7) % 7 = 6 THEN 'Metal_Cards' ELSE 'metal_cards' END AS product_type,
                 CASE WHEN (batch_id % 7 + 7) % 7 = 5 THEN 0 ELSE 75 END AS quality, 'jpeg' AS format FROM bids)
