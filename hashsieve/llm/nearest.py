@@ -139,8 +139,10 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows:
     """``query_id, rank, vec_id, score``: for each row of ``queries`` its k nearest rows of ``vectors`` by inner product."""
     spark = vectors.sparkSession
     ship(spark)
-    candidates = usable(vectors, id_col, vector_col)
-    asked = usable(queries, id_col, vector_col).withColumn("vector", F.col("vector").cast(candidates.schema["vector"].dataType)).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    candidates, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
+    if candidates.schema["vector"].dataType != asked.schema["vector"].dataType:  # float and double: both as double
+        candidates, asked = (df.withColumn("vector", F.col("vector").cast("array<double>")) for df in (candidates, asked))
+    asked = asked.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
     width = 4 if candidates.schema["vector"].dataType.elementType == FloatType() else 8
     total, components = candidates.agg(F.count(F.lit(1)), F.coalesce(F.sum("dim"), F.lit(0))).first()
     blocks = max(math.ceil(total / block_rows), math.ceil(components * width / BLOCK_BYTES),

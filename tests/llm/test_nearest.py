@@ -90,3 +90,15 @@ def test_vectors_travel_as_they_are_stored(spark):
         assert N.usable(df, "vec_id", "embedding").schema["vector"].dataType.simpleString() == f"array<{kind}>"
         got = N.neighbours(df, df.filter(F.col("vec_id") % 20 == 0), k=4)
         assert sorted(tuple(r) for r in got.collect()) == brute(rows, [i for i, _ in rows if i % 20 == 0], 4)
+
+
+def test_double_queries_keep_their_digits(spark):
+    rows = vectors(120, 6, 8)
+    asked = [(1000 + i, [x + 1e-12 for x in v]) for i, v in rows[:6]]
+    got = N.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"),
+                       spark.createDataFrame(asked, "vec_id long, embedding array<double>"), k=3)
+    want = []
+    for q, x in asked:
+        scores = [(-float(N.inner(np.array(x)[None], np.array(v)[None])[0]), i) for i, v in rows]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:3])]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
