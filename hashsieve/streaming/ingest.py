@@ -34,9 +34,12 @@ updates for ``max_age`` leaves the store, with a last row that says so.
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.hashing import DEFAULT_THRESHOLD
@@ -176,26 +179,38 @@ def job_state_stream(updates: DataFrame, job: str = "job_id", seq: list[str] | N
 
 
 NO_SEQ = -(1 << 63)  # a missing order value sorts first, as in a struct
+JOB_GROUPS = 1 << 13  # groups of the job store; a call of Python folds what a group's jobs receive in a micro-batch
+
+
+def _as_text(c: Column, kind: T.DataType) -> Column:
+    """A job's key as text that gives the key back."""
+    if isinstance(kind, (T.StringType, T.IntegralType, T.BooleanType, T.DateType, T.DecimalType)):
+        return c.cast("string")
+    return F.to_json(F.struct(c.alias("k")), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+
+
+def _from_text(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.IntegralType, T.BooleanType, T.DateType, T.DecimalType)):
+        return c.cast(kind)
+    return F.from_json(c, T.StructType([T.StructField("k", kind)]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})["k"]
 
 
-def _merge(state: dict, chunk: pd.DataFrame, seq: list[str], fields: list[str]) -> None:
-    """Fold a chunk of one job's updates into its state: per field ``(seq..., value)`` of the latest update that set it."""
-    state["n_updates"] += len(chunk)
-    for name, pick in (("created", min), ("last", max)):
-        times = chunk["__ts"].dropna()
-        if len(times):
-            own = int(times.min() if pick is min else times.max())
-            state[name] = own if state[name] is None else pick(state[name], own)
-    for field in fields:
-        rows = chunk[chunk[field].notna()]
-        if len(rows):
-            found = rows.sort_values([*seq, field]).iloc[-1]
-            found = (*(int(found[s]) for s in seq), found[field])
-            state[field] = max(state[field], found) if state[field] is not None else found
+def _merge(state: list, update: list, width: int) -> None:
+    """Fold an update ``[ts, seq..., field...]`` into its job's state ``[created, last, n_updates, per field (seq..., value) of the latest update that set it]``."""
+    at = update[0]
+    if at is not None:
+        at = int(at)
+        state[0] = at if state[0] is None else min(state[0], at)
+        state[1] = at if state[1] is None else max(state[1], at)
+    state[2] += 1
+    order = [int(s) for s in update[1:width]]
+    for k, value in enumerate(update[width:], 3):
+        if value is not None and (state[k] is None or state[k] < [*order, value]):
+            state[k] = [*order, value]
 
 
 def expiring_job_states(updates: DataFrame, max_age: str, delay: str = "0 seconds", job: str = "job_id", seq: list[str] | None = None,
-                        ts: str = "ts", fields: list[str] | None = None) -> DataFrame:
+                        ts: str = "ts", fields: list[str] | None = None, groups: int = JOB_GROUPS) -> DataFrame:
     """JOB-2 with a bounded store (use ``outputMode('update')``): ``job, created_at, n_updates``, the fields, ``expired``.
 
     A job whose last update is more than ``max_age`` behind the watermark (the latest time seen less ``delay``)
@@ -203,7 +218,9 @@ def expiring_job_states(updates: DataFrame, max_age: str, delay: str = "0 second
     the columns of ``seq`` are times or whole numbers; updates without a time do not move a job's expiry, and a job without
     any time expires ``max_age`` after the watermark at its last update.  Of updates at one place of the order, the largest value, as text, counts.
 
-    A job's updates of a micro-batch come in chunks, so a job with a huge log is never held whole.
+    The store is kept by ``groups`` hash groups of jobs, so a call of Python, its frames and its state serve all the group's
+    jobs of a micro-batch.  A group's timer is the first expiry among its jobs.  ``groups`` stays the same for the life of a
+    store.  A group's updates come in chunks and a job's state is its latest values, so a huge log is never held whole.
     """
     seq = seq or [ts]
     fields = [f for f in (fields or STATE_FIELDS) if f in updates.columns]
@@ -216,43 +233,50 @@ def expiring_job_states(updates: DataFrame, max_age: str, delay: str = "0 second
         is_time = schema[name].dataType.typeName().startswith("timestamp")
         return F.coalesce(F.unix_micros(c.cast("timestamp")) if is_time else c.cast("long"), F.lit(NO_SEQ))
 
-    order = [f"__seq{k}" for k in range(len(seq))]
-    rows = updates.select(F.col(job).alias("__job"), F.col(ts).cast("timestamp").alias("__at"), F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("__ts"),
-                          *[whole(s).alias(o) for s, o in zip(seq, order)], *[F.col(f).cast("string").alias(f) for f in fields])
-    job_type = schema[job].dataType.simpleString()
-    slots = [(f"{f}__{part}", kind) for f in fields for part, kind in [*((o, "long") for o in order), ("value", "string")]]
-    state_schema = ", ".join(["created long", "last long", "n_updates long"] + [f"`{n}` {k}" for n, k in slots])
-    out_schema = ", ".join([f"__job {job_type}", "__created long", "n_updates long"] + [f"`{f}` string" for f in fields] + ["expired boolean"])
-    width = len(order) + 1
-
-    def load(held) -> dict:
-        if not held.exists:
-            return {"created": None, "last": None, "n_updates": 0, **dict.fromkeys(fields)}
-        flat = held.get
-        parts = {f: tuple(flat[3 + k * width:3 + (k + 1) * width]) for k, f in enumerate(fields)}
-        return {"created": flat[0], "last": flat[1], "n_updates": flat[2], **{f: p if p[-1] is not None else None for f, p in parts.items()}}
+    # an update and a job's state travel as JSON arrays of texts: one column instead of one for each field
+    texts = [_as_text(F.col(job), schema[job].dataType), F.unix_micros(F.col(ts).cast("timestamp")).cast("string"),
+             *[whole(s).cast("string") for s in seq], *[F.col(f).cast("string") for f in fields]]
+    rows = updates.select(F.pmod(F.xxhash64(job), F.lit(groups)).alias("__group"), F.col(ts).cast("timestamp").alias("__at"),
+                          F.to_json(F.array(*texts)).alias("__update"))
+    width, empty = len(seq) + 1, [None, None, 0, *[None] * len(fields)]
 
     def run(key, chunks, held):
-        state = load(held)
-        expired = held.hasTimedOut
-        if expired:
-            held.remove()
-        else:
+        # [expiry, state] of each live job
+        jobs = {name: rest for name, *rest in json.loads(held.get[0])} if held.exists else {}
+        now, touched, out = held.getCurrentWatermarkMs(), {}, []
+        if not held.hasTimedOut:
             for chunk in chunks:
-                _merge(state, chunk, order, fields)
-            flat = [state["created"], state["last"], state["n_updates"]]
-            for f in fields:
-                flat += state[f] if state[f] is not None else [None] * width
-            held.update(tuple(flat))
-            now = held.getCurrentWatermarkMs()
-            held.setTimeoutTimestamp(max(now + 1, (state["last"] // 1000 if state["last"] is not None else now) + age))
-        row = [key[0], state["created"], state["n_updates"], *[state[f] and state[f][-1] for f in fields], expired]
-        yield pd.DataFrame([row], columns=["__job", "__created", "n_updates", *fields, "expired"])
-
-    states = rows.withWatermark("__at", delay).groupBy("__job").applyInPandasWithState(
-        run, out_schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
-    return states.select(F.col("__job").alias(job), F.timestamp_micros("__created").alias("created_at"), "n_updates",
-                         *[F.col(f).cast(schema[f].dataType).alias(f) for f in fields], "expired")
+                for name, *update in json.loads(f"[{','.join(chunk['__update'])}]"):
+                    state = touched.get(name)
+                    if state is None:
+                        state = touched[name] = jobs[name][1] if name in jobs else [*empty]
+                    _merge(state, update, width)
+
+        def shown(name, state, expired):
+            values = [v and v[-1] for v in state[3:]]
+            out.append(json.dumps([name, state[0], state[2], *values, expired], ensure_ascii=False))
+
+        for name, state in touched.items():
+            last = state[1] // 1000 if state[1] is not None else now
+            jobs[name] = [max(now + 1, last + age), state]
+            shown(name, state, False)
+        for name in [n for n, (expiry, _) in jobs.items() if expiry < now]:  # never one that was touched
+            shown(name, jobs.pop(name)[1], True)
+        if jobs:
+            held.update((json.dumps([[name, *rest] for name, rest in jobs.items()], ensure_ascii=False),))
+            held.setTimeoutTimestamp(min(expiry for expiry, _ in jobs.values()))
+        else:
+            held.remove()
+        yield pd.DataFrame({"__state": out})
+
+    states = rows.withWatermark("__at", delay).groupBy("__group").applyInPandasWithState(
+        run, "__state string", "jobs string", "update", GroupStateTimeout.EventTimeTimeout)
+    parts = F.from_json("__state", "array<string>")
+    return states.select(parts.alias("s")).select(
+        _from_text(F.get("s", F.lit(0)), schema[job].dataType).alias(job), F.timestamp_micros(F.get("s", F.lit(1)).cast("long")).alias("created_at"),
+        F.get("s", F.lit(2)).cast("long").alias("n_updates"),
+        *[F.get("s", F.lit(3 + k)).cast(schema[f].dataType).alias(f) for k, f in enumerate(fields)],
+        F.get("s", F.lit(3 + len(fields))).cast("boolean").alias("expired"))
 
 
 def stage_steps(df: DataFrame, folder: str, order: str, steps: int):

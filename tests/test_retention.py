@@ -135,3 +135,28 @@ def test_a_job_in_many_chunks_folds_alike(spark, tmp_path):
     names = ["job_id", "created_at", "n_updates", "status", "progress", "completed_files"]
     want = jobs.fold_state(spark.read.schema(UPDATE).parquet(source), seq=["ts", "n"]).select(names).collect()
     assert sorted(map(str, spark.table("many_chunks").select(names).collect())) == sorted(map(str, want))
+
+
+def test_groups_hold_many_jobs(spark, tmp_path):
+    """Four groups for 90 jobs: each job has its own expiry and its own state."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    arrivals = [[(j, j / 10, j, "queued", j / 4, j, j % 2 == 0, None) for j in range(90)] + [(None, 2, 0, "no job", None, None, None, None)],
+                [(j, 30 + j / 100, 1000 + j, 'do"ne, é', None, None, None, None) for j in range(0, 90, 3)]]
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+
+    for k, rows in enumerate(arrivals):
+        updates(spark, rows).write.parquet(f"{source}/{k}")
+        stream = spark.readStream.schema(UPDATE).parquet(f"{source}/*")
+        (ingest.expiring_job_states(stream, "1 DAY", seq=["ts", "n"], groups=4).writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()).awaitTermination()
+    rows = spark.read.option("basePath", out).parquet(f"{out}/_batch=*").orderBy("_batch").collect()
+    last = {r.job_id: r for r in rows}
+    # the latest update is at hour 30.87: untouched jobs whose last update is before hour 6.87 are gone
+    assert {r.job_id for r in rows if r.expired} == {None} | {j for j in range(90) if j % 3 and j / 10 < 6.87}
+    want = {r.job_id: r for r in jobs.fold_state(updates(spark, sum(arrivals, [])), seq=["ts", "n"]).collect()}
+    assert last.keys() == want.keys()
+    for job, row in last.items():
+        for field in ("created_at", "n_updates", "status", "progress", "completed_files", "is_batch"):
+            assert (getattr(row, field) or False) == (getattr(want[job], field) or False), (job, field)
