@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import long_to_hex
 from ..operators.image_hashes import image_fingerprints
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources import daily, stores
 from . import standins as SI
 from .registry import query
@@ -100,7 +100,7 @@ def src3_upload_reconciliation(spark, sf):
     path = _folder(spark, "src3")
     pages = SI.table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     name = F.concat(F.lit("page"), F.col("page_id").cast("string"))
-    pages.select(name.alias("filename"), F.col("html").alias("value")).write.partitionBy("filename").text(path)
+    stores.write_files(pages.select(name.alias("filename"), F.col("html").alias("value")), path, "filename", "value")
     accepted, _ = stores.binary_scan(spark, path)
     found = accepted.select(F.regexp_extract("path", "filename=([^/]*)", 1).alias("filename"), "length")
     i = F.col("page_id")
@@ -140,15 +140,15 @@ def _pictures(batches):
             else:
                 alpha = [np.where(grey % 4 == 0, 0, 255).astype(np.uint8)] if kind == 2 else []
                 files.append(_png(np.stack([grey, grey, grey, *alpha], axis=2)))
-        yield pd.DataFrame({"vec_id": pdf["vec_id"], "png": files})
+        yield pd.DataFrame({"vec_id": pdf["vec_id"], "nth": pdf["nth"], "png": files})
 
 
 def write_pictures(spark, sf, path):
-    """A file per embedding, written by every task through Spark's text sink (bytes as they are)."""
+    """A file per embedding, written by every task (bytes as they are)."""
     cells = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 256 * x.cast("double")))).cast("int"))
-    e = SI.table(spark, sf, "embeddings").select("vec_id", cells.alias("cells"))
-    made = e.mapInPandas(_pictures, "vec_id long, png binary")
-    made.select(F.col("png").cast("string").alias("value"), "vec_id").write.partitionBy("vec_id").text(path)
+    e = spread(SI.table(spark, sf, "embeddings").select("vec_id", F.monotonically_increasing_id().alias("nth"), cells.alias("cells")))
+    made = e.mapInPandas(_pictures, "vec_id long, nth long, png binary")
+    stores.write_files(made, path, "vec_id", "png", "nth")
 
 
 def _vec_id(path):

@@ -315,6 +315,57 @@ def export_registry_map(registry: DataFrame, path: str, meta: dict | None = None
 
 
 # ---------------------------------------------------------------- files
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"  # Spark's name for a null value in a path
+
+
+def write_files(rows: DataFrame, path: str, name: str, content: str, order: str | None = None) -> int:
+    """A file per name under ``path``, by every task; returns their number.
+
+    The bytes of a name's rows, each ended by a newline, lie in one file ``files=<task>/<name column>=<name>``, by ``order`` (default: as the
+    rows come); a null name is Spark's default partition name, ``%`` and ``/`` are percent-encoded.  Files come with many others in a task's folder: Spark's sinks name only folders by a value, and
+    one folder for each file costs the listing a task and the file system several calls.  The folder must be on storage
+    that pyarrow opens (local or shared files, S3, GCS, HDFS).  A file appears whole, by renaming, so a task that runs again replaces it.
+    """
+    spark = rows.sparkSession
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    root = fs.makeQualified(p).toString()
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+        from pyspark import TaskContext
+
+        store, base = pafs.FileSystem.from_uri(root)
+        folder = f"{base.rstrip('/')}/files={TaskContext.get().partitionId():05d}"
+        last, out, files, part = None, None, 0, f"{folder}/_{uuid.uuid4().hex}"
+
+        def finish():
+            out.close()
+            store.move(part, f"{folder}/{name}={last.replace('%', '%25').replace('/', '%2F')}")
+
+        for batch in batches:
+            for label, value in zip(batch.column(0), batch.column(1)):
+                label = label.as_py()
+                if out is None or label != last:
+                    if out is not None:
+                        finish()
+                    else:
+                        store.create_dir(folder)
+                    last, out, files = label, store.open_output_stream(part), files + 1
+                out.write((value.as_py() or b"") + b"\n")
+        if out is not None:
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    nth = F.col(order) if order else F.monotonically_increasing_id()
+    named = rows.select(F.coalesce(F.col(name).cast("string"), F.lit(NO_NAME)).alias("name"), F.col(content).cast("binary").alias("content"), nth.alias("nth"))
+    named = named.repartition("name").sortWithinPartitions("name", "nth").select("name", "content")
+    return named.mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def binary_scan(spark: SparkSession, path: str, glob: str | None = None, allowed: list[str] | None = None,
                 recursive: bool = True, manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """SRC-3: whole files as rows ``path, modificationTime, length, content``.

@@ -416,3 +416,28 @@ def test_every_outcome_of_the_reconciliation_occurs(spark):
     from hashsieve import plans
     found = plans.queries()["src3_upload_reconciliation"](spark, "/root/testdata/sf0.01").groupBy("status").count().collect()
     assert {r.status for r in found} == {"ok", "changed", "missing", "empty", "unlisted"}
+
+
+def test_files_share_folders(spark, tmp_dir):
+    """A file per name, not a folder per name; rows of one name lie in one file in their order, an empty content is its newline."""
+    rows = [(f"f{k}", bytes([k, 0, 255]) * k) for k in range(1, 80)] + [("twice", b"one"), ("twice", b"two"), (None, b"x"), ("none", None)]
+    path = os.path.join(tmp_dir, "files")
+    assert stores.write_files(spark.createDataFrame(rows, "name string, content binary").repartition(5).orderBy("content"), path, "name", "content") == 82
+    found = {r.filename.removeprefix("name="): r for r in stores.binary_scan(spark, path)[0].collect()}
+    want = {n: c + b"\n" for n, c in rows[:79]} | {"twice": b"one\ntwo\n", stores.NO_NAME: b"x\n", "none": b"\n"}
+    assert {n: bytes(r.content) for n, r in found.items()} == want
+    assert len({os.path.dirname(r.path) for r in found.values()}) <= 8  # the session's shuffle partitions
+    empty = os.path.join(tmp_dir, "empty")
+    assert stores.write_files(spark.createDataFrame([], "name string, content binary"), empty, "name", "content") == 0
+    assert stores.image_scan(spark, empty).count() == 0
+
+
+def test_pictures_share_folders(spark, tmp_dir):
+    from hashsieve.plans import store_queries
+    grid = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((i * F.col("id")) % 64 / 256).cast("float"))
+    spark.range(60).select(F.col("id").alias("vec_id"), grid.alias("embedding")).write.parquet(f"{tmp_dir}/embeddings.parquet")
+    path = os.path.join(tmp_dir, "pictures")
+    store_queries.write_pictures(spark, tmp_dir, path)
+    seen = stores.image_scan(spark, path).select("image.origin", "image.width").collect()
+    assert len(seen) == 60 and sum(r.width == 32 for r in seen) == 48
+    assert len({os.path.dirname(r.origin) for r in seen}) <= 8
