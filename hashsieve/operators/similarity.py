@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from ..functions.hashing import DEFAULT_THRESHOLD, HASH_BITS
 from ..session import cut_lineage
 
-# Default pair budget per bucket before it is split a second time.
-DEFAULT_HOT_BUCKET_PAIRS = 4_000_000
+# Default pair budget per bucket before it is split a second time: splitting writes each row six times, the pairs of
+# some 300 rows cost about as much.  A larger budget lets the join grow with the square of the rows up to it.
+DEFAULT_HOT_BUCKET_PAIRS = 100_000
 KEY = ["tbl", "tkey", "sub", "skey"]
 
 

@@ -155,3 +155,15 @@ def test_banded_join_property(spark):
         assert len(got) == len(set(map(tuple, got))) and {tuple(r) for r in got} == want
 
     check()
+
+
+def test_buckets_of_some_hundred_rows_are_split_by_default(spark):
+    """A bucket costs its square: 400 rows in one are split without being told to, with the same pairs."""
+    from hashsieve.operators.similarity import KeyScheme
+    df = spark.range(400).select("id", F.xxhash64("id").bitwiseAND(F.lit(~0x7FF)).alias("fp"))
+    df = df.unionByName(df.filter("id < 20").select((F.col("id") + 1000).alias("id"), F.col("fp").bitwiseXOR(F.lit(1 << 40)).alias("fp")))
+    scheme = KeyScheme(5)
+    from hashsieve.operators.similarity import DEFAULT_HOT_BUCKET_PAIRS
+    assert scheme.hot(scheme.tables(df), None, (420, 420), DEFAULT_HOT_BUCKET_PAIRS).collect() == [(0, 0)]
+    pairs = similarity_join(df, df, 5, order="lt").select("l_id", "r_id").collect()
+    assert sorted(map(tuple, pairs)) == [(k, k + 1000) for k in range(20)]
