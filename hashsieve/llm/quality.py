@@ -105,6 +105,26 @@ def features(text: bytes | None) -> np.ndarray:
     return out
 
 
+def leading(gram: np.ndarray, dims: int, rounds: int = 12) -> np.ndarray:
+    """The ``dims`` leading eigenvectors of a symmetric matrix, as columns, largest first.
+
+    A large matrix is projected to its block Krylov space of ``rounds`` products (orthogonal throughout): beside it, this holds
+    a few thin matrices, where the whole decomposition holds four more of its size.
+    """
+    width = 2 * dims
+    if len(gram) <= width * (rounds + 1):
+        return np.linalg.eigh(gram)[1][:, ::-1][:, :dims]
+    space = np.empty((len(gram), width * (rounds + 1)))
+    space[:, :width] = np.linalg.qr(np.random.default_rng(0).standard_normal((len(gram), width)))[0]
+    for at in range(width, space.shape[1], width):
+        block, known = gram @ space[:, at - width:at], space[:, :at]
+        for _ in range(2):
+            block -= known @ (known.T @ block)
+        space[:, at:at + width] = np.linalg.qr(block)[0]
+    _, found = np.linalg.eigh(space.T @ (gram @ space))
+    return space @ found[:, ::-1][:, :dims]
+
+
 class Space:
     """Frequencies, centre, scale and basis of the latent space with the labelled vectors in it.
 
@@ -122,8 +142,7 @@ class Space:
         self.scale[:self.looks][columns[:self.looks] >= N_TRIGRAMS] *= RATIO_WEIGHT
         block -= self.mean
         block *= self.scale
-        _, basis = np.linalg.eigh((block.T @ block).astype(np.float64))
-        self.basis = np.ascontiguousarray(basis[:, ::-1][:, :dims], np.float32)
+        self.basis = np.ascontiguousarray(leading((block.T @ block).astype(np.float64), dims), np.float32)
         self.vectors = self._placed(block)
         self.labels = labels.astype(np.float32)
 

@@ -258,3 +258,14 @@ def test_language_equals_a_slow_version(spark):
         lang, score = slow_language(learned, body)
         assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-4, (i, body)
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_leading_eigenvectors_equal_the_whole_decomposition():
+    import numpy as np
+
+    from hashsieve.llm import quality
+    rows = np.random.default_rng(1).standard_normal((700, 300)) * np.linspace(3, 1, 300)
+    gram = rows.T @ rows
+    want, got = np.linalg.eigh(gram)[1][:, ::-1][:, :8], quality.leading(gram, 8)
+    assert len(gram) > 16 * 13  # the projected form
+    assert np.allclose(np.abs((want * got).sum(axis=0)), 1, atol=1e-6)
