@@ -26,17 +26,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, freed, map_rows, table
+from .common import batches, freed, kept, map_rows, table
 
-MAX_STATES = 400_000  # lazily built states kept per worker before they are dropped together, about 1 kB each
+MAX_STATES = 400_000  # lazily built states kept per worker before they are dropped together
 MAX_LOOKS = 24  # tokens tried before a path counts as alive
 VOCABULARY = "byte_bpe_50k.tiktoken"
+ROWS = 256  # rows of a batch that are Python objects at a time
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -44,17 +46,36 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in data.splitlines() if line)}
 
 
+def packed(paths: Iterable[tuple]) -> bytes:
+    """Alive paths as 32-bit integers: each the number of its pending tokens, ``prev``, node and these tokens."""
+    flat = array("i")
+    for prev, node, pending in paths:
+        flat.extend((len(pending), prev, node, *pending))
+    return flat.tobytes()
+
+
+def unpacked(data: bytes) -> list[tuple]:
+    flat, at, paths = array("i", data).tolist(), 0, []
+    while at < len(flat):
+        end = at + 3 + flat[at]
+        paths.append((flat[at + 1], flat[at + 2], tuple(flat[at + 3:end])))
+        at = end
+    return paths
+
+
 class State(dict):
-    """A state of the determinised transducer: byte -> (next state, tokens emitted)."""
+    """A state of the determinised transducer: byte -> (next state, tokens emitted).
+
+    The paths are needed for new transitions only and kept packed.
+    """
 
     __slots__ = ("machine", "paths", "final")
 
-    def __init__(self, machine: "Transducer", paths: tuple) -> None:
-        self.machine, self.paths = machine, paths
-        self.final = next((pending for _, node, pending in paths if node == 0), ())
+    def __init__(self, machine: "Transducer", paths: bytes, final: tuple) -> None:
+        self.machine, self.paths, self.final = machine, paths, final
 
     def __missing__(self, byte: int) -> tuple:
-        self[byte] = made = self.machine.step(self.paths, byte)
+        self[byte] = made = self.machine.step(unpacked(self.paths), byte)
         return made
 
 
@@ -77,19 +98,25 @@ class Transducer:
                     self.token_at.append(-1)
                 node = child
             self.token_at[node] = rank
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.live: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
+        self.live: dict[int, bool] = {}
         self.parts = self._last_merges()
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple, State] = {}
-        self.start = self.state(((-1, 0, ()),))
+        self.states: dict[bytes, State] = {}
+        self.runs: dict[tuple, tuple] = {}  # one object for equal runs of tokens
+        self.start = self.state([(-1, 0, ())])
+
+    def run(self, tokens: tuple) -> tuple:
+        return self.runs.setdefault(tokens, tokens)
 
-    def state(self, paths: tuple) -> State:
-        found = self.states.get(paths)
+    def state(self, paths: list[tuple]) -> State:
+        key = packed(paths)
+        found = self.states.get(key)
         if found is None:
-            found = self.states[paths] = State(self, paths)
+            final = next((pending for _, node, pending in paths if node == 0), ())
+            found = self.states[key] = State(self, key, self.run(final))
         return found
 
     def fits(self, prev: int, token: int) -> bool:
@@ -102,11 +129,12 @@ class Transducer:
         """
         if prev < 0:
             return True
-        known = self.compatible.get((prev, token))
+        pair = prev << 32 | token
+        known = self.compatible.get(pair)
         if known is None:
-            if len(self.compatible) > 2 * MAX_STATES:
+            if len(self.compatible) > MAX_STATES // 4:
                 self.compatible.clear()
-            known = self.compatible[(prev, token)] = self._apart(prev, token)
+            known = self.compatible[pair] = self._apart(prev, token)
         return known
 
     def _apart(self, left: int, right: int) -> bool:
@@ -144,7 +172,8 @@ class Transducer:
 
         Only the first tokens are looked at: a path kept in vain costs a state, never a wrong token.
         """
-        known = self.live.get((prev, node))
+        pair = prev + 1 << 32 | node  # prev is -1 at the start
+        known = self.live.get(pair)
         if known is None:
             stack, known, looks = list(self.trie[node].values()), False, 0
             while stack and not known:
@@ -153,12 +182,12 @@ class Transducer:
                     looks += 1
                     known = looks > MAX_LOOKS or self.fits(prev, self.token_at[child])
                 stack.extend(self.trie[child].values())
-            if len(self.live) > MAX_STATES:
+            if len(self.live) > MAX_STATES // 4:
                 self.live.clear()
-            self.live[(prev, node)] = known
+            self.live[pair] = known
         return known
 
-    def step(self, paths: tuple, byte: int) -> tuple:
+    def step(self, paths: list[tuple], byte: int) -> tuple:
         alive, done = [], None
         for prev, node, pending in paths:
             child = self.trie[node].get(byte)
@@ -177,7 +206,7 @@ class Transducer:
         while all(len(p[2]) > shared and p[2][shared] == first[shared] for p in alive) and shared < len(first):
             shared += 1
         emitted = first[:shared]
-        return self.state(tuple((prev, node, pending[shared:]) for prev, node, pending in alive)), emitted
+        return self.state([(prev, node, pending[shared:]) for prev, node, pending in alive]), self.run(emitted)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -291,16 +320,22 @@ class Decoder:
         return "".join(self.stream(ids[i:i + chunk] for i in range(0, len(ids), chunk)))
 
 
-_COMPILED: dict[str, tuple[Transducer, Decoder, dict[int, str]]] = {}
-
-
 def compiled(vocabulary: bytes, pattern: str) -> tuple[Transducer, Decoder, dict[int, str]]:
-    """Built once per worker process and vocabulary."""
-    key = hashlib.sha256(vocabulary + pattern.encode()).hexdigest()
-    if key not in _COMPILED:
+    """Built once per worker process and vocabulary, and kept until the worker turns to another operator."""
+
+    def build() -> tuple[Transducer, Decoder, dict[int, str]]:
         machine = Transducer(read_ranks(vocabulary), pattern)
-        _COMPILED[key] = machine, Decoder(machine.bytes), {i: str(i) for i in machine.bytes}
-    return _COMPILED[key]
+        return machine, Decoder(machine.bytes), {i: str(i) for i in machine.bytes}
+
+    return kept("bpe " + hashlib.sha256(vocabulary + pattern.encode()).hexdigest(), build)
+
+
+def rows_of(incoming: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """The first two columns row by row; only ``ROWS`` rows are Python objects at a time."""
+    for batch in incoming:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
 
 
 def shared_vocabulary(spark: SparkSession, path: str):
@@ -317,10 +352,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(incoming):
         machine = compiled(data.value, pattern)[0]
         schema = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32()))])
-        rows = ((i, machine.encode(t) if t else []) for b in incoming for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        rows = ((i, machine.encode(t) if t else []) for i, t in rows_of(incoming))
         yield from batches(rows, schema, weigh=lambda r: 4 * len(r[1]))
 
-    return map_rows(base, freed(run), "doc_id long, token_ids array<int>")
+    return map_rows(base, freed(run, keeps=True), "doc_id long, token_ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -330,10 +365,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(incoming):
         decoder = compiled(data.value, pattern)[1]
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-        rows = ((i, decoder.decode(t or [])) for b in incoming for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        rows = ((i, decoder.decode(t or [])) for i, t in rows_of(incoming))
         yield from batches(rows, schema, weigh=lambda r: len(r[1]))
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(freed(run), "doc_id long, text string")
+    return encoded.select("doc_id", "token_ids").mapInArrow(freed(run, keeps=True), "doc_id long, text string")
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -356,9 +391,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             spelled = " ".join(map(names.__getitem__, ids)).encode()
             return doc_id, len(ids), hashlib.sha256(spelled).hexdigest(), hashlib.sha256(decoder.decode(ids).encode()).hexdigest()
 
-        yield from batches((digests(i, t) for b in incoming for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), schema)
+        yield from batches((digests(i, t) for i, t in rows_of(incoming)), schema)
 
-    return map_rows(base, freed(run), DIGESTS)
+    return map_rows(base, freed(run, keeps=True), DIGESTS)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,16 +72,45 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa
     return spread(df).mapInArrow(fn, schema)
 
 
-def freed(fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``fn`` for ``mapInArrow``; the worker, which lives on, gives its unused memory back at the end of the task."""
+_KEPT: dict[str, Any] = {}  # at most one entry: what this worker holds for later tasks of the same operator
+
+
+def kept(key: str, build: Callable[[], Any]) -> Any:
+    """``build()``, held by the worker for its later tasks until one of another key or operator begins (see ``freed``)."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Give unused memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def freed(fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
+          keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` for ``mapInArrow``; the worker, which lives on, gives its unused memory back at the end of the task.
+
+    What an earlier operator left in the worker (``kept``) goes first, unless ``fn`` itself ``keeps`` something.
+    """
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            let_go()
         try:
             yield from fn(incoming)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # where the C library has it
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return run
 

@@ -183,7 +183,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list:
 
     def vectors(incoming):
         for batch in incoming:
-            found = [features(t) for t in strings(batch.column(1))]
+            found = map(features, strings(batch.column(1)))  # a full vector has 64 kB: one at a time
             sparse = [pickle.dumps((at.astype(np.uint16), v[at])) for v in found for at in [np.flatnonzero(v)]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2).cast(pa.int32()), pa.array(sparse, pa.binary())], names=["doc_id", "label", "vector"])

@@ -1,10 +1,15 @@
 """The transducer against the tiktoken library; the decoder against Python's."""
 
+import gc
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hashsieve.llm import bpe
+from hashsieve.llm.common import freed
 
 P = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -70,3 +75,40 @@ def test_query_edges(spark):
     back = {(r.doc_id, r.text) for r in bpe.decode(bpe.encode(df, path, P.PATTERN), path, P.PATTERN).collect()}
     assert back == {(i, t or "") for i, t, _ in rows}
     assert bpe.round_trip(df.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_paths_are_packed_and_unpacked():
+    for paths in ([(-1, 0, ())], [(7, 3, ()), (50_000, 0, (1, 2, 3)), (0, 70_000, (49_999,))]):
+        assert bpe.unpacked(bpe.packed(paths)) == paths
+
+
+def test_states_are_small(tools):
+    machine, _, _ = tools
+    machine.reset()
+    machine.compatible.clear()
+    machine.live.clear()
+    tracemalloc.start()
+    try:
+        for text in texts(600, 4):
+            machine.encode(text)
+        machine.compatible.clear()
+        machine.live.clear()
+        taken = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(machine.states) > 3000 and taken / len(machine.states) < 580  # bytes; 624 and 753 with paths as nested tuples
+
+
+def test_workers_let_go_of_the_vocabulary_for_other_operators(spark):
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text")).repartition(8)
+
+    def machines(incoming):
+        for _ in incoming:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(o).__name__ == "Transducer" for o in gc.get_objects())])], names=["n"])
+
+    def left(**how):
+        assert bpe.round_trip(docs, P.path(bpe.VOCABULARY), P.PATTERN).count() == 64
+        return sum(r.n for r in docs.mapInArrow(freed(machines, **how), "n long").collect())
+
+    assert left(keeps=True) > 0 and left() == 0
