@@ -14,15 +14,17 @@ all in tokens.  With ``best(p)`` the least cost of the stream up to candidate p,
 
     best(p) = penalty(p) + SEQUENCE + min over p - window <= q < p of best(q) + window - (p - q)
 
-which is the minimum of ``best(q) + q`` over a sliding range: a monotone queue holds it, so a candidate
-costs constant time.  At the end of the stream best(p - s) for every power of two s is compared with it.  Decisions are made while the stream is read: windows up to the last
+which is the minimum of ``best(q) + q`` over a sliding range.  A block of candidates, all in reach of the last one decided, is
+decided at once, by the suffix minima of the decided ones, up to the first candidate for which one of the block itself is as good:
+about one block per window.  At the end of the stream best(p - s) for every power of two s is compared with it.  Decisions are made while the stream is read: windows up to the last
 point that the best cuts of all open candidates share are final and leave; memory holds what
 lies behind it.  Streams in which they share none (equal documents, one after the other) are decided
 along the best cuts so far when ``OPEN_WINDOWS`` windows are open.
 
 Tokens are those of the public tokenizer for the whole text.  It never joins what white space
-separates, so pieces between white space are encoded once and remembered (bounded by
-``MEMO_TOKENS``); a text is then one lookup per piece.
+separates, nor ASCII punctuation (but the apostrophe) with the letter or digit beside it.  So pieces between white space
+are cut into the punctuation before, the core, and the punctuation behind; these parts are encoded once and remembered
+(bounded by ``MEMO_TOKENS``).  A text is then one lookup per piece in the distinct pieces of its chunk.
 
 Tasks are independent: a scan with enough splits is packed in place, in the order of its
 files, and nothing is shuffled.  Tables with too few splits are dealt by ranges of the id
@@ -35,13 +37,11 @@ span sequences; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
-import math
 import os
 import re
-from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,7 @@ DECIDE_WINDOWS = 64  # windows open before it is tried to settle them
 OPEN_WINDOWS = 256  # windows open at most
 MEMO_TOKENS = 4_000_000
 CHUNK_BYTES = 8 << 20  # bytes of texts split into pieces at a time
+_NEVER = 1 << 62  # more than any cost
 
 _SPACE = re.compile(r"[ \t\n]")
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]}]*\Z")
@@ -68,8 +69,11 @@ _STOPS = ["。".encode(), "！".encode(), "？".encode()]
 _UNSPACED = "([。！？])([\u3040-\u30ff\u4e00-\u9fff])"
 # First bytes of U+0300..U+036F; capital i with dot; capital sigma.
 _KEEP_CASE = [b"\xcc", b"\xcd", "\u0130".encode(), "\u03a3".encode()]
-# Small letters that every normalisation leaves as they are, then full stops and the like.
-_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe: it begins endings such as 's
+# Small letters that every normalisation leaves as they are; what punctuation may be cut from begins and ends with one or a digit.
+_SMALL = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_PLAIN = f"^[{_SMALL}]+$"
+_CORE = f"^[0-9{_SMALL}](.*[0-9{_SMALL}])?$"
 
 
 def _byte_symbols() -> dict[int, int]:
@@ -79,11 +83,36 @@ def _byte_symbols() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(rest)}
 
 
-_BYTE_SYMBOLS = _byte_symbols()
+_SYMBOL_OF_BYTE = np.arange(256, dtype="<u4")
+for _byte, _symbol in _byte_symbols().items():
+    _SYMBOL_OF_BYTE[_byte] = _symbol
+_SYMBOL_OF_BYTE[ord("\n")] = ord("\n")  # stands between words
+
+
+def _symbols(words: list[str]) -> list[str]:
+    """The words, none of which holds a line feed, in the byte-level alphabet."""
+    joined = "\n".join(words)
+    if joined.isascii():
+        return words
+    return _SYMBOL_OF_BYTE[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-32-le").split("\n")
+
+
+def _listed(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat``, one after the other, and the number of elements before each and at the end."""
+    behind = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=behind[1:])
+    kind = np.int32 if max(int(behind[-1]), len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - behind[:-1]).astype(kind), sizes)
+    at += np.arange(behind[-1], dtype=kind)
+    return flat[at], behind
 
 
 class Encoder:
-    """Token ids and sentence ends of whole texts, with a memo of pieces between white space."""
+    """Token ids and sentence ends of whole texts, with a memo of the parts of pieces between white space."""
 
     def __init__(self, serialised: str, end_id: int = END_ID) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
@@ -96,41 +125,62 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {"": 0}
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.starts, self.sizes, self.ends = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-
-    def ids_of(self, piece: str) -> list[int]:
-        """Ids of a piece without white space.  Plain words need no normalisation and go to the merges directly."""
-        if not (plain := _PLAIN.fullmatch(piece)):
-            return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        word, stops = plain.groups()
-        if stops and (at := self.known.get(word)) is not None:
-            return [*self.flat[self.starts[at]:self.starts[at] + self.sizes[at]].tolist(), *(t.id for t in self.model.tokenize(stops))]
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
-        made = [t.id for t in self.model.tokenize(word)]
-        return made + [t.id for t in self.model.tokenize(stops)] if stops else made
-
-    def rows_of(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of pieces in the memo; new ones are encoded."""
+        self.starts, self.sizes, self.ends = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(1, bool)
+
+    def rows_of(self, parts: list[str], plain: np.ndarray) -> np.ndarray:
+        """Numbers of distinct parts in the memo; new ones are encoded.  ``plain`` words go to the merges directly."""
+        rows = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        for direct in (True, False):
+            at = np.flatnonzero((rows < 0) & (plain == direct))
+            if not len(at):
+                continue
+            new, ids, sizes = [parts[i] for i in at.tolist()], [], []
+            if direct:
+                tokenize = self.model.tokenize
+                for word in _symbols(new):
+                    made = tokenize(word)
+                    sizes.append(len(made))
+                    ids += [t.id for t in made]
+            else:
+                for part in new:
+                    made = self.tokenizer.encode(part, add_special_tokens=False).ids
+                    sizes.append(len(made))
+                    ids += made
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            self.flat[self.used:self.used + len(ids)] = ids
+            sizes = np.array(sizes, np.int32)
+            ends = np.zeros(len(new), bool) if direct else np.array([_SENTENCE_END.search(p) is not None for p in new], bool)
+            rows[at] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.starts = np.concatenate([self.starts, (self.used + np.cumsum(sizes) - sizes).astype(np.int32)])
+            self.sizes, self.ends = np.concatenate([self.sizes, sizes]), np.concatenate([self.ends, ends])
+            self.used += len(ids)
+        return rows
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after the other, the number of each, and whether it ends a sentence."""
         if self.used > MEMO_TOKENS:
             self.forget()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
-            made = [self.ids_of(p) for p in new]
-            sizes = np.array([len(ids) for ids in made], np.int64)
-            total = int(sizes.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.used:self.used + total] = np.fromiter((i for ids in made for i in ids), np.int32, total)
-            self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ends = np.concatenate([self.ends, np.array([not p[-1:].isalpha() and _SENTENCE_END.search(p) is not None for p in new], bool)])
-            self.used += total
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        headless = pc.utf8_ltrim(pieces, _PUNCTUATION)
+        core = pc.utf8_rtrim(headless, _PUNCTUATION)
+        cut = pc.match_substring_regex(core, _CORE).to_numpy(zero_copy_only=False)
+        size = [pc.binary_length(a).to_numpy(zero_copy_only=False) for a in (pieces, headless, core)]
+        heads, tails = np.where(cut, size[0] - size[1], 0), np.where(cut, size[1] - size[2], 0)  # ASCII: bytes are characters
+        core = pc.if_else(pa.array(cut), core, pieces).dictionary_encode()
+        with_head, with_tail = np.flatnonzero(heads), np.flatnonzero(tails)
+        edges = [p[:n] for p, n in zip(_listed(pieces.take(pa.array(with_head))), heads[with_head].tolist())]
+        edges += [p[-n:] for p, n in zip(_listed(pieces.take(pa.array(with_tail))), tails[with_tail].tolist())]
+        distinct = list(dict.fromkeys(edges))
+        row_of = dict(zip(distinct, self.rows_of(distinct, np.zeros(len(distinct), bool)).tolist()))
+        edges = np.array([row_of[e] for e in edges], np.int64)
+        made = self.rows_of(_listed(core.dictionary), pc.match_substring_regex(core.dictionary, _PLAIN).to_numpy(zero_copy_only=False))
+        rows = np.zeros((len(pieces), 3), np.int64)  # row 0 is the empty part
+        rows[with_head, 0], rows[:, 1], rows[with_tail, 2] = edges[:len(with_head)], made[core.indices.to_numpy()], edges[len(with_head):]
+        flat, behind = _gather(self.flat, self.starts[rows.ravel()], self.sizes[rows.ravel()])
+        return flat, behind[::3], self.ends[rows[:, 1]] | self.ends[rows[:, 2]]
 
     def _chunk(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids and the numbers of ids before its sentence ends."""
@@ -144,16 +194,16 @@ class Encoder:
         lines = pc.split_pattern(texts, "\n")
         words = pc.ascii_split_whitespace(lines.flatten())
         coded = words.flatten().dictionary_encode()
-        rows = self.rows_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        rows, (flat, behind, ends) = coded.indices.to_numpy(), self._pieces(coded.dictionary)
         line_at = words.offsets.to_numpy().astype(np.int64)
         line_at -= line_at[0]
         text_at = lines.offsets.to_numpy().astype(np.int64)
         text_at = line_at[text_at - text_at[0]]
-        sizes, ends = self.sizes[rows], self.ends[rows]
+        ends = ends[rows]
         ends[line_at[1:][line_at[1:] > 0] - 1] = True
-        behind = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[rows] - behind[:-1], sizes) + np.arange(behind[-1])]
-        cuts, bounds = np.unique(behind[1:][ends]), behind[text_at]
+        ids, behind = _gather(flat, behind[:-1][rows], np.diff(behind)[rows])
+        cuts, bounds = behind[1:][ends], behind[text_at]
+        cuts = cuts[np.diff(cuts, prepend=-1) > 0]
         first, last = np.searchsorted(cuts, bounds[:-1], "right"), np.searchsorted(cuts, bounds[1:], "left")
         for i, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
             yield ids[low:high], cuts[first[i]:last[i]] - low
@@ -191,102 +241,137 @@ class Packer:
         self.gap, self.step = max(1, window // 64), max(1, window // 256)
         self.decide, self.most = decide_windows * window, open_windows * window
         self.ask = self.decide  # position at which it is next tried to settle windows
-        self.powers: list[int] = []  # lengths that need no padding, while the last window is cut
         self.end = 0
         self.documents: deque = deque()  # key, first token, ids
-        self.waiting: deque[tuple[int, int]] = deque()  # candidates of the last window
-        # the candidates: state 0 is where everything before has left
-        self.pos, self.cost, self.parent = [0], [0], [-1]
-        self.at, self.queue = {0: 0}, deque([0])
+        self.edges: list[np.ndarray] = []  # of documents whose candidates are still to be made: sentence ends, the document's end
+        self.waiting = np.empty(0, np.int64), np.empty(0, np.int64)  # candidates not yet decided, their penalties
+        # the candidates decided: state 0 is where everything before has left; value is the least cost plus the position
+        self.pos, self.value, self.parent = np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, -1, np.int64)
 
     def add(self, key, ids: np.ndarray, ends: np.ndarray) -> Iterator[list[tuple]]:
         """Take a document; give the sequences that are final."""
         begin, self.end = self.end, self.end + len(ids)
         self.documents.append((key, begin, ids))
-        edges = np.concatenate([[0], ends, [len(ids)]])
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if high - low > self.gap:
-                self.waiting.extend((begin + p, self.broken) for p in range(low + self.step, high, self.step))
-            self.waiting.append((begin + high, self.sentence if high < len(ids) else 0))
-        self._advance(self.end - self.window)
-        if self.pos[-1] >= self.ask:
-            yield from self._settle()
-            self.ask = self.pos[-1] + self.decide
+        self.edges.append(np.append(ends, len(ids)) + begin)
+        if self.end - self.window >= self.ask:
+            self._advance(self.end - self.window)
+            if self.pos[-1] >= self.ask:
+                yield from self._settle()
+                self.ask = int(self.pos[-1]) + self.decide
 
     def finish(self) -> Iterator[list[tuple]]:
         if not self.end:
             return
-        known = dict(self.waiting)
-        first = max(self.pos[-1] + 1, self.end - self.window + 1)
-        self.waiting = deque((p, known.get(p, self.broken)) for p in range(first, self.end + 1))
-        self.powers = [1 << i for i in range(self.window.bit_length()) if 1 << i < self.window]
-        self._advance(self.end)
+        self._advance(self.end - self.window)
+        self._last()
         yield from self._leave(len(self.pos) - 1)
 
+    def _candidates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and penalties of the candidates behind those decided."""
+        if self.edges:
+            high = np.concatenate(self.edges)
+            low = np.concatenate([[self.documents[-len(self.edges)][1]], high[:-1]])
+            inner = np.where(high - low > self.gap, (high - low - 1) // self.step, 0)
+            last = np.cumsum(inner + 1) - 1  # where each stretch's own end stands
+            pos = np.repeat(low + self.step * (1 - last + inner), inner + 1) + self.step * np.arange(last[-1] + 1)
+            penalty = np.full(len(pos), self.broken, np.int64)
+            pos[last], penalty[last] = high, self.sentence
+            penalty[last[np.cumsum([len(e) for e in self.edges]) - 1]] = 0
+            self.edges = []
+            self.waiting = np.concatenate([self.waiting[0], pos]), np.concatenate([self.waiting[1], penalty])
+        return self.waiting
+
     def _advance(self, to: int) -> None:
-        waiting, window, powers, sequence = self.waiting, self.window, self.powers, self.sequence
-        pos, cost, parent, at, queue = self.pos, self.cost, self.parent, self.at, self.queue
-        while waiting and waiting[0][0] <= to:
-            p, penalty = waiting.popleft()
-            while pos[queue[0]] < p - window:
+        """Decide the candidates up to a position."""
+        pos, penalty = self._candidates()
+        taken = int(np.searchsorted(pos, to, "right"))
+        self.waiting = pos[taken:], penalty[taken:]
+        penalty, at, window = penalty[:taken] + self.sequence + self.window, len(self.pos), self.window
+        pos, done = np.concatenate([self.pos, pos[:taken]]), at
+        value = np.concatenate([self.value, np.empty(taken, np.int64)])
+        parent = np.concatenate([self.parent, np.empty(taken, np.int64)])
+        while at < len(pos):
+            high = int(np.searchsorted(pos, pos[at - 1] + window, "right"))  # all these reach the last state
+            first = int(np.searchsorted(pos, pos[at] - window))
+            behind = value[first:at][::-1]  # from the last state backwards; of equal ones the last is taken
+            least = np.minimum.accumulate(behind)
+            where = np.zeros(len(least), np.int64)
+            where[1:] = np.maximum.accumulate(np.where(least[1:] < least[:-1], np.arange(1, len(least)), 0))
+            reach = at - 1 - np.searchsorted(pos[:at], pos[at:high] - window)
+            best = least[reach]
+            made = best + penalty[at - done:high - done]
+            rival = np.minimum.accumulate(made[:-1]) <= best[1:]  # a state of the block itself is as good
+            n = int(rival.argmax()) + 1 if rival.any() else len(made)
+            value[at:at + n], parent[at:at + n] = made[:n], at - 1 - where[reach[:n]]
+            at += n
+        self.pos, self.value, self.parent = pos, value, parent
+
+    def _last(self) -> None:
+        """Decide every position of the last window, where sequences whose length is a power of two need no padding."""
+        window, n = self.window, len(self.pos)
+        begin = max(int(self.pos[-1]) + 1, self.end - window + 1)
+        penalties = np.full(self.end + 1 - begin, self.broken, np.int64)
+        penalties[self.waiting[0] - begin] = self.waiting[1]
+        powers = [1 << i for i in range(window.bit_length()) if 1 << i < window]
+        first = int(np.searchsorted(self.pos, begin - window))
+        value = dict(zip(self.pos[first:].tolist(), self.value[first:].tolist()))  # by position
+        parents, queue = [], deque()
+        for p, v in value.items():
+            while queue and value[queue[-1]] >= v:
+                queue.pop()
+            queue.append(p)
+        for p, penalty in enumerate(penalties.tolist(), begin):
+            while queue[0] < p - window:
                 queue.popleft()
             came = queue[0]
-            best = cost[came] + window - (p - pos[came])
+            best = value[came] + window
             for s in powers:
-                k = at.get(p - s)
-                if k is not None and cost[k] < best:
-                    best, came = cost[k], k
-            best += penalty + sequence
-            while queue and cost[queue[-1]] + pos[queue[-1]] >= best + p:
+                v = value.get(p - s)
+                if v is not None and v + s < best:
+                    best, came = v + s, p - s
+            best += penalty + self.sequence
+            while queue and value[queue[-1]] >= best:
                 queue.pop()
-            at[p] = len(pos)
-            queue.append(len(pos))
-            pos.append(p)
-            cost.append(best)
-            parent.append(came)
+            queue.append(p)
+            value[p] = best
+            parents.append(came)
+        self.pos = np.concatenate([self.pos, np.arange(begin, self.end + 1)])
+        self.value = np.concatenate([self.value, np.array([value[p] for p in range(begin, self.end + 1)], np.int64)])
+        self.parent = np.concatenate([self.parent, np.searchsorted(self.pos, np.array(parents, np.int64))])
+        self.waiting = self.waiting[0][:0], self.waiting[1][:0]
 
     def _settle(self) -> Iterator[list[tuple]]:
         pos, parent = self.pos, self.parent
-        first = bisect_right(pos, pos[-1] - self.window)
-        shared, heap = set(range(first, len(pos))), [-i for i in range(len(pos) - 1, first - 1, -1)]
+        shared = np.arange(np.searchsorted(pos, pos[-1] - self.window, "right"), len(pos))
         while len(shared) > 1:
-            i = -heapq.heappop(heap)
-            shared.discard(i)
-            if parent[i] not in shared:
-                shared.add(parent[i])
-                heapq.heappush(heap, -parent[i])
-        point = shared.pop()
+            shared = np.unique(np.append(parent[shared[1:]], shared[0]))
+        point = int(shared[0])
         if point == 0:
             if pos[-1] - pos[0] < self.most:
                 return
             point = len(pos) - 1
             while pos[point] - pos[0] > self.most // 2:
-                point = parent[point]
+                point = int(parent[point])
         yield from self._leave(point)
 
     def _leave(self, point: int) -> Iterator[list[tuple]]:
         """Give the windows up to state ``point``; only what descends from it goes on."""
         cuts, i = [], point
         while i > 0:
-            cuts.append(self.pos[i])
-            i = self.parent[i]
-        low = self.pos[0]
+            cuts.append(int(self.pos[i]))
+            i = int(self.parent[i])
+        low = int(self.pos[0])
         for high in reversed(cuts):
             yield self._pieces(low, high)
             low = high
-        alive = [True]
-        for i in range(point + 1, len(self.pos)):
-            alive.append(self.parent[i] >= point and alive[self.parent[i] - point])
-        self.pos, self.cost = self.pos[point:], [c if ok else math.inf for c, ok in zip(self.cost[point:], alive)]
-        self.parent = [-1, *(max(0, q - point) for q in self.parent[point + 1:])]
-        first = bisect_right(self.pos, self.pos[-1] - self.window)
-        self.at, self.queue = {}, deque()
-        for i in range(first, len(self.pos)):
-            if alive[i]:
-                self.at[self.pos[i]] = i
-                while self.queue and self.cost[self.queue[-1]] + self.pos[self.queue[-1]] >= self.cost[i] + self.pos[i]:
-                    self.queue.pop()
-                self.queue.append(i)
+        self.pos, self.value = self.pos[point:].copy(), self.value[point:].copy()
+        self.parent = np.maximum(self.parent[point:] - point, -1)
+        self.parent[0] = -1
+        first = int(np.searchsorted(self.pos, self.pos[-1] - self.window, "right"))  # only these are reached from now on
+        root = np.arange(first, len(self.pos))
+        while (root > 0).any():
+            root = np.where(root > 0, self.parent[root], root)
+        self.value[first:][root < 0] = _NEVER
 
     def _pieces(self, low: int, high: int) -> list[tuple]:
         """``key, start, ids, document's tokens, offset`` of the documents between two positions."""

@@ -139,3 +139,51 @@ def test_edges(spark, tokenizer):
     assert [r.length for r in by_id[2]] == [1, 1] and len(by_id[4]) == 2 and len(by_id[None]) == 1 and [r.length for r in by_id[1]] == [1]
     assert all(r.ids == struct.pack("<I", P.END_ID) for r in by_id[2])
     assert P.packed(spark.createDataFrame([], schema), VOCABULARY).count() == 0
+
+
+def test_parts_are_encoded_once_whatever_punctuation_stands_beside(tokenizer, encoder, monkeypatch):
+    texts = ["abc abc, (abc) \"abc.\" abc$$$ abc%%%", "[abc] abc... don't don't! (don't) 'tis ('tis ≠ (≠ ...", "ABC; über, (über)"]
+    asked, encode = [], encoder.tokenizer.encode
+    monkeypatch.setattr(encoder, "tokenizer", type("Counting", (), {"encode": staticmethod(lambda t, **k: asked.append(t) or encode(t, **k))}))
+    assert [i.tolist() for i, _ in encoder.encode(pa.array(texts))] == [whole(tokenizer, t) for t in texts]
+    assert len(asked) == len(set(asked)) and not any("abc" in t or "über" in t for t in asked)
+    assert [p for p in encoder.known if "abc" in p] == ["abc"] and [p for p in encoder.known if "don" in p] == ["don't"]
+    assert {"'tis", "('tis", "(≠", "$$$"} <= set(encoder.known)  # an apostrophe or a mark may belong to what stands before it
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parts_equal_the_tokenizer(tokenizer, encoder, seed):
+    rnd = random.Random(seed)
+    alphabet = ["ab.,'\"(≠̸́) \n", "aB'sé-_$ 1٣\t", "sS'.:Σσ ab,", "ßÿ×÷à!? \n'"][seed]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(500)]
+    assert [i.tolist() for i, _ in encoder.encode(pa.array(texts))] == [whole(tokenizer, t) for t in texts]
+
+
+def test_candidates_are_decided_in_blocks(monkeypatch):
+    calls, advance = [], P.Packer._advance
+    monkeypatch.setattr(P.Packer, "_advance", lambda self, to: calls.append(to) or advance(self, to))
+    documents = [(np.arange(50, dtype=np.int32), np.arange(10, 50, 10))] * 2000
+    found = pack(P.Packer(256, decide_windows=8), documents)
+    assert sum(len(p[2]) for s in found for p in s) == 100_000
+    assert len(calls) <= 100_000 // (8 * 256) * 2 + 2  # not one a document
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_of_equal_cuts_the_last_is_taken(seed):
+    rnd = random.Random(seed)
+    window, documents, at, penalty = 64, [], 0, []
+    for _ in range(200):
+        n = rnd.choice([1, 2, 16, 32, 33, rnd.randint(1, 128)])
+        documents.append((np.arange(n, dtype=np.int32), np.arange(1, n)))
+        penalty += [(at + p, 4 if p < n else 0) for p in range(1, n + 1)]
+        at += n
+    packer = P.Packer(window, decide_windows=1 << 20)
+    for i, d in enumerate(documents):
+        list(packer.add(i, *d))
+    packer._advance(at - window)
+    value, parent = {0: 0}, {}
+    for p, cost in penalty:
+        came = min((q for q in range(max(0, p - window), p)), key=lambda q: (value[q], -q))
+        value[p], parent[p] = value[came] + window + cost + 8, came
+    assert packer.pos[0] == 0 and packer.pos.tolist() == list(range(at - window + 1))
+    assert packer.pos[packer.parent[1:]].tolist() == [parent[p] for p in packer.pos.tolist()[1:]]
